@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mixing, sharding, tokens
+from . import chat, fingerprint, linededup, mixing, packing, quality, sharding, tokens
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.edited_neighbours(read_table(spark, sf_dir, "documents"))
+    out = fingerprint.likeness(out, "fingerprint", "edited_fingerprint", "near_edited")
+    out = fingerprint.likeness(out, "fingerprint", "next_fingerprint", "near_next")
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
+    return quality.judge(docs, cleaned=False).select("doc_id", *(f"quality.{n}" for n in names))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -47,6 +60,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "quota", "block")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokens.tokenizer_path(TOKENIZER))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.with_token_counts(docs, tokens.tokenizer_path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
