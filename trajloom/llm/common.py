@@ -37,17 +37,19 @@ class Tables:
     """Tables written in the shared folder to cut lineage; a lost executor costs no recomputation of them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.made = spark, [], 0
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{len(self.paths):03d}-{name}"
+        path = f"{self.root}/{self.made:03d}-{name}"
+        self.made += 1
         df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
-        """Remove the folder once nothing lazy reads it any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def remove(self, *names: str) -> None:
+        """Delete the tables of these names, which nothing lazy may read any more."""
+        for p in [p for p in self.paths if p.rpartition("-")[2] in names]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.paths.remove(p)

@@ -111,13 +111,44 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
+def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each length, each in the open bin with the smallest gap that holds it."""
+    has = np.zeros(most + 1, bool)
+    has[most] = True
+    open_bins: list[list[int]] = [[] for _ in range(most + 1)]
+    bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
+    for i, n in enumerate(map(int, lengths)):
+        g = n + int(np.argmax(has[n:]))
+        if g == most:
+            b, made = made, made + 1
+        else:
+            b = open_bins[g].pop()
+            has[g] = bool(open_bins[g])
+        bins[i], offsets[i] = b, most - g
+        if g > n:
+            open_bins[g - n].append(b)
+            has[g - n] = True
+    return bins, offsets
+
+
+def packed(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """sum_of_squares(), then once more by best fit what lies in bins that it left open, if that takes fewer."""
+    bins, offsets = sum_of_squares(lengths, most)
+    fill = np.bincount(bins, lengths, minlength=1)
+    loose = fill[bins] < most
+    again, places = best_fit(lengths[loose], most)
+    if len(again) and again.max() + 1 < (fill < most).sum():
+        bins[loose], offsets[loose] = len(fill) + again, places
+    return bins, offsets
+
+
 def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most: int = 1024, end: int = 2, group_docs: int = 20_000) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of df.
 
     A document is its ids and `end`; a longer one than `most` is cut into pieces of `most`, only the
     first of which may be shorter. Pieces are dealt into groups of about `group_docs` documents'
-    pieces; a group's pieces are placed from the longest on by sum_of_squares(), and a group wastes a
-    few open bins at its end. No piece is split or dropped.
+    pieces; a group's pieces are placed from the longest on by packed(), and a group wastes a few
+    open bins at its end. No piece is split or dropped.
 
     Null and empty texts hold the end id alone; rows that repeat or share a key are packed as
     documents of their own; null keys are kept; an empty table gives no rows; other columns are ignored.
@@ -131,7 +162,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", key, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), most)
+        bins, offsets = packed(pdf["length"].to_numpy(), most)
         return pdf[names].assign(sequence_id=(int(pdf["grp"].iloc[0]) << 32) + bins, offset=offsets)
 
     kind = df.schema[key].dataType.simpleString()
