@@ -64,7 +64,7 @@ def mix(
     n_shards: int = 8,
     seed: int = 17,
 ) -> DataFrame:
-    """key, source, size, source_size, target, quota, block, copies (int), taken (long): a row for each row of df.
+    """key, source, text_hash, size, source_size, target, quota, block, copies (int), taken (long): a row for each row of df.
 
     Sizes are words (runs of anything but ASCII white space). A source's documents lie end to end in a
     seeded order, `most` times over, cut into blocks of `block` words; its quota takes the first
@@ -79,8 +79,8 @@ def mix(
     rows lies in thousands of cells. The cells' sums are added up before they are shuffled.
     """
     words = n_words(F.col(text))
-    place = F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text)))
-    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"), place.alias("h"))
+    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"), words.alias("size"))
+    docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "key", "text_hash"))
     docs = docs.withColumn("cell", F.pmod(F.shiftright("h", 40), F.lit(CELLS)).cast("int"))
     cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("n"))
     goal = targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
@@ -94,6 +94,6 @@ def mix(
     reach = F.col("s.quota") * F.col("s.block")
     copies = F.when(F.col("d.size") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(most), F.ceil((reach - at) / F.col("s.source_size")))))
     return out.select(
-        F.col("d.key").alias(key), F.col("d.source").alias(source), "d.size", "s.source_size", "s.target", "s.quota", "s.block",
+        F.col("d.key").alias(key), F.col("d.source").alias(source), "d.text_hash", "d.size", "s.source_size", "s.target", "s.quota", "s.block",
         copies.cast("int").alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"),
     )
