@@ -44,7 +44,7 @@ def pieces(cells: DataFrame, n_shards: int, slack: float) -> DataFrame:
     arcs = cells.groupBy("arc", "shard").agg(F.sum("n").alias("n"))
     every = Window.partitionBy()
     total = F.sum("n").over(every)
-    most = F.ceil(total * (1 + slack) / n_shards) if slack else F.expr(f"total div {n_shards}") + F.when(F.col("shard") < F.col("total") % n_shards, 1).otherwise(0)
+    most = F.ceil(F.round(total * (1 + slack) / n_shards, 6)) if slack else F.expr(f"total div {n_shards}") + F.when(F.col("shard") < F.col("total") % n_shards, 1).otherwise(0)
     own = Window.partitionBy("shard")
     arcs = arcs.withColumn("total", total).withColumn("most", most.cast("long"))
     arcs = arcs.withColumn("came", F.sum("n").over(own.orderBy("arc")) - F.col("n"))
