@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, rules, text
@@ -121,8 +121,13 @@ def manifest(decisions: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("idx", "class_", "decision", "reason_codes", "item_sha256", "command_class", "path", "path_class", "provenance"))).alias("decisions"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("new_idx").isNotNull(), F.struct("idx", "new_idx"))))).alias("index_map"),
     )
-    counted = lambda column, name: d.select("traj_id", F.explode(column).alias("k")).groupBy("traj_id", "k").agg(F.count("*").alias("n")).groupBy("traj_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
-    return rows.join(counted(F.array("decision"), "decision_counts"), "traj_id", "left").join(counted(F.col("reason_codes"), "reason_counts"), "traj_id", "left")
+
+    def counted(values: Column) -> Column:
+        """The labels' counts, from the collected rows: labels are few, so this takes no shuffle of its own."""
+        return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(values)), lambda v: F.struct(v, F.size(F.filter(values, lambda x: x == v)))))
+
+    reasons = F.flatten(F.transform("decisions", lambda x: x["reason_codes"]))
+    return rows.withColumns({"decision_counts": counted(F.transform("decisions", lambda x: x["decision"])), "reason_counts": counted(reasons)})
 
 
 def filter_evidence(evidence: DataFrame, decisions: DataFrame, action: str = "source_action_index", observation: str = "observation_index") -> DataFrame:
