@@ -50,7 +50,7 @@ def test_diffs_are_removed(spark, texts):
 
 def test_scrub(spark):
     got = column(spark, [None, "a\n<system-reminder>\nx\n</system-reminder>\nb", "a\nsee MANUAL.yaml\nb", "x\n```diff\n-a\n+b\n```\ny", "plain \r\n text"], text.scrub)
-    assert got == ["", "a\nb", "a\nb", "x\n\ny", "plain\n text"]
+    assert got == ["", "a\nb", "a\nb", "x\n\n\ny", "plain\n text"]
 
 
 def test_truncation_counts_code_points(spark):
