@@ -22,6 +22,10 @@ BOILERPLATE = re.compile(
     r"|javascript (?:is|must be)|enable javascript|subscribe to our|sign up for|click here|lorem ipsum|share (?:this|on) |follow us|powered by ",
     re.IGNORECASE,
 )
+#: Every match of BOILERPLATE has one of these in it; so has every fault of separators, marks or symbols a match of SUSPECT.
+PHRASES = ("rights reserved", "licensed", "released", "copyright", "©", "terms of", "privacy", "cookie", "javascript", "subscribe", "sign up", "click here", "lorem", "share ", "follow us", "powered by")
+SUSPECT = re.compile(r"[#*$%&|<>/»›·•]|::|!!")
+CAPITALS, LETTERS, BEYOND = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)]), bytes(range(128, 256))
 MARKED = re.compile(rb"[#*$%&|<>]{2,}|!!")
 
 
@@ -51,21 +55,33 @@ def repeated_words(words: list[bytes]) -> int:
     return n
 
 
+def mostly_capitals(line: str, rules: Rules) -> bool:
+    data = line.encode()
+    capitals, letters = (len(data) - len(data.translate(None, x)) for x in (CAPITALS, LETTERS))
+    others = len(line) - len(data.translate(None, BEYOND))
+    if capitals + others <= max(20, rules.capitals * letters):  # too few, even if all characters beyond ASCII were capitals
+        return False
+    upper = sum(map(str.isupper, line))
+    return upper > 20 and upper > rules.capitals * sum(map(str.isalpha, line))
+
+
 def line_fault(line: str, rules: Rules) -> str | None:
     """The first rule that a line with a word fails."""
     words = line.encode().split()
     n = len(words)
     if n == 0:
         return None
-    if sum(w in SEPARATORS for w in words) >= max(1, rules.separators * n):
-        return "navigation"
-    if sum(MARKED.search(w) is not None for w in words) > rules.marked * n:
-        return "marks"
-    if sum(map(line.count, SYMBOLS)) > rules.symbols * sum(map(len, words)):
-        return "symbols"
-    if BOILERPLATE.search(line):
+    if SUSPECT.search(line):
+        if sum(w in SEPARATORS for w in words) >= max(1, rules.separators * n):
+            return "navigation"
+        if sum(MARKED.search(w) is not None for w in words) > rules.marked * n:
+            return "marks"
+        if sum(map(line.count, SYMBOLS)) > rules.symbols * sum(map(len, words)):
+            return "symbols"
+    low = line.lower()
+    if any(p in low for p in PHRASES) and BOILERPLATE.search(line):
         return "boilerplate"
-    if n >= 5 and (upper := sum(map(str.isupper, line))) > 20 and upper > rules.capitals * sum(map(str.isalpha, line)):
+    if n >= 5 and mostly_capitals(line, rules):
         return "capitals"
     if not TERMINAL.search(line.rstrip(SPACE)):
         return "punctuation"
