@@ -115,5 +115,46 @@ from f group by conv_id
 """
 
 
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from w),
+c as (select doc_id, len(s) as n, case when len(s) = 0 then doc_id else min(doc_id) over (partition by s) end as class_id, s from s),
+u as (select class_id as k, n, unnest(s) as x from c where class_id = doc_id),
+p as (select a.k as a, b.k as b from u a join u b on a.x = b.x and a.k < b.k group by a.k, b.k, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e as (select a, b from p union all select b, a from p),
+r as (select distinct class_id as k, class_id as l from c union select r.k, e.b from r join e on r.l = e.a)
+select c.doc_id, c.n as n_shingles, m.component_id, c.class_id from c join (select k, min(l) as component_id from r group by k) m on c.class_id = m.k
+"""
+
+
+def _quality_sql() -> str:
+    r = quality.Rules()
+    t = lambda p: "'" + p.replace("'", "''") + "'"
+    words = lambda x: f"list_filter(regexp_split_to_array({x}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    chars = lambda x: f"length(regexp_replace({x}, '[\\x20\\x09-\\x0D]', '', 'g'))"
+    symbols = lambda x: f"length(regexp_replace({x}, '[^#*$%&|<>]', '', 'g'))"
+    separators = ", ".join(t(s.decode()) for s in sorted(quality.SEPARATORS))
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text, {words("coalesce(text, '')")} as w from documents),
+t as (select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) as x from d where len(w) > 2),
+o as (select *, count(*) over (partition by doc_id, x) as k from t),
+y as (select doc_id, count(distinct place) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as place from o where k > 1) group by doc_id),
+l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d),
+m as (select *, {words('line')} as lw, row_number() over (partition by doc_id, line order by pos) as nth from l),
+f as (select *, {chars('line')} as n, len(lw) > 0 and (
+    len(list_filter(lw, lambda x: x in ({separators}))) >= greatest(1, {r.separators} * len(lw))
+    or len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>]{{2,}}|!!'))) > {r.marked} * len(lw)
+    or {symbols('line')} > {r.symbols} * strlen(array_to_string(lw, ''))
+    or regexp_matches(line, {t('(?i)' + quality.BOILERPLATE.pattern)})
+    or (len(lw) >= 5 and length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) > 20 and length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) > {r.capitals} * length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')))
+    or not regexp_matches(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), {t(quality.TERMINAL.pattern.replace(chr(92) + "Z", chr(92) + "z"))})) as failed from m),
+g as (select doc_id, count(*) filter (len(lw) > 0 and nth > 1) as n_dup_lines, count(*) filter (failed) as n_failed_lines, coalesce(sum(n) filter (failed), 0) as lost_chars from f group by doc_id),
+b as (select doc_id, len(w) as n_words, {chars('text')} as word_chars, {symbols('text')} as n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, n_failed_lines, lost_chars from d join g using (doc_id) left join y using (doc_id))
+select *, n_words < {r.least_words} or 100 * n_repeat_words > {r.most_repeated} * n_words as base_failed, not (n_words < {r.least_words} or 100 * n_repeat_words > {r.most_repeated} * n_words) and lost_chars <= {r.most_lost} * word_chars as kept from b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP_SQL, "op6_chat_formatting": CHAT_SQL}
+    return {"op2_quality_rules": _quality_sql(), "op3_jaccard_join": JACCARD_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_chat_formatting": CHAT_SQL}
