@@ -83,12 +83,14 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
     return F.when(F.left(a, F.lit(64)) == F.left(b, F.lit(64)), F.array().cast("array<int>")).otherwise(F.filter(places, lambda i: i >= 0))
 
 
+#: Stands for a null key in the order of documents; the number itself is no key.
+NO_KEY = -(1 << 63)
 #: Bits by which groups of ids grow from level to level; together all 64.
 LEVELS = (10, 13, 13, 14, 14)
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """ids: one distinct long column `id`; adds `next`, the next larger id, null for the largest.
+    """ids: one distinct long column `id`; adds `next`, the next larger id, the smallest for the largest.
 
     Ids are grouped by their leading bits, and a group's last one takes the first of the next group,
     found alike among the groups: no window has over 2**14 rows, however the ids are spread, and
@@ -97,8 +99,9 @@ def successors(ids: DataFrame) -> DataFrame:
 
     def level(rows: DataFrame, k: int) -> DataFrame:
         """rows: g (group), first (its least id); adds next: the least id after the group."""
-        if k == len(LEVELS):
-            return rows.withColumn("next", F.lit(None).cast("long"))
+        if k == len(LEVELS):  # two groups at most: ids below zero, and the others
+            by = Window.orderBy("g")
+            return rows.withColumn("next", F.coalesce(F.lead("first").over(by), F.first("first").over(by)))
         rows = rows.withColumn("up", F.shiftright("g", LEVELS[k]))
         above = level(rows.groupBy(F.col("up").alias("g")).agg(F.min("first").alias("first")), k + 1)
         near = rows.withColumn("near", F.lead("first").over(Window.partitionBy("up").orderBy("g")))
@@ -119,19 +122,15 @@ def edited_neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Texts are shuffled once, by key; of a document, at most the part that its neighbour takes goes to it.
     """
-    lowest = -(1 << 63)
-    docs = df.select(F.coalesce(F.col(key), F.lit(lowest)).alias("id"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = df.select(F.coalesce(F.col(key), F.lit(lowest)).alias("id"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("n")).groupBy("id").agg(F.max("n").alias("n"))
-    follow = successors(ids.select("id"))
-    first = ids.agg(F.min("id").alias("first"))
-    wanted = follow.join(ids, "id").withColumn("quarter", F.expr("n div 4").cast("int"))
-    whole = wanted.filter("next is not null").select(F.col("id").alias("for"), F.col("next").alias("id"), "quarter")
-    wrap = wanted.filter("next is null").select(F.col("id").alias("for"), "quarter", F.lit(1).alias("one")).join(F.broadcast(first.withColumn("one", F.lit(1))), "one").select("for", F.col("first").alias("id"), "quarter")
+    docs = df.select(F.coalesce(F.col(key), F.lit(NO_KEY)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ids = docs.select("id", F.char_length("text").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
+    wanted = successors(ids.select("id")).join(ids, "id").select(F.col("id").alias("for"), F.col("next").alias("id"), F.expr("cast(n div 4 as int)").alias("quarter"))
+    # both uses of this exchange need the same columns, so that Spark makes it once
     docs = docs.repartition("id")
     leads = docs.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("text"))).filter("rn = 1")
-    heads = leads.join(whole.unionByName(wrap), "id").select(F.col("for").alias("id"), F.expr("left(text, quarter)").alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    heads = leads.join(wanted, "id").select(F.col("for").alias("id"), F.expr("left(text, quarter)").alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
     both = docs.join(heads, "id")
     n = F.char_length("text")
     both = both.withColumn("n_chars", n.cast("long")).withColumn("q", F.expr("n_chars div 4").cast("int"))
     both = both.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - q), left(head, q))"))
-    return both.select(F.col("key").alias(key), F.col("text").alias(text), "n_chars", "edited", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    return both.select(F.when(F.col("id") != NO_KEY, F.col("id")).alias(key), F.col("text").alias(text), "n_chars", "edited", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
