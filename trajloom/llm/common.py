@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+def slices(batches: Iterator[pa.RecordBatch] | Iterator[pa.Array], rows: int = 500) -> Iterator[pa.RecordBatch] | Iterator[pa.Array]:
+    """Short runs of the batches' rows, so that a Python worker holds few of them as objects at a time."""
+    for batch in batches:
+        yield from (batch.slice(k, rows) for k in range(0, len(batch), rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext

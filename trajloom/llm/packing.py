@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .tokens import pieces_of, tokenizer_path
 
 SPECIAL = "<|endoftext|>"
@@ -70,7 +71,7 @@ def token_pieces(df: DataFrame, path: str, key: str, text: str, most: int, end:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path if os.path.exists(path) else tokenizer_path(name))
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*encoder.ids(t or ""), end], dtype="<u4")

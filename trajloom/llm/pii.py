@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm import Tagger, char_ids
+from .common import slices
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -279,9 +280,10 @@ def find_personal_data(df: DataFrame, text: str = "text", tagger: Tagger | None
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
-            for own, every in all_spans([t or "" for t in batch.to_pylist()], model):
-                counts = [sum(k == s[2] for s in own) for k in KINDS]
-                rows.append((*counts, hashlib.sha256(written(own).encode()).hexdigest(), written(every), len(every) - len(own)))
+            for some in slices([batch]):
+                for own, every in all_spans([t or "" for t in some.to_pylist()], model):
+                    counts = [sum(k == s[2] for s in own) for k in KINDS]
+                    rows.append((*counts, hashlib.sha256(written(own).encode()).hexdigest(), written(every), len(every) - len(own)))
             columns = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, FIELDS, strict=True)], fields=list(kinds))
 

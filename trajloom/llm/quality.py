@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, slices
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = frozenset(b.encode() for b in ("|", "||", ">", ">>", "/", "»", "›", "·", "•", "::"))
@@ -124,9 +124,12 @@ def judge(df: DataFrame, text: str = "text", rules: Rules = Rules(), cleaned: bo
     @F.arrow_udf(SCHEMA)
     def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [judged(t or "", rules) for t in batch.to_pylist()]
-            columns = [pa.array([r[i] for r in rows] if cleaned or n != "cleaned" else [None] * len(rows), k) for i, (n, k) in enumerate(FIELDS)]
-            yield pa.StructArray.from_arrays(columns, fields=list(kinds))
+            parts = [pa.array([], kinds)]
+            for some in slices([batch]):
+                rows = [judged(t or "", rules) for t in some.to_pylist()]
+                columns = [pa.array([r[i] for r in rows] if cleaned or n != "cleaned" else [None] * len(rows), k) for i, (n, k) in enumerate(FIELDS)]
+                parts.append(pa.StructArray.from_arrays(columns, fields=list(kinds)))
+            yield pa.concat_arrays(parts)
 
     return df.withColumn("quality", verdicts(F.col(text)))
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: A single blank between two letters or digits: a pre-token always ends before it, on either side's own terms.
 SAFE = re.compile(r"(?<=[^\W_])\x20(?=[^\W_])")
 
@@ -73,7 +75,7 @@ def batch_lengths(counter: Counter, texts: list[str | None], batch_bytes: int, p
 
     for row, text in enumerate(texts):
         # only byte-level files are known to have safe boundaries; others see whole texts
-        for piece in pieces_of(text, piece_chars) if counter.json else [text or ""]:
+        for piece in pieces_of(text or "", piece_chars) if counter.json else [text or ""]:
             rows.append(row)
             batch.append(piece)
             held += len(piece) if piece.isascii() else len(piece.encode())
@@ -97,7 +99,8 @@ def token_count(text: Column, path: str, batch_bytes: int = 1 << 18, piece_chars
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter(path if os.path.exists(path) else tokenizer_path(name))
         for texts in batches:
-            yield pa.array(batch_lengths(counter, ["" if t is None else t for t in texts.to_pylist()], batch_bytes, piece_chars), pa.int64())
+            counts = [n for some in slices([texts]) for n in batch_lengths(counter, some.to_pylist(), batch_bytes, piece_chars)]
+            yield pa.array(counts, pa.int64())
 
     return count(text)
 
