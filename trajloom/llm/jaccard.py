@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables
+from .common import Tables, slices
 
 #: Odd multipliers that spread bits (fixed values: golden ratio, and two from the MurmurHash3 finalizer).
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -30,7 +30,10 @@ BAND_RATIO = 1.5
 FREQUENT, FREQUENT_TASK = 1 << 16, 20_000
 #: Bits of the filter of documents whose sets are fetched, 1 MB; a fuller one lets more sets through.
 FILTER_BITS = 1 << 23
-LEADERS = 3
+#: Up to so many classes of a block are compared as pairs of ids; larger blocks in tiles of so many sketches a side.
+SMALL, TILE = 64, 1024
+#: Hashes that a task holds, as whole sets, before it counts them (16 MB).
+HELD = 1 << 21
 #: What the filter takes for a null key.
 NO_KEY = -(1 << 63)
 
@@ -121,8 +124,34 @@ def parity_bits(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketch_words(n: int) -> int:
-    """64-bit words of a set's sketch: a power of two, about a bit for each token."""
-    return 1 << max(0, (max(n, 1) - 1).bit_length() - 6)
+    """64-bit words of a set's sketch: a power of two, four to eight bits for each token, so few flips meet."""
+    return 1 << max(0, (max(n, 1) - 1).bit_length() - 4)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (row, word) of half or a quarter the length, as the same tokens would give."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near_pairs(ids: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left and a right row, of different groups, whose sizes and Hamming distance allow the similarity.
+
+    left and right: numbers of rows. Where they share rows, pairs come in one order.
+    """
+    words = min(len(s) for s in sketches)
+    bits = np.stack([folded(s[None], words)[0] for s in sketches]).view(np.uint64)
+    out_a, out_b = [], []
+    for i in left:
+        total = sizes[i] + sizes[right]
+        apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        good = (apart * (100 + percent) <= total * (100 - percent)) & (groups[right] != groups[i]) & (100 * np.minimum(sizes[i], sizes[right]) >= percent * np.maximum(sizes[i], sizes[right])) & (ids[right] != ids[i])
+        found = ids[right[good]]
+        out_a.append(np.minimum(found, ids[i]))
+        out_b.append(np.maximum(found, ids[i]))
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def ranks(h: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -147,14 +176,22 @@ def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], m
     return highest(values, counts, most)
 
 
+def repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of more than one set, and of how many."""
+    values, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+    many = counts > 1 + len(sets) // 2000
+    return values[many], counts[many]
+
+
 def documents_and_counts(docs: DataFrame, n: int) -> DataFrame:
     """id, n, cid of each document; and rows with id, n and cid null: a shingle and in how many distinct sets of a task it is."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, rows = (np.empty(0, np.uint64), np.empty(0, np.int64)), set(), 0
+        new: list[np.ndarray] = []
         names = ["id", "n", "cid", "shingle", "count"]
-        for batch in batches:
-            sizes, ids, new = [], [], []
+        for batch in slices(batches):
+            sizes, ids = [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t, n)
                 sizes.append(len(h))
@@ -163,13 +200,12 @@ def documents_and_counts(docs: DataFrame, n: int) -> DataFrame:
                     seen.add(ids[-1])
                     new.append(h)
                     rows += 1
-            if new:
-                values, counts = np.unique(np.concatenate(new), return_counts=True)
-                many = counts > 1 + len(new) // 2000
-                table = merged(table, (values[many], counts[many]), 4 * FREQUENT_TASK)
+            if sum(map(len, new)) > HELD:
+                table = merged(table, repeated(new), 4 * FREQUENT_TASK)
+                new.clear()
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none, none], names=names)
-        values, counts = highest(*table, FREQUENT_TASK)
+        values, counts = merged(table, repeated(new), FREQUENT_TASK)
         many = counts > max(2, rows // 1000)
         none = pa.nulls(int(many.sum()), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(values[many].astype(np.int64)), pa.array(counts[many])], names=names)
@@ -182,7 +218,7 @@ def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, place: np
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for t in batch.column(1).to_pylist():
                 h = shingles(t, n)
@@ -201,7 +237,7 @@ def fetched(docs: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = xxhash.xxh64_intdigest(struct.pack("<q", NO_KEY if i is None else i), 42) % FILTER_BITS
@@ -218,19 +254,66 @@ def fetched(docs: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(scan, "cid long, size long, sketch array<long>, tokens array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: by size, by Hamming distance of equally folded sketches, then by the whole sets."""
-    left = sets.select(F.col("cid").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("s"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("cid").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("t"), F.col("tokens").alias("y"))
+def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and Hamming distance allow the similarity; only sketches are joined."""
+    left = sets.select(F.col("cid").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("s"))
+    right = sets.select(F.col("cid").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("t"))
     both = pairs.join(left, "a").join(right, "b")
-    sized = (100 * F.least("m", "n") >= percent * F.greatest("m", "n")) & F.lit(True)
-    # sketches of one length are compared; where lengths differ (by a factor of two), the longer one is folded by XOR
+    sized = 100 * F.least("m", "n") >= percent * F.greatest("m", "n")
+    # where lengths differ (by a factor of two), the longer one is folded by XOR
     fold = lambda u, v: F.when(F.size(u) > F.size(v), F.zip_with(F.slice(u, 1, F.size(v)), F.slice(u, F.size(v) + 1, F.size(v)), lambda p, q: p.bitwiseXOR(q))).otherwise(u)
     apart = F.aggregate(F.zip_with(fold(F.col("s"), F.col("t")), fold(F.col("t"), F.col("s")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
     near = apart * (100 + percent) <= (F.col("m") + F.col("n")) * (100 - percent)
+    return both.filter(F.when(sized, near).otherwise(F.lit(False))).select("a", "b").distinct()
+
+
+def only(sets: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
+    """The sets that pairs name and, if the filter is crowded, some more: so the rest isn't shuffled.
+
+    The filter is a table of bits/64 words at most, which is broadcast; see filter_bits() for its bound.
+    """
+    at = F.pmod(F.xxhash64("cid"), F.lit(bits))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(at.alias("at"))
+    words = named.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    marked = sets.withColumn("at", at).withColumn("word", F.expr("at div 64")).join(F.broadcast(words), "word")
+    return marked.filter(F.getbit("bits", (F.col("at") % 64).cast("int")) == 1).select(*sets.columns)
+
+
+def filter_bits(n: int) -> int:
+    """A power of two, about 16 bits for each of n entries, 2**26 (a table of 16 MB) at most."""
+    return 1 << min(26, max(16, (16 * n).bit_length()))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    left = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    alike = 100 * common >= percent * (F.col("m") + F.col("n") - common)
-    return both.filter(F.when(sized, F.when(near, alike).otherwise(F.lit(False))).otherwise(F.lit(False))).select("a", "b").distinct()
+    alike = 100 * common >= percent * (F.size("x") + F.size("y") - common)
+    return pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b").distinct()
+
+
+def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different components in one block that sizes and Hamming distance allow. members: key, cid, own, n.
+
+    A block is cut into chunks of about TILE rows by hash; every two chunks meet in a group of their
+    own, so no task holds a block, and only near pairs leave it.
+    """
+    m = members.withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
+    m = m.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).join(sets.select("cid", "size", "sketch"), "cid")
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    m = m.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "cid", "own", "size", "sketch")
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        ids, own, sizes, chunk = (t[c].to_numpy() for c in ("cid", "own", "size", "chunk"))
+        sketches = [np.asarray(x, np.int64) for x in t["sketch"].to_pylist()]
+        lo, hi = np.flatnonzero(chunk == key[1].as_py()), np.flatnonzero(chunk == key[2].as_py())
+        none = np.empty(0, np.int64)
+        a, b = near_pairs(ids, own, sizes, sketches, lo, hi, percent) if len(lo) and len(hi) else (none, none)
+        pairs = np.unique(np.stack([a, b]), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return m.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame, tables: Tables) -> DataFrame:
@@ -258,21 +341,22 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents, links). documents: key, n_shingles, class_id, component_id for each row of df; links: a, b, verified pairs of class ids.
+    """(documents, links). documents: key, n_shingles, class_id, component_id for each row of df; links: a, b, verified pairs of sets' numbers.
 
     A document's set is its distinct n-word shingles (words: runs of anything but ASCII white space,
     A-Z lower-cased), all words as one shingle if there are fewer. Documents link if 100 * common >=
-    percent * all. component_id is the smallest key reachable by links, the own included. Documents
-    of equal sets are one class (a 64-bit number of the set), so copies make no pairs.
+    percent * all. component_id is the smallest key reachable by links, the own included; class_id
+    is the smallest key with an equal set. Such copies are one class, found by a 64-bit number of the set, and make no pairs.
 
-    A null or empty text has no set, no class and no links, and is its own component. Rows with a null
+    A null or empty text has no set, no class and no links, and is its own class and component. Rows with a null
     key take part like others; the component of such rows alone is null. Rows that repeat or share a
     key are documents of their own. An empty table gives no rows; other columns are ignored.
 
-    In a block, every class is first compared with the most connected ones of the block; only
-    blocks whose classes are then still in several components compare the rest with each other. So a
-    large group of near copies costs about a comparison each, and no link that joins components is lost. Texts
-    aren't shuffled; sets are, of classes that share a block with another.
+    A class is first compared with the most connected class it shares a block with, then with the
+    leaders of the blocks whose classes are still in several components; only what is left open
+    after that is compared within blocks, and by sketches before sets. So a large group of near
+    copies costs about a verification each, and no link that joins components is lost. Texts aren't
+    shuffled; sets are, of classes that share a block with another.
     """
     spark: SparkSession = df.sparkSession
     tables = Tables(spark)
@@ -301,41 +385,50 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
         bits[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
     sets = tables.write(fetched(docs, n, bits), "sets")
 
-    pop = shared.join(shared.groupBy("key").agg(F.count("*").alias("c")), "key").groupBy("cid").agg(F.sum("c").alias("pop"))
-    ranked = shared.join(pop, "cid")
-    by = by_key.orderBy(F.desc("pop"), "cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = tables.write(ranked.select("key", "cid", *(F.nth_value("cid", k + 1).over(by).alias(f"leader{k}") for k in range(LEADERS))), "ranked")
+    # of each block the most connected class leads; of its blocks' leaders a class is first compared with the most connected one
+    pop = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("cid").agg(F.sum("n").alias("pop"))
+    lead = shared.join(pop, "cid").groupBy("key").agg(F.max(F.struct("pop", "cid")).alias("lead"), F.count("*").alias("n"))
+    ranked = tables.write(shared.join(lead, "key").select("key", "cid", F.col("lead.pop").alias("pop"), F.col("lead.cid").alias("leader"), "n"), "ranked")
 
     none = spark.createDataFrame([], "a long, b long")
     tested, links, labels = none, none, spark.createDataFrame([], "v long, label long")
-    for step in range(LEADERS + 1):
-        own = labels.select(F.col("v").alias("cid"), F.col("label").alias("own"))
-        at = ranked.join(own, "cid", "left").withColumn("own", F.coalesce("own", "cid"))
-        if step:
-            open_keys = at.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("key")
-            at = at.join(open_keys, "key", "left_semi")
-        if step < LEADERS:
-            other = labels.select(F.col("v").alias(f"leader{step}"), F.col("label").alias("other"))
-            pairs = at.filter(f"leader{step} is not null").join(other, f"leader{step}", "left").withColumn("other", F.coalesce("other", f"leader{step}"))
-            pairs = pairs.filter("own <> other").select(F.col(f"leader{step}").alias("p"), F.col("cid").alias("q"))
+    ordered = lambda p, q: (F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
+    for step in ("best leader", "every leader", "the rest"):
+        if step == "best leader":
+            pairs = ranked.filter("cid <> leader").groupBy("cid").agg(F.max(F.struct("pop", "leader")).alias("x")).select(*ordered("cid", "x.leader"))
+            near = none
         else:
-            mate = at.select("key", F.col("cid").alias("q"), F.col("own").alias("other"))
-            pairs = at.select("key", F.col("cid").alias("p"), "own").join(mate, "key").filter("p < q and own <> other").select("p", "q")
-        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = tables.write(pairs, f"pairs{step}")
-        if pairs.isEmpty():
-            if step < LEADERS:
-                continue
-            break
-        found = tables.write(verified(pairs, sets, percent), f"links{step}")
+            own = labels.select(F.col("v").alias("cid"), F.col("label").alias("own"))
+            at = ranked.join(own, "cid", "left").withColumn("own", F.coalesce("own", "cid"))
+            unsettled = at.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("key")
+            at = tables.write(at.join(unsettled, "key", "left_semi"), "open")
+            if at.isEmpty():
+                break
+            if step == "every leader":
+                other = labels.select(F.col("v").alias("leader"), F.col("label").alias("other"))
+                pairs = at.join(other, "leader", "left").filter("own <> coalesce(other, leader)").select(*ordered("cid", "leader"))
+                near = none
+            else:
+                few = at.filter(F.col("n") <= SMALL)
+                mate = few.select("key", F.col("cid").alias("mate"), F.col("own").alias("other"))
+                pairs = few.join(mate, "key").filter("cid < mate and own <> other").select(*ordered("cid", "mate"))
+                near = tiled(at.filter(F.col("n") > SMALL).select("key", "cid", "own", "n"), sets, percent)
+        pairs = tables.write(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        near = sketched(pairs, sets, percent).unionByName(near).distinct().join(tested, ["a", "b"], "left_anti")
+        near = tables.write(near, "near")
+        found = tables.write(verified(near, only(sets, near, filter_bits(near.count())), percent), "links")
         tested, links = tested.unionByName(pairs), links.unionByName(found)
-        labels = components(links, tables)
+        if found.isEmpty():
+            continue
+        stars = labels.filter("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b"))
+        labels = components(found.unionByName(stars), tables)
 
-    tables.remove("shared", "sets", "ranked", "edges")
+    tables.remove("shared", "sets", "ranked", "edges", "open")
     least = labels.join(reps.withColumnRenamed("cid", "v"), "v").groupBy("label").agg(F.min("rep").alias("component_id"))
     of = labels.join(least, "label").select(F.col("v").alias("cid"), "component_id")
-    of = tables.write(reps.join(of, "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    of = tables.write(reps.join(of, "cid", "left").select("cid", "rep", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    alone = F.col("cid").isNull()
     out = rows.join(of, "cid", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
     return out, links
