@@ -46,7 +46,9 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_
     firsts = salted.withColumn("prev", F.lag("doc").over(run)).withColumn("n", F.row_number().over(run))
     firsts = firsts.filter((F.col("n") == 1) | ~F.col("prev").eqNullSafe(F.col("doc")))  # a row for each document of a run
     kept = firsts.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
-    lost = occ.join(kept.select("h1", "h2", "keeper"), ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
+    # as an expression, the key is dealt anew for the join, and Spark can then split the runs of common lines
+    kept = kept.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", "keeper")
+    lost = occ.join(kept, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     words = lost.groupBy("doc", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("dropped")).withColumnRenamed("doc", key)
 
