@@ -68,7 +68,7 @@ def with_injections(pairs_: DataFrame, indexes: dict[str, DataFrame]) -> DataFra
     return out
 
 
-def runs(pairs_: DataFrame, one_per_target: bool = True, image: str = "jiayuanz3/swecontextbench", root: str = "runs/contextbench_qwen3_30b_openhands") -> DataFrame:
+def runs(pairs_: DataFrame, one_per_target: bool = True, image: str = "tasks", root: str = "runs") -> DataFrame:
     """Four runs of each pair, one per condition; injection_file is null for no_memory."""
     r = pairs_.withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
     middle = "__" if one_per_target else F.concat(F.lit("__from__"), F.col("experience_instance_id"), F.lit("__"))

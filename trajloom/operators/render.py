@@ -25,7 +25,7 @@ CONTEXT_LABELS = {
     "adp": "The following is a stripped ADP-rendered trajectory from an officially related prior issue.",
     "memory": "The following is deterministic extractive memory from an officially related prior issue.",
 }
-PROMPT_VERSION = "contextbench_prompt_v1.1.0"
+PROMPT_VERSION = "prompt_v1.1.0"
 #: Fixed texts of a prompt.
 BASE_INSTRUCTION = """You are an autonomous software-engineering agent.
 

@@ -378,8 +378,8 @@ def j3_pairs(spark, sf_dir):
     return manifest.pairs(rel, experience, related, index)
 
 
-@query(PAIRS + """ select related_instance_id || '__' || c as run_id, c as condition, related_instance_id as target_instance_id, 'jiayuanz3/swecontextbench:' || replace(related_instance_id, '__', '.') as sandbox_image,
-  'runs/contextbench_qwen3_30b_openhands/' || related_instance_id || '/' || c as output_dir, 'pending' as status from pairs, (select unnest(['no_memory', 'raw', 'adp', 'memory']) as c)""")
+@query(PAIRS + """ select related_instance_id || '__' || c as run_id, c as condition, related_instance_id as target_instance_id, 'tasks:' || replace(related_instance_id, '__', '.') as sandbox_image,
+  'runs/' || related_instance_id || '/' || c as output_dir, 'pending' as status from pairs, (select unnest(['no_memory', 'raw', 'adp', 'memory']) as c)""")
 def j7_runs(spark, sf_dir):
     experience, related, rel, index = pair_tables(spark, sf_dir)
     return manifest.runs(manifest.pairs(rel, experience, related, index)).select("run_id", "condition", "target_instance_id", "sandbox_image", "output_dir", "status")
