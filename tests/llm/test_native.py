@@ -217,3 +217,40 @@ def test_sainte_lague_by_brute_force(spark):
     assert [sum(r["shard_quotas"].get(k, 0) for r in got.values()) for k in (0, 1)] == [5, 5]
 
 
+def seats_by_quotient(goals, n):
+    order = sorted(((g / (2 * k + 1), s) for s, g in goals.items() for k in range(n)), key=lambda x: (-x[0], x[1]))[:n]
+    return {s: sum(x == s for _, x in order) for s in goals}
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(1, 60) | st.integers(1, 3000), min_size=1, max_size=12), st.integers(1, 150))
+def test_sainte_lague_of_few_and_many_seats(spark, sizes, n):
+    goals = {f"s{i:02}": float(g) for i, g in enumerate(sizes)}
+    got = {r["source"]: r for r in mixing.quotas(spark.createDataFrame(list(goals.items()), "source string, target double"), n, 3).collect()}
+    assert {s: r["quota"] for s, r in got.items()} == seats_by_quotient(goals, n)
+    assert all(sum((r["shard_quotas"] or {}).values()) == r["quota"] for r in got.values())
+    shards = [sum(r["shard_quotas"].get(k, 0) for r in got.values()) for k in range(3)]
+    assert max(shards) - min(shards) <= 1
+
+
+def taken_and_targets(rows):
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    return taken, target
+
+
+def test_mix_takes_a_source_of_a_hundred_thousandth(spark):
+    big = [(i, "w " * 10_000, f"big{i % 3}") for i in range(300)]
+    rows = [*big, *((1000 + i, "w " * 5, "tiny") for i in range(6)), *((2000 + i, "w " * 5, "small") for i in range(40))]
+    taken, target = taken_and_targets(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert target["tiny"] == taken["tiny"] == 60
+    assert abs(taken["small"] - target["small"]) <= 5
+    assert all(abs(taken[s] - t) <= 10_000 for s, t in target.items())
+
+
+def test_mix_of_more_sources_than_blocks(spark):
+    df = spark.range(18_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 10).alias("text"), F.concat(F.lit("s"), (F.col("id") % 9000).cast("string")).alias("source"))
+    taken, target = taken_and_targets(mixing.mix(df).collect())
+    assert len(target) == 9000 and all(abs(taken[s] - t) <= 6 for s, t in target.items())

@@ -9,6 +9,8 @@ from .common import WORD
 
 #: A source's documents are spread over so many cells of the seeded order; sums over cells replace one long running sum.
 CELLS = 4096
+#: Blocks to the smallest target or mean document at least; quotas cost the same however many blocks there are.
+FINE = 16
 
 
 def n_words(text: Column) -> Column:
@@ -16,7 +18,7 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """sizes: source, source_size; adds weight and target. There is one row for each source, not for each document.
+    """sizes: source, source_size, others; adds weight and target. There is one row for each source, not for each document.
 
     Sources in code-point order, null last, take the weights in turn and share `share` times all
     sizes; a target stops at `most` times its source's size and the excess is shared by weight again,
@@ -33,23 +35,34 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     s = s.withColumn("under", F.col("stop") > F.col("weight") * F.col("level"))
     s = s.withColumn("level", F.min_by(F.when(F.col("under"), F.col("level")), F.when(F.col("under"), F.col("stop") / F.col("weight"))).over(every))
     target = F.when(F.col("level").isNull(), F.col("stop")).otherwise(F.least("stop", F.col("weight") * F.col("level")))
-    return s.select("source", "source_size", "weight", target.alias("target"))
+    return s.select(*sizes.columns, "weight", target.alias("target"))
 
 
-def quotas(target: DataFrame, n_blocks: int, n_shards: int) -> DataFrame:
-    """source, block (tokens, double), quota (long), shard_quotas map<shard int, n long>.
+def quotas(target: DataFrame, n_blocks: int | Column, n_shards: int) -> DataFrame:
+    """source, block (tokens, double), quota (long), shard_quotas map<shard int, n long>, for each source with a target.
 
-    Seats go to the highest quotients target/(2k+1), n_blocks in all; the seats in turn belong to
-    shards 0, 1, ..., so every shard gets whole blocks in about the same proportions.
+    Seats go to the highest quotients target/(2k+1), n_blocks in all. Rounding moves the divisor by
+    half a seat a source at most, so only the seats between these bounds are ranked, a few for each
+    source whatever n_blocks is. A source's seats go to the shards in turn, on from where the source
+    before ended, so every shard gets whole blocks in about the same proportions.
     """
     every = Window.partitionBy()
-    t = target.withColumn("block", F.sum("target").over(every) / n_blocks)
-    # Sainte-Laguë gives no source far more than its share; twice the share and two are enough quotients
-    seats = t.filter("target > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(2 * F.col("target") / F.col("block")) + 1)))
-    seats = seats.withColumn("quotient", F.col("target") / (2 * F.col("k") + 1)).orderBy(F.desc("quotient"), F.col("source").asc_nulls_last(), "k").limit(n_blocks)
-    seats = seats.withColumn("shard", ((F.row_number().over(Window.orderBy(F.desc("quotient"), F.col("source").asc_nulls_last(), "k")) - 1) % n_shards).cast("int"))
-    per = seats.groupBy("source", "block", "shard").agg(F.count("*").alias("n"))
-    return per.groupBy("source", "block").agg(F.sum("n").alias("quota"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("shard", "n")))).alias("shard_quotas"))
+    n = (F.lit(n_blocks) if isinstance(n_blocks, int) else n_blocks).cast("double")
+    t = target.withColumn("n_blocks", n).filter("target > 0")
+    t = t.withColumn("block", F.sum("target").over(every) / F.col("n_blocks")).withColumn("half", F.count("*").over(every) / 2)
+    seats_at = lambda seats: F.floor(F.col("target") / F.col("block") * seats / F.col("n_blocks") + 0.5)
+    t = t.withColumn("sure", F.greatest(F.lit(0).cast("long"), seats_at(F.col("n_blocks") - F.col("half")) - 1))
+    t = t.withColumn("open", F.col("n_blocks") - F.sum("sure").over(every))
+    seats = t.withColumn("k", F.explode(F.sequence("sure", seats_at(F.col("n_blocks") + F.col("half")) + 1)))
+    seats = seats.withColumn("quotient", F.col("target") / (2 * F.col("k") + 1))
+    seats = seats.withColumn("won", F.row_number().over(Window.orderBy(F.desc("quotient"), F.col("source").asc_nulls_last(), "k")) <= F.col("open"))
+    per = seats.groupBy("source", "block", "sure").agg(F.count_if("won").alias("won")).withColumn("quota", F.col("sure") + F.col("won"))
+    first = F.sum("quota").over(Window.orderBy(F.col("source").asc_nulls_last())) - F.col("quota")
+    per = per.withColumn("first", F.pmod(first, F.lit(n_shards)))
+    shard = lambda i: F.struct(i.alias("shard"), F.expr(f"quota div {n_shards}").alias("base"), F.pmod(i - F.col("first"), F.lit(n_shards)).alias("turn"))
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), shard)
+    dealt = F.transform(dealt, lambda x: F.struct(x["shard"].alias("shard"), (x["base"] + (x["turn"] < F.col("quota") % n_shards).cast("long")).alias("n")))
+    return per.select("source", "block", "quota", F.map_from_entries(F.filter(dealt, lambda x: x["n"] > 0)).alias("shard_quotas"))
 
 
 def mix(
@@ -68,8 +81,9 @@ def mix(
 
     Sizes are words (runs of anything but ASCII white space). A source's documents lie end to end in a
     seeded order, `most` times over, cut into blocks of `block` words; its quota takes the first
-    blocks, and a document is taken as often as its middle lies in them. So a source misses its
-    target by about half a block and half a document, and reruns agree.
+    blocks, and a document is taken as often as its middle lies in them. There are `n_blocks` blocks
+    at least, and more until a block is 1/FINE of the smallest target and of the smallest mean document
+    of a source. So a source misses its target by about half a document, and reruns agree.
 
     A null text has no words and is never taken; a null source is a source of its own, after all
     others; rows that repeat or share a key are documents of their own, in any order where all their
@@ -82,11 +96,15 @@ def mix(
     docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"), words.alias("size"))
     docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "key", "text_hash"))
     docs = docs.withColumn("cell", F.pmod(F.shiftright("h", 40), F.lit(CELLS)).cast("int"))
-    cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("n"))
-    goal = targets(cells.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
-    q = quotas(goal, n_blocks, n_shards).drop("shard_quotas")
+    cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("n"), F.count_if(F.col("size") > 0).alias("n_docs"))
+    goal = targets(cells.groupBy("source").agg(F.sum("n").alias("source_size"), F.sum("n_docs").alias("n_docs")), weights, share, most)
+    every = Window.partitionBy()
+    finest = F.min(F.when(F.col("target") > 0, F.least(F.col("target"), F.col("source_size") / F.col("n_docs")))).over(every) / FINE
+    goal = goal.withColumn("n_blocks", F.greatest(F.lit(n_blocks).cast("double"), F.ceil(F.sum("target").over(every) / finest).cast("double"))).drop("n_docs")
+    q = quotas(goal, F.col("n_blocks"), n_shards).drop("shard_quotas")
+    goal = goal.drop("n_blocks")
     goal = goal.alias("g").join(q.alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left").select("g.*", F.coalesce("q.quota", F.lit(0)).alias("quota"), F.coalesce("q.block", F.lit(0.0)).alias("block"))
-    starts = cells.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("cell")) - F.col("n")).drop("n")
+    starts = cells.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("cell")) - F.col("n")).drop("n", "n_docs")
     starts = starts.alias("c").join(goal.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("g.*", "c.cell", "c.before")
     docs = docs.withColumn("at", F.sum("size").over(Window.partitionBy("source", "cell").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
     out = docs.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.cell") == F.col("s.cell")))
