@@ -97,6 +97,16 @@ def test_line_dedup_of_null_and_shared_keys(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in out) == sorted([("None", ""), ("None", ""), ("1", ""), ("1", ""), ("2", ""), ("3", ""), ("4", f"{line}\nx")])
 
 
+def test_line_dedup_of_different_texts_with_one_key(spark):
+    line = "A common line of more than forty characters."
+    rows = [(i, f"{line}\nown {i}") for i in range(1, 6)] + [(None, f"{line}\nA"), (None, "null B unique opening line, over forty characters\nB"), (None, "C")]
+    rows += [(3, f"own first line of the other text with key 3\n{line}"), (5, f"x\n{line}\ny")]
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(k, "\n".join(x for x in t.split("\n") if x != line or k == 5)) for k, t in rows]
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted(want, key=str)
+    assert sorted((r["n_lines"], r["n_dropped"]) for r in out) == sorted((t.count("\n") + 1, t.count("\n") - w.count("\n")) for (_, t), (_, w) in zip(rows, want, strict=True))
+
+
 def test_bitmaps_cover_long_documents(spark):
     line = "w" * 60
     rows = [(i, "\n".join(line if j % 3 == 0 else f"{i} {j}" for j in range(300))) for i in range(5)]

@@ -15,24 +15,29 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows that share a key apart: a line's place is a place in one text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def occurrences(df: DataFrame, key: str, text: str, least_chars: int) -> DataFrame:
-    """doc, h1, h2, words: one row for each long line key of a document, with a sparse bitmap of its places."""
-    lines = df.select(F.col(key).alias("doc"), F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
+    """doc, text_hash, pos, h1, h2: one row for each long line of a row of df."""
+    lines = df.select(F.col(key).alias("doc"), text_hash(F.col(text)).alias("text_hash"), F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
     lines = lines.withColumn("line", F.btrim("line", F.lit(SPACE))).filter(F.char_length("line") >= least_chars)
     k = ascii_lower(F.col("line"))
-    return lines.select("doc", "pos", F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2"))
+    return lines.select("doc", "text_hash", "pos", F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2"))
 
 
 def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """key, dropped array<struct<word int, bits long>>: a row for each document that loses lines.
+    """key, text_hash, dropped array<struct<word int, bits long>>: a row for each text of a key that loses lines.
 
     Bit b of the word w stands for line 64*w+b; the bits are compressed by leaving out empty words, and
     set for lines to drop, so the keep bitmap is their complement. A line's key is the line without
     ASCII white space at its ends, A-Z lower-cased. A key of at least `least_chars` code points in at
     least `least_docs` documents loses all its lines except in the largest `key` that holds it.
 
-    A null text is one empty line. Rows with a null key are one document before all others; so are
-    rows that share a key. An empty table gives no rows; other columns are ignored.
+    A null text is one empty line. Rows with a null key count as one document before all others, rows
+    that share a key as one; each of their texts has a bitmap of its own. An empty table gives no rows; other columns are ignored.
 
     The hashes (128 bits) are partitioned by range of (hash, salt) and sorted by document from the
     largest on, then by position, so the first row of a run is the first occurrence and the count
@@ -49,8 +54,8 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_
     # as an expression, the key is dealt anew for the join, and Spark can then split the runs of common lines
     kept = kept.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", "keeper")
     lost = occ.join(kept, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
-    words = lost.groupBy("doc", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
-    return words.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("dropped")).withColumnRenamed("doc", key)
+    words = lost.groupBy("doc", "text_hash", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    return words.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("dropped")).withColumnRenamed("doc", key)
 
 
 def positions(dropped: Column) -> Column:
@@ -69,10 +74,10 @@ def without_lines(text: Column, dropped: Column) -> Column:
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """df with its text cut by dropped_lines(), and n_lines and n_dropped (long); the cases are defined there.
 
-    Texts are shuffled once, by key, and meet the bitmaps; texts without a bitmap stay as they are but null becomes empty.
+    Texts are shuffled once, by key and hash, and meet the bitmaps; texts without a bitmap stay as they are but null becomes empty.
     """
-    found = dropped_lines(df, key, text, least_chars, least_docs).withColumnsRenamed({key: "__key", "dropped": "__dropped"})
-    both = df.join(found, F.col(key).eqNullSafe(F.col("__key")), "left")
+    found = dropped_lines(df, key, text, least_chars, least_docs).withColumnsRenamed({key: "__key", "text_hash": "__hash", "dropped": "__dropped"})
+    both = df.join(found, F.col(key).eqNullSafe(F.col("__key")) & (text_hash(F.col(text)) == F.col("__hash")), "left")
     n_bits = F.aggregate(F.col("__dropped"), F.lit(0), lambda n, w: n + F.bit_count(w["bits"]))
     both = both.withColumn("n_lines", F.size(lines_of(F.col(text))).cast("long")).withColumn("n_dropped", F.coalesce(n_bits, F.lit(0)).cast("long"))
-    return both.withColumn(text, without_lines(F.col(text), F.col("__dropped"))).drop("__key", "__dropped")
+    return both.withColumn(text, without_lines(F.col(text), F.col("__dropped"))).drop("__key", "__hash", "__dropped")
