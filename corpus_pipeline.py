@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajloom.llm import jaccard, linededup, mixing, packing, quality, tokens
-from trajloom.llm.common import Tables, read_table
+from trajloom.llm.common import WORD, Tables, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the smallest doc_id."""
+    """Of each component of similar documents one row: of the smallest doc_id (null last), then of the smallest text hash.
+
+    Of rows that repeat both, the first by the other columns stays. Rows without a word are components of their own.
+    """
     found, _ = jaccard.similar_documents(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("x")
+    keep = found.filter("component is not null").groupBy("component").agg(least)
+    keep = keep.select(F.coalesce("x.doc_id", F.lit(0)).alias("__id"), F.col("x.null").alias("__null"), F.col("x.text_hash").alias("__hash"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    keyed = docs.filter(worded).withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__null", F.col("doc_id").isNull()).withColumn("__hash", F.xxhash64("text"))
+    by = Window.partitionBy("__id", "__null", "__hash").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text")
+    one = keyed.join(keep, ["__id", "__null", "__hash"], "left_semi").withColumn("__n", F.row_number().over(by)).filter("__n = 1")
+    return one.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

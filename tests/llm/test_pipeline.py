@@ -55,6 +55,21 @@ def test_near_duplicate_stage(stages):
     assert {r["doc_id"] for r in after} == want
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, shared ids and null ids."""
+    a, b = [" ".join(f"{p}{i}" for i in range(60)) for p in "ab"]
+    near = lambda k: f"{a} z{k}"
+    rows = [(3, near(0)), (7, near(1)), (7, "a text that is alone, with the key of another one"), (9, b), (9, b), (9, b)]
+    rows += [(None, " ".join(f"n{i}" for i in range(80)) + f" end{k}") for k in range(20)] + [(None, "a lonely text without a key of its own"), (None, near(2))]
+    rows += [(11, "x y"), (12, "x y"), (13, ""), (14, None)]
+    docs = spark.createDataFrame([(k, t, "s", i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    got = pipeline.near_duplicates(spark, docs.repartition(3), DATA).collect()
+    nulls = [r["text"] for r in got if r["doc_id"] is None]
+    assert sorted((r["doc_id"], r["text"] or "") for r in got if r["doc_id"] is not None) == [(3, near(0)), (7, rows[2][1]), (9, b), (11, "x y"), (13, ""), (14, "")]
+    assert len(nulls) == 2 and rows[26][1] in nulls and any(x.startswith("n0 ") for x in nulls)
+    assert [r["n_chars"] for r in got if r["doc_id"] == 9] == [3]
+
+
 def test_mixing_stage(stages):
     from test_native import water
 

@@ -184,12 +184,12 @@ def repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def documents_and_counts(docs: DataFrame, n: int) -> DataFrame:
-    """id, n, cid of each document; and rows with id, n and cid null: a shingle and in how many distinct sets of a task it is."""
+    """id, text_hash, n, cid of each document (docs: id, text, text_hash); and rows with these null: a shingle and in how many distinct sets of a task it is."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, rows = (np.empty(0, np.uint64), np.empty(0, np.int64)), set(), 0
         new: list[np.ndarray] = []
-        names = ["id", "n", "cid", "shingle", "count"]
+        names = ["id", "text_hash", "n", "cid", "shingle", "count"]
         for batch in slices(batches):
             sizes, ids = [], []
             for t in batch.column(1).to_pylist():
@@ -204,13 +204,13 @@ def documents_and_counts(docs: DataFrame, n: int) -> DataFrame:
                 table = merged(table, repeated(new), 4 * FREQUENT_TASK)
                 new.clear()
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none, none], names=names)
         values, counts = merged(table, repeated(new), FREQUENT_TASK)
         many = counts > max(2, rows // 1000)
         none = pa.nulls(int(many.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(values[many].astype(np.int64)), pa.array(counts[many])], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[many].astype(np.int64)), pa.array(counts[many])], names=names)
 
-    return docs.mapInArrow(scan, "id long, n long, cid long, shingle long, count long")
+    return docs.mapInArrow(scan, "id long, text_hash long, n long, cid long, shingle long, count long")
 
 
 def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
@@ -341,12 +341,13 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
 
 
 def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents, links). documents: key, n_shingles, class_id, component_id for each row of df; links: a, b, verified pairs of sets' numbers.
+    """(documents, links). documents: key, text_hash, component, n_shingles, class_id, component_id for each row of df; links: a, b, verified pairs of sets' numbers.
 
     A document's set is its distinct n-word shingles (words: runs of anything but ASCII white space,
     A-Z lower-cased), all words as one shingle if there are fewer. Documents link if 100 * common >=
     percent * all. component_id is the smallest key reachable by links, the own included; class_id
-    is the smallest key with an equal set. Such copies are one class, found by a 64-bit number of the set, and make no pairs.
+    is the smallest key with an equal set. component is a number of the component, for rows whose key is
+    null or shared too (null without a set); text_hash is xxhash64(text). Such copies are one class, found by a 64-bit number of the set, and make no pairs.
 
     A null or empty text has no set, no class and no links, and is its own class and component. Rows with a null
     key take part like others; the component of such rows alone is null. Rows that repeat or share a
@@ -361,8 +362,8 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     spark: SparkSession = df.sparkSession
     tables = Tables(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    scanned = tables.write(documents_and_counts(docs, n), "documents")
-    rows = scanned.filter("n is not null").select("id", "n", "cid")
+    scanned = tables.write(documents_and_counts(docs.withColumn("text_hash", F.xxhash64("text")), n), "documents")
+    rows = scanned.filter("n is not null").select("id", "text_hash", "n", "cid")
     total = max(1, rows.select("cid").count())
     heavy = scanned.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).filter(F.col("c") > max(8, total // 1000))
     top = heavy.orderBy(F.desc("c"), "shingle").limit(FREQUENT).collect()  # bounded by FREQUENT
@@ -425,10 +426,12 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
 
     tables.remove("shared", "sets", "ranked", "edges", "open")
     least = labels.join(reps.withColumnRenamed("cid", "v"), "v").groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = labels.join(least, "label").select(F.col("v").alias("cid"), "component_id")
-    of = tables.write(reps.join(of, "cid", "left").select("cid", "rep", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    of = labels.join(least, "label").select(F.col("v").alias("cid"), "label", "component_id")
+    known = F.col("label").isNotNull()
+    of = reps.join(of, "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("component"), F.when(known, F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    of = tables.write(of, "components")
     alone = F.col("cid").isNull()
     out = rows.join(of, "cid", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("id").alias(key), "text_hash", "component", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
     return out, links
