@@ -82,6 +82,21 @@ def test_tiles(spark, monkeypatch):
     checked(spark, rows + corpus(3, 60, 40))
 
 
+def test_every_link_by_brute_force(spark, monkeypatch):
+    """A group of near copies has all its links, in small blocks and in tiles; repeats of a text add none."""
+    monkeypatch.setattr(jaccard, "SMALL", 16)
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    same = " ".join(f"t{i}" for i in range(90))
+    rows = [(i, f"{same} end{i}") for i in range(40)] + [(100, f"{same} end0"), (101, "a lonely text of six words"), (102, ""), (None, f"{same} end99")] + [(200 + i, t) for i, t in corpus(8, 90, 60)]
+    sets = {k: s for k, s in ((t, shingle_set(t)) for _, t in rows)}
+    different = sorted(set(sets.values()) - {frozenset()}, key=sorted)
+    alike = lambda a, b: a != b and 100 * len(a & b) >= 80 * len(a | b)
+    degree = {a: sum(alike(a, b) for b in different) for a in different} | {frozenset(): 0}
+    out, links = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every_link=True)
+    assert links.count() == links.distinct().count() == sum(degree.values()) // 2 >= 41 * 40 // 2
+    assert sorted(((r["doc_id"], r["n_links"]) for r in out.collect()), key=str) == sorted(((k, degree[sets[t]]) for k, t in rows), key=str)
+
+
 def test_nulls_ties_and_repeats(spark):
     a, b, c = "a b c d e f g h i j k l m n", "a b c d e f g h i j k l m n o", "b c d e f g h i j k l m n o p"
     checked(spark, [(None, b), (4, a), (9, c), (4, a), (7, None), (8, ""), (3, " \t"), (5, "one two"), (6, "ONE two"), (None, "lonely text of six words here"), (None, "x")])

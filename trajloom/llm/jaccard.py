@@ -316,6 +316,14 @@ def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return m.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
+def mates(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different `own` in one block: all of the small blocks, near ones of the large. members: key, cid, own, n."""
+    few = members.filter(F.col("n") <= SMALL)
+    mate = few.select("key", F.col("cid").alias("mate"), F.col("own").alias("other"))
+    pairs = few.join(mate, "key").filter("cid < mate and own <> other").select(F.col("cid").alias("a"), F.col("mate").alias("b"))
+    return pairs, tiled(members.filter(F.col("n") > SMALL).select("key", "cid", "own", "n"), sets, percent)
+
+
 def components(links: DataFrame, tables: Tables) -> DataFrame:
     """v, label: the smallest node that each linked node reaches. links: a, b.
 
@@ -340,9 +348,13 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
     return tables.write(found, "labels")
 
 
-def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents, links). documents: key, text_hash, component, n_shingles, class_id, component_id for each row of df; links: a, b, verified pairs of sets' numbers.
 
+    Without every_link, links are spanning links: enough to connect each component, not all of it.
+    With it they are all links between different sets, a group of k near copies having up to
+    k(k-1)/2, and documents have n_links (long), the other sets that their set links with.
+
     A document's set is its distinct n-word shingles (words: runs of anything but ASCII white space,
     A-Z lower-cased), all words as one shingle if there are fewer. Documents link if 100 * common >=
     percent * all. component_id is the smallest key reachable by links, the own included; class_id
@@ -410,10 +422,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
                 pairs = at.join(other, "leader", "left").filter("own <> coalesce(other, leader)").select(*ordered("cid", "leader"))
                 near = none
             else:
-                few = at.filter(F.col("n") <= SMALL)
-                mate = few.select("key", F.col("cid").alias("mate"), F.col("own").alias("other"))
-                pairs = few.join(mate, "key").filter("cid < mate and own <> other").select(*ordered("cid", "mate"))
-                near = tiled(at.filter(F.col("n") > SMALL).select("key", "cid", "own", "n"), sets, percent)
+                pairs, near = mates(at, sets, percent)
         pairs = tables.write(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         near = sketched(pairs, sets, percent).unionByName(near).distinct().join(tested, ["a", "b"], "left_anti")
         near = tables.write(near, "near")
@@ -424,6 +433,10 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
         stars = labels.filter("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b"))
         labels = components(found.unionByName(stars), tables)
 
+    if every_link:
+        pairs, near = mates(ranked.withColumn("own", F.col("cid")), sets, percent)
+        near = tables.write(sketched(tables.write(pairs.distinct(), "pairs"), sets, percent).unionByName(near).distinct(), "near")
+        links = tables.write(verified(near, only(sets, near, filter_bits(near.count())), percent), "links")
     tables.remove("shared", "sets", "ranked", "edges", "open")
     least = labels.join(reps.withColumnRenamed("cid", "v"), "v").groupBy("label").agg(F.min("rep").alias("component_id"))
     of = labels.join(least, "label").select(F.col("v").alias("cid"), "label", "component_id")
@@ -432,6 +445,9 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     of = tables.write(of, "components")
     alone = F.col("cid").isNull()
     out = rows.join(of, "cid", "left").select(
-        F.col("id").alias(key), "text_hash", "component", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+        "cid", F.col("id").alias(key), "text_hash", "component", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return out, links
+    if every_link:
+        n_links = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+        out = out.join(n_links, "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    return out.drop("cid"), links
