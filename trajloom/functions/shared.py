@@ -8,8 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where the session sets none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="trajloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir; where it is unset, a folder of the warehouse or, with all tasks in this process as in tests, of our own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        local = sc.master.split("[")[0] == "local"
+        sc.setCheckpointDir(found or (tempfile.mkdtemp(prefix="trajloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trajloom-shared"))
+    return sc.getCheckpointDir()
