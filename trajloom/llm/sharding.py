@@ -95,19 +95,21 @@ def ring_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "
     by their text; repeated rows and equal keys each take a place of their own; an empty table gives
     no rows. Other columns are ignored, so theirs can't clash.
 
-    The rows are shuffled once, by ring cell, without their texts; the cells' counts are added up
-    before they are shuffled. Tables that are broadcast have at most 2**RING_BITS rows.
+    The rows are shuffled without their texts: by all their columns, where rows that repeat are
+    counted before and after, and by ring cell. So a row that a third of the table repeats is one row
+    until the end. Tables that are broadcast have at most 2**RING_BITS rows.
     """
     spark = df.sparkSession
     k, whole = F.col(key), F.coalesce(F.col(text), F.lit(""))
     rows = df.select(k.alias("key"), key_hash(k, whole).alias("h"), (F.octet_length(whole) + 16).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("crc"))
+    rows = rows.groupBy("key", "h", "size", "crc").agg(F.count("*").alias("m"))
     rows = rows.withColumn("cell", F.shiftrightunsigned("h", 64 - RING_BITS).cast("int"))
-    counts = df.select(F.shiftrightunsigned(key_hash(k, whole), 64 - RING_BITS).cast("int").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    cells = ring(spark, n_shards, vnodes).join(counts, "cell", "left").fillna(0, ["n"])
+    cells = ring(spark, n_shards, vnodes).join(rows.groupBy("cell").agg(F.sum("m").alias("n")), "cell", "left").fillna(0, ["n"])
     before = F.sum("n").over(Window.partitionBy("arc").orderBy("pos")) - F.col("n")
     found = cells.select("cell", "arc", F.col("shard").alias("home_shard"), before.alias("before"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("h", "key", "crc", "size")) - 1)
-    ranked = ranked.join(F.broadcast(found), "cell").withColumn("rank", F.col("rank") + F.col("before"))
+    by = Window.partitionBy("cell").orderBy("h", "key", "crc", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("rank", F.sum("m").over(by) - F.col("m")).join(F.broadcast(found), "cell").withColumn("rank", F.col("rank") + F.col("before"))
     place = F.broadcast(pieces(cells, n_shards, slack))
-    placed = ranked.join(place, "arc").filter("rank >= lo and rank < hi")
-    return placed.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "home_shard", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("rank") - F.col("lo")).cast("long").alias("slot"))
+    placed = ranked.join(place, "arc").filter("rank < hi and rank + m > lo")  # equal rows take the ranks from rank to rank + m - 1
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.greatest("rank", "lo"), F.least(F.col("rank") + F.col("m"), F.col("hi")) - 1)))
+    return placed.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "home_shard", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("nth") - F.col("lo")).cast("long").alias("slot"))
