@@ -39,12 +39,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def quotas(target: DataFrame, n_blocks: int | Column, n_shards: int) -> DataFrame:
-    """source, block (tokens, double), quota (long), shard_quotas map<shard int, n long>, for each source with a target.
+    """source, block (tokens, double), quota (long), first (int), shard_quotas map<shard int, n long>, for each source with a target.
 
     Seats go to the highest quotients target/(2k+1), n_blocks in all. Rounding moves the divisor by
     half a seat a source at most, so only the seats between these bounds are ranked, a few for each
     source whatever n_blocks is. A source's seats go to the shards in turn, on from where the source
-    before ended, so every shard gets whole blocks in about the same proportions.
+    before ended (its first seat is of shard `first`), so every shard gets whole blocks in about the same proportions.
     """
     every = Window.partitionBy()
     n = (F.lit(n_blocks) if isinstance(n_blocks, int) else n_blocks).cast("double")
@@ -62,7 +62,7 @@ def quotas(target: DataFrame, n_blocks: int | Column, n_shards: int) -> DataFram
     shard = lambda i: F.struct(i.alias("shard"), F.expr(f"quota div {n_shards}").alias("base"), F.pmod(i - F.col("first"), F.lit(n_shards)).alias("turn"))
     dealt = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), shard)
     dealt = F.transform(dealt, lambda x: F.struct(x["shard"].alias("shard"), (x["base"] + (x["turn"] < F.col("quota") % n_shards).cast("long")).alias("n")))
-    return per.select("source", "block", "quota", F.map_from_entries(F.filter(dealt, lambda x: x["n"] > 0)).alias("shard_quotas"))
+    return per.select("source", "block", "quota", F.col("first").cast("int").alias("first"), F.map_from_entries(F.filter(dealt, lambda x: x["n"] > 0)).alias("shard_quotas"))
 
 
 def mix(
@@ -77,41 +77,58 @@ def mix(
     n_shards: int = 8,
     seed: int = 17,
 ) -> DataFrame:
-    """key, source, text_hash, size, source_size, target, quota, block, copies (int), taken (long): a row for each row of df.
+    """key, source, text_hash, size, source_size, target, quota, block_words, copies (int), taken, blocks array<long>, shards array<int>: a row for each row of df.
 
     Sizes are words (runs of anything but ASCII white space). A source's documents lie end to end in a
-    seeded order, `most` times over, cut into blocks of `block` words; its quota takes the first
-    blocks, and a document is taken as often as its middle lies in them. There are `n_blocks` blocks
-    at least, and more until a block is 1/FINE of the smallest target and of the smallest mean document
-    of a source. So a source misses its target by about half a document, and reruns agree.
+    seeded order, `most` laps over, from a seeded start on, and are cut into blocks of `block_words`
+    words, numbered from there. Its quota takes the first blocks, of which each shard gets its
+    quota. A document is taken once for each of its laps in which its middle lies in a block that is
+    taken: `blocks` and `shards` say in which and where to. A source at its stop gives all blocks.
+    There are `n_blocks` blocks at least, and more until a block is 1/FINE of the smallest target and
+    of the smallest mean document of a source. So a source misses its target by about half a document, and reruns agree.
 
     A null text has no words and is never taken; a null source is a source of its own, after all
-    others; rows that repeat or share a key are documents of their own, in any order where all their
-    columns here are equal; an empty table gives no rows. Other columns are ignored.
+    others; rows that repeat or share a key are documents of their own; an empty table gives no rows.
+    Other columns are ignored.
 
-    One shuffle, by (source, cell of the seeded order) and without texts: a source with a third of all
-    rows lies in thousands of cells. The cells' sums are added up before they are shuffled.
+    Texts are read once and never shuffled: rows without them are, by all their columns, where rows
+    that repeat are counted before and after the shuffle, and then by (source, cell of the seeded
+    order). So neither a source with a third of all rows nor a row as common as that is one task's load.
     """
-    words = n_words(F.col(text))
-    docs = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"), words.alias("size"))
+    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"), n_words(F.col(text)).alias("size"))
+    docs = rows.groupBy("source", "key", "text_hash", "size").agg(F.count("*").alias("rows"))
     docs = docs.withColumn("h", F.xxhash64(F.lit(seed), "key", "text_hash"))
     docs = docs.withColumn("cell", F.pmod(F.shiftright("h", 40), F.lit(CELLS)).cast("int"))
-    cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("n"), F.count_if(F.col("size") > 0).alias("n_docs"))
-    goal = targets(cells.groupBy("source").agg(F.sum("n").alias("source_size"), F.sum("n_docs").alias("n_docs")), weights, share, most)
+    cells = docs.groupBy("source", "cell").agg(F.sum(F.col("size") * F.col("rows")).alias("n"), F.sum(F.when(F.col("size") > 0, F.col("rows")).otherwise(0)).alias("n_docs"))
+    start = F.sum(F.when(F.col("cell") < F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source"), F.lit(CELLS)), F.col("n")).otherwise(0))
+    per_source = cells.groupBy("source").agg(F.sum("n").alias("source_size"), F.sum("n_docs").alias("n_docs"), start.alias("start"))
+    goal = targets(per_source, weights, share, most)
     every = Window.partitionBy()
     finest = F.min(F.when(F.col("target") > 0, F.least(F.col("target"), F.col("source_size") / F.col("n_docs")))).over(every) / FINE
     goal = goal.withColumn("n_blocks", F.greatest(F.lit(n_blocks).cast("double"), F.ceil(F.sum("target").over(every) / finest).cast("double"))).drop("n_docs")
     q = quotas(goal, F.col("n_blocks"), n_shards).drop("shard_quotas")
-    goal = goal.drop("n_blocks")
-    goal = goal.alias("g").join(q.alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left").select("g.*", F.coalesce("q.quota", F.lit(0)).alias("quota"), F.coalesce("q.block", F.lit(0.0)).alias("block"))
+    own = [F.coalesce(f"q.{c}", F.lit(none)).alias(c) for c, none in (("quota", 0), ("block", 0.0), ("first", 0))]
+    goal = goal.drop("n_blocks").alias("g").join(q.alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left").select("g.*", *own)
     starts = cells.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("cell")) - F.col("n")).drop("n", "n_docs")
     starts = starts.alias("c").join(goal.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select("g.*", "c.cell", "c.before")
-    docs = docs.withColumn("at", F.sum("size").over(Window.partitionBy("source", "cell").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
-    out = docs.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.cell") == F.col("s.cell")))
-    at = F.col("d.at") + F.col("s.before")
-    reach = F.col("s.quota") * F.col("s.block")
-    copies = F.when(F.col("d.size") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(most), F.ceil((reach - at) / F.col("s.source_size")))))
+    by = Window.partitionBy("source", "cell").orderBy("h", "key", "text_hash", "size").rowsBetween(Window.unboundedPreceding, 0)
+    docs = docs.withColumn("at", F.sum(F.col("size") * F.col("rows")).over(by) - F.col("size") * F.col("rows"))
+    out = docs.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.cell") == F.col("s.cell"))).drop(F.col("s.source"), F.col("s.cell"))
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    middle = F.pmod(F.col("before") + F.col("at") + F.col("nth") * F.col("size") - F.col("start") + F.col("size") / 2, F.col("source_size").cast("double"))
+    laps = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda lap: F.floor((F.col("middle") + lap * F.col("source_size")) / F.col("block")))
+    held = (F.col("size") > 0) & (F.col("block") > 0)
+    out = out.withColumn("middle", middle).withColumn("blocks", F.when(held, F.filter(laps, lambda b: (b < F.col("quota")) | (F.col("target") >= most * F.col("source_size")))).otherwise(F.array().cast("array<bigint>")))
+    copies = F.size("blocks")
+
+    def shard(block: Column) -> Column:
+        """Each shard's quota is a stretch of the source's blocks, from shard `first` on; the first quota % n_shards have one more."""
+        b = F.least(block, F.col("quota") - 1)
+        each, more = F.expr(f"quota div {n_shards}"), F.col("quota") % n_shards
+        turn = F.when(b < more * (each + 1), F.floor(b / (each + 1))).otherwise(more + F.floor((b - more * (each + 1)) / each))
+        return F.pmod(F.col("first") + turn, F.lit(n_shards)).cast("int")
+
     return out.select(
-        F.col("d.key").alias(key), F.col("d.source").alias(source), "d.text_hash", "d.size", "s.source_size", "s.target", "s.quota", "s.block",
-        copies.cast("int").alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"),
+        F.col("key").alias(key), F.col("source").alias(source), "text_hash", "size", "source_size", "target", "quota", F.col("block").alias("block_words"),
+        copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "blocks", F.transform("blocks", shard).alias("shards"),
     )
