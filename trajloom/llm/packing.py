@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 from .tokens import pieces_of, tokenizer_path
 
 SPECIAL = "<|endoftext|>"
+#: One document of so many is encoded twice, to hold the fast encoder to the library's ids.
+CHECKED = 64
 
 
 class Encoder:
@@ -42,7 +44,12 @@ class Encoder:
         except BaseException as e:  # tiktoken's panics are no Exceptions
             if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
                 raise
+        return self.whole(text)
+
+    def whole(self, text: str) -> list[int]:
+        """The ids as the library gives them."""
         if self.slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
@@ -65,22 +72,35 @@ def cuts(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(df: DataFrame, path: str, key: str, text: str, most: int, end: int) -> DataFrame:
-    """key, piece, start, length, ids_crc32 for each piece of each row of df; null texts are empty and hold the end id alone."""
+    """key, piece, start, length, ids_crc32, deal for each piece of each row of df; null texts are empty and hold the end id alone.
+
+    deal: the piece's number in its task, which tells rows that repeat apart.
+
+    Ids are made by Encoder; of every CHECKED documents of a task one is encoded by `tokenizers` too,
+    and a difference ends the job rather than let a wrong id through.
+    """
+    small_batches(df.sparkSession)
     name = os.path.basename(path)
-    names = [key, "piece", "start", "length", "ids_crc32"]
+    names = [key, "piece", "start", "length", "ids_crc32", "deal"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path if os.path.exists(path) else tokenizer_path(name))
-        for batch in slices(batches):
+        encoder, rows, deal = Encoder(path if os.path.exists(path) else tokenizer_path(name)), 0, 0
+        for batch in slices(batches, 1):
             found = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*encoder.ids(t or ""), end], dtype="<u4")
-                found += [(k, i, start, n, zlib.crc32(ids[start : start + n].tobytes())) for i, (start, n) in enumerate(cuts(len(ids), most))]
-            columns = list(zip(*found, strict=True)) or [[]] * 5
+                ids = encoder.ids(t or "")
+                if rows % CHECKED == 0 and ids != encoder.whole(t or ""):
+                    raise ValueError(f"document {k}: the fast encoder's ids differ from those of tokenizers")
+                rows += 1
+                ids = np.array([*ids, end], dtype="<u4")
+                for i, (start, n) in enumerate(cuts(len(ids), most)):
+                    found.append((k, i, start, n, zlib.crc32(ids[start : start + n].tobytes()), deal))
+                    deal += 1
+            columns = list(zip(*found, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, deal long")
 
 
 def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,35 +132,16 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def best_fit(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length, each in the open bin with the smallest gap that holds it."""
-    has = np.zeros(most + 1, bool)
-    has[most] = True
-    open_bins: list[list[int]] = [[] for _ in range(most + 1)]
-    bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    for i, n in enumerate(map(int, lengths)):
-        g = n + int(np.argmax(has[n:]))
-        if g == most:
-            b, made = made, made + 1
-        else:
-            b = open_bins[g].pop()
-            has[g] = bool(open_bins[g])
-        bins[i], offsets[i] = b, most - g
-        if g > n:
-            open_bins[g - n].append(b)
-            has[g - n] = True
-    return bins, offsets
-
-
 def packed(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """sum_of_squares(), then once more by best fit what lies in bins that it left open, if that takes fewer."""
+    """sum_of_squares(), and again over what lies in bins that it left open, as long as that takes fewer."""
     bins, offsets = sum_of_squares(lengths, most)
-    fill = np.bincount(bins, lengths, minlength=1)
-    loose = fill[bins] < most
-    again, places = best_fit(lengths[loose], most)
-    if len(again) and again.max() + 1 < (fill < most).sum():
+    while True:
+        fill = np.bincount(bins, lengths, minlength=1)
+        loose = fill[bins] < most
+        again, places = sum_of_squares(lengths[loose], most)
+        if not len(again) or again.max() + 1 >= ((fill > 0) & (fill < most)).sum():
+            return bins, offsets
         bins[loose], offsets[loose] = len(fill) + again, places
-    return bins, offsets
 
 
 def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most: int = 1024, end: int = 2, group_docs: int = 20_000) -> DataFrame:
@@ -155,11 +156,12 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most
     documents of their own; null keys are kept; an empty table gives no rows; other columns are ignored.
 
     Only the pieces' lengths and checksums are shuffled, never their ids. Groups are dealt by hash of
-    key, piece and checksum, so neither one document nor one key fills a group; their number grows with the rows.
+    key, piece, checksum and the piece's number in its task, so no document, key or lot of equal rows
+    fills a group; their number grows with the rows.
     """
     pieces = token_pieces(df, path, key, text, most, end)
     groups = max(1, -(-df.count() // group_docs))
-    names = pieces.columns
+    names = [c for c in pieces.columns if c != "deal"]
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", key, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -167,5 +169,5 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most
         return pdf[names].assign(sequence_id=(int(pdf["grp"].iloc[0]) << 32) + bins, offset=offsets)
 
     kind = df.schema[key].dataType.simpleString()
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(key, "piece", "ids_crc32", "deal"), F.lit(groups))).drop("deal")
     return dealt.groupBy("grp").applyInPandas(place, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
