@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, slices
+from .common import Tables, slices, small_batches
 
 #: Odd multipliers that spread bits (fixed values: golden ratio, and two from the MurmurHash3 finalizer).
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -32,8 +32,10 @@ FREQUENT, FREQUENT_TASK = 1 << 16, 20_000
 FILTER_BITS = 1 << 23
 #: Up to so many classes of a block are compared as pairs of ids; larger blocks in tiles of so many sketches a side.
 SMALL, TILE = 64, 1024
-#: Hashes that a task holds, as whole sets, before it counts them (16 MB).
-HELD = 1 << 21
+#: Hashes that a task holds, as whole sets, before it counts them (8 MB).
+HELD = 1 << 20
+#: Numbers of sets that a task remembers so as not to give them again; it then forgets them all, and gives some twice.
+SEEN = 1 << 16
 #: What the filter takes for a null key.
 NO_KEY = -(1 << 63)
 
@@ -64,6 +66,33 @@ def class_id(h: np.ndarray) -> int:
     return int((mix(h ^ GOLDEN).sum(dtype=np.uint64) + np.uint64(len(h))).astype(np.int64))
 
 
+def second_id(h: np.ndarray) -> int:
+    """Another such number, independent of the first: sets are held for equal only if both agree, that is, in 128 bits."""
+    return int((mix((h ^ MIX_B) * GOLDEN).sum(dtype=np.uint64) ^ np.uint64(len(h))).astype(np.int64))
+
+
+def number(h: np.ndarray, shared: frozenset[int]) -> int:
+    """The set's number: class_id(), or, where different sets share that, second_id()."""
+    c = class_id(h)
+    return second_id(h) if c in shared else c
+
+
+class Seen:
+    """Remembers numbers, a bounded lot of them."""
+
+    def __init__(self):
+        self.known: set[int] = set()
+
+    def first(self, c: int) -> bool:
+        """Whether c is new, as far as is remembered."""
+        if c in self.known:
+            return False
+        if len(self.known) >= SEEN:
+            self.known.clear()
+        self.known.add(c)
+        return True
+
+
 def most_apart(total: int, percent: int) -> int:
     """The largest symmetric difference of two sets of `total` elements together that have the similarity."""
     return total * (100 - percent) // (100 + percent)
@@ -184,46 +213,45 @@ def repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def documents_and_counts(docs: DataFrame, n: int) -> DataFrame:
-    """id, text_hash, n, cid of each document (docs: id, text, text_hash); and rows with these null: a shingle and in how many distinct sets of a task it is."""
+    """id, text_hash, n, cid, cid2 of each document (docs: id, text, text_hash); and rows with these null: a shingle and in how many distinct sets of a task it is."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, rows = (np.empty(0, np.uint64), np.empty(0, np.int64)), set(), 0
+        table, seen, rows = (np.empty(0, np.uint64), np.empty(0, np.int64)), Seen(), 0
         new: list[np.ndarray] = []
-        names = ["id", "text_hash", "n", "cid", "shingle", "count"]
-        for batch in slices(batches):
-            sizes, ids = [], []
+        names = ["id", "text_hash", "n", "cid", "cid2", "shingle", "count"]
+        for batch in slices(batches, 1):
+            sizes, ids, others = [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t, n)
                 sizes.append(len(h))
                 ids.append(class_id(h) if len(h) else None)
-                if len(h) and ids[-1] not in seen:
-                    seen.add(ids[-1])
+                others.append(second_id(h) if len(h) else None)
+                if len(h) and seen.first(ids[-1]):
                     new.append(h)
                     rows += 1
             if sum(map(len, new)) > HELD:
                 table = merged(table, repeated(new), 4 * FREQUENT_TASK)
                 new.clear()
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(others, pa.int64()), none, none], names=names)
         values, counts = merged(table, repeated(new), FREQUENT_TASK)
         many = counts > max(2, rows // 1000)
         none = pa.nulls(int(many.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[many].astype(np.int64)), pa.array(counts[many])], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(values[many].astype(np.int64)), pa.array(counts[many])], names=names)
 
-    return docs.mapInArrow(scan, "id long, text_hash long, n long, cid long, shingle long, count long")
+    return docs.mapInArrow(scan, "id long, text_hash long, n long, cid long, cid2 long, shingle long, count long")
 
 
-def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, place: np.ndarray) -> DataFrame:
-    """key, cid: the block keys of each class, once for each task that meets it."""
+def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, place: np.ndarray, shared: frozenset[int]) -> DataFrame:
+    """key, cid: the block keys of each class, once or more for each task that meets it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
-        for batch in slices(batches):
+        bands, seen = Bands(percent), Seen()
+        for batch in slices(batches, 1):
             keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for t in batch.column(1).to_pylist():
                 h = shingles(t, n)
-                if len(h) and (c := class_id(h)) not in seen:
-                    seen.add(c)
+                if len(h) and seen.first(c := number(h, shared)):
                     k = block_keys(h, ranks(h, frequent, place), bands)
                     keys.append(k)
                     ids.append(np.full(len(k), c))
@@ -232,20 +260,19 @@ def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, place: np
     return docs.mapInArrow(scan, "key long, cid long")
 
 
-def fetched(docs: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
-    """cid, size, sketch, tokens of the classes that the filter lets through, once for each task that meets one."""
+def fetched(docs: DataFrame, n: int, bits: np.ndarray, shared: frozenset[int]) -> DataFrame:
+    """cid, size, sketch, tokens of the classes that the filter lets through, once or more for each task that meets one."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches):
+        seen = Seen()
+        for batch in slices(batches, 1):
             out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = xxhash.xxh64_intdigest(struct.pack("<q", NO_KEY if i is None else i), 42) % FILTER_BITS
                 if not bits[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
                     continue
                 h = shingles(t, n)
-                if len(h) and (c := class_id(h)) not in seen:
-                    seen.add(c)
+                if len(h) and seen.first(c := number(h, shared)):
                     out.append((c, len(h), parity_bits(h, sketch_words(len(h))), h.view(np.int64)))
             for k in range(0, len(out), 256):
                 c, m, s, h = zip(*out[k : k + 256], strict=True)
@@ -324,6 +351,11 @@ def mates(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     return pairs, tiled(members.filter(F.col("n") > SMALL).select("key", "cid", "own", "n"), sets, percent)
 
 
+def again(name: str) -> Column:
+    """The long column as an expression: a join then deals its rows anew, so that Spark can split a hot key's (a star's centre, a large class)."""
+    return F.col(name).bitwiseXOR(F.lit(0)).alias(name)
+
+
 def components(links: DataFrame, tables: Tables) -> DataFrame:
     """v, label: the smallest node that each linked node reaches. links: a, b.
 
@@ -334,10 +366,10 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(again("u"), F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(again("u"), "m")
+        small = large.select(again("u"), "v").join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         edges = tables.write(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -359,7 +391,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     A-Z lower-cased), all words as one shingle if there are fewer. Documents link if 100 * common >=
     percent * all. component_id is the smallest key reachable by links, the own included; class_id
     is the smallest key with an equal set. component is a number of the component, for rows whose key is
-    null or shared too (null without a set); text_hash is xxhash64(text). Such copies are one class, found by a 64-bit number of the set, and make no pairs.
+    null or shared too (null without a set); text_hash is xxhash64(text). Such copies are one class, found by two 64-bit numbers of the set, and make no pairs.
 
     A null or empty text has no set, no class and no links, and is its own class and component. Rows with a null
     key take part like others; the component of such rows alone is null. Rows that repeat or share a
@@ -372,11 +404,17 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     shuffled; sets are, of classes that share a block with another.
     """
     spark: SparkSession = df.sparkSession
+    small_batches(spark)
     tables = Tables(spark)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     scanned = tables.write(documents_and_counts(docs.withColumn("text_hash", F.xxhash64("text")), n), "documents")
-    rows = scanned.filter("n is not null").select("id", "text_hash", "n", "cid")
+    rows = scanned.filter("n is not null").select("id", "text_hash", "n", "cid", "cid2")
     total = max(1, rows.select("cid").count())
+    # different sets that share a 64-bit number: total**2 / 2**65 are expected, 300 of 10**11
+    twice = rows.groupBy("cid").agg(F.min("cid2").alias("lo"), F.max("cid2").alias("hi")).filter("lo < hi").select("cid").collect()
+    same = frozenset(r["cid"] for r in twice)
+    rows = rows.withColumn("cid", F.when(F.col("cid").isin(*same), F.col("cid2")).otherwise(F.col("cid"))) if same else rows
+    rows = rows.drop("cid2")
     heavy = scanned.filter("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("c")).filter(F.col("c") > max(8, total // 1000))
     top = heavy.orderBy(F.desc("c"), "shingle").limit(FREQUENT).collect()  # bounded by FREQUENT
     hashes = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
@@ -384,7 +422,7 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     frequent, place = hashes[order], (len(top) - order).astype(np.int64)  # the more frequent, the later
 
     by_key = Window.partitionBy("key")
-    blocks = keyed(docs, n, percent, frequent, place)
+    blocks = keyed(docs, n, percent, frequent, place, same)
     blocks = blocks.withColumn("lo", F.min("cid").over(by_key)).withColumn("hi", F.max("cid").over(by_key)).filter("lo < hi").select("key", "cid").distinct()
     shared = tables.write(blocks, "shared")
     reps = rows.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"))
@@ -396,11 +434,11 @@ def similar_documents(df: DataFrame, key: str = "doc_id", text: str = "text", n:
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     for r in marks:
         bits[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
-    sets = tables.write(fetched(docs, n, bits), "sets")
+    sets = tables.write(fetched(docs, n, bits, same), "sets")
 
     # of each block the most connected class leads; of its blocks' leaders a class is first compared with the most connected one
-    pop = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("cid").agg(F.sum("n").alias("pop"))
-    lead = shared.join(pop, "cid").groupBy("key").agg(F.max(F.struct("pop", "cid")).alias("lead"), F.count("*").alias("n"))
+    pop = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("cid").agg(F.sum("n").alias("pop")).select(again("cid"), "pop")
+    lead = shared.join(pop, "cid").groupBy("key").agg(F.max(F.struct("pop", "cid")).alias("lead"), F.count("*").alias("n")).select(again("key"), "lead", "n")
     ranked = tables.write(shared.join(lead, "key").select("key", "cid", F.col("lead.pop").alias("pop"), F.col("lead.cid").alias("leader"), "n"), "ranked")
 
     none = spark.createDataFrame([], "a long, b long")
