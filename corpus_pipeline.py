@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate join, mixing, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate join, mixing, packing.
+
+Stages take any table with the columns doc_id, text and source, and all but the last return its
+columns and no more, whatever they are called; an empty table gives an empty table. n_chars, if
+there is one, follows the text.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,13 @@ from trajloom.llm.common import WORD, Tables, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without their failed lines."""
+    """Documents that pass, without their failed lines. A null text is empty and fails; repeated rows are judged alike."""
     return with_chars(quality.clean(docs), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without long lines that at least five of them hold, but in the last one."""
-    return with_chars(linededup.dedup_lines(docs), docs)
+    """All documents, without long lines that at least five of them hold, but in the last one. A null text becomes empty."""
+    return with_chars(linededup.cut_lines(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +41,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows that repeat a document are all taken as often as one of them most."""
+    """Documents as often as the mix takes them; rows that repeat a document are all taken as often as one of them most.
+
+    A null source is a source of its own; texts without a word have no tokens and aren't taken.
+    """
     taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
     both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in sequences."""
+    """Pieces of at most 1024 tokens and their places in sequences; a null or empty text is one piece of one token."""
     return packing.pack(docs, tokens.tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -59,13 +59,69 @@ def test_likeness_of_next_and_of_equal_texts(spark):
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.sets(st.integers(1 - (1 << 63), (1 << 63) - 1) | st.integers(0, 5000), min_size=1, max_size=60))
-def test_successors(spark, ids):
-    got = {r["id"]: r["next"] for r in fingerprint.successors(spark.createDataFrame([(i,) for i in ids], "id long")).collect()}
-    order = sorted(ids)
+@given(st.sets(st.integers(-(1 << 63), (1 << 63) - 1) | st.integers(0, 5000), min_size=1, max_size=60), st.booleans())
+def test_successors(spark, ids, with_none):
+    order = [(False, 0)] * with_none + sorted((True, i) for i in ids)
+    got = {(r["real"], r["id"]): tuple(r["next"]) for r in fingerprint.successors(spark.createDataFrame(order[::-1], "real boolean, id long")).collect()}
     assert got == dict(zip(order, [*order[1:], order[0]], strict=True))
 
 
+def brute_tree(text):
+    """The tree as nested lists, by loops over lines and words."""
+    import hashlib
+    import re
+    import zlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    space, other = "[ \t\n\x0b\f\r]", "[^ \t\n\x0b\f\r]"
+
+    def phrases(line):
+        words = re.findall(f"{space}*{other}{{1,64}}{space}*|{space}+", line)
+        if len(line) < 64:
+            return words
+        out, now = [], []
+        for w in words:
+            if len(now) == 4:
+                out.append("".join(now))
+                now = []
+            now.append(w)
+            if zlib.crc32(w.strip(" ").encode()) % 8 == 0:
+                out.append("".join(now))
+                now = []
+        return out + ["".join(now)] * bool(now)
+
+    sections = []
+    ended = True
+    for line in text.split("\n"):
+        if ended or line == "" or line.startswith("#"):
+            sections.append([])
+        d = sha(line)
+        sections[-1].append((d, "".join(sha(p)[:8] for p in phrases(line))))
+        ended = d.startswith("0")
+    tops = [(sha("".join(d for d, _ in s)), s) for s in sections]
+    return sha("".join(d for d, _ in tops)) + ":" + ";".join(",".join([d[:16], *(p[:16] + q for p, q in s)]) for d, s in tops)
+
+
+def test_trees_by_brute_force(spark, docs):
+    words = [f"w{i * i % 97}" for i in range(3000)]
+    texts = [r["text"] or "" for r in docs.collect()] + [" ".join(words[:900]), "\n".join(" ".join(words[i : i + 30]) for i in range(0, 3000, 30)), "go " * 500, "x" * 100_000, ("word " * 20_000).strip(), "# a\n\n# b\n" * 30]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprint.fingerprint(F.col("t")).alias("f")).collect():
+        assert r["f"] == brute_tree(r["t"])
+
+
+def test_an_insertion_leaves_the_rest_alike(spark):
+    words = [f"word{i * 7919 % 1009}" for i in range(400)]
+    a, b = " ".join(words), " ".join([*words[:20], "one", "more", *words[20:]])
+    df = spark.createDataFrame([(a, b)], "a string, b string").select(*(fingerprint.fingerprint(F.col(c)).alias(c) for c in "ab"))
+    assert fingerprint.likeness(df, "a", "b", "n").first()["n"] > 0.9
+
+
+def test_keys_at_the_ends_of_their_range(spark):
+    rows = [(-(1 << 63), "abcdefgh"), (None, "ijklmnop"), ((1 << 63) - 1, "qrstuvwx")]
+    out = {r["doc_id"]: r["edited"] for r in fingerprint.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {None: "ijklmnab", -(1 << 63): "abcdefqr", (1 << 63) - 1: "qrstuvij"}
+
+
 # ---- line dedup
 
 
@@ -145,6 +201,43 @@ def test_null_keys_are_spread_and_few_keys_move(spark):
     assert max(r["count"] for r in loose) <= 330
 
 
+def ring_by_hand(rows, cells, n_shards):
+    """(key, crc) to shards, walking the ring twice: each shard takes its own keys first, then what it is handed on."""
+    total, arcs = len(rows), defaultdict(list)
+    most = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+    where = {c["cell"]: c for c in cells}
+    shard_of = {c["arc"]: c["shard"] for c in cells}
+    for r in sorted(rows, key=lambda r: (where[r["cell"]]["arc"], where[r["cell"]]["pos"], r["h"], r["doc_id"] is not None, r["doc_id"] or 0, r["crc"], r["size"])):
+        arcs[where[r["cell"]]["arc"]].append(r)
+    out, held, left = [], [0] * n_shards, defaultdict(list)
+    for arc in sorted(shard_of):
+        s = shard_of[arc]
+        stay = max(0, min(len(arcs[arc]), most[s] - held[s]))
+        out += [(r["doc_id"], r["crc"], s) for r in arcs[arc][:stay]]
+        left[arc], held[s] = arcs[arc][stay:], held[s] + stay
+    carried = []
+    for arc in [*sorted(shard_of)] * 2:
+        carried += left.pop(arc, [])
+        s = shard_of[arc]
+        take = min(len(carried), most[s] - held[s])
+        out += [(r["doc_id"], r["crc"], s) for r in carried[:take]]
+        carried, held[s] = carried[take:], held[s] + take
+    assert not carried
+    return out
+
+
+def test_placement_by_brute_force(spark, docs):
+    many = spark.range(700).select(F.when(F.col("id") % 5 > 0, F.col("id") * 977 % 401).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 50).cast("string")).alias("text"))
+    same = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a row that repeats").alias("text"))
+    for df, n in ((docs.select("doc_id", "text"), 4), (many.unionByName(same), 7)):
+        text = F.coalesce("text", F.lit(""))
+        keyed = df.withColumn("h", sharding.key_hash(F.col("doc_id"), text)).withColumn("crc", F.crc32(text.cast("binary"))).withColumn("size", F.octet_length(text) + 16)
+        rows = keyed.withColumn("cell", F.shiftrightunsigned("h", 64 - sharding.RING_BITS).cast("int")).collect()
+        want = ring_by_hand(rows, sharding.ring(spark, n, 64).collect(), n)
+        got = [(r["doc_id"], r["text_crc32"], r["shard"]) for r in sharding.ring_shards(df, n).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # ---- chats
 
 
@@ -203,6 +296,7 @@ def test_mix_by_brute_force(spark):
         taken[r["source"]] += r["taken"]
         assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - want[r["source"]]) < 1e-6
         assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
+        assert len(r["blocks"]) == len(r["shards"]) == r["copies"] and all(b < r["quota"] or r["target"] >= 2 * r["source_size"] for b in r["blocks"])
     assert len(got) == len(rows)
     assert all(abs(taken[s] - want[s]) <= 20 for s in sizes)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, target string").repartition(7), n_blocks=2000).collect()))
@@ -260,6 +354,25 @@ def test_mix_takes_a_source_of_a_hundred_thousandth(spark):
     assert all(abs(taken[s] - t) <= 10_000 for s, t in target.items())
 
 
+def test_shards_get_their_quotas(spark):
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 10).alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
+    rows = mixing.mix(df, n_shards=8).select("source", "block_words", "quota", F.explode(F.arrays_zip("blocks", "shards")).alias("x")).collect()
+    words, shard_of = defaultdict(int), {}
+    for r in rows:
+        words[r["source"], r["x"]["shards"]] += 10
+        assert shard_of.setdefault((r["source"], r["x"]["blocks"]), r["x"]["shards"]) == r["x"]["shards"]
+    for (source, _), n in words.items():
+        quota = next(r["quota"] * r["block_words"] for r in rows if r["source"] == source) / 8
+        assert abs(n - quota) < 0.1 * quota
+
+
+def test_rows_that_repeat_are_mixed_alike(spark):
+    rows = [(1, "a b c d", "s")] * 600 + [(i, "a b c d", "s") for i in range(2, 100)] + [(i, "x y z", "t") for i in range(200, 230)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = taken_and_targets(out)
+    assert len(out) == len(rows) and all(abs(taken[s] - t) <= 4 for s, t in target.items())
+
+
 def test_mix_of_more_sources_than_blocks(spark):
     df = spark.range(18_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 10).alias("text"), F.concat(F.lit("s"), (F.col("id") % 9000).cast("string")).alias("source"))
     taken, target = taken_and_targets(mixing.mix(df).collect())

@@ -70,6 +70,22 @@ def test_one_row_of_each_group_stays(spark):
     assert [r["n_chars"] for r in got if r["doc_id"] == 9] == [3]
 
 
+@pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES], ids=[n for n, _ in pipeline.STAGES])
+def test_stages_take_odd_rows_and_names(spark, stage):
+    """Null, empty, very long and repeated texts, null keys and sources, and columns whose names the operators use too."""
+    prose = " ".join(f"word{i * 31 % 997}" for i in range(70)) + "."
+    rows = [(None, None, None), (None, "", None), (1, prose, "a"), (1, prose, "a"), (2, "long " * 40_000 + ".", None), (3, prose.upper(), "a"), (3, "other " + prose, None)]
+    names = "quality long, n_lines long, n_dropped long, component long, copies long, size long, word long, keep long, h1 long, real boolean"
+    docs = spark.createDataFrame([(*r, *range(9), True) for r in rows], f"doc_id long, text string, source string, {names}")
+    out = stage(spark, docs, DATA)
+    got = out.collect()
+    if stage is not pipeline.best_fit_packing:
+        assert out.columns == docs.columns and all(r["n_lines"] == 1 and r["size"] == 5 and r["quality"] == 0 for r in got)
+    else:
+        assert sum(r["start"] == 0 for r in got) == len(rows)
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_mixing_stage(stages):
     from test_native import water
 

@@ -48,9 +48,15 @@ def test_clean_removes_failed_lines(spark):
     assert out == {1: text + "\n", 3: text}
 
 
+def test_clean_adds_no_column(spark):
+    text = " ".join(f"w{i}" for i in range(60)) + "."
+    df = spark.createDataFrame([(7, text, 1.5, None), (8, None, 2.5, [1])], "quality long, text string, cleaned double, kept array<int>")
+    assert [tuple(r) for r in quality.clean(df).collect()] == [(7, text, 1.5, None)]
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the driver's tables")
 def test_agrees_with_labels(spark):
-    d = quality.judge(spark.read.parquet(f"{DATA}/documents.parquet"), cleaned=False).join(spark.read.parquet(f"{DATA}/labels.parquet").withColumnRenamed("quality", "good"), "doc_id")
+    d = quality.judge(spark.read.parquet(f"{DATA}/documents.parquet")).join(spark.read.parquet(f"{DATA}/labels.parquet").withColumnRenamed("quality", "good"), "doc_id")
     rows = d.filter("not quality.base_failed").select("good", "quality.kept").collect()
     assert sum(r["kept"] == bool(r["good"]) for r in rows) >= 0.98 * len(rows)
     assert all(r["kept"] for r in rows if r["good"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,18 +28,45 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-def slices(batches: Iterator[pa.RecordBatch] | Iterator[pa.Array], rows: int = 500) -> Iterator[pa.RecordBatch] | Iterator[pa.Array]:
-    """Short runs of the batches' rows, so that a Python worker holds few of them as objects at a time."""
+#: Rows and bytes of an Arrow batch that goes to a Python worker, at most.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, so that a worker and its JVM hold a few MB of texts at a time, however long these are.
+
+    A session that asks for smaller ones keeps them.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(name)).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def slices(batches: Iterator[pa.RecordBatch] | Iterator[pa.Array], column: int = 0, rows: int = BATCH_ROWS, size: int = 1 << 20) -> Iterator[pa.RecordBatch] | Iterator[pa.Array]:
+    """Short runs of the batches' rows, so that a Python worker holds few of them as objects at a time.
+
+    A run has at most `rows` rows, and of the strings in `column` at most `size` bytes, or one row.
+    """
     for batch in batches:
-        yield from (batch.slice(k, rows) for k in range(0, len(batch), rows))
+        texts = batch if isinstance(batch, pa.Array) else batch.column(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k = 0
+        while k < len(batch):
+            stop = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right"))
+            stop = min(max(stop, k + 1), k + rows)
+            yield batch.slice(k, stop - k)
+            k = stop
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a folder of the warehouse or, on one machine, of our own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trajloom-"))
+        local = sc.master.split("[")[0] == "local"
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trajloom-") if local else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "trajloom-shared"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, slices
+from .common import SPACE, slices, small_batches
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = frozenset(b.encode() for b in ("|", "||", ">", ">>", "/", "»", "›", "·", "•", "::"))
@@ -108,33 +108,44 @@ def judged(text: str, rules: Rules) -> tuple:
     return len(words), word_chars, sum(map(text.count, SYMBOLS)), dup, repeat, base, kept, failed, lost, "\n".join(stay)
 
 
-FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_failed_lines", pa.int64()), ("lost_chars", pa.int64()), ("cleaned", pa.string())]
-SCHEMA = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean,kept:boolean,n_failed_lines:bigint,lost_chars:bigint,cleaned:string>"
+FIELDS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_failed_lines", pa.int64()), ("lost_chars", pa.int64())]
+SCHEMA = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,base_failed:boolean,kept:boolean,n_failed_lines:bigint,lost_chars:bigint>"
 
 
-def judge(df: DataFrame, text: str = "text", rules: Rules = Rules(), cleaned: bool = True) -> DataFrame:  # noqa: B008
-    """df with a struct column `quality`: the counts, the verdict `kept` and, unless cleaned=False, the text without its failed lines.
+def judge(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """df with a struct column `quality`: the counts and the verdict `kept`.
 
     A null text counts as empty: it has no words, so it fails. Lines without a word never fail and
     stay. Rows are judged one by one and none is dropped here; repeated rows get equal verdicts; a
     column named quality is replaced; an empty table gives an empty table.
     """
+    small_batches(df.sparkSession)
     kinds = pa.struct(FIELDS)
 
     @F.arrow_udf(SCHEMA)
     def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            parts = [pa.array([], kinds)]
-            for some in slices([batch]):
-                rows = [judged(t or "", rules) for t in some.to_pylist()]
-                columns = [pa.array([r[i] for r in rows] if cleaned or n != "cleaned" else [None] * len(rows), k) for i, (n, k) in enumerate(FIELDS)]
-                parts.append(pa.StructArray.from_arrays(columns, fields=list(kinds)))
-            yield pa.concat_arrays(parts)
+            rows = [judged(t or "", rules)[:-1] for some in slices([batch]) for t in some.to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, FIELDS, strict=True)], fields=list(kinds))
 
     return df.withColumn("quality", verdicts(F.col(text)))
 
 
 def clean(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """The documents that pass, with their failed lines taken out of the text; the cases are those of judge()."""
-    kept = judge(df, text, rules).filter("quality.kept")
-    return kept.withColumn(text, F.col("quality.cleaned")).drop("quality")
+    """The documents that pass, with their failed lines taken out of the text; the cases are those of judge().
+
+    No column is added, so none can clash. Rejected documents' texts don't come back from the workers.
+    """
+    small_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, at):
+            found = [judged(t or "", rules) for t in some.column(at).to_pylist()]
+            keep = [r[6] for r in found]
+            columns = some.filter(pa.array(keep, pa.bool_())).columns
+            columns[at] = pa.array([r[-1] for r in found if r[6]], some.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=some.schema)
+
+    return df.mapInArrow(passed, df.schema)
