@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +64,22 @@ def slices(batches: Iterator[pa.RecordBatch] | Iterator[pa.Array], column: int =
             k = stop
 
 
+def lean(scan: Callable) -> Callable:
+    """The function of batches, after which the Python worker gives its free memory back: idle workers stay, and count as their executor's."""
+
+    @functools.wraps(scan)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from scan(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; where that is unset, a folder of the warehouse or, on one machine, of our own."""
     sc = spark.sparkContext

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, slices, small_batches
+from .common import Tables, lean, slices, small_batches
 
 #: Odd multipliers that spread bits (fixed values: golden ratio, and two from the MurmurHash3 finalizer).
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -239,7 +239,7 @@ def documents_and_counts(docs: DataFrame, n: int) -> DataFrame:
         none = pa.nulls(int(many.sum()), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(values[many].astype(np.int64)), pa.array(counts[many])], names=names)
 
-    return docs.mapInArrow(scan, "id long, text_hash long, n long, cid long, cid2 long, shingle long, count long")
+    return docs.mapInArrow(lean(scan), "id long, text_hash long, n long, cid long, cid2 long, shingle long, count long")
 
 
 def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, place: np.ndarray, shared: frozenset[int]) -> DataFrame:
@@ -257,7 +257,7 @@ def keyed(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, place: np
                     ids.append(np.full(len(k), c))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "cid"])
 
-    return docs.mapInArrow(scan, "key long, cid long")
+    return docs.mapInArrow(lean(scan), "key long, cid long")
 
 
 def fetched(docs: DataFrame, n: int, bits: np.ndarray, shared: frozenset[int]) -> DataFrame:
@@ -278,7 +278,7 @@ def fetched(docs: DataFrame, n: int, bits: np.ndarray, shared: frozenset[int]) -
                 c, m, s, h = zip(*out[k : k + 256], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(h, pa.list_(pa.int64()))], names=["cid", "size", "sketch", "tokens"])
 
-    return docs.mapInArrow(scan, "cid long, size long, sketch array<long>, tokens array<long>")
+    return docs.mapInArrow(lean(scan), "cid long, size long, sketch array<long>, tokens array<long>")
 
 
 def sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -8,12 +8,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import lean, slices, small_batches
 from .tokens import pieces_of, tokenizer_path
 
 SPECIAL = "<|endoftext|>"
@@ -100,7 +99,7 @@ def token_pieces(df: DataFrame, path: str, key: str, text: str, most: int, end:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, deal long")
+    return df.select(key, text).mapInArrow(lean(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, deal long")
 
 
 def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,11 +162,12 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most
     groups = max(1, -(-df.count() // group_docs))
     names = [c for c in pieces.columns if c != "deal"]
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", key, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = packed(pdf["length"].to_numpy(), most)
-        return pdf[names].assign(sequence_id=(int(pdf["grp"].iloc[0]) << 32) + bins, offset=offsets)
+    def place(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), (key, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = packed(t["length"].to_numpy(), most)
+        ids = (t["grp"][0].as_py() << 32) + bins
+        return t.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
     kind = df.schema[key].dataType.simpleString()
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(key, "piece", "ids_crc32", "deal"), F.lit(groups))).drop("deal")
-    return dealt.groupBy("grp").applyInPandas(place, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("grp").applyInArrow(place, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

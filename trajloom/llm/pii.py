@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm import Tagger, char_ids
-from .common import slices, small_batches
+from .common import lean, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -278,6 +278,7 @@ def find_personal_data(df: DataFrame, text: str = "text", tagger: Tagger | None
     schema = "struct<" + ",".join(f"{n}:{'string' if k == pa.string() else 'bigint'}" for n, k in FIELDS) + ">"
 
     @F.arrow_udf(schema)
+    @lean
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []

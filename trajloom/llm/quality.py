@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, slices, small_batches
+from .common import SPACE, lean, slices, small_batches
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = frozenset(b.encode() for b in ("|", "||", ">", ">>", "/", "»", "›", "·", "•", "::"))
@@ -123,6 +123,7 @@ def judge(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFram
     kinds = pa.struct(FIELDS)
 
     @F.arrow_udf(SCHEMA)
+    @lean
     def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = [judged(t or "", rules)[:-1] for some in slices([batch]) for t in some.to_pylist()]
@@ -148,4 +149,4 @@ def clean(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFram
             columns[at] = pa.array([r[-1] for r in found if r[6]], some.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=some.schema)
 
-    return df.mapInArrow(passed, df.schema)
+    return df.mapInArrow(lean(passed), df.schema)

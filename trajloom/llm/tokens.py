@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import lean, slices, small_batches
 
 #: A single blank between two letters or digits: a pre-token always ends before it, on either side's own terms.
 SAFE = re.compile(r"(?<=[^\W_])\x20(?=[^\W_])")
@@ -96,6 +96,7 @@ def token_count(text: Column, path: str, batch_bytes: int = 1 << 18, piece_chars
     name = os.path.basename(path)
 
     @F.arrow_udf("long")
+    @lean
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter(path if os.path.exists(path) else tokenizer_path(name))
         for texts in batches:
