@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trajloom.functions.json_udf import all_texts, canonical_json, flat_text
+from trajloom.functions import variants
+from trajloom.functions.json_udf import all_texts, canonical_json
 from trajloom.functions.shared import ensure_checkpoint_dir
 from trajloom.operators import audit, convert_bulk, convert_session, manifest, memory, render, strip
 from trajloom.operators.events import as_events, empty_events
@@ -159,9 +160,11 @@ def test_session_events(spark):
 
 
 def fifo(stream):
-    """Parallel calls one by one: a queue of calls, results kept until their call is at its head."""
+    """Parallel calls one by one: a queue of calls, results kept until their call is at its head; a result without an id is the head's."""
     out, queue, held = [], [], {}
     for p, kind, i in stream:
+        if kind == "result" and i == "" and queue:
+            i = queue[0][1]
         if kind == "action":
             queue.append((p, i))
         elif any(i == q for _, q in queue):
@@ -178,13 +181,14 @@ def test_parallel_calls(spark):
     rng, rows, want = random.Random(8), [], {}
     for s in range(40):
         calls = [("action", str(i)) for i in range(rng.randint(0, 5))]
-        stream = calls + [("result", i) for _, i in calls if rng.random() < 0.8] + ([("result", "no")] if rng.random() < 0.3 else [])
+        stream = calls + [("result", i if rng.random() < 0.8 else "") for _, i in calls if rng.random() < 0.8] + ([("result", "no")] if rng.random() < 0.3 else [])
         rng.shuffle(stream)
         numbered = [(p, k, i) for p, (k, i) in enumerate(stream, 1)]
         want[s] = fifo(numbered)
         rows += [(s, 0, p, k, i) for p, k, i in numbered]
     got: dict = {s: [] for s in want}
-    for r in convert_session.emission_order(spark.createDataFrame(rows, "session int, seg int, p long, kind string, id string")).orderBy("session", "k1", "k2", "k3", "k4").collect():
+    calls = convert_session.attached(spark.createDataFrame(rows, "session int, seg int, p long, kind string, id string"))
+    for r in convert_session.emission_order(calls).orderBy("session", "k1", "k2", "k3", "k4").collect():
         got[r["session"]].append(r["p"])
     assert got == want
 
@@ -222,7 +226,19 @@ def test_json_functions(spark):
     assert [r[0] for r in df.select(canonical_json(F.col("j"))).collect()] == ['{"a":"x\\ny","b":1.0,"é":[1e-07,null]}', None, None]
     one = spark.createDataFrame([('{"a": {"b": "c"}, "s": "d"}', '[{"type": "text", "text": "x"}, "y", {"content": [{"text": "z"}]}]')], "j string, k string")
     assert one.select(all_texts(F.col("j"), ("s",))).first()[0] == ["__KEY__:a", "__KEY__:b", "c"]
-    assert one.select(flat_text(F.col("k"))).first()[0] == "x\ny\nz"
+    assert one.select(variants.flat_text(F.parse_json("k"))).first()[0] == 'x\n"y"\n{"text": "z"}'
+
+
+def test_text_of_contents(spark):
+    """Literal cases: only blocks of type text give their text; other items of lists are JSON, strings among them."""
+    cases = {
+        '["a", null, {"type":"x","text":"t","content":"c"}, 5, ["n"]]': '"a"\nnull\nc\n5\n["n"]', '"plain"': "plain", "null": "", "[]": "", '{"b":1,"a":"x, y: z"}': '{"a": "x, y: z", "b": 1}',
+        '[{"type":"text","text":"t"},{"content":[{"type":"text","text":"u"},{"content":null}]},{"type":"image","b":1,"a":[1,2]}]': 't\nu\n\n{"a": [1, 2], "b": 1, "type": "image"}', "true": "True", "7": "7", '[{"type":"text"}]': "",
+    }
+    df = spark.createDataFrame(list(cases.items()), "j string, want string")
+    assert [r for r in df.select("j", "want", variants.flat_text(F.parse_json("j")).alias("got")).collect() if r["got"] != r["want"]] == []
+    assert df.limit(1).select(variants.without_keys(F.parse_json(F.lit('{"description":"d","b":[1],"a":null}')), "description")).first()[0] == '{"a":null,"b":[1]}'
+    assert df.limit(1).select(variants.detail(F.parse_json(F.lit('{"b":"é","a":1}')))).first()[0] == '{"a": 1, "b": "é"}'
 
 
 def test_readers_and_sinks(spark, tmp_path):

@@ -108,24 +108,33 @@ def _one_line(c: Column) -> Column:
     return text.strip(F.regexp_replace(text.strip(F.regexp_replace(c, rf"(?U){text.SPACE}+", " ")), r"(?i)\A(?:cd\s+\S+\s*&&\s*)+", ""))
 
 
-def is_git_state(command: Column, policy: str = "strip") -> Column:
+def _alone(command: Column, policy: str, pattern: str) -> Column:
+    """Whether a command of one line fits the pattern."""
     c = text.strip(text.scrub(command) if policy == "strip" else text.normalize(command))
-    return ~c.contains("\n") & _one_line(c).rlike(rules.GIT_STATE)
+    return text.let(c, lambda x: F.when(x.contains("\n"), F.lit(False)).otherwise(_one_line(x).rlike(pattern)))
+
+
+def is_git_state(command: Column, policy: str = "strip") -> Column:
+    return _alone(command, policy, rules.GIT_STATE)
 
 
 def is_probe(command: Column, policy: str = "strip") -> Column:
-    c = text.strip(text.scrub(command) if policy == "strip" else text.normalize(command))
-    return ~c.contains("\n") & _one_line(c).rlike(rules.PROBE)
+    return _alone(command, policy, rules.PROBE)
 
 
 def command_class(command: Column, policy: str = "strip") -> Column:
     """strip: submission_artifact, harness, patch_dump_or_staging, diagnostic_environment_noise, then as memory:
     destructive, test, build_install, setup, diagnostic, other. The memory policy calls artifacts other and noise diagnostic.
     """
-    c = text.strip(text.normalize(command))
+    return text.let(text.strip(text.normalize(command)), lambda c: _class_of(c, policy))
+
+
+def _class_of(c: Column, policy: str) -> Column:
+    """The class of a normalised command."""
     low = F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
     artifact = holds_any(low, rules.ARTIFACT_TEXT) | low.rlike(rules.ARTIFACT[policy])
-    noise = is_git_state(c, policy) | is_probe(c, policy)
+    clean = text.strip(text.scrub(c)) if policy == "strip" else c
+    noise = text.let(clean, lambda x: F.when(x.contains("\n"), F.lit(False)).otherwise(text.let(_one_line(x), lambda y: y.rlike(rules.GIT_STATE) | y.rlike(rules.PROBE))))
     tail = [("destructive", c.rlike(rules.DESTRUCTIVE)), ("test", c.rlike(rules.TEST[policy])), ("build_install", c.rlike(rules.BUILD_INSTALL[policy])), ("setup", c.rlike(rules.SETUP)), ("diagnostic", c.rlike(rules.DIAGNOSTIC))]
     if policy == "memory":
         return chain([("other", artifact), ("diagnostic", noise), *tail], "other")
@@ -144,21 +153,25 @@ def is_patch_payload(command: Column) -> Column:
 
 
 def is_missing_path(c: Column) -> Column:
-    low = F.lower(text.strip(text.normalize(c)))
-    return low.isin(*rules.MISSING_ALONE) | holds_any(low, rules.MISSING_TEXT) | (low.contains("no such file or directory") & holds_any(low, rules.MISSING_PROGRAMS))
+    gone = lambda low: low.isin(*rules.MISSING_ALONE) | holds_any(low, rules.MISSING_TEXT) | (low.contains("no such file or directory") & holds_any(low, rules.MISSING_PROGRAMS))
+    return text.let(F.lower(text.strip(text.normalize(c))), gone)
 
 
 def is_setup_failure(c: Column) -> Column:
-    low = F.lower(text.normalize(c))
-    return any_of([reduce(lambda a, b: a & b, [low.contains(t) for t in tokens]) for tokens in rules.SETUP_FAILURES])
+    return text.let(F.lower(text.normalize(c)), lambda low: any_of([reduce(lambda a, b: a & b, [low.contains(t) for t in tokens]) for tokens in rules.SETUP_FAILURES]))
 
 
 def is_listing(c: Column) -> Column:
     """Only a listing of the workspace's own files: few lines, and none that looks like a repository's."""
-    lines = F.filter(F.transform(F.split(text.normalize(c), "\n"), text.strip), lambda x: x != "")
-    joined = F.lower(F.array_join(lines, "\n"))
-    alone = (F.size(lines) <= 3) & joined.isin(*rules.LISTING_ALONE)
-    return (F.size(lines) == 0) | alone | ((F.size(lines) <= 20) & holds_any(joined, rules.LISTING_TOKENS) & ~joined.rlike(rules.REPOSITORY_WORDS))
+
+    def listing(lines: Column) -> Column:
+        def of(joined: Column) -> Column:
+            alone = (F.size(lines) <= 3) & joined.isin(*rules.LISTING_ALONE)
+            return alone | ((F.size(lines) <= 20) & holds_any(joined, rules.LISTING_TOKENS) & ~joined.rlike(rules.REPOSITORY_WORDS))
+
+        return (F.size(lines) == 0) | text.let(F.lower(F.array_join(lines, "\n")), of)
+
+    return text.let(F.filter(F.transform(F.split(text.normalize(c), "\n"), text.strip), lambda x: x != ""), listing)
 
 
 def is_noise(c: Column, policy: str = "strip") -> Column:

@@ -10,6 +10,15 @@ from . import rules
 #: White space as Unicode and ASCII separators know it, without and with the line feed.
 BLANK = r"[\s\x1c-\x1f\x85&&[^\n]]"
 SPACE = r"[\s\x1c-\x1f\x85]"
+#: The same of ASCII texts, a class that is matched by table.
+ASCII_BLANK = r"[ \t\x0b\f\r\x1c-\x1f]"
+#: Every text that scrub() changes, but for white space, has one of these in it.
+TRACES = "(?i)```diff|diff --git|index\\s|---|\\+\\+\\+|@@|<system-reminder>|" + rules.HARNESS_LINE.removeprefix("(?i)")
+
+
+def let(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -19,7 +28,13 @@ def strip(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Null to '', CR LF and CR to LF, no white space at line ends."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"), rf"(?U)(?<!{BLANK}){BLANK}++(?=\n|\z)", "")
+
+    def ends(t: Column) -> Column:
+        plain = F.regexp_replace(t, rf"(?<!{ASCII_BLANK}){ASCII_BLANK}++(?=\n|\z)", "")
+        return F.when(F.char_length(t) == F.octet_length(t), plain).otherwise(F.regexp_replace(t, rf"(?U)(?<!{BLANK}){BLANK}++(?=\n|\z)", ""))
+
+    feeds = let(F.coalesce(c, F.lit("")), lambda t: F.when(t.contains("\r"), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t))
+    return let(feeds, ends)
 
 
 def normalize_whole(c: Column) -> Column:
@@ -39,22 +54,41 @@ def without_diffs(c: Column) -> Column:
     A unified diff begins at a header line and goes on over headers, empty lines and lines that
     start with a blank, tab, plus, minus or backslash: one match of a regular expression, however long.
     """
-    text = F.concat(F.lit("\n"), normalize(F.regexp_replace(normalize(c), rules.DIFF_FENCE, "\n")))
-    return normalize(F.substr(F.regexp_replace(text, rules.DIFF_REGION, ""), F.lit(2)))
+    return let(normalize(c), _no_diffs)
 
 
 def without_reminders(c: Column) -> Column:
-    return normalize(F.regexp_replace(normalize(c), rules.REMINDER, "\n"))
+    return let(normalize(c), _no_reminders)
+
+
+def _no_diffs(t: Column) -> Column:
+    """without_diffs() of a normalised text; what a text doesn't hold isn't searched for."""
+    fences = F.when(t.rlike("(?i)```diff"), normalize(F.regexp_replace(t, rules.DIFF_FENCE, "\n"))).otherwise(t)
+    cut = lambda x: normalize(F.substr(F.regexp_replace(F.concat(F.lit("\n"), x), rules.DIFF_REGION, ""), F.lit(2)))
+    return let(fences, lambda x: F.when(x.rlike(r"(?i)diff --git|index\s|---|\+\+\+|@@"), cut(x)).otherwise(x))
+
+
+def _no_reminders(t: Column) -> Column:
+    return F.when(t.rlike("(?i)<system-reminder>"), normalize(F.regexp_replace(t, rules.REMINDER, "\n"))).otherwise(t)
 
 
 def scrub(c: Column) -> Column:
-    """Remove diffs, system reminders and harness lines."""
-    return normalize(without_lines(without_reminders(without_diffs(c)), rules.HARNESS_LINE))
+    """Remove diffs, system reminders and harness lines. Most texts have no trace of these and are normalised only."""
+
+    def whole(t: Column) -> Column:
+        return let(let(_no_diffs(t), _no_reminders), lambda x: without_lines(x, rules.HARNESS_LINE))
+
+    return let(normalize(c), lambda t: F.when(t.rlike(TRACES), whole(t)).otherwise(t))
+
+
+def may_scrub(json: Column) -> Column:
+    """Whether scrubbing the strings of a JSON text could change one: a trace, a blank at a line's end, an escape or a character beyond ASCII."""
+    return json.rlike(TRACES) | json.rlike(r'\\[rftu]|\s(?:\\n|")|[^\x00-\x7F]')
 
 
 def forbidden(c: Column) -> Column:
-    """Whether a token is found that must never reach an agent."""
-    return normalize(c).rlike(rules.HARD_FORBIDDEN)
+    """Whether a token is found that must never reach an agent. White space doesn't matter to the tokens, nor line ends; null has none."""
+    return F.coalesce(c, F.lit("")).rlike(rules.HARD_FORBIDDEN)
 
 
 def truncate(c: Column, most: int) -> Column:

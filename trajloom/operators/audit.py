@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..functions.json_udf import approx_tokens
+from ..functions.json_udf import all_texts, approx_tokens
 
 
 def most_common(df: DataFrame, column: str, k: int | None = None, order: str | None = None) -> DataFrame:
@@ -73,17 +73,20 @@ def repeats(df: DataFrame, *keys: str, order: Sequence[str]) -> DataFrame:
 
 
 def forbidden_hits(df: DataFrame, key: str, column: str, patterns: Sequence[tuple[str, str]] = rules.PROMPT_FORBIDDEN, excerpt: int = 240) -> DataFrame:
-    """key, pattern, line (from 1), excerpt: of each pattern the first line it is found in.
+    """key, pattern, line (from 1), excerpt: for each row and pattern the first line it is found in.
 
-    Texts without a hit are dropped before they are cut into lines.
+    A pattern is looked for in the whole text first, and only texts that have it are cut into lines
+    for it. Nothing is shuffled: rows that share a key give rows of their own.
     """
-    any_ = F.col(column).rlike("|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for _, p in patterns).replace("(?:^|", "(?:(?m:^)|").replace("|$)", "|(?m:$))"))
-    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(n)) for n, p in patterns)))
-    rows = df.filter(any_).select(key, F.posexplode(F.split(column, "\n")).alias("pos", "text"))
-    hits = rows.select(key, "pos", "text", F.explode(found).alias("pattern"))
-    first = hits.groupBy(key, "pattern").agg(F.min(F.struct("pos", "text")).alias("x"))
-    line = text.strip(F.col("x.text"))
-    return first.select(key, "pattern", (F.col("x.pos") + 1).alias("line"), F.when(F.char_length(line) > excerpt, F.concat(F.left(line, F.lit(excerpt)), F.lit("..."))).otherwise(line).alias("excerpt"))
+    lines = F.split(column, "\n")
+
+    def first(name: str, pattern: str) -> Column:
+        hits = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(pattern), F.struct(F.lit(name).alias("pattern"), (i + 1).alias("line"), text.strip(line).alias("at")))), lambda x: x.isNotNull())
+        return F.when(F.col(column).rlike("(?m)" + pattern), F.get(hits, F.lit(0)))
+
+    rows = df.select(key, F.explode(F.array_compact(F.array(*(first(n, p) for n, p in patterns)))).alias("x"))
+    at = F.col("x.at")
+    return rows.select(key, "x.pattern", "x.line", F.when(F.char_length(at) > excerpt, F.concat(F.left(at, F.lit(excerpt)), F.lit("..."))).otherwise(at).alias("excerpt"))
 
 
 def leak_hits(texts: DataFrame, key: str, values: str, patterns: Sequence[tuple[str, str]]) -> DataFrame:
@@ -93,13 +96,62 @@ def leak_hits(texts: DataFrame, key: str, values: str, patterns: Sequence[tuple[
     return t.select(key, F.explode(found).alias("pattern")).groupBy(key, "pattern").agg(F.count("*").alias("n"))
 
 
-def prompt_checks(prompts: DataFrame, marker: str = "CURRENT_ISSUE", forbidden: Sequence[str] = ("FAIL_TO_PASS", "PASS_TO_PASS", "diff --git", "<system-reminder>")) -> DataFrame:
-    """run_id, problem: hash that doesn't fit, missing marker or instance id, forbidden strings."""
+def leaks(records: DataFrame, key: str, json: str) -> DataFrame:
+    """key, pattern: which leak patterns the strings and keys of a JSON record hold, without what is under renderer, quality and strip_metadata.
+
+    Strings and keys (as __KEY__:key) are searched together, in one text of lines.
+    """
+    found = records.select(key, F.array_join(all_texts(F.col(json), rules.LEAK_SKIPPED), "\n").alias("__all"))
+    return found.select(key, F.explode(F.array_compact(F.array(*(F.when(F.col("__all").rlike("(?im)" + p), F.lit(n)) for n, p in rules.LEAKS)))).alias("pattern"))
+
+
+def prompt_checks(prompts: DataFrame, forbidden: Sequence[str] = rules.PROMPT_LITERALS) -> DataFrame:
+    """run_id, problem: no prompt, a hash that doesn't fit, no marker of the condition, no instance id, forbidden strings."""
     p = F.col("prompt")
+    marker = F.concat(F.lit("Condition: "), F.col("condition"))
     problems = [F.when(p.isNull(), "no prompt"), F.when(text.sha(p) != F.col("prompt_sha256"), "hash differs"), F.when(~p.contains(marker), "no marker"), F.when(~p.contains(F.col("target_instance_id")), "no instance id"), *(F.when(p.contains(f), f"forbidden: {f}") for f in forbidden)]
     return prompts.select("run_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
 
 
+def counted(df: DataFrame, name: str, value: Column, k: int | None = None) -> DataFrame:
+    """name, value (as text, null for none), n: by count, then value."""
+    out = df.groupBy(value.cast("string").alias("value")).agg(F.count("*").alias("n"))
+    out = out.orderBy(F.desc("n"), F.col("value").asc_nulls_last()).limit(k) if k else out
+    return out.select(F.lit(name).alias("name"), "value", "n")
+
+
+def raw_histograms(bulk: DataFrame) -> DataFrame:
+    """name, value, n: resolved, exit_status (the ten most common) and role, nulls counted."""
+    roles = bulk.select(F.explode("trajectory").alias("m"))
+    return counted(bulk, "resolved", F.col("resolved")).unionByName(counted(bulk, "exit_status", F.col("exit_status"), 10)).unionByName(counted(roles, "role", F.col("m.role")))
+
+
+#: What a converted trajectory must have to be valid.
+CONVERTED = "struct<schema_version:string,id:string,content:array<variant>,details:map<string,string>>"
+
+
+def converted_audit(lines: DataFrame, column: str = "value") -> DataFrame:
+    """name, value, n over lines of converted trajectories: rows, validation_errors, classes, api_functions (20), resolved, repos (how many).
+
+    A line is valid if it is an object with an id, an array of items that are objects with a class_,
+    and details that are an object. Invalid ones only count as rows and errors.
+    """
+    v = F.try_parse_json(column)
+    items = F.try_variant_get("__v", "$.content", "array<variant>")
+    object_ = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
+    cls = lambda x: F.try_variant_get(x, "$.class_", "string")
+    good = object_(F.col("__v")) & F.try_variant_get("__v", "$.id", "string").isNotNull() & items.isNotNull() & object_(F.try_variant_get("__v", "$.details", "variant"))
+    good = good & F.coalesce(F.forall(items, lambda x: object_(x) & cls(x).isNotNull()), F.lit(False))
+    t = lines.filter(F.col(column).rlike(r"\S")).select(v.alias("__v")).withColumn("good", good)
+    ok = t.filter("good")
+    item = ok.select(F.explode(items).alias("x"))
+    of = lambda k: F.coalesce(F.try_variant_get("__v", f"$.details.{k}", "string"), F.lit(""))
+    one = lambda name, df: df.select(F.lit(name).alias("name"), F.lit(None).cast("string").alias("value"), F.col("n"))
+    out = one("rows", t.agg(F.count("*").alias("n"))).unionByName(one("validation_errors", t.agg(F.count_if(~F.col("good")).alias("n"))))
+    out = out.unionByName(counted(item, "classes", cls(F.col("x")))).unionByName(counted(item.filter(cls(F.col("x")) == "api_action"), "api_functions", F.coalesce(F.try_variant_get("x", "$.function", "string"), F.lit("unknown")), 20))
+    return out.unionByName(counted(ok, "resolved", of("resolved"))).unionByName(one("repos", ok.agg(F.count_distinct(of("repo")).alias("n"))))
+
+
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either table that the other lacks, counted: side ('left' or 'right') and the row."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..functions.json_udf import flat_text
+from ..functions import text, variants
 from .events import as_events
 
 
@@ -69,18 +69,14 @@ def linear(records: DataFrame, use_parent_chain: bool = True) -> DataFrame:
 def blocks(messages: DataFrame) -> DataFrame:
     """One row per content block: session, p (place), lineno, role, uuid, parent, block_index, type, text, id, tool, input, error, normal (a user message without results)."""
     role = F.coalesce(get("$.message.role"), get("$.type"))
-    content = get("$.message.content", "variant")
-    kind = F.schema_of_variant(content)
-    wrapped = F.concat(F.lit('[{"type":"text","text":'), F.to_json(content), F.lit("}]"))
-    listed = F.when(content.isNull() | (kind == "VOID"), F.lit("[]")).when(kind.startswith("ARRAY"), F.to_json(content)).when(kind.startswith("OBJECT"), F.concat(F.lit("["), F.to_json(content), F.lit("]"))).otherwise(wrapped)
-    m = messages.select("session", "pos", "lineno", role.alias("role"), get("$.uuid").alias("uuid"), get("$.parentUuid").alias("parent"), F.expr("1").alias("one"), listed.alias("listed"))
-    m = m.withColumn("items", F.expr("try_variant_get(parse_json(listed), '$', 'array<variant>')"))
+    items = variants.blocks(get("$.message.content", "variant"))
+    m = messages.select("session", "pos", "lineno", role.alias("role"), get("$.uuid").alias("uuid"), get("$.parentUuid").alias("parent"), items.alias("items"))
     v = lambda path, kind="string": F.try_variant_get(F.col("b"), path, kind)
     b = m.select("session", "pos", "lineno", "role", "uuid", "parent", F.posexplode_outer("items").alias("block_index", "b"))
     type_ = v("$.type")
-    raw = F.when(type_ == "text", F.to_json(v("$.text", "variant"))).when(type_ == "thinking", F.to_json(v("$.thinking", "variant"))).when(type_ == "tool_result", F.to_json(v("$.content", "variant"))).when(type_ != "tool_use", F.to_json("b"))
+    raw = F.when(type_ == "text", v("$.text", "variant")).when(type_ == "thinking", v("$.thinking", "variant")).when(type_ == "tool_result", v("$.content", "variant")).when(type_ != "tool_use", F.col("b"))
     b = b.select(
-        "session", "pos", "lineno", "role", "uuid", "parent", "block_index", type_.alias("type"), F.coalesce(flat_text(raw), F.lit("")).alias("text"), F.coalesce(v("$.id"), v("$.tool_use_id"), F.lit("")).alias("id"),
+        "session", "pos", "lineno", "role", "uuid", "parent", "block_index", type_.alias("type"), variants.flat_text(raw).alias("text"), F.coalesce(v("$.id"), v("$.tool_use_id"), F.lit("")).alias("id"),
         v("$.name").alias("tool"), F.to_json(v("$.input", "variant")).alias("input"), F.coalesce(v("$.is_error", "boolean"), F.lit(False)).alias("error"),
     )
     has = F.max((F.coalesce("type", F.lit("")) == "tool_result").cast("int")).over(Window.partitionBy("session", "pos"))
@@ -88,6 +84,32 @@ def blocks(messages: DataFrame) -> DataFrame:
     return b.withColumn("p", F.row_number().over(Window.partitionBy("session").orderBy("pos", "block_index")).cast("long"))
 
 
+def attached(calls: DataFrame) -> DataFrame:
+    """calls, in which a result without an id has the id of the call it goes to: the first that still waits when it comes, if any does.
+
+    Which call that is depends on all results before, so a segment with such a result is walked
+    through in order, one call or result at a time; other segments aren't touched.
+    """
+    odd = calls.filter("kind = 'result' and id = ''").select("session", "seg").distinct()
+
+    def walk(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("p").to_pylist()
+        waiting: list[str] = []
+        answered: set[str] = set()
+        for r in rows:
+            if r["kind"] == "action":
+                waiting.append(r["id"])
+            elif waiting:
+                r["id"] = r["id"] or waiting[0]
+                answered |= {r["id"]} & set(waiting)
+            while waiting and waiting[0] in answered:
+                answered.discard(waiting.pop(0))
+        return pa.Table.from_pylist(rows, t.schema)
+
+    fixed = calls.join(odd, ["session", "seg"], "left_semi").groupBy("session", "seg").applyInArrow(walk, calls.schema)
+    return calls.join(odd, ["session", "seg"], "left_anti").unionByName(fixed)
+
+
 def emission_order(calls: DataFrame) -> DataFrame:
     """Where actions and results of parallel tool calls go: adds k1, k2, k3, k4 to sort by, and paired.
 
@@ -137,7 +159,7 @@ def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: boo
     if keep_parallel_order:
         order = tools.select("session", "p", F.col("p").alias("k1"), F.lit(1).alias("k2"), F.col("p").alias("k3"), F.lit(0).alias("k4"))
     else:
-        order = emission_order(tools.select("session", "seg", "p", "kind", "id")).select("session", "p", "k1", "k2", "k3", "k4")
+        order = emission_order(attached(tools.select("session", "seg", "p", "kind", "id"))).select("session", "p", "k1", "k2", "k3", "k4")
     names = tools.filter("kind = 'action' and id <> ''").groupBy("session", "id").agg(F.max_by("tool", "p").alias("caller"))
     t = tools.join(order, ["session", "p"]).join(names, ["session", "id"], "left").join(pend.select("session", "grp", "visible", "reasoning"), ["session", "grp"], "left")
     name = F.concat(F.coalesce("caller", F.lit("tool")), F.when(F.col("id") != "", F.concat(F.lit(":"), F.col("id"))).otherwise(""), F.when(F.col("error"), ":error").otherwise(""))
@@ -145,12 +167,13 @@ def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: boo
     obj = F.when(F.coalesce("input", F.lit("null")).isin("null", '""', "[]", "0", "false"), F.lit("{}")).when(F.col("input").startswith("{"), F.col("input")).otherwise(F.concat(F.lit('{"input":'), F.col("input"), F.lit("}")))
     bash = act & (F.col("tool") == "Bash")
     own = F.get_json_object(obj, "$.description")
+    rest = F.when(own.isNotNull(), variants.without_keys(F.parse_json(obj), "description")).otherwise(obj)
     fn = F.lower("tool") if lowercase_functions else F.col("tool")
     t = t.select(
         "session", "seg", "k1", "k2", "k3", "k4",
         F.when(bash, "code_action").when(act, "api_action").otherwise("text_observation").alias("class_"), F.when(~act, "environment").alias("source"), F.when(~act, name).alias("name"),
         F.when(bash, F.coalesce(F.get_json_object(obj, "$.command"), F.lit(""))).when(~act, F.col("text")).alias("content"), F.when(bash, "bash").alias("language"), F.when(act & ~bash, fn).alias("function"),
-        F.when(act & ~bash, obj).alias("kwargs_json"), F.when(act, text.compact(F.array(F.coalesce("visible", F.lit("")), F.coalesce(own, F.lit(""))))).alias("description"), F.when(act, F.col("reasoning")).alias("reasoning_content"), prov(F.col("type")).alias("provenance"),
+        F.when(act & ~bash, rest).alias("kwargs_json"), F.when(act, text.compact(F.array(F.coalesce("visible", F.lit("")), F.coalesce(own, F.lit(""))))).alias("description"), F.when(act, F.col("reasoning")).alias("reasoning_content"), prov(F.col("type")).alias("provenance"),
     )
     users = b.filter((F.col("role") == "user") & (F.col("type") != "tool_result"))
     users = users.select("session", "seg", F.col("p").alias("k1"), F.lit(1).alias("k2"), F.col("p").alias("k3"), F.lit(0).alias("k4"), F.lit("text_observation").alias("class_"), F.lit("user").alias("source"), F.lit("user").alias("name"), F.col("text").alias("content"), prov(F.lit("text")).alias("provenance"))

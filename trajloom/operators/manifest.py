@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import shared, text
 from .render import CONDITIONS
 
 #: Columns a run row must have (fixed values).
@@ -30,7 +30,8 @@ def pairs(relationship: DataFrame, experience: DataFrame, related: DataFrame, in
 
     relationship rows with both ends known and an entry in index (prior_instance_id unique), without
     repeats; one_per_target: of a target's priors the first by id. The end tables prune the pairs by
-    semi joins before anything wide is joined; of repeated related rows the last (by columns) counts.
+    semi joins before anything wide is joined; of repeated related rows the last counts: by the column
+    `row`, if there is one (see readers.lines), else by place in the table as it is read.
     """
     rel = need_columns(relationship, "experience_instance_id", "related_instance_id").select("experience_instance_id", "related_instance_id")
     rel = rel.join(experience.select(F.col("instance_id").alias("experience_instance_id")), "experience_instance_id", "left_semi")
@@ -38,8 +39,9 @@ def pairs(relationship: DataFrame, experience: DataFrame, related: DataFrame, in
     rel = rel.join(index.select(F.col("prior_instance_id").alias("experience_instance_id")), "experience_instance_id", "left_semi").distinct()
     if one_per_target:
         rel = rel.groupBy("related_instance_id").agg(F.min("experience_instance_id").alias("experience_instance_id"))
-    own = [c for c in related.columns if c != "instance_id"]
-    target = related.groupBy(F.col("instance_id").alias("related_instance_id")).agg(F.max(F.struct(*own)).alias("t")).select("related_instance_id", *(F.col(f"t.{c}").alias(f"target_{c}") for c in own))
+    own = [c for c in related.columns if c not in ("instance_id", "row")]
+    place = F.col("row") if "row" in related.columns else F.monotonically_increasing_id()
+    target = related.withColumn("__row", place).groupBy(F.col("instance_id").alias("related_instance_id")).agg(F.max_by(F.struct(*own), "__row").alias("t")).select("related_instance_id", *(F.col(f"t.{c}").alias(f"target_{c}") for c in own))
     prior = unique(index, "prior_instance_id").withColumnRenamed("prior_instance_id", "experience_instance_id")
     return rel.join(target, "related_instance_id").join(prior, "experience_instance_id")
 
@@ -99,7 +101,7 @@ def ordered_plan(rows: DataFrame, conditions: tuple[str, ...] = CONDITIONS, smok
     if smoke_target is not None:
         p = p.filter(F.col("target_instance_id") == smoke_target)
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, conditions)), F.col("condition")), F.lit(0)), F.lit(999))
-    p = p.withColumn("plan_index", F.row_number().over(Window.orderBy("target_instance_id", place, "run_id")) - 1)
+    p = shared.numbered(p, "plan_index", F.col("target_instance_id"), place, F.col("run_id"))
     return p.filter(F.col("plan_index") < most) if most is not None else p
 
 

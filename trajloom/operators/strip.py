@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, rules, text
+from ..functions import classify, json_udf, rules, shared, text
 from .events import argument, in_order, with_previous_action
 
 
@@ -28,7 +28,7 @@ class StripConfig:
 def decide_alone(events: DataFrame, cfg: StripConfig) -> DataFrame:
     """Add reason, path, path_class and command_class: what each event says by itself.
 
-    A reason starts with keep. or drop. and is the first that holds.
+    A reason starts with keep. or drop. and is the first that holds. __clean, the scrubbed content, stays for decide().
     """
     cls, fn = F.col("class_"), F.coalesce("function", F.lit(""))
     e = events.withColumns({"path": classify.primary_path(fn, argument("file_path"), argument("path"), argument("notebook_path")), "__clean": text.scrub(F.col("content"))})
@@ -64,7 +64,7 @@ def decide_alone(events: DataFrame, cfg: StripConfig) -> DataFrame:
         ("keep.code_action", cls == "code_action"),
     ]
     e = e.withColumn("__seen", F.when(bash, seen))
-    return e.withColumn("reason", classify.chain(table, "keep.unknown_item_class")).drop("__seen", "__clean")
+    return e.withColumn("reason", classify.chain(table, "keep.unknown_item_class")).drop("__seen")
 
 
 def decide(events: DataFrame, cfg: StripConfig = StripConfig()) -> DataFrame:  # noqa: B008
@@ -80,7 +80,7 @@ def decide(events: DataFrame, cfg: StripConfig = StripConfig()) -> DataFrame:  #
         [
             ("drop.observation_after_dropped_action", env & F.col("prev_reason").startswith("drop.")),
             ("drop.edit_tool_result_snippet", env & (F.col("prev_class_") == "api_action") & F.col("prev_function").isin(*rules.EDIT_TOOLS)),
-            ("drop.environment_observation_noise", env & classify.is_noise(text.scrub(F.col("content")))),
+            ("drop.environment_observation_noise", env & classify.is_noise(F.col("__clean"))),
         ],
         None,
     )
@@ -94,7 +94,7 @@ def decide(events: DataFrame, cfg: StripConfig = StripConfig()) -> DataFrame:  #
     keep = F.col("__now").startswith("keep.")
     e = e.withColumn("decision", F.when(keep, "keep").otherwise("drop")).withColumn("reason_codes", codes)
     e = e.withColumn("new_idx", F.when(keep, F.sum(keep.cast("int")).over(in_order()) - 1))
-    return e.drop("__over", "__now", "reason", "prev_idx", "prev_reason", "prev_class_", "prev_function")
+    return e.drop("__clean", "__over", "__now", "reason", "prev_idx", "prev_reason", "prev_class_", "prev_function")
 
 
 def stripped(decisions: DataFrame, cfg: StripConfig = StripConfig()) -> DataFrame:  # noqa: B008
@@ -103,6 +103,8 @@ def stripped(decisions: DataFrame, cfg: StripConfig = StripConfig()) -> DataFram
     action = F.col("class_").isin("api_action", "code_action", "message_action")
     columns = {c: F.when(F.col(c).isNotNull(), text.scrub(F.col(c))) for c in ("content", "name")}
     columns["description"] = F.when(action & F.lit(cfg.drop_action_descriptions), F.lit(None).cast("string")).otherwise(F.when(F.col("description").isNotNull(), text.scrub(F.col("description"))))
+    # most arguments hold nothing to remove; the others' strings are scrubbed at every depth, keys left alone
+    columns["kwargs_json"] = F.coalesce(json_udf.scrub_values(F.when(text.may_scrub(F.col("kwargs_json")), F.col("kwargs_json"))), F.col("kwargs_json"))
     if not cfg.keep_reasoning_content:
         columns["reasoning_content"] = F.lit(None).cast("string")
     return kept.withColumns(columns).drop("decision", "reason_codes", "new_idx", "path", "path_class", "command_class")
@@ -145,4 +147,4 @@ def first_user_prompt(events: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Add record_index, from 1 in the given order of whole records (their number, not their items)."""
-    return df.withColumn("record_index", F.row_number().over(Window.orderBy(*order)))
+    return shared.numbered(df, "record_index", *order, start=1)

@@ -12,6 +12,23 @@ def parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
+def expanded(spark: SparkSession, *patterns: str) -> list[str]:
+    """Paths that the patterns match, sorted within each; a pattern that matches nothing stands for itself, so that reading it says what is missing."""
+    jvm, out = spark.sparkContext._jvm, []
+    for p in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        out += sorted(f.getPath().toString() for f in found or []) or [p]
+    return out
+
+
+def predictions(spark: SparkSession, root: str, name: str = "prediction.json") -> DataFrame:
+    """folder, pred VARIANT of each file of that name below a folder; null where it isn't a JSON object."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+    v = F.try_parse_json("value")
+    return raw.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("pred"))
+
+
 def files_under(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """path, length, modified of files below a folder; their contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
@@ -41,7 +58,7 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl*", whole_files: b
 
     whole_files: each file is one row while it is split, right for logs of up to some hundred MB and
     for a lone CR as line end. Without, files are read line by line and may be of any size;
-    their lines are numbered in a window over the file, which orders by place in the file's splits.
+    their lines are numbered split by split, and the splits' counts added up, so no task holds a file.
     """
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     if whole_files:
@@ -49,7 +66,10 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl*", whole_files: b
         split = text.select("src_file", F.posexplode(F.split(F.regexp_replace("value", r"(\r\n?|\n)\z", ""), r"\r\n?|\n")).alias("pos", "value"))
         return split.select("src_file", (F.col("pos") + 1).alias("lineno"), "value")
     text = reader.text(path).select(F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("k"), "value")
-    return text.select("src_file", F.row_number().over(Window.partitionBy("src_file").orderBy("start", "k")).alias("lineno"), "value")
+    sizes = text.groupBy("src_file", "start").agg(F.count("*").alias("n"))  # a row for each split
+    before = sizes.select("src_file", "start", (F.sum("n").over(Window.partitionBy("src_file").orderBy("start")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("src_file", "start").orderBy("k"))
+    return text.withColumn("nth", nth).join(before, ["src_file", "start"]).select("src_file", (F.col("before") + F.col("nth")).cast("int").alias("lineno"), "value")
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -60,9 +80,13 @@ def parsed(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col("value").rlike(r"\S")).withColumn("rec", rec).withColumn("error", error)
 
 
-def jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl*", strict: bool = True) -> DataFrame:
-    """src_file, lineno, rec. strict: the first bad line fails the query, with its file and number; else bad lines are left out (see bad_lines)."""
-    p = parsed(lines(spark, path, glob))
+def jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl*", strict: bool = True, whole_files: bool = True, output: str | None = None) -> DataFrame:
+    """src_file, lineno, rec. strict: the first bad line fails the query, with its file and number; else bad lines are left out (see bad_lines). whole_files: see lines(). output: a file or folder that is being written and isn't read."""
+    raw = lines(spark, path, glob, whole_files)
+    if output is not None:
+        own = output.split(":", 1)[-1].lstrip("/")
+        raw = raw.filter(~F.regexp_replace("src_file", r"^[a-z]+:/*", "").startswith(own))
+    p = parsed(raw)
     if not strict:
         return p.filter("error is null").select("src_file", "lineno", "rec")
     where = F.concat(F.col("src_file"), F.lit(":"), F.col("lineno").cast("string"), F.lit(": "), F.col("error"))
