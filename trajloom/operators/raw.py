@@ -48,15 +48,25 @@ def described(b: DataFrame) -> DataFrame:
     })
 
 
-def tool_decision(tool: Column, arguments: str, cfg: StripConfig) -> Column:
-    """struct<reason, label>: what the policy says of a tool call by itself; `arguments` names a column of JSON objects."""
-    arg = lambda name: F.get_json_object(arguments, f"$.{name}")
-    command = text.normalize(F.coalesce(arg("command"), F.lit("")))
-    kind = classify.command_class(command)
-    path = classify.path_class(classify.primary_path(tool, arg("file_path"), arg("path"), arg("notebook_path")))
+def tool_decisions(b: DataFrame, cfg: StripConfig) -> DataFrame:
+    """Add own struct<reason, label>: what the policy says of a tool call by itself; null for other blocks."""
+    use = (F.col("role") == "assistant") & (F.col("btype") == "tool_use")
+    arg = lambda name: F.get_json_object("input", f"$.{name}")
+    tool = F.coalesce("tool", F.lit(""))
+    # each in a projection of its own, so that none is worked out twice
+    b = b.withColumns({"__command": F.when(use & (tool == "Bash"), text.normalize(F.coalesce(arg("command"), F.lit("")))), "__path": F.when(use & (tool != "Bash"), classify.primary_path(tool, arg("file_path"), arg("path"), arg("notebook_path")))})
+    b = b.withColumns({
+        "__class": F.when(F.col("__command").isNotNull(), classify.command_class(F.col("__command"))), "__patch": F.when(F.col("__command").isNotNull(), classify.is_patch_payload(F.col("__command"))),
+        "__path_class": F.when(F.col("__path").isNotNull(), classify.path_class(F.col("__path"))), "__bad": F.when(use, text.forbidden(F.col("input"))),
+    })
+    return b.withColumn("own", F.when(use, _own_decision(cfg))).drop("__command", "__path", "__class", "__patch", "__path_class", "__bad")
+
+
+def _own_decision(cfg: StripConfig) -> Column:
+    tool, kind, path = F.coalesce("tool", F.lit("")), F.col("__class"), F.col("__path_class")
     bash, files = tool == "Bash", tool.isin(*rules.INSPECT_TOOLS, *rules.EDIT_TOOLS)
     edit = tool.isin(*rules.EDIT_TOOLS)
-    bad = files & text.forbidden(F.col(arguments))
+    bad = files & F.col("__bad")
     noisy = [
         ("submission_artifact", True), ("harness", True), ("patch_dump_or_staging", True), ("diagnostic_environment_noise", True),
         ("destructive", cfg.drop_destructive_commands), ("setup", cfg.drop_setup_commands), ("build_install", cfg.drop_build_install_commands),
@@ -66,10 +76,10 @@ def tool_decision(tool: Column, arguments: str, cfg: StripConfig) -> Column:
     made = lambda before, c, after, label: F.struct(F.concat(F.lit(before), c, F.lit(after)).alias("reason"), label.alias("label"))
     return (
         F.when(tool == "TodoWrite", lit("keep.todowrite_explicitly_included" if cfg.include_todowrite else "drop.todowrite", "planning"))
-        .when(bash & classify.is_patch_payload(command), lit("drop.patch_payload_command", "other"))
+        .when(bash & F.col("__patch"), lit("drop.patch_payload_command", "other"))
         .when(bash & kind.isin(*dropped), made("drop.", kind, "_command", kind))
         .when(bash, made("keep.", kind, "_command", kind))
-        .when(bad & classify.holds_any(F.col(arguments), rules.ARTIFACT_TEXT), lit("drop.submission_payload", "other"))
+        .when(bad & classify.holds_any(F.col("input"), rules.ARTIFACT_TEXT), lit("drop.submission_payload", "other"))
         .when(bad, lit("drop.harness_payload", "other"))
         .when(files & path.isin("submission_artifact", "harness"), made("drop.", path, "_path", path))
         .when(files & edit & (path == "scratch"), lit("drop.scratch_file_body", path))
@@ -88,7 +98,7 @@ def decide(records: DataFrame, cfg: StripConfig = StripConfig()) -> DataFrame:
     b = described(blocks(records))
     use = (F.col("role") == "assistant") & (F.col("btype") == "tool_use")
     given = (F.col("role") == "user") & (F.col("btype") == "tool_result")
-    b = b.withColumn("own", F.when(use, tool_decision(F.coalesce("tool", F.lit("")), "input", cfg)))
+    b = tool_decisions(b, cfg)
     past = Window.partitionBy("session", "tool_use_id").orderBy("lineno", "block_index").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("call", F.when(F.col("tool_use_id") != "", F.last(F.when(use, F.struct("own", "tool")), ignorenulls=True).over(past)))
     asked = (F.col("role") == "user") & (F.col("btype") == "text")

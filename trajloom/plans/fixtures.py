@@ -51,3 +51,29 @@ def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((k % 11 == 0) & kind.isin("click", "purchase"), "because").alias("reasoning_content"),
     )
     return as_events(e)
+
+
+def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """session, lineno, rec VARIANT: agent_events() as session logs, each record the child of the one before; every 13th event is a summary.
+
+    Clicks are calls of Bash, purchases of other tools; views and errors are results of the last call before them.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "event_type")
+    k, kind = F.col("event_id"), F.col("event_type")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.withColumns({"n": F.row_number().over(order), "call": F.last(F.when(kind.isin("click", "purchase") & (k % 13 != 0), k), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    js = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)\A\{\"v\":(.*)\}\z", 1)
+    args = F.concat(F.lit('{"file_path":"'), pick(PATHS, k), F.lit('","old_string":"a'), k.cast("string"), F.lit('","new_string":"b","pattern":"p'), (k % 5).cast("string"), F.lit('","description":"d"}'))
+    use = lambda name, inputs: F.concat(F.lit('[{"type":"tool_use","id":"t'), k.cast("string"), F.lit('","name":'), js(name), F.lit(',"input":'), inputs, F.lit("}]"))
+    prompt = F.concat(F.lit("repo: r"), (k % 7).cast("string"), F.lit("\ninstance_id: i"), k.cast("string"), F.lit("\nproblem_statement: fix it "), k.cast("string"))
+    content = (
+        F.when(kind == "click", use(F.lit("Bash"), F.concat(F.lit('{"command":'), js(pick(COMMANDS, k)), F.lit("}"))))
+        .when(kind == "purchase", use(pick(TOOLS, k), args))
+        .when(kind.isin("view", "error"), F.concat(F.lit('[{"type":"tool_result","tool_use_id":"'), F.coalesce(F.concat(F.lit("t"), F.col("call").cast("string")), F.lit("")), F.lit('","content":'), js(pick(OBSERVATIONS, k)), F.lit("}]")))
+        .when(k % 2 == 0, js(prompt)).otherwise(F.concat(F.lit('[{"type":"text","text":"all done '), k.cast("string"), F.lit('"}]')))
+    )
+    role = F.when(kind.isin("click", "purchase") | ((kind == "signup") & (k % 2 == 1)), "assistant").otherwise("user")
+    up = F.when(F.col("n") > 1, F.concat(F.lit('"m'), (F.col("n") - 1).cast("string"), F.lit('"'))).otherwise("null")
+    record = F.concat(F.lit('{"type":"'), role, F.lit('","uuid":"m'), F.col("n").cast("string"), F.lit('","parentUuid":'), up, F.lit(',"message":{"role":"'), role, F.lit('","content":'), content, F.lit("}}"))
+    rec = F.parse_json(F.when(k % 13 == 0, F.concat(F.lit('{"type":"summary","summary":"s'), k.cast("string"), F.lit('"}'))).otherwise(record))
+    return e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"), F.col("n").cast("int").alias("lineno"), rec.alias("rec"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, rules, text
-from ..functions.json_udf import all_texts, approx_tokens, canonical_json, compact_json
-from ..operators import audit, convert_bulk, convert_session, manifest, memory, render, strip
+from ..functions.json_udf import approx_tokens, canonical_json, compact_json
+from ..operators import audit, convert_bulk, convert_session, manifest, memory, raw, render, safe, strip
 from ..operators.events import with_previous_action
 from . import sqltext as S
-from .fixtures import COMMANDS, OBSERVATIONS, PATHS, agent_events, pick
+from .fixtures import COMMANDS, OBSERVATIONS, PATHS, agent_events, pick, raw_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,7 +62,10 @@ def a7_reason_rollup(spark, sf_dir):
     return strip.reason_counts(strip.decide(agent_events(spark, sf_dir)))
 
 
-@query()
+@query(DECIDED + """, d as (select traj_id, count(*) as n, count(new_idx) as kept from decided group by 1),
+c as (select traj_id, '{' || string_agg('"' || decision || '":' || n, ',' order by decision) || '}' as decision_counts from (select traj_id, decision, count(*) as n from decided group by all) group by 1),
+x as (select traj_id, unnest(string_split(codes, ',')) as reason from decided), r as (select traj_id, '{' || string_agg('"' || reason || '":' || n, ',' order by reason) || '}' as reason_counts from (select traj_id, reason, count(*) as n from x group by all) group by 1)
+select d.*, decision_counts, reason_counts from d join c using (traj_id) join r using (traj_id)""")
 def t5_strip_manifest(spark, sf_dir):
     m = strip.manifest(strip.decide(agent_events(spark, sf_dir)))
     return m.select("traj_id", F.size("decisions").alias("n"), F.size("index_map").alias("kept"), F.to_json("decision_counts").alias("decision_counts"), F.to_json("reason_counts").alias("reason_counts"))
@@ -260,10 +263,15 @@ def t1_bulk_events(spark, sf_dir):
     return e.select("traj_id", "idx", "class_", "source", "name", sha("content"), "function", "kwargs_json", sha("description"))
 
 
-@query(BULK + " select 't' || conv_id as traj_id, 'x' as error from conversations where false")
+@query(BULK + """, k as (select traj_id, any_value(conv_id) as conv_id, max(calls) as calls, count(*) as n from e group by 1)
+select traj_id, case when conv_id % 30 = 0 then 'number of calls' when conv_id % 30 = 1 then 'number of messages' else 'not converted' end as error from k where (conv_id % 30 = 0 and calls = 1) or conv_id % 30 in (1, 2)""")
 def v1_parity(spark, sf_dir):
+    """Rows of which a call is lost, that have a message too many, or that are lost."""
     rows = bulk_rows(spark, sf_dir)
-    return convert_bulk.parity(rows, convert_bulk.events(rows))
+    e = convert_bulk.events(rows).withColumn("c", F.substr("traj_id", F.lit(2)).cast("long") % 30)
+    more = e.filter("c = 1 and idx = 0").withColumns({"class_": F.lit("message_action"), "idx": F.lit(-1), "content": F.lit("once more")})
+    e = e.filter("c <> 2 and not (c = 0 and coalesce(function, '') = 'think')").unionByName(more)
+    return convert_bulk.parity(rows, e.drop("c"), most=1 << 30)
 
 
 @query("""with g as (select conv_id, count(*) as n from conversations group by 1) select count(*) as rows, count(distinct case when conv_id % 10 <> 0 then conv_id % 10 end) + max(case when conv_id % 10 = 0 then 1 else 0 end) as repos,
@@ -338,18 +346,21 @@ def v2_forbidden_scan(spark, sf_dir):
     return audit.forbidden_hits(secret_texts(spark, sf_dir), "doc_id", "text")
 
 
-@query()
+@query(EVENTS + f""", t as (select traj_id || '#' || idx as key, file_path || chr(10) || 'a' || event_id || chr(10) || 'b' || chr(10) || 'p' || (event_id % 5) || chr(10) || '__KEY__:file_path' || chr(10) || '__KEY__:old_string' || chr(10) || '__KEY__:new_string' as body from e where kwargs_json is not null
+  union all select traj_id || '#' || idx, content from e where class_ = 'code_action'),
+p as (select unnest([{', '.join(S.q(n) for n, _ in rules.LEAKS)}]) as pattern, unnest([{', '.join(S.q('(?im)' + p) for _, p in rules.LEAKS)}]) as regex) select key, pattern from t join p on regexp_matches(body, regex)""")
 def v3_leak_scan(spark, sf_dir):
-    e = agent_events(spark, sf_dir).filter("kwargs_json is not null").select(F.concat_ws("#", "traj_id", F.col("idx").cast("string")).alias("key"), all_texts(F.col("kwargs_json"), ("pattern",)).alias("values"))
-    return audit.leak_hits(e, "key", "values", (("preds", r"_preds\.json"), ("claude", r"\.claude"), ("key", "^__KEY__:old_string$")))
+    e = agent_events(spark, sf_dir).filter("kwargs_json is not null or class_ = 'code_action'")
+    record = F.coalesce(F.col("kwargs_json"), F.to_json(F.struct(F.col("content").alias("command"))))
+    return audit.leaks(e.select(F.concat_ws("#", "traj_id", F.col("idx").cast("string")).alias("key"), record.alias("record")), "key", "record")
 
 
-@query()
+@query("select event_id, replace(props, ' ', '') as canonical, replace(props, ' ', '') as compact from events")
 def f3_canonical_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", canonical_json(F.col("props")).alias("canonical"), compact_json(F.col("props")).alias("compact"))
 
 
-@query()
+@query(r"select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\s\p{Z}\x{85}]')) as tokens from documents")
 def f6_approx_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", approx_tokens(F.col("text")).alias("tokens"))
 
@@ -357,18 +368,22 @@ def f6_approx_tokens(spark, sf_dir):
 # ---- pairs, runs, prompts
 
 
+ITEMS = 211
+
+
 def pair_tables(spark, sf_dir):
     """experience: documents with labels; related: benchmark items; relationship: each item with documents, some unknown, some twice."""
     d, b, lab = (table(spark, sf_dir, n) for n in ("documents", "benchmark", "labels"))
     experience = lab.select(F.concat(F.lit("org__d"), F.col("doc_id").cast("string")).alias("instance_id"))
     related = b.select(F.concat(F.lit("org__b"), F.col("item_id").cast("string")).alias("instance_id"), F.lit("org/b").alias("repo"), F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("base_commit"), F.col("text").alias("problem_statement"))
-    rel = d.filter("doc_id < 600").select(F.concat(F.lit("org__d"), F.col("doc_id").cast("string")).alias("experience_instance_id"), F.concat(F.lit("org__b"), (F.col("doc_id") % 60).cast("string")).alias("related_instance_id"))
-    index = d.filter("doc_id % 3 <> 0").select(F.concat(F.lit("org__d"), F.col("doc_id").cast("string")).alias("prior_instance_id"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("prior_trajectory_id"))
+    # every document is related to an item; numbers beyond the last item's are unknown items
+    rel = d.select(F.concat(F.lit("org__d"), F.col("doc_id").cast("string")).alias("experience_instance_id"), F.concat(F.lit("org__b"), (F.col("doc_id") % ITEMS).cast("string")).alias("related_instance_id"))
+    index = d.filter("lang <> 'de'").select(F.concat(F.lit("org__d"), F.col("doc_id").cast("string")).alias("prior_instance_id"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("prior_trajectory_id"))
     return experience, related, rel.unionByName(rel), index
 
 
-PAIRS = """with rel as (select distinct 'org__d' || doc_id as e, 'org__b' || (doc_id % 60) as r, doc_id from documents where doc_id < 600),
-ok as (select * from rel where doc_id in (select doc_id from labels) and r in (select 'org__b' || item_id from benchmark) and doc_id % 3 <> 0), one as (select r, min(e) as e from ok group by r),
+PAIRS = f"""with rel as (select distinct 'org__d' || doc_id as e, 'org__b' || (doc_id % {ITEMS}) as r, doc_id from documents),
+ok as (select * from rel where doc_id in (select doc_id from labels) and r in (select 'org__b' || item_id from benchmark) and doc_id in (select doc_id from documents where lang <> 'de')), one as (select r, min(e) as e from ok group by r),
 pairs as (select e as experience_instance_id, r as related_instance_id, 't' || substr(e, 7) as prior_trajectory_id, 'org/b' as target_repo, 'c' || substr(r, 7) as target_base_commit, text as target_problem_statement from one join benchmark on r = 'org__b' || item_id)"""
 
 
@@ -405,9 +420,13 @@ def r6_prompts(spark, sf_dir):
     return render.prompts(run_rows(spark, sf_dir)).select("run_id", "prompt_chars", "prompt_sha256", "prior_context_chars")
 
 
-@query(PAIRS + " select related_instance_id as target_instance_id, '' as conditions, 1 as issues from pairs where false")
+@query(PAIRS + ", n as (select related_instance_id as t, cast(substr(related_instance_id, 7) as bigint) % 5 as k from pairs) select t as target_instance_id, case k when 0 then 'adp,memory,no_memory' else 'adp,memory,no_memory,raw' end as conditions, case k when 1 then 2 else 1 end as issues from n where k < 2")
 def a8_incomplete_targets(spark, sf_dir):
-    return manifest.incomplete_targets(render.prompts(run_rows(spark, sf_dir))).withColumn("conditions", F.array_join("conditions", ","))
+    """Targets that lack a condition, and targets one of whose prompts has another issue."""
+    k = F.substr("target_instance_id", F.lit(7)).cast("long") % 5
+    r = run_rows(spark, sf_dir).filter(~((k == 0) & (F.col("condition") == "raw")))
+    r = r.withColumn("target_problem_statement", F.when((k == 1) & (F.col("condition") == "adp"), F.concat("target_problem_statement", F.lit(" and more"))).otherwise(F.col("target_problem_statement")))
+    return manifest.incomplete_targets(render.prompts(r)).withColumn("conditions", F.array_join("conditions", ","))
 
 
 @query(PAIRS + " select related_instance_id || '__' || c as run_id, row_number() over (order by related_instance_id, list_position(['memory', 'raw'], c)) - 1 as plan_index from pairs, (select unnest(['memory', 'raw']) as c)")
@@ -415,7 +434,7 @@ def o5_plan(spark, sf_dir):
     return manifest.ordered_plan(run_rows(spark, sf_dir).withColumn("target_instance_id", F.col("target_instance_id")), ("memory", "raw")).select("run_id", "plan_index")
 
 
-@query("with r as (select distinct 'org__b' || (doc_id % 60) as related_instance_id, 'org__d' || doc_id as e from documents where doc_id < 600) select related_instance_id, string_agg(e, ',' order by e) as candidates from r group by 1 having count(*) > 1")
+@query(f"with r as (select distinct 'org__b' || (doc_id % {ITEMS}) as related_instance_id, 'org__d' || doc_id as e from documents) select related_instance_id, string_agg(e, ',' order by e) as candidates from r group by 1 having count(*) > 1")
 def j17_ambiguous(spark, sf_dir):
     return manifest.ambiguous(pair_tables(spark, sf_dir)[2]).withColumn("candidates", F.array_join("candidates", ","))
 
@@ -474,7 +493,14 @@ def g1_parent_chain(spark, sf_dir):
     return convert_session.linear(session_records(spark, sf_dir)).select("session", "lineno", "pos")
 
 
-@query()
+SESSION_CHAIN = """with r as (select conv_id, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as n, case when role = 'assistant' then 'assistant' else 'user' end as role, text from conversations),
+g as (select *, case when n = 1 then 1 when n = 2 then 2 else n - 1 end as chain from r), c as (select * from g where not (n >= 3 and k = 2 and chain >= greatest(1, n // 2)))"""
+
+
+@query(SESSION_CHAIN + """, s as (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by k) as seg from c),
+m as (select conv_id, seg, 1 as place, 'text_observation' as class_, 'user' as source, coalesce(text, '') as content, k as line from s where role = 'user'
+  union all select conv_id, seg, 2, 'message_action', null, string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) order by k), max(k) from s where role = 'assistant' and trim(coalesce(text, '')) <> '' group by 1, 2)
+select 's' || conv_id as traj_id, row_number() over (partition by conv_id order by seg, place) - 1 as idx, class_, source, content, cast(null as varchar) as description, line from m""")
 def t3_session_events(spark, sf_dir):
     from ..functions.shared import ensure_checkpoint_dir
 
@@ -500,6 +526,152 @@ def j14_parallel_calls(spark, sf_dir):
     return convert_session.emission_order(calls).select("session", "p", "kind", "k1", "k2", "paired")
 
 
+# ---- raw transcripts, injection-safe events, stripped memories
+
+
+def _raw_sql() -> str:
+    """Raw blocks of raw_sessions(), a block a record, with reason and lines."""
+    edit, inspect = S.isin("tool", rules.EDIT_TOOLS), S.isin("tool", rules.INSPECT_TOOLS)
+    payload = "'{\"description\":\"d\",\"file_path\":\"' || file_path || '\",\"new_string\":\"b\",\"old_string\":\"a' || event_id || '\",\"pattern\":\"p' || (event_id % 5) || '\"}'"
+    files = f"use and ({edit} or {inspect})"
+    noisy = ("submission_artifact", "harness", "patch_dump_or_staging", "diagnostic_environment_noise", "destructive", "setup", "build_install")
+    own = [
+        ("drop.todowrite", "use and tool = 'TodoWrite'"),
+        ("drop.patch_payload_command", f"use and tool = 'Bash' and {S.patch_payload('content')}"),
+        *((f"drop.{c}_command", f"use and tool = 'Bash' and kind = {S.q(c)}") for c in noisy),
+        *((f"keep.{c}_command", f"use and tool = 'Bash' and kind = {S.q(c)}") for c in ("test", "diagnostic", "other")),
+        ("drop.submission_payload", f"{files} and {S.forbidden('payload')} and {S.holds('payload', rules.ARTIFACT_TEXT)}"),
+        ("drop.harness_payload", f"{files} and {S.forbidden('payload')}"),
+        ("drop.submission_artifact_path", f"{files} and kind = 'submission_artifact'"),
+        ("drop.harness_path", f"{files} and kind = 'harness'"),
+        ("drop.scratch_file_body", f"{files} and {edit} and kind = 'scratch'"),
+        ("drop.scratch_file_read", f"{files} and kind = 'scratch'"),
+        *((f"keep.{t.lower()}", f"use and tool = {S.q(t)}") for t in (*rules.INSPECT_TOOLS, *rules.EDIT_TOOLS)),
+        ("keep.raw_tool_use", "use"),
+    ]
+    seen = "class_ = 'text_observation' and source = 'environment'"
+    then = [
+        ("drop.raw_summary", "summary"), ("drop.additional_user_message_default_off", "source = 'user' and nth > 1"), ("drop.assistant_text_default_off", "class_ = 'message_action'"),
+        ("drop.raw_tool_result_after_dropped_tool", f"{seen} and prev.r like 'drop.%'"), ("drop.edit_tool_result_snippet", f"{seen} and {S.isin('prev.t', rules.EDIT_TOOLS)}"), ("drop.empty_tool_result", f"{seen} and {S.strip('clean')} = ''"),
+        ("drop.hard_forbidden_tool_result", f"{seen} and {S.forbidden('clean')}"), ("drop.environment_observation_noise", f"{seen} and {S.noise('clean')}"), ("keep.raw_tool_result", seen),
+    ]
+    n = "chr(10)"
+    key = lambda k, v: f"'  \"{k}\": \"' || {v} || '\"'"
+    cleaned = lambda x: S.scrub(x)
+    body = f"""case when tool = 'Bash' then {cleaned('content')}
+      when tool = 'Edit' then '{{' || {n} || {key('file_path', 'file_path')} || ',' || {n} || {key('new_text_sha256', "sha256('b')")} || ',' || {n} || {key('old_text_sha256', "sha256('a' || event_id)")} || ',' || {n} || {key('pattern', "'p' || (event_id % 5)")} || {n} || '}}'
+      else '{{' || {n} || {key('file_path', 'file_path')} || ',' || {n} || {key('new_string', "'b'")} || ',' || {n} || {key('old_string', "'a' || event_id")} || ',' || {n} || {key('pattern', "'p' || (event_id % 5)")} || {n} || '}}' end"""
+    return f"""with e as ({S.AGENT_EVENTS}), b as (select *, idx + 1 as lineno, event_id % 13 = 0 as summary, event_id % 13 <> 0 and class_ in ('code_action', 'api_action') as use, case when class_ = 'code_action' then 'Bash' else function end as tool, {S.scrub('content')} as clean, {payload} as payload, {S.primary_path('strip')} as path from e),
+k as (select *, case when tool = 'Bash' then {S.command_class('content', 'strip')} when {edit} or {inspect} then {S.path_class('path', 'strip')} when tool = 'TodoWrite' then 'planning' else 'tool' end as kind,
+  sum(case when source = 'user' and not summary then 1 else 0 end) over (partition by traj_id order by idx) as nth from b),
+o as (select *, {S.case(own, 'null')} as own from k),
+p as (select *, last_value(case when use then struct_pack(r := own, t := tool) end ignore nulls) over (partition by traj_id order by idx rows between unbounded preceding and 1 preceding) as prev from o),
+d as (select *, case when summary then 'drop.raw_summary' else coalesce(own, {S.case(then, 'null')}) end as reason from p),
+l as (select *, case when reason is not null and reason like 'drop.%' then null
+    when use then '[RAW line ' || lineno || ' TOOL ' || tool || ' ' || kind || ']' || {n} || {body}
+    when source = 'user' then '[RAW line ' || lineno || ' USER]' || {n} || 'PRIOR ISSUE METADATA' || {n} || 'repo: r' || (event_id % 7) || {n} || 'instance_id: i' || event_id || {n} || 'problem_statement:' || {n} || 'fix it ' || event_id
+    else '' end as heading from d)"""
+
+
+RAW = _raw_sql()
+
+
+@query(RAW + " select traj_id as session, lineno, reason from d")
+def r4_raw_decisions(spark, sf_dir):
+    return raw.decide(raw_sessions(spark, sf_dir)).select("session", "lineno", "reason")
+
+
+@query(RAW + """, c as (select *, case when summary then null else last_value(case when use then event_id end ignore nulls) over (partition by traj_id order by idx rows between unbounded preceding and 1 preceding) end as call from d),
+w as (select l.traj_id, l.idx, case when l.heading is null then null when l.class_ = 'text_observation' and l.source = 'environment' then '[RAW line ' || l.lineno || ' TOOL RESULT ' || coalesce('t' || c.call, '') || ']' || chr(10) || l.clean else l.heading end as line from l join c using (traj_id, idx))
+select traj_id as session, sha256(regexp_replace('STRIPPED RAW CLAUDE CODE TRAJECTORY' || chr(10) || 'This transcript was rendered with the same deterministic junk policy as ADP stripping.' || chr(10) || coalesce(chr(10) || string_agg(line, chr(10) order by idx), ''), '\\s+$', '') || chr(10)) as sha from w group by 1""")
+def r4_raw_transcripts(spark, sf_dir):
+    return raw.by_policy(raw_sessions(spark, sf_dir)).select("session", text.sha(F.col("transcript")).alias("sha"))
+
+
+@query()
+def r5_raw_by_manifest(spark, sf_dir):
+    """Sessions converted, their events stripped, and what is kept rendered from the records."""
+    from ..functions.shared import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    records = raw_sessions(spark, sf_dir)
+    decided = strip.decide(convert_session.events(records)).withColumnRenamed("traj_id", "session")
+    return raw.transcripts(records, decided).select("session", "render_mode", text.sha(F.col("transcript")).alias("sha"))
+
+
+@query("""with m as (select 'm' || o_orderkey as traj_id, 'logs/c' || o_custkey || '.jsonl' as source_file, 'c' || o_custkey as k from orders), n as (select k, min(traj_id) as traj_id, count(*) as n from m group by 1)
+select 'in/c' || c_custkey || '(' || (c_custkey % 3) || ').jsonl' as path, traj_id from customer left join n on k = 'c' || c_custkey and n = 1""")
+def j12_match_manifests(spark, sf_dir):
+    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("in/c"), F.col("c_custkey").cast("string"), F.lit("("), (F.col("c_custkey") % 3).cast("string"), F.lit(").jsonl")).alias("path"))
+    manifests = table(spark, sf_dir, "orders").select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("traj_id"), F.concat(F.lit("logs/c"), F.col("o_custkey").cast("string"), F.lit(".jsonl")).alias("source_file"))
+    return raw.match_manifests(files, manifests).select("path", "traj_id")
+
+
+@query(DECIDED + f""", k as (select *, case when function = 'Edit' then '{{"file_path":"' || file_path || '","new_text_sha256":"' || sha256('b') || '","old_text_sha256":"' || sha256('a' || event_id) || '","pattern":"p' || (event_id % 5) || '"}}'
+  when function is not null then '{{"file_path":"' || file_path || '","new_string":"b","old_string":"a' || event_id || '","pattern":"p' || (event_id % 5) || '"}}' end as kwargs from decided where decision = 'keep')
+select traj_id, new_idx as idx, class_, sha256(left(coalesce({S.scrub('content')}, ''), case when class_ = 'text_observation' then 20 else 2000 end)) as content, case when function is null then sha256({S.scrub('content')}) end as content_sha256, case when function is null then length({S.scrub('content')}) > case when class_ = 'text_observation' then 20 else 2000 end end as content_truncated, kwargs as kwargs_json, case when function = 'Edit' then 'hashes-only' when function = 'Write' then 'hashes-only' end as edit_body_mode from k""")
+def t7_injection_safe(spark, sf_dir):
+    e = safe.injection_safe(strip.stripped(strip.decide(agent_events(spark, sf_dir))), max_observation=20)
+    return e.select("traj_id", "idx", "class_", text.sha(F.coalesce("content", F.lit(""))).alias("content"), "content_sha256", "content_truncated", "kwargs_json", "edit_body_mode")
+
+
+@query()
+def r3_injection_text(spark, sf_dir):
+    e = strip.stripped(strip.decide(agent_events(spark, sf_dir)))
+    meta = memory.problem(agent_events(spark, sf_dir)).select("traj_id", "repo", "instance_id", "base_commit")
+    return safe.injection_text(e, meta).select("traj_id", text.sha(F.col("rendered_text")).alias("sha"))
+
+
+def memories(spark, sf_dir):
+    """A memory of each trajectory that names every call as an anchor and every observation as evidence; every third user has no strip manifest."""
+    e = agent_events(spark, sf_dir)
+    anchor = F.when(F.col("class_") == "api_action", F.struct(F.col("idx").alias("action_index"), F.col("function").alias("tool"), F.lit("p'q").alias("pattern"), F.lit("").alias("path"), F.lit(None).cast("string").alias("glob")))
+    seen = F.when(F.col("source") == "environment", F.struct(F.lit(None).cast("int").alias("source_action_index"), F.col("idx").alias("observation_index"), F.lit("read_result").alias("kind"), F.lit("x").alias("excerpt")))
+    m = e.groupBy("traj_id").agg(F.array_sort(F.collect_list(anchor)).alias("search_anchors"), F.array_sort(F.collect_list(seen)).alias("observation_evidence"))
+    have = m.withColumnRenamed("traj_id", "source_trajectory_id")
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = _parse_datatype_string(safe.MEMORY).fields
+    return have.select(*((F.col(f.name) if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+@query(DECIDED + """select traj_id as source_trajectory_id, count(*) filter (class_ = 'api_action' and (decision = 'keep' or user_id % 3 = 0)) as anchors, count(*) filter (source = 'environment' and (decision = 'keep' or user_id % 3 = 0)) as evidence,
+  case when user_id % 3 = 0 then 'No manifest found for source_trajectory_id=' || chr(39) || traj_id || chr(39) end as strip_error from (select *, cast(substr(traj_id, 2) as bigint) as user_id from decided) group by traj_id, user_id""")
+def t6_strip_memory(spark, sf_dir):
+    d = strip.decide(agent_events(spark, sf_dir)).filter(F.substr("traj_id", F.lit(2)).cast("long") % 3 != 0)
+    m = safe.strip_memory(memories(spark, sf_dir), d)
+    return m.select("source_trajectory_id", F.size("search_anchors").alias("anchors"), F.size("observation_evidence").alias("evidence"), "strip_error")
+
+
+@query("""select 'resolved' as name, cast(conv_id % 2 as varchar) as value, count(*) as n from (select distinct conv_id from conversations) group by 2
+union all select * from (select 'exit_status', case when conv_id % 4 = 0 then 'limit' else 'submitted' end as v, count(*) as n from (select distinct conv_id from conversations) group by 2 order by n desc limit 10)
+union all select 'role', role, count(*) from conversations group by 2""")
+def a2_histograms(spark, sf_dir):
+    return audit.raw_histograms(bulk_rows(spark, sf_dir))
+
+
+@query("""with d as (select *, case when doc_id % 9 = 0 then 0 else 1 end as good from documents) select 'rows' as name, cast(null as varchar) as value, count(*) as n from d union all select 'validation_errors', null, count(*) filter (good = 0) from d
+union all select 'classes', 'api_action', count(*) filter (good = 1) from d union all select 'classes', 'text_observation', count(*) filter (good = 1) from d
+union all select * from (select 'api_functions', lang, count(*) as n from d where good = 1 group by 2 order by n desc, lang limit 20) union all select 'resolved', '', count(*) filter (good = 1) from d union all select 'repos', null, count(distinct source) filter (good = 1) from d""")
+def a3_converted_audit(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct(F.lit("v").alias("schema_version"), F.col("doc_id").cast("string").alias("id"), F.array(F.struct(F.lit("api_action").alias("class_"), F.col("lang").alias("function")), F.struct(F.lit("text_observation").alias("class_"), F.lit(None).cast("string").alias("function"))).alias("content"), F.struct(F.col("source").alias("repo")).alias("details")))
+    return audit.converted_audit(d.select(F.when(F.col("doc_id") % 9 == 0, F.left(line, F.lit(20))).otherwise(line).alias("value")))
+
+
+@query(PAIRS + f""", r as (select related_instance_id || '__' || c as run_id, related_instance_id as t, target_problem_statement as s, c from pairs, (select unnest(['no_memory', 'raw', 'adp', 'memory']) as c)),
+b as (select *, cast(substr(t, 7) as bigint) as k from r)
+select run_id, 'hash differs' as problem from b where k % 7 = 0 union all select run_id, 'no prompt' from b where k % 7 = 1 union all select run_id, 'no marker' from b where k % 7 = 2
+union all select run_id, 'forbidden: ' || f from (select *, unnest([{', '.join(map(S.q, rules.PROMPT_LITERALS))}]) as f from b where k % 7 <> 1) where contains(s, f)""")
+def v4_prompt_checks(spark, sf_dir):
+    """Prompts of some targets have another hash, are missing, or say another condition."""
+    p = render.prompts(run_rows(spark, sf_dir))
+    k = F.substr("target_instance_id", F.lit(7)).cast("long") % 7
+    p = p.withColumn("prompt", F.when(k == 2, F.replace("prompt", F.lit("Condition: "), F.lit("Condition is "))).otherwise(F.col("prompt")))
+    p = p.withColumn("prompt_sha256", F.when(k == 0, F.lit("0")).otherwise(text.sha(F.col("prompt")))).withColumn("prompt", F.when(k != 1, F.col("prompt")))
+    return audit.prompt_checks(p)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
