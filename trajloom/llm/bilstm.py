@@ -5,13 +5,20 @@ from __future__ import annotations
 import numpy as np
 
 
+def char_id(c: str) -> int:
+    return ord(c) - 31 if 32 <= ord(c) < 127 else 96 if c.isspace() else 97 if c.isalpha() else 98 if c.isdigit() else 99
+
+
+#: The ids of the characters that two bytes hold.
+IDS = np.array([char_id(chr(i)) for i in range(1 << 16)], np.uint8)
+
+
 def char_ids(text: str) -> np.ndarray:
     """0: padding; printable ASCII has an id each; white space, letters, digits and other signs beyond it share one each."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    ids = np.where((codes >= 32) & (codes < 127), codes - 31, 99).astype(np.int64)
-    for i in np.flatnonzero(ids == 99):
-        c = text[i]
-        ids[i] = 96 if c.isspace() else 97 if c.isalpha() else 98 if c.isdigit() else 99
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ids = IDS[np.minimum(codes, 0xFFFF)]
+    for i in np.flatnonzero(codes > 0xFFFF):
+        ids[i] = char_id(text[i])
     return ids
 
 
@@ -30,7 +37,7 @@ def logsum(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """Tags each character of windows. The windows of a call have one length; their padding follows the text."""
 
-    def __init__(self, n_tags: int, embed: int = 10, hidden: int = 14, seed: int = 5):
+    def __init__(self, n_tags: int, embed: int = 10, hidden: int = 12, seed: int = 5):
         rng = np.random.default_rng(seed)
         init = lambda *shape: (rng.standard_normal(shape) * (1.0 / np.sqrt(shape[0]))).astype(np.float32)
         self.hidden, self.k = hidden, n_tags
@@ -132,17 +139,107 @@ class Tagger:
             losses.append(float(np.mean(sums)))
         return losses
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best tags (window, time), and how far each character's score is above that of tag 0."""
-        s = self.emissions(ids)
-        best, back = s[0], []
-        for t in range(1, len(s)):
-            way = best[:, :, None] + self.p["A"][None]
-            back.append(way.argmax(1))
-            best = s[t] + np.take_along_axis(way, back[-1][:, None, :], 1)[:, 0]
-        path = [best.argmax(1)]
-        for b in reversed(back):
-            path.append(np.take_along_axis(b, path[-1][:, None], 1)[:, 0])
-        tags = np.stack(path[::-1], 1)
-        gain = np.take_along_axis(s, tags.T[:, :, None], 2)[:, :, 0] - s[:, :, 0]
-        return tags, gain.T
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """emissions() as (time, tag, window), for many windows: both directions side by side, one table lookup, two products and two tanh a step."""
+        n, p = self.hidden, self.p
+        steps, width = ids.shape[1], ids.shape[0]
+        codes = np.ascontiguousarray(ids.T)
+        s = np.empty((steps, self.k, width), np.float32)
+        s[:] = p["o"][:, None]
+        half = np.ones((4 * n, 1), np.float32)
+        half[: 3 * n] = 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        tables = [np.ascontiguousarray((p["E"] @ p[f"W{d}"] + p[f"B{d}"]).T * half) for d in "fb"]
+        u, out = np.stack([p[f"U{d}"].T * half for d in "fb"]), np.stack([p["O"][:n].T, p["O"][n:].T])
+        z, zu, held, tagged = (np.empty((2, x, width), np.float32) for x in (4 * n, 4 * n, n, self.k))
+        h, c = np.zeros((2, n, width), np.float32), np.zeros((2, n, width), np.float32)
+        gates, i, f, o, new = z[:, : 3 * n], z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
+        for t in range(steps):
+            np.take(tables[0], codes[t], axis=1, out=z[0], mode="clip")
+            np.take(tables[1], codes[-1 - t], axis=1, out=z[1], mode="clip")
+            z += np.matmul(u, h, out=zu)
+            np.tanh(z, out=z)
+            gates *= 0.5
+            gates += 0.5
+            c *= f
+            c += np.multiply(i, new, out=held)
+            np.multiply(np.tanh(c, out=held), o, out=h)
+            np.matmul(out, h, out=tagged)
+            s[t] += tagged[0]
+            s[-1 - t] += tagged[1]
+        return s
+
+    def may_tag(self, s: np.ndarray) -> np.ndarray:
+        """(window, time): which characters of scores can have another tag than 0 in the best path.
+
+        Tags come in pairs, one for a span's first character and one for the others. Ways within a pair
+        have their own transitions here, ways between pairs the best there is, so no path's gain over
+        tag 0 is above what is found. A window stands between two characters of tag 0.
+        """
+        a = (self.p["A"] - self.p["A"][0, 0]).astype(np.float32)
+        first, more = np.arange(1, self.k, 2), np.arange(2, self.k, 2)
+        col = lambda x: np.ascontiguousarray(x, np.float32)[:, None]
+        gain = s[:, 1:] - s[:, :1]
+        gf, gm = np.ascontiguousarray(gain[:, ::2]), np.ascontiguousarray(gain[:, 1::2])
+        go, stay = col(a[first, more]), col(a[more, more])
+
+        def swept(times: range, into_first: np.ndarray, into_more: np.ndarray, cross_first: np.ndarray, cross_more: np.ndarray, ahead: bool) -> tuple[np.ndarray, np.ndarray]:
+            f, m = np.empty_like(gf), np.empty_like(gm)
+            before = None
+            for t in times:
+                if before is None:
+                    f[t], m[t] = gf[t] + into_first, gm[t] + into_more
+                else:
+                    any_ = np.maximum(f[before], m[before]).max(axis=0)
+                    to_f, to_m = np.maximum(into_first, any_ + cross_first), np.maximum(into_more, any_ + cross_more)
+                    np.maximum(to_m, m[before] + stay, out=to_m)
+                    other = to_m if ahead else to_f
+                    np.maximum(other, (f if ahead else m)[before] + go, out=other)
+                    np.add(gf[t], to_f, out=f[t])
+                    np.add(gm[t], to_m, out=m[t])
+                before = t
+            return f, m
+
+        apart = a[1:, 1:].copy()
+        for i in range(0, self.k - 1, 2):
+            apart[i, i + 1] = apart[i + 1, i + 1] = -np.inf  # ways within a pair
+        n = len(s)
+        f, m = swept(range(n), col(a[0, first]), col(a[0, more]), col(apart[:, ::2].max(axis=0)), col(apart[:, 1::2].max(axis=0)), True)
+        g, k = swept(range(n - 1, -1, -1), col(a[first, 0]), col(a[more, 0]), col(apart[::2].max(axis=1)), col(apart[1::2].max(axis=1)), False)
+        f += g
+        f -= gf
+        m += k
+        m -= gm
+        return (np.maximum(f, m).max(axis=1) > 0).T
+
+    def decode(self, ids: np.ndarray, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, tags, gain): of the windows whose best tags aren't all 0, their rows in ids, the tags (window, time), and how far each character's score is above that of tag 0.
+
+        Between characters whose tag must be 0 stretches are decoded by themselves, those of like length together.
+        """
+        s, a = self.scores(ids), self.p["A"]
+        may = self.may_tag(s)
+        edges = np.diff(may.astype(np.int8), axis=1, prepend=0, append=0)
+        row, start = np.nonzero(edges > 0)
+        size = np.nonzero(edges < 0)[1] - start
+        tags, order = np.zeros(may.shape, np.int8), np.argsort(size, kind="stable")
+        for at in range(0, len(order), batch):
+            some = order[at : at + batch]
+            r, t, n = row[some], start[some], size[some]
+            steps = np.arange(n.max())
+            e = s[np.minimum(t[:, None] + steps, len(s) - 1), :, r[:, None]]
+            e[steps >= n[:, None]] = np.r_[0, np.full(self.k - 1, -1e9)]  # after its end a stretch has tag 0
+            e = np.ascontiguousarray(e.transpose(1, 2, 0))
+            best = np.empty_like(e)
+            best[0] = e[0] + a[0][:, None]
+            for k in steps[1:]:
+                np.add((best[k - 1][:, None] + a[:, :, None]).max(axis=0), e[k], out=best[k])
+            y = np.empty((len(some), len(steps)), np.int8)
+            y[:, -1] = (best[-1].T + a[:, 0]).argmax(1)
+            for k in steps[-2::-1]:
+                y[:, k] = (best[k].T + a.T[y[:, k + 1]]).argmax(1)
+            inside = steps < n[:, None]
+            tags[np.broadcast_to(r[:, None], inside.shape)[inside], (t[:, None] + steps)[inside]] = y[inside]
+        rows = np.flatnonzero(tags.any(axis=1))
+        tags = tags[rows].astype(np.int64)
+        own = s[:, :, rows].transpose(2, 0, 1)
+        return rows, tags, np.take_along_axis(own, tags[:, :, None], 2)[:, :, 0] - own[:, :, 0]

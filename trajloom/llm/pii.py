@@ -22,10 +22,8 @@ HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Every kind, and what the model looks for, has a digit, an @ or a bracketed "at".
-GATE = re.compile(r"[0-9@]|[\[({]\x20?at\x20?[\])}]", re.IGNORECASE)
-#: Characters of a window, of its overlap with the next, and around a character that GATE finds.
-WINDOW, OVERLAP, AROUND = 128, 64, 40
+#: Characters of a window and of its overlap with the next, and windows that are read side by side.
+WINDOW, OVERLAP, BATCH = 512, 64, 1024
 
 Span = tuple[int, int, str]
 
@@ -82,40 +80,42 @@ def invented(rng: random.Random) -> tuple[str, list[Span]]:
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
 
     def card() -> str:
-        d = rng.choice("3456") + num(14)
+        d = rng.choice("3456") + (num(14) if rng.random() < 0.7 else "".join(rng.choice(num(2)) for _ in range(14)))
         d += next(c for c in "0123456789" if luhn(d + c))
-        sep = rng.choice(["", "", " ", "-", "."])
+        sep = rng.choice(["", " ", "-", ".", ".", "_", "  ", " - ", "/"])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
     def personal() -> tuple[str, str]:
         kind = rng.choice(KINDS)
         if kind == "email":
-            at, dot = rng.choice([("@", "."), ("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", ".")])
-            name = rng.choice([plain(), f"{plain()}.{plain()}", f"{plain()}{num(2)}", f"{plain()}.{num(2)}", f"{plain()}_{plain()}"])
-            return f"{name}{at}{rng.choice(['mail', plain(), plain() + num(1)])}{dot}{rng.choice(['com', 'org', 'net', 'de', 'example' + dot + 'com'])}", kind
+            at, dot = rng.choice([("@", "."), ("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" at ", " dot "), (" AT ", " DOT "), (" @ ", " . "), ("(at)", "."), ("{at}", "{dot}"), (" at ", ".")])
+            long = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789._-") for _ in range(rng.randint(20, 60))).strip("._-") or "x"
+            name = rng.choice([plain(), f"{plain()}.{plain()}", f"{plain()}{num(2)}", f"{plain()}.{num(2)}", f"{plain()}_{plain()}", f"{plain()}{dot}{plain()}", plain().capitalize(), long()])
+            return f"{name}{at}{rng.choice(['mail', plain(), plain() + num(1), f'{plain()}-{plain()}'])}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io', 'example' + dot + 'com'])}", kind
         if kind == "ip":
-            return ".".join(str(rng.randint(0, 255)) for _ in range(4)), kind
+            return rng.choice([".", ".", "[.]", " . ", "(dot)", " dot "]).join(str(rng.randint(0, 255)) for _ in range(4)), kind
         if kind == "card":
             return card(), kind
         a, b, c = num(3), num(3), num(4)
-        return rng.choice([f"+{num(1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {a} {num(7)}", f"+{num(2)}{num(9)}", f"00{num(2)} {a} {num(6)}"]), kind
+        return rng.choice([f"+{num(1)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}.{b}.{c}", f"{a}-{b}-{c} {num(2)}", f"+{num(2)} {a} {num(7)}", f"+{num(2)}{num(9)}", f"00{num(2)} {a} {num(6)}"]), kind
 
     def other() -> str:
         return rng.choice([
             num(rng.randint(1, 6)), f"{num(1)}.{num(1)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}", f"{num(1)},{num(3)}.{num(2)}", f"version {num(1)}.{num(2)}.{num(1)}",
-            f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', f"#{num(5)}", f"({num(4)})", f"{num(2)}%", f"@{plain()}", f"{plain()}{num(3)}", f"[{num(2)}]", f"{num(12)}", f"{num(2)}.{num(2)}.{num(4)}", f"(at) {plain()}",
+            f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', f"#{num(5)}", f"({num(4)})", f"{num(2)}%", f"@{plain()}", f"{plain()}{num(3)}", f"[{num(2)}]", f"at {plain()}", f"{plain()} at {num(2)}:{num(2)}", f"dot {plain()}", f"https://www.{plain()}.com/{plain()}", f"{plain()}.{rng.choice(['py', 'txt', 'html'])}", f"© {num(4)} {plain()}", f"ISBN {num(3)}-{num(10)}",
+            f"{num(4)}/{num(2)}/{num(2)} {num(2)}:{num(2)}:{num(2)}", f"<{plain()} {plain()}=\"{num(2)}\">", f"{num(3)}.{num(3)}.{num(3)}", "-" * rng.randint(3, 20), f"{num(20)}", f"look at {plain()}.{plain()}", f"{plain()} at {plain()}", f"{plain()}@{plain()}", f"{num(12)}", f"{num(2)}.{num(2)}.{num(4)}", f"(at) {plain()}",
         ])
 
     text, spans = "", []
     for _ in range(rng.randint(6, 26)):
         roll = rng.random()
-        if roll < 0.12:
+        if roll < 0.18:
             s, kind = personal()
             if rng.random() < 0.2:
                 text += rng.choice(["(", '"', "<", ""])
             spans.append((len(text), len(text) + len(s), kind))
             text += s + rng.choice(["", "", "", ".", ",", ";", "!!", "$$$", "###", '"', ")"])
-        elif roll < 0.24:
+        elif roll < 0.3:
             text += other()
         else:
             w = word()
@@ -146,53 +146,55 @@ def labelled(n: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(windows: int = 4000, epochs: int = 6, seed: int = 11) -> Tagger:
+def trained(windows: int = 5000, epochs: int = 7, seed: int = 11) -> Tagger:
     """A tagger trained on this many invented windows; equal arguments give equal taggers."""
     tagger = Tagger(1 + 2 * len(KINDS))
-    tagger.train(*labelled(windows, 72, seed), epochs)
+    tagger.train(*labelled(windows, 88, seed), epochs)
     return tagger
 
 
 # ---- decoding
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around what GATE finds, joined where they meet: the rest of a text can't hold personal data."""
-    out: list[list[int]] = []
-    for m in GATE.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def windows_of(length: int) -> list[tuple[int, int]]:
+    """Windows of WINDOW characters over a whole text, each overlapping the next by OVERLAP; the last ends with the text."""
+    out, a = [], 0
+    while length - a > WINDOW:
+        out.append((a, a + WINDOW))
+        a += WINDOW - OVERLAP
+    return [*out, (a, length)] if length else out
 
 
-def windows_of(text: str) -> list[tuple[int, int]]:
-    """Windows of at most WINDOW characters over the regions, each overlapping the next by OVERLAP."""
-    out = []
-    for a, b in regions(text):
-        while b - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += WINDOW - OVERLAP
-        out.append((a, b))
-    return out
+def runs(tags: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """Start, end and kind of the tagged stretches."""
+    edges = np.flatnonzero(np.diff(tags != 0, prepend=False, append=False))
+    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        t = start
+        while t < end:
+            k, first = (int(tags[t]) - 1) // 2, t
+            t += 1
+            while t < end and tags[t] == 2 + 2 * k:
+                t += 1
+            yield first, t, KINDS[k]
 
 
-def candidates(window: tuple[int, int], tags: np.ndarray, gain: np.ndarray, length: int) -> list[tuple[int, int, str, float]]:
-    """Spans of a decoded window with their scores; one cut by the window's end is left to the next window."""
-    a, b = window
-    out, t = [], 0
-    while t < b - a:
-        if tags[t] == 0:
-            t += 1
-            continue
-        k, start = (tags[t] - 1) // 2, t
-        t += 1
-        while t < b - a and tags[t] == 2 + 2 * k:
-            t += 1
-        if (start > 0 or a == 0) and (t < b - a or b == length):
-            out.append((a + start, a + t, KINDS[k], float(gain[start:t].sum())))
+def candidates(length: int, decoded: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, str, float]]:
+    """Spans of a text's decoded windows with their scores.
+
+    A window gives the spans that neither of its ends cuts, unless it is the text's end. Where windows
+    overlap, their tags are also joined in the middle of the overlap, so a span longer than any
+    overlap, or window, comes out of the joined tags.
+    """
+    out = []
+    whole, gains, order = np.zeros(length, np.int64), np.zeros(length, np.float32), sorted(decoded)
+    for a, b in order:
+        tags, gain = decoded[a, b]
+        left, right = (a if a == 0 else a + OVERLAP // 2), (b if b == length else b - OVERLAP // 2)
+        whole[left:right], gains[left:right] = tags[left - a : right - a], gain[left - a : right - a]
+        out += [(a + s, a + e, k, float(gain[s:e].sum())) for s, e, k in runs(tags) if (s > 0 or a == 0) and (a + e < b or b == length)]
+    if len(order) > 1:
+        known = {x[:3] for x in out}
+        out += [(s, e, k, float(gains[s:e].sum())) for s, e, k in runs(whole) if (s, e, k) not in known]
     return out
 
 
@@ -217,38 +219,53 @@ def reconciled(found: list[tuple[int, int, str, float]]) -> list[Span]:
 
 
 def plausible(s: str, kind: str) -> bool:
-    """Whether a span that the model found can be of its kind."""
+    """Whether a span that the model found has at least the parts of its kind, however they are joined."""
     if kind == "email":
-        return bool(re.search(r"[A-Za-z0-9]\x20?(?:@|[\[({]\x20?at\x20?[\])}])\x20?[A-Za-z0-9-]+\x20?(?:\.|[\[({]\x20?dot\x20?[\])}])\x20?[A-Za-z]", s, re.IGNORECASE))
+        return bool(re.search(r"[^\W_]\W*(?:@|\bat\b)\W*[^\W_]", s, re.IGNORECASE) and re.search(r"[^\W_](?:\.|\x20\.\x20|\W*\bdot\b\W*)[^\W_]{2}", s, re.IGNORECASE))
     if kind == "ip":
-        return bool(IP.fullmatch(s)) and is_ip(s)
+        parts = re.findall(r"[0-9]+", s)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return is_card(s) and bool(re.fullmatch(r"[0-9]+(?:[\x20.-][0-9]+)*", s))
-    return bool(re.fullmatch(r"[+(]?[0-9][0-9\x20().-]+[0-9]", s)) and 10 <= len(digits_of(s)) <= 15 and s.count("(") == s.count(")")
+        return is_card(s)
+    return 9 <= len(digits_of(s)) <= 15 and not any(c.isalpha() for c in s)
 
 
-def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
-    """For each text its base spans, and all spans: those and what the model adds where no base span is."""
-    base = [base_spans(t) if GATE.search(t) else [] for t in texts]
-    where = [(i, w) for i, t in enumerate(texts) for w in windows_of(t)]
-    found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+def sane(s: str, kind: str) -> str | None:
+    """The kind, or, of a number whose parts are another's, that one; null if they are none's."""
+    return next((k for k in (kind, *(("card", "ip", "phone") if kind != "email" else ())) if plausible(s, k)), None)
+
+
+def tagged(texts: list[str], tagger: Tagger) -> list[list[Span]]:
+    """For each text the spans that the model finds, reconciled over the text. It reads all of every text."""
+    ids = [char_ids(t) for t in texts]
+    where = [(i, w) for i, t in enumerate(texts) for w in windows_of(len(t))]
+    decoded: list[dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]] = [{} for _ in texts]
     where.sort(key=lambda x: x[1][1] - x[1][0])  # windows of like length share a batch
-    for at in range(0, len(where), 512):
-        some = where[at : at + 512]
-        ids = np.zeros((len(some), max(b - a for _, (a, b) in some)), np.int64)
+    for at in range(0, len(where), BATCH):
+        some = where[at : at + BATCH]
+        codes = np.zeros((len(some), max(b - a for _, (a, b) in some)), np.uint8)
         for row, (i, (a, b)) in enumerate(some):
-            ids[row, : b - a] = char_ids(texts[i][a:b])
-        tags, gain = tagger.decode(ids)
-        for row, (i, w) in enumerate(some):
-            found[i] += candidates(w, tags[row], gain[row], len(texts[i]))
+            codes[row, : b - a] = ids[i][a:b]
+        for row, tags, gain in zip(*tagger.decode(codes), strict=True):
+            i, (a, b) = some[row]
+            if tags[: b - a].any():
+                decoded[i][a, b] = tags[: b - a], gain[: b - a]
+    out = []
+    for t, d in zip(texts, decoded, strict=True):
+        found = candidates(len(t), d) if d else []
+        out.append(reconciled([(a, b, k, score) for a, b, tag, score in found if (k := sane(t[a:b], tag))]))
+    return out
+
+
+def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
+    """For each text its base spans, and all spans: those and what the model adds where no base span is."""
     out = []
-    for i, t in enumerate(texts):
-        own, added = base[i], []
-        if found[i]:
-            taken = np.zeros(len(t) + 1, bool)
-            for a, b, _ in own:
-                taken[a:b] = True
-            added = [s for s in reconciled(found[i]) if not taken[s[0] : s[1]].any() and plausible(t[s[0] : s[1]], s[2])]
+    for t, found in zip(texts, tagged(texts, tagger), strict=True):
+        own = base_spans(t)
+        taken = np.zeros(len(t) + 1 if found else 0, bool)
+        for a, b, _ in own if found else []:
+            taken[a:b] = True
+        added = [s for s in found if not taken[s[0] : s[1]].any()]
         out.append((own, sorted(own + added, key=lambda s: (s[0], KINDS.index(s[2])))))
     return out
 
@@ -257,17 +274,17 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-FIELDS = [*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())]
+FIELDS = [*((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64()), ("n_added", pa.int64())]
 
 
 def find_personal_data(df: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
-    """df with n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans and n_added.
+    """df with n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_spans and n_added.
 
     spans: kind:start:end by start, then kind, comma-joined, in code points, ends exclusive: the
     patterns' matches, and what the tagger adds elsewhere (disguised e-mail addresses, phone numbers
-    without +, cards grouped by dots), checked for plausibility. base_sha256 is the digest of the
-    patterns' part of it. The tagger reads windows around digits, @ and bracketed "at", that is,
-    wherever personal data can be; they overlap and their spans are reconciled over the whole text.
+    without +, cards and addresses grouped otherwise), checked for their kind's parts. base_sha256 is the digest of the
+    patterns' part of it. The tagger reads all of every text in overlapping windows, whose spans are
+    joined and reconciled over the whole text. n_spans counts all spans, n_added those of the tagger.
 
     A null text counts as empty and has no spans. Rows are searched one by one, none is dropped and
     repeated rows get equal results; columns with one of these names are replaced; an empty table gives an empty table.
@@ -282,10 +299,10 @@ def find_personal_data(df: DataFrame, text: str = "text", tagger: Tagger | None
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
-            for some in slices([batch]):
+            for some in slices([batch], size=4 << 20):
                 for own, every in all_spans([t or "" for t in some.to_pylist()], model):
                     counts = [sum(k == s[2] for s in own) for k in KINDS]
-                    rows.append((*counts, hashlib.sha256(written(own).encode()).hexdigest(), written(every), len(every) - len(own)))
+                    rows.append((*counts, hashlib.sha256(written(own).encode()).hexdigest(), written(every), len(every), len(every) - len(own)))
             columns = list(zip(*rows, strict=True)) or [[]] * len(FIELDS)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, FIELDS, strict=True)], fields=list(kinds))
 
