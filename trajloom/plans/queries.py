@@ -594,8 +594,8 @@ def r5_raw_by_manifest(spark, sf_dir):
     from ..functions.shared import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    records = raw_sessions(spark, sf_dir)
-    decided = strip.decide(convert_session.events(records)).withColumnRenamed("traj_id", "session")
+    records = raw_sessions(spark, sf_dir).checkpoint()
+    decided = strip.decide(convert_session.events(records).checkpoint()).checkpoint().withColumnRenamed("traj_id", "session")
     return raw.transcripts(records, decided).select("session", "render_mode", text.sha(F.col("transcript")).alias("sha"))
 
 
