@@ -70,7 +70,6 @@ def brute_tree(text):
     """The tree as nested lists, by loops over lines and words."""
     import hashlib
     import re
-    import zlib
 
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     space, other = "[ \t\n\x0b\f\r]", "[^ \t\n\x0b\f\r]"
@@ -81,11 +80,8 @@ def brute_tree(text):
             return words
         out, now = [], []
         for w in words:
-            if len(now) == 4:
-                out.append("".join(now))
-                now = []
             now.append(w)
-            if zlib.crc32(w.strip(" ").encode()) % 8 == 0:
+            if len(now) == 4 or re.search("[dgkmpvwxyz0-9.,;:!?]$", w.strip(" \t\n\x0b\f\r")):
                 out.append("".join(now))
                 now = []
         return out + ["".join(now)] * bool(now)

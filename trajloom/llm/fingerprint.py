@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 #: A word with the white space around it, cut at 64 code points; a stretch without words is one too.
 WORD = r"\s*+\S{1,64}+\s*+|\s++"
-#: Up to four words: the longest phrase, whatever its words are.
-PHRASE = r"\s*+(?:\S{1,64}+\s*+){1,4}|\s++"
-#: A phrase ends after a word whose CRC-32 is a multiple of this; in paragraphs under SHORT code points every word is a phrase.
-PHRASE_END, SHORT = 8, 64
+#: A phrase: one to four words. It ends early after a word with one of these at its end, so that borders follow the content.
+ENDS = "dgkmpvwxyz0-9.,;:!?"
+PHRASE = rf"\s*+(?:(?:\S{{1,64}}+(?<![{ENDS}])\s*+){{1,3}}+(?:\S{{1,64}}+\s*+)?+|\S{{1,64}}+\s*+)|\s++"
+#: In paragraphs under so many code points every word is a phrase.
+SHORT = 64
 #: Hex digits that are stored of a phrase's digest and of a paragraph's or section's; parents are made from whole digests.
 PHRASE_HEX, NODE_HEX = 8, 16
 #: A paragraph ends its section if its digest starts with 0 (one of 16), so that section borders follow the content.
@@ -19,10 +20,7 @@ SECTION_END = "0"
 
 def phrases_of(line: Column) -> Column:
     """The phrases of a line, cut where its content says so: an insertion changes phrases up to the next such cut, and no later one."""
-    words = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
-    ends = F.transform(words, lambda w: F.concat(w, F.when(F.crc32(F.encode(F.trim(w), "UTF-8")) % PHRASE_END == 0, F.lit("\n")).otherwise(F.lit(""))))
-    runs = F.filter(F.split(F.array_join(ends, ""), "\n"), lambda r: r != "")
-    return F.when(F.char_length(line) < SHORT, words).otherwise(F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(PHRASE), F.lit(0)))))
+    return F.when(F.char_length(line) < SHORT, F.regexp_extract_all(line, F.lit(WORD), F.lit(0))).otherwise(F.regexp_extract_all(line, F.lit(PHRASE), F.lit(0)))
 
 
 def paragraph(text: Column) -> Column:
