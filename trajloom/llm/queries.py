@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, jaccard, linededup, mixing, packing, pii, quality, sharding, tokens
+from . import chat, cluster, divergence, fingerprint, jaccard, linededup, mixing, packing, pii, quality, secrets, sharding, tokens
 from .common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_token_counts(docs, tokens.tokenizer_path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.delta_lloyd(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.find_secrets(docs, tokens.tokenizer_path(RANKS)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans", "n_added")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -156,5 +170,58 @@ select *, n_words < {r.least_words} or 100 * n_repeat_words > {r.most_repeated}
 """
 
 
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    apart = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    nearest = lambda c: f"""(
+  select key, vec_id, v, k, d from (select x.key, x.vec_id, x.v, c.k, cast({apart} as bigint) as d from x, {c} c)
+  qualify row_number() over (partition by key order by d, k) = 1)"""
+    parts = [f"""
+x as materialized (
+  select row_number() over () as key, vec_id, list_transform(embedding, lambda e: cast(floor(256 * cast(e as double)) as bigint)) as v
+  from embeddings where len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims}),
+c0 as materialized (select row_number() over (order by sha256('2:' || vec_id), v) - 1 as k, v from x qualify row_number() over (order by sha256('2:' || vec_id), v) <= {k})"""]
+    for r in range(rounds):
+        parts.append(f"""
+a{r} as materialized {nearest(f'c{r}')},
+m{r} as (select k, i, sum(v[i]) as s, count(*) as n from a{r}, (select unnest(range(1, {dims + 1})) as i) group by k, i),
+n{r} as (select k, list((s - ((s % n) + n) % n) // n order by i) as v from m{r} group by k),
+c{r + 1} as materialized (select k, cast(coalesce(n{r}.v, c{r}.v) as bigint[]) as v from c{r} left join n{r} using (k))""")
+    parts.append(f"\na as materialized {nearest(f'c{rounds}')}")
+    return f"""with {','.join(parts)}
+select a.vec_id, cast(a.k as int) as cluster, a.d as distance, cast(sum(a.d) over (partition by a.k) as bigint) as cluster_inertia,
+  cast(sum(a.d) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+from a join c{rounds} using (k)"""
+
+
+DIVERGENCE_SQL = r"""
+with d as materialized (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as materialized (select * from (select id, lang, source, unnest(w) as term from d) where term <> ''),
+k as materialized (select lang, term from t group by lang, term having count(distinct id) >= 10),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v from k group by lang),
+c as materialized (select lang, source, term, count(*) as c from t join k using (lang, term) group by all),
+n as (select lang, source, sum(c)::hugeint as n from c group by all),
+p as materialized (
+  select g.lang, g.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v) as p
+  from g join k using (lang) join v using (lang) left join c using (lang, source, term) left join n using (lang, source)),
+q as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(c) + 2)) // (any_value(m.n) + 2 * any_value(v.v)) as q
+  from c join v using (lang) join (select lang, sum(c)::hugeint as n from c group by lang) m using (lang) group by lang, term),
+s as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+f as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select p.lang, p.source, 'term', p.term, ((p - q) * (p - q)) // (p + q) from p join q using (lang, term) where c > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over w as int) as rank from f
+window w as (partition by lang, source, part order by value desc, encode(item))
+qualify part = 'pair' or row_number() over w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _quality_sql(), "op3_jaccard_join": JACCARD_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_chat_formatting": CHAT_SQL}
+    return {"op11_centroid_clusters": _clusters_sql(), "op12_source_divergence": DIVERGENCE_SQL, "op2_quality_rules": _quality_sql(), "op3_jaccard_join": JACCARD_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_chat_formatting": CHAT_SQL}
