@@ -118,6 +118,19 @@ def safe_name(c: Column, default: str = "unknown", most: int = 120) -> Column:
     return F.when(name == "", F.lit(default)).otherwise(name)
 
 
+def safe_file_name(c: Column, default: str = "unknown", most: int = 120) -> Column:
+    """A file name in which separators, wild cards, quotes and blanks are one '_'; letters of any script stay."""
+    name = F.coalesce(F.nullif(strip(normalize(F.coalesce(c, F.lit("")))), F.lit("")), F.lit(default))
+    name = F.regexp_replace(F.regexp_replace(name, r'(?U)[/\\:*?"<>|\s]+', "_"), "_+", "_")
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(name, r"^[._]+|[._]+$", ""), F.lit(most)), F.lit("")), F.lit(default))
+
+
+def safe_path_part(c: Column) -> Column:
+    """A folder's name of letters, digits and . _ = -; 'unnamed' if nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(normalize(F.coalesce(c, F.lit(""))), r"[^A-Za-z0-9_.=-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit("unnamed"))
+
+
 def docker_tag(c: Column) -> Column:
     return F.replace(c, F.lit("__"), F.lit("."))
 
