@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read again, where several parts of a plan read it; a lost executor costs no recomputation. It stays for lazy readers."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, name: str, *order, start: int = 0) -> DataFrame:
     """df in order with its rows' numbers: sorted by range, numbered in each part, and the parts' counts added up. Ties must be equal rows.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +28,20 @@ class MemoryConfig:
     exclude_setup_commands: bool = True
     exclude_destructive_commands: bool = True
     exclude_build_install_commands: bool = True
+    max_raw_user_prompt_chars: int = 8000
+    max_planning_action_chars: int = 2000
+    max_reasoning_chars: int = 2000
+    include_todowrite: bool = False
+    include_reasoning: bool = False
+    keep_excluded_edit_details: bool = True
 
+    def __post_init__(self):
+        low = [f.name for f in fields(self) if f.name.startswith("max_") and getattr(self, f.name) < 0]
+        if low:
+            raise ValueError(f"limits can't be negative: {', '.join(low)}")
 
+
+#: Buckets by class and category, in the order records have them (fixed values).
 COMMAND_BUCKETS = {"test": "test_commands", "diagnostic": "diagnostic_commands", "setup": "setup_commands", "destructive": "destructive_commands", "build_install": "build_install_commands", "other": "other_commands"}
 EDIT_BUCKETS = {"source": "source_edits", "test": "test_edits", "scratch": "scratch_edits", "submission_artifact": "submission_artifacts", "other": "other_edits"}
 
@@ -135,13 +147,14 @@ def edited(events: DataFrame) -> DataFrame:
 
 
 def anchors(events: DataFrame) -> DataFrame:
-    """Searches: traj_id, action_index, tool, pattern, path, raw_path, glob, prior_agent_description; a Glob's pattern is its glob."""
-    p = paths(events).filter("function in ('Grep', 'Glob')")
+    """Searches: traj_id, action_index, tool, pattern, path, raw_path (of the argument `path`), glob, prior_agent_description; a Glob's pattern is its glob."""
+    p = events.filter("class_ = 'api_action' and function in ('Grep', 'Glob')")
     glob = F.col("function") == "Glob"
-    pattern = F.coalesce(argument("pattern"), F.lit(""))
+    pattern, where = (F.coalesce(argument(a), F.lit("")) for a in ("pattern", "path"))
     return p.select(
-        "traj_id", F.col("idx").alias("action_index"), F.col("function").alias("tool"), F.when(glob, "").otherwise(text.scrub(pattern)).alias("pattern"), "path", "raw_path",
-        text.scrub(F.when(glob, pattern).otherwise(F.coalesce(argument("glob"), F.lit("")))).alias("glob"), short_description().alias("prior_agent_description"),
+        "traj_id", F.col("idx").alias("action_index"), F.col("function").alias("tool"), F.when(glob, "").otherwise(text.normalize(pattern)).alias("pattern"),
+        F.when(text.strip(where) == "", "").otherwise(classify.normalize_path(where)).alias("path"), text.normalize(where).alias("raw_path"),
+        text.normalize(F.when(glob, pattern).otherwise(F.coalesce(argument("glob"), F.lit("")))).alias("glob"), short_description().alias("prior_agent_description"),
     )
 
 

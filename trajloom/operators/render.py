@@ -59,8 +59,11 @@ def titled(title: str, body: Column) -> Column:
     return F.concat(F.lit(f"\n{title}\n{'-' * len(title)}\n"), F.coalesce(body, F.lit("(none)")))
 
 
-def memory_text(events: DataFrame, cfg: M.MemoryConfig = M.MemoryConfig()) -> DataFrame:  # noqa: B008
-    """traj_id, rendered_text: the memory of each trajectory in ten sections."""
+def memory_text(events: DataFrame, cfg: M.MemoryConfig = M.MemoryConfig(), source: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """traj_id, rendered_text: the memory of each trajectory in ten sections.
+
+    source: traj_id, repo, instance_id, base_commit, model, problem_statement, truncated, one row for each trajectory to render; by default what the first prompt says.
+    """
     part = lambda cond, label, c: F.when(cond, F.concat(F.lit(f" {label}="), quoted(text.scrub(c)))).otherwise("")
     desc = F.col("prior_agent_description")
     few = (desc != "") & (F.char_length(desc) <= 160)
@@ -87,12 +90,14 @@ def memory_text(events: DataFrame, cfg: M.MemoryConfig = M.MemoryConfig()) -> Da
     ed = lines_by(ed, "s_edits", shown, "b", "action_index", "sub")
     cut = lambda flag: F.when(F.col(flag), F.lit(f"\n{CUT}")).otherwise("")
     last = M.final_message(events, cfg).filter("text <> ''").select("traj_id", F.concat(F.lit("The following is prior-agent generated text, not ground truth:\n"), F.col("text"), cut("truncated")).alias("s_final"))
-    prob = M.problem(events, cfg).withColumn("s_problem", F.concat("problem_statement", cut("truncated")))
-    out = events.select("traj_id").distinct()
+    prob = M.problem(events, cfg).withColumn("model", F.lit("")) if source is None else source
+    stated = F.concat("problem_statement", cut("truncated")) if source is None else F.when(F.col("problem_statement") != "", F.concat(text.scrub(F.col("problem_statement")), cut("truncated")))
+    prob = prob.withColumn("s_problem", stated)
+    out = (events if source is None else source).select("traj_id").distinct()
     for df in (prob, seen, search, cmds, bad, ev, ed, last):
         out = out.join(df, "traj_id", "left")
     field = lambda label, c: F.concat(F.lit(f"- {label}: "), F.coalesce(c, F.lit("")))
-    source = F.concat_ws("\n", field("trajectory_id", F.col("traj_id")), field("repo", F.col("repo")), field("instance_id", F.col("instance_id")), field("base_commit", F.col("base_commit")), F.lit("- model: "))
+    source = F.concat_ws("\n", field("trajectory_id", F.col("traj_id")), field("repo", F.col("repo")), field("instance_id", F.col("instance_id")), field("base_commit", F.col("base_commit")), field("model", F.col("model")))
     whole = F.concat_ws(
         "\n", F.lit("PRIOR EXPERIENCE MEMORY"), F.lit(HEADERS.get(cfg.template, HEADERS["generic"])), titled("SOURCE", source), titled("PRIOR PROBLEM", F.coalesce("s_problem", F.lit("(not found)"))), titled("FILES INSPECTED", F.col("s_files")),
         titled("SEARCH ANCHORS", F.col("s_search")), titled("TEST / DIAGNOSTIC / OTHER COMMANDS", F.col("s_commands")), titled("OBSERVED TEST / RUNTIME FAILURES", F.col("s_failures")), titled("RELEVANT OBSERVATION EXCERPTS", F.col("s_evidence")),

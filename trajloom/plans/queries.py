@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,25 +11,7 @@ from ..operators import audit, convert_bulk, convert_session, manifest, memory,
 from ..operators.events import with_previous_action
 from . import sqltext as S
 from .fixtures import COMMANDS, OBSERVATIONS, PATHS, agent_events, pick, raw_sessions
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, Query, query, table
 
 DECIDED = S.decisions()
 EVENTS = f"with e as ({S.AGENT_EVENTS})"
@@ -672,6 +652,9 @@ def v4_prompt_checks(spark, sf_dir):
     return audit.prompt_checks(p)
 
 
+from . import records  # noqa: E402, F401  (registers its queries, made with parts of the SQL above)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
