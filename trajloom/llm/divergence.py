@@ -15,145 +15,131 @@ from .common import Tables, lean, slices, small_batches
 #: What stands between terms: ASCII other than letters.
 GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
-#: Counters that a task's tries hold before they are written out and begun anew.
-MOST = 300_000
+#: Counters that a task's trie holds before it is written out and begun anew, and that a merge takes in at a time.
+MOST = 700_000
 #: Counts of terms by sources that a worker compares at a time.
 CELLS = 1 << 18
-#: Of the languages' entries without a term: every document's source is counted there.
-NONE = b""
+LEAF = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+LEAF_DDL = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-class Node:
-    __slots__ = ("docs", "kids", "label", "sources")
+class Names:
+    """Numbers of strings that come again and again: languages and sources."""
 
-    def __init__(self, label: bytes):
-        self.label, self.kids, self.sources, self.docs = label, {}, None, 0
+    def __init__(self):
+        self.of: dict[str, int] = {}
 
+    def codes(self, texts: pa.Array) -> np.ndarray:
+        coded = texts.dictionary_encode()
+        own = np.array([self.of.setdefault(t, len(self.of)) for t in coded.dictionary.to_pylist()], np.int64)
+        return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
 
-class Trie:
-    """Terms as bytes, common beginnings stored once. A leaf has a counter for each source, and the number of documents."""
-
-    def __init__(self):
-        self.root, self.size = Node(b""), 0
-
-    def leaf(self, key: bytes) -> Node:
-        node, at = self.root, 0
-        while at < len(key):
-            kid = node.kids.get(key[at])
-            if kid is None:
-                kid = node.kids[key[at]] = Node(key[at:])
-                node = kid
-                break
-            label = kid.label
-            if key.startswith(label, at):
-                node, at = kid, at + len(label)
-                continue
-            n = 1
-            while n < len(label) and at + n < len(key) and label[n] == key[at + n]:
-                n += 1
-            upper = node.kids[key[at]] = Node(label[:n])
-            kid.label = label[n:]
-            upper.kids[label[n]] = kid
-            node, at = upper, at + n
-        if node.sources is None:
-            node.sources = {}
-        return node
-
-    def add(self, node: Node, source: str, count: int) -> None:
-        if source not in node.sources:
-            node.sources[source] = 0
-            self.size += 1
-        node.sources[source] += count
-
-    def merge(self, key: bytes, docs: int, sources: list[str], counts: list[int]) -> None:
-        """Take in a leaf of another trie."""
-        node = self.leaf(key)
-        node.docs += docs
-        for s, c in zip(sources, counts, strict=True):
-            self.add(node, s, c)
-
-    def walk(self) -> Iterator[tuple[bytes, Node]]:
-        """Leaves in order of their bytes, which for UTF-8 is that of their characters."""
-        todo = [(b"", self.root)]
-        while todo:
-            prefix, node = todo.pop()
-            if node.sources is not None:
-                yield prefix, node
-            todo += [(prefix + node.kids[b].label, node.kids[b]) for b in sorted(node.kids, reverse=True)]
+    def texts(self, codes: np.ndarray) -> pa.Array:
+        return pa.array(list(self.of), pa.string()).take(pa.array(codes))
 
 
-LEAF = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-LEAF_DDL = "lang string, term string, docs long, sources array<string>, counts array<long>"
+class Trie:
+    """A radix trie of (language, term) in linear form: its leaves in byte order, from which neighbours' common beginnings give the inner nodes.
 
+    Each leaf has the number of documents, and a counter for each source: those of leaf i are source[start[i] : start[i + 1]] and count[...].
+    A term of no characters stands for a language itself, so that sources without terms are known.
+    """
 
-def leaves(tries: dict[str, Trie], least: int = 0) -> Iterator[pa.RecordBatch]:
-    """The tries' leaves as batches, languages and terms in order; terms in fewer than `least` documents are left out."""
-    rows: list[tuple] = []
-    held = 0
-    for lang in sorted(tries):
-        for key, node in tries[lang].walk():
-            if node.docs < least and key != NONE:
-                continue
-            names = sorted(node.sources)
-            rows.append((lang, key.decode(), node.docs, names, [node.sources[s] for s in names]))
-            held += 1 + len(names)
-            if held >= 20_000:
-                yield batch_of(rows, LEAF)
-                rows, held = [], 0
-    if rows:
-        yield batch_of(rows, LEAF)
+    def __init__(self, lang: np.ndarray, term: pa.Array, docs: np.ndarray, start: np.ndarray, source: np.ndarray, count: np.ndarray):
+        self.lang, self.term, self.docs, self.start, self.source, self.count = lang, term, docs, start, source, count
+
+    def shared(self) -> np.ndarray:
+        """Bytes that each leaf's term has in common with the leaf before it: where the trie branches."""
+        terms = [t.encode() for t in self.term.to_pylist()]
+        same = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return np.array([0] + [same(a, b) if self.lang[i] == self.lang[i + 1] else 0 for i, (a, b) in enumerate(zip(terms, terms[1:], strict=False))][: len(terms)])
+
+    @staticmethod
+    def of(lang: np.ndarray, term: pa.Array, docs: np.ndarray, leaf: np.ndarray, source: np.ndarray, count: np.ndarray) -> Trie:
+        """The trie of leaves in any order, repeated ones merged; leaf: the place in these of the one that a counter belongs to."""
+        coded = term.dictionary_encode()
+        n, order = len(coded.dictionary), pc.sort_indices(coded.dictionary).to_numpy()  # by bytes
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        key = lang * max(n, 1) + rank[coded.indices.to_numpy()]
+        own, place = np.unique(key, return_inverse=True)
+        width = int(source.max(initial=0)) + 1
+        pair, at = np.unique(place[leaf] * width + source, return_inverse=True)
+        total = lambda where, what, size: np.bincount(where, weights=what, minlength=size).astype(np.int64)  # noqa: E731  (exact below 2^53)
+        start = np.searchsorted(pair // width, np.arange(len(own) + 1))
+        names = coded.dictionary.take(pa.array(order)).take(pa.array(own % max(n, 1)))
+        return Trie(own // max(n, 1), names, total(place, docs, len(own)), start, pair % width, total(at, count, len(pair)))
+
+    @staticmethod
+    def merged(tries: list[Trie]) -> Trie:
+        if len(tries) == 1:
+            return tries[0]
+        offset = np.cumsum([0, *(len(t.docs) for t in tries)])
+        each = [np.repeat(np.arange(len(t.docs)) + o, np.diff(t.start)) for t, o in zip(tries, offset, strict=False)]
+        join = lambda name: np.concatenate([getattr(t, name) for t in tries])
+        return Trie.of(join("lang"), pa.concat_arrays([t.term for t in tries]), join("docs"), np.concatenate(each), join("source"), join("count"))
+
+    def only(self, keep: np.ndarray) -> Trie:
+        sizes = np.diff(self.start)
+        inner = np.repeat(keep, sizes)
+        return Trie(self.lang[keep], self.term.filter(pa.array(keep)), self.docs[keep], np.cumsum([0, *sizes[keep]]), self.source[inner], self.count[inner])
+
+    def batches(self, langs: Names, sources: Names, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.docs), rows):
+            end = min(at + rows, len(self.docs))
+            a, b = int(self.start[at]), int(self.start[end])
+            start = pa.array(self.start[at : end + 1] - a, pa.int32())
+            columns = [langs.texts(self.lang[at:end]), self.term.slice(at, end - at), pa.array(self.docs[at:end]), pa.ListArray.from_arrays(start, sources.texts(self.source[a:b])), pa.ListArray.from_arrays(start, pa.array(self.count[a:b]))]
+            yield pa.RecordBatch.from_arrays(columns, schema=LEAF)
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def count_into(tries: dict[str, Trie], langs: list[str], sources: list[str], texts: pa.Array) -> None:
-    """Count each term once for each occurrence and each document; counters are looked up once for each language, source and term of the batch."""
-    group_of: dict[tuple[str, str], int] = {}
-    groups = np.array([group_of.setdefault(g, len(group_of)) for g in zip(langs, sources, strict=True)], np.int64)
-    for (lang, source), g in group_of.items():
-        trie = tries.setdefault(lang, Trie())
-        node = trie.leaf(NONE)
-        node.docs += int((groups == g).sum())
-        trie.add(node, source, 0)
+def trie_of(lang: np.ndarray, source: np.ndarray, texts: pa.Array) -> Trie:
+    """Terms of some texts, each counted once for each occurrence, and once for each document."""
     terms = pc.split_pattern_regex(texts, pattern=GAP)
     coded = pc.ascii_lower(terms.flatten()).dictionary_encode()
-    names = coded.dictionary.to_pylist()
+    names = coded.dictionary
     n = max(len(names), 1)
     code = coded.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), terms.value_lengths().to_numpy())
-    if "" in names:
-        code, doc = (x[code != names.index("")] for x in (code, doc))
+    empty = pc.index(names, "").as_py()
+    if empty >= 0:
+        code, doc = code[code != empty], doc[code != empty]
     each, times = np.unique(doc * n + code, return_counts=True)
-    kinds = len(group_of)
-    at, inverse = np.unique((each % n) * kinds + groups[each // n], return_inverse=True)
-    counts = np.bincount(inverse, weights=times, minlength=len(at)).astype(np.int64).tolist()
-    docs = np.bincount(inverse, minlength=len(at)).tolist()
-    own, last, nodes = list(group_of), -1, {}
-    for key, count, docs_of in zip(at.tolist(), counts, docs, strict=True):
-        k, g = divmod(key, kinds)
-        if k != last:
-            last, nodes = k, {}
-        lang, source = own[g]
-        trie = tries[lang]
-        node = nodes.get(lang)
-        if node is None:
-            node = nodes[lang] = trie.leaf(names[k].encode())
-        node.docs += docs_of
-        trie.add(node, source, count)
+    doc, code = each // n, each % n
+    # a leaf for each document and term, and one without a term for each document
+    everything = pa.concat_arrays([names.take(pa.array(code)), pa.array([""] * len(texts), pa.string())])
+    of = np.concatenate([doc, np.arange(len(texts))])
+    count = np.concatenate([times, np.zeros(len(texts), np.int64)])
+    return Trie.of(lang[of], everything, np.ones(len(of), np.int64), np.arange(len(of)), source[of], count)
 
 
 @lean
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, text to the leaves of the task's tries; whole texts, in tries of a bounded number of counters."""
-    tries: dict[str, Trie] = {}
+    """lang, source, text to the leaves of the task's trie; whole texts, in tries of a bounded number of counters."""
+    langs, sources = Names(), Names()
+    held: list[Trie] = []
+    size = 0
     for some in slices(batches, column=2, size=4 << 20):
-        count_into(tries, some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2))
-        if sum(t.size for t in tries.values()) > MOST:
-            yield from leaves(tries)
-            tries = {}
-    yield from leaves(tries)
+        held.append(trie_of(langs.codes(some.column(0)), sources.codes(some.column(1)), some.column(2)))
+        size += len(held[-1].count)
+        if size > 2 * MOST or len(langs.of) + len(sources.of) > MOST:
+            held = [Trie.merged(held)]
+            size = len(held[0].count)
+            if size > MOST or len(langs.of) + len(sources.of) > MOST:
+                yield from held[0].batches(langs, sources)
+                held, size, langs, sources = [], 0, Names(), Names()
+    if held:
+        yield from Trie.merged(held).batches(langs, sources)
+
+
+def read_trie(batch: pa.RecordBatch, langs: Names, sources: Names) -> Trie:
+    lists = batch.column(3)
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    return Trie(langs.codes(batch.column(0)), batch.column(1), batch.column(2).to_numpy(), np.cumsum([0, *sizes]), sources.codes(lists.flatten()), batch.column(4).flatten().to_numpy())
 
 
 def merged(least: int):
@@ -161,20 +147,31 @@ def merged(least: int):
 
     @lean
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
-        last = None
+        langs, sources = Names(), Names()
+        held: list[Trie] = []
+        size = 0
         for batch in batches:
-            for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, term) != last and sum(t.size for t in tries.values()) > MOST:  # all of what is held lies before
-                    yield from leaves(tries, least)
-                    tries = {}
-                last = lang, term
-                tries.setdefault(lang, Trie()).merge(term.encode(), docs, sources, counts)
-        yield from leaves(tries, least)
+            held.append(read_trie(batch, langs, sources))
+            size += len(held[-1].count)
+            if size > MOST:
+                one = Trie.merged(held)
+                last = np.zeros(len(one.docs), bool)  # more of the last term may come
+                last[np.flatnonzero((one.lang == held[-1].lang[-1]) & pc.equal(one.term, held[-1].term[-1]).to_numpy(zero_copy_only=False))] = True
+                yield from one.only(~last & kept(one, least)).batches(langs, sources)
+                held = [one.only(last)]
+                size = len(held[0].count)
+        if held:
+            one = Trie.merged(held) if len(held) > 1 else Trie.merged([*held, held[0].only(np.zeros(len(held[0].docs), bool))])
+            yield from one.only(kept(one, least)).batches(langs, sources)
 
     return merge
 
 
+def kept(trie: Trie, least: int) -> np.ndarray:
+    """Leaves in enough documents, and those that stand for languages."""
+    return (trie.docs >= least) | pc.equal(trie.term, "").to_numpy(zero_copy_only=False)
+
+
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     """1 + floor(UNIT * (count + 2) / total), exact also where the product leaves 64 bits."""
     if int(count.max(initial=0)) < ((1 << 63) - 1) // UNIT - 2:
@@ -288,7 +285,7 @@ def divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: st
     terms that occur in the group, by f against the language's own share, where the group's is larger. Ranks from 1, value descending,
     item by UTF-8 ascending. All integers are exact.
 
-    Tasks count in tries of a bounded number of counters; their leaves are dealt by ranges of (lang, term), merged, and walked in order:
+    Tasks count in radix tries of a bounded number of counters, held in linear form; their leaves are dealt by ranges of (lang, term), merged, and walked in order:
     pairs are summed in each range and added up, a range offers `top` terms for each group. The tries' leaves, before and after the
     merge, are tables in the shared folder; the merged ones stay for the lazy result. A worker holds the square of a language's number
     of sources in sums, which is what the result has of rows.
