@@ -160,15 +160,13 @@ def test_session_events(spark):
 
 
 def fifo(stream):
-    """Parallel calls one by one: a queue of calls, results kept until their call is at its head; a result without an id is the head's."""
+    """Parallel calls one by one: a queue of calls; results kept by id, the later of two, until their call is at its head; a result without an id is the head's."""
     out, queue, held = [], [], {}
     for p, kind, i in stream:
-        if kind == "result" and i == "" and queue:
-            i = queue[0][1]
         if kind == "action":
             queue.append((p, i))
-        elif any(i == q for _, q in queue):
-            held[i] = p
+        elif any(i == q for _, q in queue) or (i == "" and queue):
+            held[i if any(i == q for _, q in queue) else queue[0][1]] = p
             while queue and queue[0][1] in held:
                 q, j = queue.pop(0)
                 out += [q, held.pop(j)]
@@ -178,17 +176,19 @@ def fifo(stream):
 
 
 def test_parallel_calls(spark):
+    """Segments of calls and results in any order, with ids that are missing or come twice."""
     rng, rows, want = random.Random(8), [], {}
-    for s in range(40):
-        calls = [("action", str(i)) for i in range(rng.randint(0, 5))]
-        stream = calls + [("result", i if rng.random() < 0.8 else "") for _, i in calls if rng.random() < 0.8] + ([("result", "no")] if rng.random() < 0.3 else [])
+    for s in range(120):
+        ids = [rng.choice(["a", "b", ""]) if s % 3 == 0 else str(i) for i in range(rng.randint(0, 5))]
+        results = [("result", i if rng.random() < 0.8 else "") for i in ids if rng.random() < 0.8] + [("result", i) for i in ids if s % 3 and rng.random() < 0.2]
+        stream = [("action", i) for i in ids] + results + ([("result", "no")] if rng.random() < 0.3 else [])
         rng.shuffle(stream)
         numbered = [(p, k, i) for p, (k, i) in enumerate(stream, 1)]
         want[s] = fifo(numbered)
         rows += [(s, 0, p, k, i) for p, k, i in numbered]
     got: dict = {s: [] for s in want}
-    calls = convert_session.attached(spark.createDataFrame(rows, "session int, seg int, p long, kind string, id string"))
-    for r in convert_session.emission_order(calls).orderBy("session", "k1", "k2", "k3", "k4").collect():
+    calls = spark.createDataFrame(rows, "session int, seg int, p long, kind string, id string")
+    for r in convert_session.queued(calls).filter("not dropped").orderBy("session", "k1", "k2", "k3", "k4").collect():
         got[r["session"]].append(r["p"])
     assert got == want
 

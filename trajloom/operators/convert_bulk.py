@@ -44,6 +44,24 @@ def details(df: DataFrame, dataset: str, column: str = "trajectory") -> DataFram
     return df.withColumn("details", F.map_concat(have, missing) if more else have)
 
 
+def with_errors(df: DataFrame, column: str = "trajectory") -> DataFrame:
+    """df with error: why a row can't be converted, null where it can."""
+    error = F.when(F.col("trajectory_id").isNull(), "no trajectory_id").when(F.col(column).isNull(), "no trajectory").when(F.exists(column, lambda m: m.isNull()), "a message is null")
+    return df.withColumn("error", error)
+
+
+def convert(df: DataFrame, column: str = "trajectory", errors: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """(events of the rows that can be converted, trajectory_id and error of the others); errors='raise' fails where there is one, 'skip' leaves it out."""
+    if errors not in ("raise", "skip"):
+        raise ValueError(f"errors is 'raise' or 'skip', not {errors!r}")
+    rows = with_errors(df, column)
+    bad = rows.filter("error is not null").select("trajectory_id", "error")
+    if errors == "skip":
+        return events(rows.filter("error is null").drop("error"), column), bad
+    said = F.raise_error(F.concat(F.coalesce("trajectory_id", F.lit("?")), F.lit(": "), F.col("error")))
+    return events(rows.withColumn("trajectory_id", F.when(F.col("error").isNotNull(), said.cast("string")).otherwise(F.col("trajectory_id"))).drop("error"), column), bad
+
+
 def events(df: DataFrame, column: str = "trajectory") -> DataFrame:
     """Events of each row: system, user and tool messages are observations, each tool call an action, other
     assistant text a message; an empty assistant message gives none and an unknown role is kept as an observation.

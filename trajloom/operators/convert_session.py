@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import text, variants
+from ..functions import shared, text, variants
 from .events import as_events
+from .render import quoted
+
+#: The place of what comes at a segment's end.
+FAR = 1 << 60
 
 
 def get(path: str, kind: str = "string") -> Column:
@@ -84,30 +95,53 @@ def blocks(messages: DataFrame) -> DataFrame:
     return b.withColumn("p", F.row_number().over(Window.partitionBy("session").orderBy("pos", "block_index")).cast("long"))
 
 
-def attached(calls: DataFrame) -> DataFrame:
-    """calls, in which a result without an id has the id of the call it goes to: the first that still waits when it comes, if any does.
+def queued(calls: DataFrame) -> DataFrame:
+    """Where actions and results of parallel tool calls go, as in emission_order(), also where ids are missing or come twice: adds dropped too.
 
-    Which call that is depends on all results before, so a segment with such a result is walked
-    through in order, one call or result at a time; other segments aren't touched.
+    A result belongs to the call of its id that waits, or without an id to the first that waits; of two results of a call that waits the later
+    one counts, and the earlier is dropped. Which call that is depends on all results before, so a segment with such ids is
+    walked through in order by one task, a small row for each call or result; other segments have their places in closed form.
     """
-    odd = calls.filter("kind = 'result' and id = ''").select("session", "seg").distinct()
+    twice = F.count("*") > F.count_distinct("id")
+    kinds = calls.groupBy("session", "seg", "kind").agg((F.max(F.coalesce("id", F.lit("")) == "") | twice).alias("odd"))
+    odd = kinds.filter("odd").select("session", "seg").distinct()
 
     def walk(t: pa.Table) -> pa.Table:
         rows = t.sort_by("p").to_pylist()
-        waiting: list[str] = []
-        answered: set[str] = set()
+        for r in rows:
+            r |= {"id": r["id"] or "", "k1": r["p"], "k2": 1, "k3": r["p"], "k4": 0, "paired": False, "dropped": False}
+        waiting: list[dict] = []
+        held: dict[str, dict] = {}
         for r in rows:
             if r["kind"] == "action":
-                waiting.append(r["id"])
-            elif waiting:
-                r["id"] = r["id"] or waiting[0]
-                answered |= {r["id"]} & set(waiting)
-            while waiting and waiting[0] in answered:
-                answered.discard(waiting.pop(0))
-        return pa.Table.from_pylist(rows, t.schema)
+                waiting.append(r)
+                continue
+            known = any(a["id"] == r["id"] for a in waiting)
+            if not known and (r["id"] or not waiting):
+                continue  # a stray result stays where it is
+            key = r["id"] if known else waiting[0]["id"]
+            if key in held:
+                held[key]["dropped"] = True
+            held[key] = r  # keeps the place of the first
+            while waiting and waiting[0]["id"] in held:
+                call = waiting.pop(0)
+                answer = held.pop(call["id"])
+                call |= {"k1": r["p"], "paired": True}
+                answer |= {"k1": r["p"], "k3": call["p"], "k4": 1, "paired": True}
+        for call in waiting:
+            call |= {"k1": FAR, "k2": 2}
+        for n, answer in enumerate(held.values()):
+            answer |= {"k1": FAR, "k2": 3, "k3": n, "paired": True}
+        for call in waiting:
+            call["paired"] = call["id"] in held
+        return pa.Table.from_pylist(rows, schema)
 
-    fixed = calls.join(odd, ["session", "seg"], "left_semi").groupBy("session", "seg").applyInArrow(walk, calls.schema)
-    return calls.join(odd, ["session", "seg"], "left_anti").unionByName(fixed)
+    plain = emission_order(calls.join(odd, ["session", "seg"], "left_anti")).withColumn("dropped", F.lit(False))
+    names = [*calls.columns, "k1", "k2", "k3", "k4", "paired", "dropped"]
+    plain = plain.select(*calls.columns, *(F.col(c).cast("long").alias(c) for c in ("k1", "k2", "k3", "k4")), "paired", "dropped")
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in plain.schema.fields])
+    fixed = calls.join(odd, ["session", "seg"], "left_semi").groupBy("session", "seg").applyInArrow(walk, plain.schema)
+    return plain.unionByName(fixed.select(*names))
 
 
 def emission_order(calls: DataFrame) -> DataFrame:
@@ -116,14 +150,15 @@ def emission_order(calls: DataFrame) -> DataFrame:
     calls: session, seg, p, kind ('action' or 'result'), id. In a segment (between normal user
     messages), a call and its result come out together once all calls before have their results: at
     the running maximum of the results' places. Calls that stay blocked come out at the
-    segment's end, then the results they held back. A result of no call stays where it is.
+    segment's end, then the results they held back. A result of no call stays where it is. Ids must be unique among a segment's calls and
+    among its results; see queued() for others.
     """
     a = calls.filter("kind = 'action'")
     r = calls.filter("kind = 'result'").select("session", "seg", "id", F.col("p").alias("rp"))
     match = a.join(r, ["session", "seg", "id"], "left").withColumn("rp", F.when(F.col("rp") > F.col("p"), F.col("rp")))
     match = match.groupBy("session", "seg", "id", "p").agg(F.min("rp").alias("rp"))
     w = Window.partitionBy("session", "seg").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    far = F.lit(1 << 60)
+    far = F.lit(FAR)
     match = match.withColumn("m", F.max(F.coalesce("rp", far)).over(w))
     free = F.col("m") < far
     acts = match.select("session", "p", F.when(free, F.col("m")).otherwise(far).alias("k1"), F.when(free, 1).otherwise(2).alias("k2"), F.col("p").alias("k3"), F.lit(0).alias("k4"), F.col("rp").isNotNull().alias("paired"))
@@ -139,17 +174,25 @@ def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: boo
     Text and thoughts of the assistant wait for the next tool call, whose description and
     reasoning they become; what no call takes is a message before the next normal user message.
     """
-    b = blocks(linear(records, use_parent_chain)).filter("type is not null")
+    out, _ = _converted(linear(records, use_parent_chain), drop_thinking, lowercase_functions, keep_parallel_order)
+    return out
+
+
+def _converted(chain: DataFrame, drop_thinking: bool, lowercase_functions: bool, keep_parallel_order: bool) -> tuple[DataFrame, DataFrame]:
+    """(events, warnings: session, seg, k1, k2, k3, said) of messages in order."""
+    everything = blocks(chain)
+    b = everything
     by = Window.partitionBy("session").orderBy("p")
     first = F.col("normal") & (F.row_number().over(Window.partitionBy("session", "pos").orderBy("block_index")) == 1)
-    b = b.withColumn("first", first)
+    b = b.withColumn("first", first).filter("type is not null or first")  # a user message without blocks ends a segment too
     b = b.withColumn("seg", F.sum(F.col("first").cast("int")).over(by))
+    b = b.withColumn("type", F.coalesce("type", F.lit("")))
     call = (F.col("role") == "assistant") & (F.col("type") == "tool_use")
     stop = (call | F.col("first")).cast("int")
     b = b.withColumn("grp", F.sum(stop).over(by) - stop)
     thought = (F.col("role") == "assistant") & (F.col("type") == "thinking")
-    said = (F.col("role") == "assistant") & ~call & ~thought & (text.strip(F.col("text")) != "")
-    pend = b.filter(said | (thought & F.lit(not drop_thinking) & (text.strip(F.col("text")) != ""))).withColumn("thought", F.col("type") == "thinking")
+    spoken = (F.col("role") == "assistant") & ~call & ~thought & (text.strip(F.col("text")) != "")
+    pend = b.filter(spoken | (thought & F.lit(not drop_thinking) & (text.strip(F.col("text")) != ""))).withColumn("thought", F.col("type") == "thinking")
     ordered = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("p", "text")))), lambda x: x["text"])
     prov = lambda kind: F.struct(F.col("lineno").cast("int").alias("raw_jsonl_line"), F.col("uuid").alias("raw_uuid"), F.col("parent").alias("raw_parent_uuid"), F.col("role").alias("raw_role"), kind.alias("raw_block_type"), F.col("block_index").alias("raw_block_index"), F.nullif("id", F.lit("")).alias("tool_use_id"))
     pend = pend.groupBy("session", "grp").agg(text.compact(ordered(~F.col("thought"))).alias("visible"), text.compact(ordered(F.col("thought"))).alias("reasoning"), F.max("seg").alias("seg"), F.max_by(F.when(~F.col("thought"), prov(F.lit("text"))), F.when(~F.col("thought"), F.col("p"))).alias("last"))
@@ -158,13 +201,18 @@ def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: boo
     tools = tools.withColumn("kind", F.when(call, "action").otherwise("result"))
     if keep_parallel_order:
         order = tools.select("session", "p", F.col("p").alias("k1"), F.lit(1).alias("k2"), F.col("p").alias("k3"), F.lit(0).alias("k4"))
+        order = order.withColumns({"paired": F.lit(True), "dropped": F.lit(False)})
     else:
-        order = emission_order(attached(tools.select("session", "seg", "p", "kind", "id"))).select("session", "p", "k1", "k2", "k3", "k4")
-    names = tools.filter("kind = 'action' and id <> ''").groupBy("session", "id").agg(F.max_by("tool", "p").alias("caller"))
-    t = tools.join(order, ["session", "p"]).join(names, ["session", "id"], "left").join(pend.select("session", "grp", "visible", "reasoning"), ["session", "grp"], "left")
+        order = queued(tools.select("session", "seg", "p", "kind", "id")).select("session", "p", "k1", "k2", "k3", "k4", "paired", "dropped")
+    # the tool that was called last by this id before the result
+    earlier = Window.partitionBy("session", "id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    tools = tools.withColumn("caller", F.last(F.when((F.col("kind") == "action") & (F.col("id") != ""), F.coalesce("tool", F.lit(""))), ignorenulls=True).over(earlier))
+    t = tools.join(order, ["session", "p"]).join(pend.select("session", "grp", "visible", "reasoning"), ["session", "grp"], "left")
     name = F.concat(F.coalesce("caller", F.lit("tool")), F.when(F.col("id") != "", F.concat(F.lit(":"), F.col("id"))).otherwise(""), F.when(F.col("error"), ":error").otherwise(""))
+    said = _pairing_warnings(t, b)
+    t = t.filter("not dropped")
     act = F.col("kind") == "action"
-    obj = F.when(F.coalesce("input", F.lit("null")).isin("null", '""', "[]", "0", "false"), F.lit("{}")).when(F.col("input").startswith("{"), F.col("input")).otherwise(F.concat(F.lit('{"input":'), F.col("input"), F.lit("}")))
+    obj = _as_object(F.col("input"))
     bash = act & (F.col("tool") == "Bash")
     own = F.get_json_object(obj, "$.description")
     rest = F.when(own.isNotNull(), variants.without_keys(F.parse_json(obj), "description")).otherwise(obj)
@@ -175,14 +223,41 @@ def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: boo
         F.when(bash, F.coalesce(F.get_json_object(obj, "$.command"), F.lit(""))).when(~act, F.col("text")).alias("content"), F.when(bash, "bash").alias("language"), F.when(act & ~bash, fn).alias("function"),
         F.when(act & ~bash, rest).alias("kwargs_json"), F.when(act, text.compact(F.array(F.coalesce("visible", F.lit("")), F.coalesce(own, F.lit(""))))).alias("description"), F.when(act, F.col("reasoning")).alias("reasoning_content"), prov(F.col("type")).alias("provenance"),
     )
-    users = b.filter((F.col("role") == "user") & (F.col("type") != "tool_result"))
+    users = b.filter((F.col("role") == "user") & ~F.col("type").isin("tool_result", ""))
     users = users.select("session", "seg", F.col("p").alias("k1"), F.lit(1).alias("k2"), F.col("p").alias("k3"), F.lit(0).alias("k4"), F.lit("text_observation").alias("class_"), F.lit("user").alias("source"), F.lit("user").alias("name"), F.col("text").alias("content"), prov(F.lit("text")).alias("provenance"))
     taken = b.filter(call).select("session", "grp")
     left = pend.filter("visible is not null").join(taken, ["session", "grp"], "left_anti")
     left = left.select("session", "seg", F.lit(1 << 60).alias("k1"), F.lit(4).alias("k2"), F.col("grp").cast("long").alias("k3"), F.lit(0).alias("k4"), F.lit("message_action").alias("class_"), F.col("visible").alias("content"), F.col("reasoning").alias("reasoning_content"), F.col("last").alias("provenance"))
     out = t.unionByName(users, allowMissingColumns=True).unionByName(left, allowMissingColumns=True)
     out = out.withColumn("idx", F.row_number().over(Window.partitionBy("session").orderBy("seg", "k1", "k2", "k3", "k4")) - 1).withColumn("traj_id", F.col("session"))
-    return as_events(out)
+    return as_events(out), said.unionByName(_block_warnings(everything, b))
+
+
+def _pairing_warnings(tools: DataFrame, b: DataFrame) -> DataFrame:
+    """session, seg, k1, k2, k3, said: calls without results, and results without calls that wait, where the conversion meets them."""
+    last = b.groupBy("session").agg(F.max("seg").alias("last"))
+    t = tools.join(last, "session")
+    end = F.when(F.col("seg") == F.col("last"), "end of trajectory").otherwise("normal user message")
+    id = quoted(F.col("id"))
+    lost = F.concat(F.lit("Unpaired tool_use "), id, F.lit(" emitted without tool_result before "), end)
+    at_end = F.when(F.col("seg") == F.col("last"), " had no pending tool_use at end of trajectory").otherwise(" had no pending tool_use before normal user message")
+    stray = F.concat(F.lit("tool_result "), id, F.lit(" at line "), F.col("lineno").cast("string"), F.lit(" had no pending tool_use"))
+    said = F.when((F.col("kind") == "action") & (F.col("k2") == 2), lost).when((F.col("kind") == "result") & (F.col("k2") == 3) & ~F.col("dropped"), F.concat(F.lit("tool_result "), id, at_end))
+    said = said.when((F.col("kind") == "result") & ~F.col("paired") & ~F.col("dropped"), stray)
+    return t.select("session", "seg", "k1", "k2", "k3", said.alias("said")).filter("said is not null")
+
+
+def _block_warnings(everything: DataFrame, b: DataFrame) -> DataFrame:
+    """The same for blocks of a type that isn't known, and messages of a role that isn't."""
+    known = {"user": ("tool_result", "text", ""), "assistant": ("thinking", "text", "tool_use", "")}
+    shown = F.coalesce(quoted(F.nullif("type", F.lit(""))), F.lit("None"))
+    odd = F.when(F.col("role") == "user", ~F.col("type").isin(*known["user"])).when(F.col("role") == "assistant", ~F.col("type").isin(*known["assistant"]))
+    blocks_ = b.filter(odd).select("session", "seg", F.col("p").alias("k1"), F.lit(1).cast("long").alias("k2"), F.col("p").alias("k3"), F.concat(F.lit("Unknown "), "role", F.lit(" content block type "), shown, F.lit(" at line "), F.col("lineno").cast("string")).alias("said"))
+    role = everything.filter(~F.coalesce("role", F.lit("")).isin("user", "assistant")).groupBy("session", "pos").agg(F.min("p").alias("p"), F.first("role").alias("role"), F.first("lineno").alias("lineno"))
+    before = b.filter("first").groupBy("session").agg(F.array_sort(F.collect_list("p")).alias("starts"))  # a number for each user message of a session
+    role = role.join(before, "session", "left").withColumn("seg", F.coalesce(F.size(F.filter("starts", lambda s: s <= F.col("p"))), F.lit(0)).cast("long"))
+    said = F.concat(F.lit("Unknown message role "), F.coalesce(quoted(F.col("role")), F.lit("None")), F.lit(" at line "), F.col("lineno").cast("string"))
+    return blocks_.unionByName(role.select("session", "seg", F.col("p").alias("k1"), F.lit(1).cast("long").alias("k2"), F.col("p").alias("k3"), said.alias("said")))
 
 
 def session_details(records: DataFrame, chain: DataFrame) -> DataFrame:
@@ -197,7 +272,127 @@ def session_details(records: DataFrame, chain: DataFrame) -> DataFrame:
     return r.join(c, "session", "left")
 
 
-def trajectory_id(session_ids: Column, stem: Column, records_json: Column) -> Column:
-    """The single session id, else the file's stem and a short hash of the ids or, without any, of the records."""
-    n = F.size(session_ids)
-    return F.when(n == 1, F.get(session_ids, F.lit(0))).when(n > 1, F.concat(stem, F.lit("-"), text.short_hash(F.array_join(session_ids, "|")))).otherwise(F.concat(stem, F.lit("-"), text.short_hash(records_json)))
+def record_digests(records: DataFrame) -> DataFrame:
+    """session, digest: SHA-256 of a session's records in order, as one JSON list with sorted keys and each record's line number.
+
+    Records stream by in order, one at a time, so a session of any size needs no more memory than its longest record. records: session, lineno, rec VARIANT and,
+    if numbers must be as they are written, value (the line itself).
+    """
+    own = F.col("value") if "value" in records.columns else F.to_json("rec")
+    rows = records.select("session", F.col("lineno").cast("long").alias("lineno"), own.alias("value"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha = None, hashlib.sha256()
+        done: list[tuple[str, str]] = []
+
+        def ended() -> None:
+            if now is not None:
+                sha.update(b"]")
+                done.append((now, sha.hexdigest()))
+
+        for batch in batches:
+            for session, lineno, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if session != now:
+                    ended()
+                    now, sha = session, hashlib.sha256(b"[")
+                else:
+                    sha.update(b", ")
+                record = json.loads(value) | {"_jsonl_lineno": lineno}
+                sha.update(json.dumps(record, sort_keys=True, ensure_ascii=False).encode("utf-8", errors="replace"))
+            if len(done) > 1000:
+                yield pa.RecordBatch.from_pydict({"session": [x for x, _ in done], "digest": [x for _, x in done]})
+                done.clear()
+        ended()
+        yield pa.RecordBatch.from_pydict({"session": pa.array([x for x, _ in done], pa.string()), "digest": pa.array([x for _, x in done], pa.string())})
+
+    return rows.repartition("session").sortWithinPartitions("session", "lineno").mapInArrow(digest, "session string, digest string")
+
+
+def trajectory_ids(records: DataFrame, session_ids: DataFrame, digits: int = 12) -> DataFrame:
+    """session, id, traj_id: the single session id, else the file's stem and a short hash of the sorted ids or, without any, of the records.
+
+    session_ids: session, session_ids (sorted). Only sessions without ids have their records read for it. Several files may have one id; traj_id, which keys
+    tables, then has the file after it.
+    """
+    n = F.size("session_ids")
+    stem = F.regexp_replace(F.substring_index("session", "/", -1), r"(?<=.)\.[^.]*$", "")
+    none = session_ids.filter(n < 1).select("session")
+    digests = record_digests(records.join(none, "session", "left_semi"))
+    many = F.concat(stem, F.lit("-"), text.short_hash(F.array_join("session_ids", "|"), digits))
+    t = session_ids.join(digests, "session", "left").select("session", F.when(n == 1, F.get("session_ids", F.lit(0))).when(n > 1, many).otherwise(F.concat(stem, F.lit("-"), F.left("digest", F.lit(digits)))).alias("id"))
+    shared_by = t.groupBy("id").agg(F.count("*").alias("files"))
+    return t.join(shared_by, "id").select("session", "id", F.when(F.col("files") > 1, F.concat("id", F.lit(" "), "session")).otherwise(F.col("id")).alias("traj_id"))
+
+
+@dataclass(frozen=True)
+class Converted:
+    """events by traj_id; trajectories: session, id, traj_id, schema_version, details (JSON); warnings: session, n (from 0), said."""
+
+    events: DataFrame
+    trajectories: DataFrame
+    warnings: DataFrame
+
+
+def convert(records: DataFrame, use_parent_chain: bool = True, drop_thinking: bool = False, lowercase_functions: bool = False, keep_parallel_order: bool = False, raw_inputs: bool = True, raw_results: bool = True) -> Converted:
+    """Sessions (session, lineno, rec VARIANT and optionally value, the line) with their ids, details and warnings.
+
+    The chain is stored in the shared folder, since events, details and warnings all read it. Details are a session's own: what its records
+    name (ids, versions, models, folders, branches), counts, tools by call, summaries, the issue that the first user text states, warnings in the order the conversion meets them,
+    and on demand the last input and result of every call.
+    """
+    chain = shared.stored(linear(records, use_parent_chain), "chain")
+    events_, said = _converted(chain, drop_thinking, lowercase_functions, keep_parallel_order)
+    order = Window.partitionBy("session").orderBy("seg", "k1", "k2", "k3", "said")
+    warnings = said.select("session", (F.row_number().over(order) - 1).alias("n"), "said")
+    own = session_details(records, chain)
+    ids = trajectory_ids(records, own.select("session", F.coalesce("session_ids", F.array().cast("array<string>")).alias("session_ids")))
+
+    b = blocks(chain)
+    calls = b.filter("role = 'assistant' and type = 'tool_use' and id <> ''").groupBy("session", "id").agg(F.min("p").alias("first"), F.max_by(F.coalesce("tool", F.lit("")), "p").alias("tool"), F.max_by(_as_object(F.col("input")), "p").alias("input"))
+    in_order = lambda c: F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("first", "id", c.alias("v")))), lambda x: F.struct(x["id"], x["v"])))
+    parts = [calls.groupBy("session").agg(in_order(F.col("tool")).alias("tool_use_id_to_function"), in_order(F.col("input")).alias("inputs"))]
+    results = chain.select("session", "pos", F.coalesce(get("$.message.role"), get("$.type")).alias("role"), F.try_variant_get("rec", "$.toolUseResult", "variant").alias("own"), F.posexplode(variants.blocks(get("$.message.content", "variant"))).alias("i", "x"))
+    id = F.try_variant_get("x", "$.tool_use_id", "string")
+    results = results.filter((F.col("role") == "user") & (F.try_variant_get("x", "$.type", "string") == "tool_result") & (id != ""))
+    results = results.groupBy("session", id.alias("id")).agg(F.min(F.struct("pos", "i")).alias("first"), F.max_by(F.to_json(F.coalesce("own", "x")), F.struct("pos", "i")).alias("result"))
+    parts.append(results.groupBy("session").agg(in_order(F.col("result")).alias("results")))
+    user = b.filter((F.col("role") == "user") & (F.col("type") != "tool_result") & (text.strip(F.col("text")) != ""))
+    parts.append(user.groupBy("session").agg(F.min_by("text", "p").alias("first_user_text")))
+    parts.append(warnings.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]).alias("warnings")))
+    t = reduce(lambda x, y: x.join(y, "session", "left"), parts, own)
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(c, none)
+    nothing = F.create_map().cast("map<string,string>")
+    parsed = lambda c: F.transform_values(F.coalesce(c, nothing), lambda _, v: F.parse_json(v))
+    # names that details have (fixed values)
+    details = F.struct(
+        F.lit("claude_code_jsonl").alias("source_format"), F.col("session").alias("source_file"), listed("session_ids").alias("session_ids"), listed("versions").alias("claude_code_versions"), listed("models").alias("models"), listed("cwds").alias("cwd"),
+        listed("git_branches").alias("git_branches"), "raw_record_count", "message_record_count", F.coalesce("converted_chain_record_count", F.lit(0)).alias("converted_chain_record_count"), F.coalesce("tool_use_id_to_function", nothing).alias("tool_use_id_to_function"),
+        listed("summary").alias("summary"), text.issue_metadata(F.coalesce("first_user_text", F.lit(""))).alias("issue_metadata"), listed("warnings").alias("warnings"),
+        *([parsed("inputs").alias("raw_tool_inputs_by_id")] if raw_inputs else []), *([parsed("results").alias("raw_tool_results_by_id")] if raw_results else []), "file_history_snapshot_count",
+    )
+    trajectories = t.join(ids, "session").select("session", "id", "traj_id", F.lit("1.1.0").alias("schema_version"), F.to_json(details).alias("details"))
+    keyed = events_.withColumnRenamed("traj_id", "session").join(ids.select("session", "traj_id"), "session")
+    return Converted(as_events(keyed), trajectories, warnings)
+
+
+def _as_object(input: Column) -> Column:
+    """JSON text of a call's input: an object as it is, nothing as {}, anything else as {"input": it}."""
+    empty = F.coalesce(input, F.lit("null")).isin("null", '""', "[]", "0", "false")
+    return F.when(empty, F.lit("{}")).when(input.startswith("{"), input).otherwise(F.concat(F.lit('{"input":'), input, F.lit("}")))
+
+
+def adp_lines(converted: Converted) -> DataFrame:
+    """session, traj_id, json: each trajectory as one object of id, schema_version, content and details, its items with the members that their class has."""
+    e = converted.events
+    some = lambda *names: F.to_json(F.struct("class_", *names, "provenance"))
+    kwargs = F.parse_json(F.coalesce("kwargs_json", F.lit("{}"))).alias("kwargs")
+    item = (
+        F.when(F.col("class_") == "text_observation", some("content", "name", "source")).when(F.col("class_") == "api_action", some("function", kwargs, "description", "reasoning_content"))
+        .when(F.col("class_") == "code_action", some("language", "content", "description", "reasoning_content")).otherwise(some("content", "description", "reasoning_content"))
+    )
+    items = e.groupBy("traj_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", item.alias("x")))), lambda x: x["x"]), ",").alias("items"))
+    t = converted.trajectories.join(items, "traj_id", "left")
+    own = F.to_json(F.struct("schema_version", "id"))
+    whole = F.concat(F.expr("left({0}, length({0}) - 1)".format("__own")), F.lit(',"content":['), F.coalesce("items", F.lit("")), F.lit('],"details":'), "details", F.lit("}"))
+    return t.withColumn("__own", own).select("session", "traj_id", whole.alias("json"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shared, text
@@ -11,6 +13,9 @@ from .render import CONDITIONS
 #: Columns a run row must have (fixed values).
 RUN_FIELDS = ("run_id", "condition", "target_instance_id", "target_repo", "target_base_commit", "prompt_path", "sandbox_image", "output_dir")
 
+#: Runs that count as done (fixed values).
+SUCCESS = ("success", "success_empty_patch")
+
 
 def need_columns(df: DataFrame, *names: str) -> DataFrame:
     missing = sorted(set(names) - set(df.columns))
@@ -30,8 +35,8 @@ def pairs(relationship: DataFrame, experience: DataFrame, related: DataFrame, in
 
     relationship rows with both ends known and an entry in index (prior_instance_id unique), without
     repeats; one_per_target: of a target's priors the first by id. The end tables prune the pairs by
-    semi joins before anything wide is joined; of repeated related rows the last counts: by the column
-    `row`, if there is one (see readers.lines), else by place in the table as it is read.
+    semi joins before anything wide is joined; of repeated related rows the last counts, by a column `row` that says
+    their places in their file (see readers.lines); without one a related id that comes twice fails the query.
     """
     rel = need_columns(relationship, "experience_instance_id", "related_instance_id").select("experience_instance_id", "related_instance_id")
     rel = rel.join(experience.select(F.col("instance_id").alias("experience_instance_id")), "experience_instance_id", "left_semi")
@@ -40,12 +45,32 @@ def pairs(relationship: DataFrame, experience: DataFrame, related: DataFrame, in
     if one_per_target:
         rel = rel.groupBy("related_instance_id").agg(F.min("experience_instance_id").alias("experience_instance_id"))
     own = [c for c in related.columns if c not in ("instance_id", "row")]
-    place = F.col("row") if "row" in related.columns else F.monotonically_increasing_id()
-    target = related.withColumn("__row", place).groupBy(F.col("instance_id").alias("related_instance_id")).agg(F.max_by(F.struct(*own), "__row").alias("t")).select("related_instance_id", *(F.col(f"t.{c}").alias(f"target_{c}") for c in own))
+    if "row" in related.columns:
+        last = related.groupBy("instance_id").agg(F.max_by(F.struct(*own), "row").alias("t")).select("instance_id", "t.*")
+    else:
+        last = unique(related, "instance_id")
+    target = last.select(F.col("instance_id").alias("related_instance_id"), *(F.col(c).alias(f"target_{c}") for c in own))
     prior = unique(index, "prior_instance_id").withColumnRenamed("prior_instance_id", "experience_instance_id")
     return rel.join(target, "related_instance_id").join(prior, "experience_instance_id")
 
 
+def first_pairs(pairs_: DataFrame, limit: int | None) -> DataFrame:
+    """The first pairs by related and experience id, one at least; None: all of them. A top-k, not a sort."""
+    if limit is None:
+        return pairs_
+    return pairs_.orderBy("related_instance_id", "experience_instance_id").limit(max(limit, 1))
+
+
+def manifest_summary(pairs_: DataFrame, runs_: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """One row: pair_rows, unique_priors, unique_targets, run_rows, missing_targets (sorted; those of `expected`, column target_instance_id, that no pair has)."""
+    n = pairs_.agg(F.count("*").alias("pair_rows"), F.count_distinct("experience_instance_id").alias("unique_priors"), F.count_distinct("related_instance_id").alias("unique_targets"))
+    out = n.crossJoin(runs_.agg(F.count("*").alias("run_rows")))  # one row each
+    if expected is None:
+        return out.withColumn("missing_targets", F.array().cast("array<string>"))
+    gone = expected.select("target_instance_id").distinct().join(pairs_.select(F.col("related_instance_id").alias("target_instance_id")), "target_instance_id", "left_anti")
+    return out.crossJoin(gone.agg(F.array_sort(F.collect_list("target_instance_id")).alias("missing_targets")))
+
+
 def injection_index(files: DataFrame) -> DataFrame:
     """key, path: for each long enough part of a file name (without extension) and each marked id in its text, the first path that has it.
 
@@ -107,18 +132,93 @@ def ordered_plan(rows: DataFrame, conditions: tuple[str, ...] = CONDITIONS, smok
 
 def to_do(plan: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
     """Runs that haven't succeeded. done: run_id, status."""
-    return plan if force else plan.join(done.filter(F.col("status").isin("success", "success_empty_patch")), "run_id", "left_anti")
+    return plan if force else plan.join(done.filter(F.col("status").isin(*SUCCESS)), "run_id", "left_anti")
+
+
+def run_status(skipped: str = "skipped", exception: str = "exception", off_workspace: str = "off_workspace_writes", exit_code: str = "exit_code", patch: str = "patch", fail_on_off_workspace: bool = True) -> Column:
+    """skipped_success, orchestrator_exception, workspace_guardrail_failed, success_empty_patch, success or openhands_failed; 'started' while there is no exit code.
+
+    Columns: a boolean, the exception's text, the number of files written outside, the exit code, the patch.
+    """
+    outside = (F.coalesce(F.col(off_workspace), F.lit(0)) > 0) & F.lit(fail_on_off_workspace)
+    ended = F.when(F.coalesce(patch, F.lit("")) == "", "success_empty_patch").otherwise("success")
+    return (
+        F.when(F.coalesce(skipped, F.lit(False)), "skipped_success").when(F.col(exception).isNotNull(), "orchestrator_exception").when(F.col(exit_code).isNull(), "started")
+        .when(outside, "workspace_guardrail_failed").when(F.col(exit_code) == 0, ended).otherwise("openhands_failed")
+    )
+
+
+def runtime(requested: Column, image_ready: Column, host_ready: Column) -> Column:
+    """struct<runtime, reason>: host or image if forced; auto: the image if it can, else the host. runtime is null where what is asked for isn't there, and reason says so."""
+    of = lambda name, reason: F.struct((F.lit(name) if name else F.lit(None).cast("string")).alias("runtime"), F.lit(reason).alias("reason"))
+    image = F.when(image_ready, of("image", "forced_image")).otherwise(of(None, "image_not_ready"))
+    auto = F.when(image_ready, of("image", "auto_image_available")).when(host_ready, of("host", "auto_image_missing_program")).otherwise(of(None, "neither_ready"))
+    return F.when(requested == "host", of("host", "forced_host")).when(requested == "image", image).when(requested == "auto", auto).otherwise(of(None, "unknown_runtime"))
+
 
+def selection_problems(rows: DataFrame, conditions: tuple[str, ...] = CONDITIONS, smoke_target: str | None = None, confirmed: bool = True) -> DataFrame:
+    """problem, detail: why a selection of runs must not start. No rows: it may.
 
-def run_status(guard_ok: str = "guard_ok", exit_code: str = "exit_code", patch: str = "patch"):
-    """Column: workspace_guardrail_failed, openhands_failed, success_empty_patch or success."""
-    return F.when(~F.col(guard_ok), "workspace_guardrail_failed").when(F.col(exit_code) != 0, "openhands_failed").when(text.strip(F.coalesce(patch, F.lit(""))) == "", "success_empty_patch").otherwise("success")
+    null_field: a required field is null (the run's id and the fields); smoke_conditions: the smoke target hasn't exactly the conditions;
+    duplicate: a target has a condition more than once; empty: nothing is selected; unconfirmed: a full run nobody has confirmed.
+    """
+    spark = rows.sparkSession
+    need_columns(rows, *RUN_FIELDS)
+    blank = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in RUN_FIELDS)))
+    found = rows.withColumn("__blank", blank).filter(F.size("__blank") > 0).select(F.lit("null_field").alias("problem"), F.concat_ws(": ", "run_id", F.array_join("__blank", ",")).alias("detail"))
+    chosen = rows.filter(F.col("condition").isin(*conditions))
+    if smoke_target is not None:
+        chosen = chosen.filter(F.col("target_instance_id") == smoke_target)
+        have = chosen.agg(F.array_join(F.array_sort(F.collect_set("condition")), ",").alias("detail")).filter(F.col("detail") != ",".join(sorted(conditions)))
+        found = found.unionByName(have.select(F.lit("smoke_conditions").alias("problem"), "detail"))
+    elif not confirmed:
+        found = found.unionByName(spark.createDataFrame([("unconfirmed", "")], "problem string, detail string"))
+    twice = chosen.groupBy("target_instance_id", "condition").agg(F.count("*").alias("n")).filter("n > 1")
+    found = found.unionByName(twice.select(F.lit("duplicate").alias("problem"), F.concat_ws(" ", "target_instance_id", "condition").alias("detail")))
+    none = chosen.agg(F.count("*").alias("n")).filter("n = 0")
+    return found.unionByName(none.select(F.lit("empty").alias("problem"), F.lit("").alias("detail")))
+
+
+def select_runs(rows: DataFrame, conditions: tuple[str, ...] = CONDITIONS, smoke_target: str | None = None, confirmed: bool = True, most: int | None = None) -> DataFrame:
+    """ordered_plan() of a selection without problems; else an error that names the first ten."""
+    bad = selection_problems(rows, conditions, smoke_target, confirmed).limit(10).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['problem']} {r['detail']}".strip() for r in bad))
+    return ordered_plan(rows, conditions, smoke_target, most)
 
 
-def predictions(plan: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(predictions with their condition, runs without one). found: run_id, model_name_or_path, model_patch."""
-    have = plan.join(found, "run_id").select("condition", F.col("target_instance_id").alias("instance_id"), "model_name_or_path", "model_patch")
-    return have, plan.join(found, "run_id", "left_anti").select("run_id", "condition", "target_instance_id")
+@dataclass(frozen=True)
+class Predictions:
+    """strict: condition, plan_index, run_id, pred; audit: one row for each of these; missing: run_id, prediction_path; duplicates: condition, instance_ids."""
+
+    strict: DataFrame
+    audit: DataFrame
+    missing: DataFrame
+    duplicates: DataFrame
+
+
+def predictions(plan: DataFrame, found: DataFrame, audits: DataFrame) -> Predictions:
+    """What the runs of a plan (run_id, condition, target_instance_id, plan_index, run_dir) predicted.
+
+    found, audits: folder, pred (VARIANT, null where the file is no object) of prediction.json and prediction_audit.json, see readers.predictions.
+    A run without a prediction is missing; one without an audit has a row that says so; of each condition the instance ids that several runs predict are listed, and all their rows kept.
+    """
+    at = lambda c: F.regexp_replace(c, "^[a-z][a-z0-9+.-]*:(//[^/]*)?|/+$", "")
+    own = lambda df, name: df.select(at("folder").alias("__dir"), F.col("pred").alias(name)).filter(f"{name} is not null")
+    p = plan.withColumn("__dir", at("run_dir")).join(own(found, "pred"), "__dir", "left").join(own(audits, "audit"), "__dir", "left")
+    have = p.filter("pred is not null")
+    none = F.struct("run_id", "condition", "target_instance_id", F.lit(True).alias("prediction_missing_audit"))
+    audit = have.select("plan_index", "run_id", "condition", F.coalesce(F.to_json("audit"), F.to_json(none)).alias("json"))
+    missing = p.filter("pred is null").select("run_id", F.concat("run_dir", F.lit("/prediction.json")).alias("prediction_path"))
+    strict = have.select("condition", "plan_index", "run_id", F.coalesce(F.try_variant_get("pred", "$.instance_id", "string"), F.lit("")).alias("instance_id"), F.to_json("pred").alias("json"))
+    twice = strict.groupBy("condition", "instance_id").agg(F.count("*").alias("n")).filter("n > 1").groupBy("condition").agg(F.array_sort(F.collect_list("instance_id")).alias("instance_ids"))
+    return Predictions(strict, audit, missing, twice)
+
+
+def write_predictions(strict: DataFrame, path: str) -> None:
+    """Lines of JSON in plan order, a folder for each condition, of which only those that `strict` has rows of are replaced."""
+    rows = strict.repartitionByRange("condition", "plan_index").sortWithinPartitions("condition", "plan_index")
+    rows.select("condition", F.col("json").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("condition").text(path)
 
 
 def report(plan: DataFrame, results: DataFrame) -> DataFrame:
@@ -136,11 +236,3 @@ def ambiguous(relationship: DataFrame) -> DataFrame:
     """related_instance_id, candidates: related tasks with more than one prior."""
     g = relationship.select("related_instance_id", "experience_instance_id").distinct().groupBy("related_instance_id").agg(F.array_sort(F.collect_list("experience_instance_id")).alias("candidates"))
     return g.filter(F.size("candidates") > 1)
-
-
-def writes_outside(files: DataFrame, since: str, allowed: tuple[str, ...], most: int = 200) -> DataFrame:
-    """Files changed since a time outside the allowed folders, the first by path. files: path, modified."""
-    f = files.filter(F.col("modified") >= F.lit(since).cast("timestamp"))
-    for a in allowed:
-        f = f.filter(~F.col("path").startswith(a))
-    return f.orderBy("path").limit(most)

@@ -40,9 +40,15 @@ FINAL_INSTRUCTION = """FINAL_INSTRUCTION
 Fix the CURRENT_ISSUE in the current repository. Do not modify unrelated behavior. Run relevant tests when practical, and leave the repository with the intended patch applied."""
 
 
+#: Control characters, but for those that have a letter of their own, and the blanks of one byte's codes that don't show.
+UNSEEN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]"
+
+
 def quoted(c: Column) -> Column:
     """A text as a Python literal: single quotes, or double ones if only single ones are in it; control characters escaped."""
     body = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    code = lambda x: F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(x)), 2, "0")))
+    body = F.when(body.rlike(UNSEEN), F.array_join(F.transform(F.split(body, ""), lambda x: F.when(x.rlike(UNSEEN), code(x)).otherwise(x)), "")).otherwise(body)
     for char, mark in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = F.replace(body, F.lit(char), F.lit(mark))
     double = c.contains("'") & ~c.contains('"')

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import shared, text
-from ..operators import adp, memory, memory_record
+from ..operators import adp, convert_bulk, convert_session, gates, manifest, memory, memory_record, paths, positional, render
+from ..sources import readers, sinks
 from . import sqltext as S
-from .fixtures import agent_events
-from .queries import COMMAND_ROWS, PREVIOUS
-from .registry import query
+from .fixtures import TOOLS, agent_events, raw_sessions
+from .queries import COMMAND_ROWS, PAIRS, PREVIOUS, _prompt_sql, bulk_rows, pair_tables, run_rows
+from .registry import query, table
 
 
 # ---- trajectories as lines, some of them broken
@@ -127,3 +131,255 @@ def t8_memory_quality(spark, sf_dir):
         q("excluded_scratch_edits_count", "scratch"), F.size("observation_evidence").cast("long").alias("evidence"), F.array_join(own, "|").alias("event_warnings"),
         F.when((F.size(late) == 1) & late[0].startswith("observation"), F.concat(joined, F.lit("|"))).otherwise(joined).alias("late"),
     )
+
+
+# ---- files that are written and read back
+
+
+def scratch(spark, name: str) -> str:
+    """A folder of its own below the shared one; queries that write files are eager there, and leave them for lazy readers."""
+    return f"{shared.ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select 'part-' || lpad(cast((n - 1) // 500 as varchar), 5, '0') || '.jsonl.zst' as file, (n - 1) % 500 + 1 as line, doc_id, sha256(text) as sha from (select *, row_number() over (order by doc_id) as n from documents)")
+def k2_shards(spark, sf_dir):
+    """Documents in numbered zstd shards of 500 rows, read back line by line."""
+    path = scratch(spark, "shards")
+    sinks.shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, "doc_id", rows=500)
+    back = readers.lines(spark, path, "*.zst")
+    return back.select(F.substring_index("src_file", "/", -1).alias("file"), F.col("lineno").cast("long").alias("line"), F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), text.sha(F.get_json_object("value", "$.text")).alias("sha"))
+
+
+@query("select lpad(cast(row_number() over (order by doc_id) as varchar), 6, '0') || '_' || lang || '_' || source || '.txt' as file, sha256(text || chr(10)) as sha from documents")
+def k6_numbered_texts(spark, sf_dir):
+    """A file for each document, named by its number and an id with signs that no name may have."""
+    path = scratch(spark, "texts")
+    d = table(spark, sf_dir, "documents").withColumn("id", F.concat(F.lit(" ."), "lang", F.lit(":/* "), "source", F.lit("?")))
+    sinks.numbered_texts(d, path, "id", "text", "doc_id")
+    return readers.text_folder(spark, path).select(F.substring_index("path", "/", -1).alias("file"), text.sha(F.col("value")).alias("sha"))
+
+
+def two_sides(spark, sf_dir):
+    """Documents as lines, in files of 300 and of 280; of the second side every 70th has another id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 2).alias("resolved"))
+    a, b = scratch(spark, "left"), scratch(spark, "right")
+    sinks.shards(d.select("doc_id", "id", "resolved"), a, "doc_id", rows=300, name="raw-%05d.jsonl")
+    sinks.shards(d.withColumn("id", F.when(F.col("doc_id") % 70 == 0, "other").otherwise(F.col("id"))).select("doc_id", "id"), b, "doc_id", rows=280, name="adp-%05d.jsonl.gz")
+    return a, b
+
+
+SIDES = """with d as (select doc_id, row_number() over (order by doc_id) - 1 as n from documents), l as (select n // 300 as file_no, n % 300 as row_no, cast(doc_id as varchar) as id from d),
+r as (select n // 280 as file_no, n % 280 as row_no, case when doc_id % 70 = 0 then 'other' else cast(doc_id as varchar) end as id from d)"""
+
+
+@query(SIDES + " select file_no, row_no, l.id as left_id, r.id as right_id from l join r using (file_no, row_no)")
+def j8_side_by_side(spark, sf_dir):
+    a, b = two_sides(spark, sf_dir)
+    id = F.get_json_object("value", "$.id")
+    both = positional.side_by_side(positional.by_place(spark, a, "*.jsonl"), positional.by_place(spark, b, "*.gz"), id, id, strict=False)
+    return both.select(F.col("file_no").cast("long").alias("file_no"), F.col("row_no").cast("long").alias("row_no"), "left_id", "right_id")
+
+
+@query(SIDES + """, a as (select file_no, count(*) as n from l group by 1), b as (select file_no, count(*) as n from r group by 1)
+select file_no, row_no, 'id mismatch: raw=' || l.id || ' converted=' || r.id as error from l join r using (file_no, row_no) where l.id <> r.id
+union all select file_no, least(coalesce(a.n, 0), coalesce(b.n, 0)), 'row count mismatch: raw=' || coalesce(a.n, 0) || ' converted=' || coalesce(b.n, 0) from a full join b using (file_no) where a.n is distinct from b.n""")
+def j8_mismatches(spark, sf_dir):
+    a, b = two_sides(spark, sf_dir)
+    id = F.get_json_object("value", "$.id")
+    found = positional.mismatches(positional.by_place(spark, a, "*.jsonl"), positional.by_place(spark, b, "*.gz"), id, id)
+    return found.select(F.col("file_no").cast("long").alias("file_no"), F.col("row_no").cast("long").alias("row_no"), "error")
+
+
+@query("select doc_id from (select doc_id, row_number() over (order by doc_id) as n from documents) where n <= 430 and doc_id % 2 = 1")
+def o4_first_seen(spark, sf_dir):
+    """The limit is the feature: of the first 430 rows seen those that are resolved."""
+    a, _ = two_sides(spark, sf_dir)
+    rows = positional.first_seen(spark, f"{a}/*.jsonl", 430).rows
+    return rows.filter(F.get_json_object("value", "$.resolved") == "1").select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
+
+
+# ---- gates and selections
+
+
+@query("""with t as (select 't' || conv_id as trajectory_id, conv_id % 5 as k from (select distinct conv_id from conversations))
+select case when k = 0 then null else trajectory_id end as trajectory_id, case k when 0 then 'no trajectory_id' when 1 then 'no trajectory' else 'a message is null' end as error from t where k < 3""")
+def t2_bulk_errors(spark, sf_dir):
+    """Rows without an id, without messages, with a null message; the others are converted."""
+    k = F.substr("trajectory_id", F.lit(2)).cast("long") % 5
+    b = bulk_rows(spark, sf_dir).withColumn("k", k)
+    b = b.withColumns({"trajectory_id": F.when(F.col("k") != 0, F.col("trajectory_id")), "trajectory": F.when(F.col("k") == 2, F.array_append("trajectory", F.lit(None))).when(F.col("k") != 1, F.col("trajectory"))})
+    return convert_bulk.convert(b.drop("k"), errors="skip")[1]
+
+
+def broken_prompts(spark, sf_dir):
+    """Prompts of targets that lack a condition, have two issue texts, or have a run twice; and long ones."""
+    k = F.substr("target_instance_id", F.lit(7)).cast("long") % 5
+    r = run_rows(spark, sf_dir).filter(~((k == 0) & (F.col("condition") == "raw")))
+    r = r.withColumn("target_problem_statement", F.when((k == 1) & (F.col("condition") == "adp"), F.concat("target_problem_statement", F.lit(" and more"))).otherwise(F.col("target_problem_statement")))
+    again = r.filter((k == 2) & (F.col("condition") == "memory")).withColumn("run_id", F.concat("run_id", F.lit("_again")))
+    return render.prompts(r.unionByName(again))
+
+
+@query(f"""with p as ({_prompt_sql()}), r as (select run_id, prompt_chars, regexp_extract(run_id, '^(org__b[0-9]+)__(.*)$', 1) as t, regexp_extract(run_id, '^(org__b[0-9]+)__(.*)$', 2) as c from p),
+k as (select *, cast(substr(t, 7) as bigint) % 5 as k from r), x as (select run_id, t, c, k, prompt_chars + case when k = 1 and c = 'adp' then 9 else 0 end as n from k where not (k = 0 and c = 'raw')),
+y as (select * from x union all select run_id || '_again', t, c, k, n from x where k = 2 and c = 'memory')
+select 'bad_condition_sets' as gate, t as key, 'adp,memory,no_memory' as detail, false as promoted from (select distinct t from y where k = 0)
+union all select 'inconsistent_target_issue_hashes', t, null, false from (select distinct t from y where k = 1)
+union all select 'duplicate_prompt_paths', t || '/' || c || '/prompt.txt', run_id, false from y where run_id like '%_again' union all select 'too_long', run_id, cast(n as varchar), false from y where n > 9000""")
+def v5_prompt_gates(spark, sf_dir):
+    """All violations of prompts that must not be published; what was published before stays, which tests/test_gates.py holds."""
+    out = gates.publish(broken_prompts(spark, sf_dir), scratch(spark, "prompts"), "run_id", [g for g in gates.prompt_gates(9000) if g.name != "forbidden"])
+    detail = F.when(F.col("gate") != "inconsistent_target_issue_hashes", F.col("detail"))
+    return out.violations.select("gate", "key", detail.alias("detail"), F.lit(out.promoted).alias("promoted"))
+
+
+@query(PAIRS + ", n as (select count(*) as n from pairs) select n.n as pair_rows, (select count(distinct experience_instance_id) from pairs) as unique_priors, n.n as unique_targets, 4 * n.n as run_rows, 'org__x1,org__x2' as missing_targets from n")
+def a16_manifest_summary(spark, sf_dir):
+    p = manifest.pairs(*(pair_tables(spark, sf_dir)[i] for i in (2, 0, 1, 3)))
+    r = run_rows(spark, sf_dir)
+    more = spark.createDataFrame([("org__x2",), ("org__x1",)], "target_instance_id string")
+    s = manifest.manifest_summary(p, r, r.select("target_instance_id").unionByName(more))
+    return s.withColumn("missing_targets", F.array_join("missing_targets", ","))
+
+
+@query("""with e as (select *, event_id % 7 = 0 as skipped, case when event_id % 11 = 0 then 'OSError' end as exception, event_id % 3 as outside, case when event_type <> 'signup' then case when event_type = 'error' then 1 else 0 end end as exit_code, case when event_id % 2 = 0 then 'diff' else '' end as patch from events)
+select event_id, case when skipped then 'skipped_success' when exception is not null then 'orchestrator_exception' when exit_code is null then 'started' when outside > 1 then 'workspace_guardrail_failed' when exit_code = 0 then case when patch = '' then 'success_empty_patch' else 'success' end else 'openhands_failed' end as status,
+  case event_id % 4 when 0 then 'host' when 1 then case when event_id % 3 = 0 then 'image' end when 2 then case when event_id % 3 = 0 then 'image' when event_id % 5 = 0 then 'host' end end as runtime from e""")
+def c14_run_status(spark, sf_dir):
+    i, kind = F.col("event_id"), F.col("event_type")
+    e = table(spark, sf_dir, "events").select("event_id", (i % 7 == 0).alias("skipped"), F.when(i % 11 == 0, "OSError").alias("exception"), F.greatest(i % 3 - 1, F.lit(0)).alias("off_workspace_writes"), F.when(kind != "signup", (kind == "error").cast("int")).alias("exit_code"), F.when(i % 2 == 0, "diff").otherwise("").alias("patch"))
+    asked = F.element_at(F.array(*map(F.lit, ("host", "image", "auto", "none"))), (i % 4 + 1).cast("int"))
+    return e.select("event_id", manifest.run_status().alias("status"), manifest.runtime(asked, i % 3 == 0, i % 5 == 0)["runtime"].alias("runtime"))
+
+
+@query(PAIRS + """, r as (select related_instance_id || '__' || c as run_id, related_instance_id as t, c, cast(substr(related_instance_id, 7) as bigint) as k from pairs, (select unnest(['no_memory', 'raw', 'adp', 'memory']) as c)),
+x as (select * from r union all select run_id || 'b', t, c, k from r where k % 4 = 0 and c = 'raw')
+select 'null_field' as problem, run_id || ': target_base_commit,sandbox_image' as detail from x where k % 6 = 1 union all select 'duplicate', t || ' raw' from r where k % 4 = 0 and c = 'raw' union all select 'unconfirmed', ''""")
+def v7_selection_problems(spark, sf_dir):
+    k = F.substr("target_instance_id", F.lit(7)).cast("long")
+    r = run_rows(spark, sf_dir).withColumn("prompt_path", F.lit("p"))
+    r = r.unionByName(r.filter((k % 4 == 0) & (F.col("condition") == "raw")).withColumn("run_id", F.concat("run_id", F.lit("b"))))
+    return manifest.selection_problems(r.withColumns({c: F.when(k % 6 != 1, F.col(c)) for c in ("target_base_commit", "sandbox_image")}), confirmed=False)
+
+
+# ---- predictions and paths
+
+
+def run_folders(spark, sf_dir):
+    """Events as runs with folders, whose prediction files are written: some missing, some no object, some without an audit, some of the same instance."""
+    root = scratch(spark, "runs")
+    i = F.col("event_id")
+    plan = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("run"), i.cast("string")).alias("run_id"), F.col("event_type").alias("condition"), F.concat(F.lit("i"), (i % 400).cast("string")).alias("target_instance_id"), i.alias("plan_index"),
+        F.concat(F.lit(root), F.lit("/r"), i.cast("string")).alias("run_dir"),
+    )
+    at = F.concat(F.lit("r"), F.col("plan_index").cast("string"))
+    k = F.col("plan_index")
+    body = F.when(k % 13 == 1, "[1]").when(k % 13 == 2, '{"instance').otherwise(F.concat(F.lit('{"instance_id":"'), "target_instance_id", F.lit('","model_patch":"p","n":'), k.cast("string"), F.lit("}")))
+    said = plan.filter(k % 13 != 0).select(F.concat(at, F.lit("/prediction.json")).alias("name"), body.alias("value"))
+    audit = plan.filter(k % 5 != 0).select(F.concat(at, F.lit("/prediction_audit.json")).alias("name"), F.concat(F.lit('{"run_id":"'), "run_id", F.lit('","audited":true}')).alias("value"))
+    sinks.files(said.unionByName(audit), root, "name", "value")
+    return plan, root
+
+
+PREDICTED = """with e as (select event_id as k, 'run' || event_id as run_id, event_type as condition, 'i' || (event_id % 400) as iid from events), h as (select * from e where k % 13 > 2)"""
+
+
+@query(PREDICTED + """ select 'strict' as part, run_id, condition, '{"instance_id":"' || iid || '","model_patch":"p","n":' || k || '}' as json from h
+union all select 'audit', run_id, condition, case when k % 5 <> 0 then '{"audited":true,"run_id":"' || run_id || '"}' else '{"run_id":"' || run_id || '","condition":"' || condition || '","target_instance_id":"' || iid || '","prediction_missing_audit":true}' end from h
+union all select 'missing', run_id, null, 'r' || k || '/prediction.json' from e where k % 13 < 3
+union all select 'duplicates', null, condition, string_agg(iid, ',' order by iid) from (select condition, iid from h group by 1, 2 having count(*) > 1) group by condition""")
+def x4_predictions(spark, sf_dir):
+    plan, root = run_folders(spark, sf_dir)
+    p = manifest.predictions(plan, readers.predictions(spark, root), readers.predictions(spark, root, "prediction_audit.json"))
+    rows = lambda df, part, run, condition, json: df.select(F.lit(part).alias("part"), run.alias("run_id"), condition.alias("condition"), json.alias("json"))
+    own, none = F.col("run_id"), F.lit(None).cast("string")
+    out = rows(p.strict, "strict", own, F.col("condition"), F.col("json")).unionByName(rows(p.audit, "audit", own, F.col("condition"), F.col("json")))
+    out = out.unionByName(rows(p.missing, "missing", own, none, F.regexp_extract("prediction_path", "(r[0-9]+/[^/]*)$", 1)))
+    return out.unionByName(rows(p.duplicates, "duplicates", none, F.col("condition"), F.array_join("instance_ids", ",")))
+
+
+@query("""with p as (select doc_id, case doc_id % 4 when 0 then '/abs/' || source || '/./f' || doc_id when 3 then 'no/../where' else './sub//' || source || '/../f' || doc_id end as path from documents)
+select doc_id, case doc_id % 4 when 0 then case when doc_id % 3 = 0 then '/abs/' || source || '/f' || doc_id end when 1 then case when doc_id % 3 < 2 then '/root/sub/f' || doc_id when doc_id % 5 = 0 then '/cwd/sub/f' || doc_id end
+  when 2 then case when doc_id % 3 < 2 then '/root/sub/f' || doc_id when doc_id % 5 = 0 then '/cwd/sub/f' || doc_id end end as path_resolved from documents""")
+def h11_resolved_paths(spark, sf_dir):
+    """Paths below one of two roots, absolute ones, and some that are nowhere."""
+    d, i = table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("doc_id")
+    n = i.cast("string")
+    path = F.when(i % 4 == 0, F.concat(F.lit("/abs/"), "source", F.lit("/./f"), n)).when(i % 4 == 3, "no/../where").otherwise(F.concat(F.lit("./sub//"), "source", F.lit("/../f"), n))
+    there = d.filter(i % 3 < 2).select(F.concat(F.lit("file:/root/sub/f"), n).alias("path")).unionByName(d.filter(i % 5 == 0).select(F.concat(F.lit("/cwd/sub/f"), n).alias("path"))).unionByName(d.filter(i % 3 == 0).select(F.concat(F.lit("file:///abs/"), "source", F.lit("/f"), n).alias("path")))
+    return paths.resolved(d.select("doc_id", path.alias("path")), "path", there, ("/root", "/manifest", "/cwd"), strict=False).select("doc_id", "path_resolved")
+
+
+@query("""with f as (select event_id, user_id % 20 as t, event_type as c, value, 'f' || event_id as name, case event_id % 6 when 0 then 'workspace/a' when 1 then '.tmp' when 2 then '.' when 3 then '..' when 4 then 'other' else 'workspacex' end as w from events),
+r as (select distinct t, c from f), p as (select t, case w when '.' then c || '/' || case when event_id % 12 = 2 then 'patch.diff' else name end when '..' then name else c || '/' || w || '/' || name end as path, c as own, w, event_id from f where event_id % 9 <> 0)
+select 't' || r.t || '_' || r.c as run_id, p.path from r join (select distinct t, path, own, w from p) p on p.t = r.t where not (p.own = r.c and (p.w in ('workspace/a', '.tmp') or p.path = r.c || '/patch.diff'))""")
+def v8_writes_outside(spark, sf_dir):
+    """Files of events as written by runs, four of a target beside each other: in the workspace, scoped folders, as known files, and astray."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("/runs/t"), (F.col("user_id") % 20).cast("string")).alias("target"), F.col("event_type").alias("c"), (F.col("user_id") % 20).alias("t"))
+    runs = e.select("target", "c", "t").distinct()
+    runs = runs.select(F.concat(F.lit("t"), F.col("t").cast("string"), F.lit("_"), "c").alias("run_id"), F.concat("target", F.lit("/"), "c").alias("run_dir"), F.concat("target", F.lit("/"), "c", F.lit("/workspace")).alias("workspace_dir"), F.lit("2024-01-01").cast("timestamp").alias("since"))
+    at = F.element_at(F.array(*map(F.lit, ("workspace/a", ".tmp", ".", "..", "other", "workspacex"))), (i % 6 + 1).cast("int"))
+    name = F.when(i % 12 == 2, "patch.diff").otherwise(F.concat(F.lit("f"), i.cast("string")))
+    files = e.select(F.concat_ws("/", F.lit("file:"), "target", "c", at, name).alias("path"), F.when(i % 9 != 0, F.lit("2024-06-01")).otherwise(F.lit("2023-06-01")).cast("timestamp").alias("modified"))
+    files = files.groupBy(F.regexp_replace("path", "^file:/", "").alias("path")).agg(F.max("modified").alias("modified"))
+    return paths.writes_outside(files, runs, (".tmp",), most=1 << 20)
+
+
+# ---- sessions with tools, ids and warnings
+
+
+LINES = """with w as (select 'u' || user_id as session, user_id, event_id as k, event_type as kind, ts, row_number() over (partition by user_id order by ts, event_id) as p from events), m as (select *, kind in ('click', 'purchase') as call, kind in ('view', 'error') as result, kind = 'signup' and k % 2 = 0 as normal from w where k % 13 <> 0),
+s as (select *, sum(case when normal then 1 else 0 end) over (partition by session order by p) as seg, sum(case when normal or call then 1 else 0 end) over (partition by session order by p) as stop,
+  last_value(case when call then k end ignore nulls) over (partition by session order by p rows between unbounded preceding and 1 preceding) as cid from m),
+c as (select * from s where call), r as (select s.*, c.seg = s.seg as waits, c.p as cp from s left join c on c.session = s.session and c.k = s.cid where s.result),
+f as (select session, cid, min(p) as first_r, max(p) as last_r from r where waits group by 1, 2), a as (select c.*, first_r, last_r from c left join f on f.session = c.session and f.cid = c.k),
+b as (select *, coalesce(bool_or(first_r is null) over (partition by session, seg order by p rows between unbounded preceding and 1 preceding), false) as blocked from a),
+o as (select session, seg, k, p, case when not blocked and first_r is not null then first_r else 1152921504606846976 end as k1, case when not blocked and first_r is not null then 1 else 2 end as k2, p as k3, 0 as k4 from b
+  union all select r.session, r.seg, r.k, r.p, case when b.k is null or (not blocked and r.p > first_r) then r.p when not blocked then first_r else 1152921504606846976 end,
+    case when b.k is null or not blocked then 1 else 3 end, case when b.k is null or (not blocked and r.p > first_r) then r.p else b.p end, case when b.k is null or (not blocked and r.p > first_r) then 0 else 1 end
+    from r left join b on b.session = r.session and b.k = r.cid and r.waits where b.k is null or not blocked or r.p = last_r
+  union all select session, seg, k, p, p, 1, p, 0 from s where normal),
+t as (select session, seg, stop, string_agg('all done ' || k, chr(10) || chr(10) order by p) as said, max(k) as k, max(p) as p from s where kind = 'signup' and not normal group by 1, 2, 3)"""
+
+
+@query(LINES + f""", tk as (select t.*, s.k as taker from t left join s on s.session = t.session and s.stop = t.stop + 1 and s.call),
+x as (select o.*, s.kind, s.cid, tk.said from o join s on s.session = o.session and s.k = o.k left join tk on tk.session = o.session and tk.taker = o.k union all select session, seg, k, p, 1152921504606846976, 4, stop, 0, 'message', null, said from tk where taker is null)
+select session as traj_id, row_number() over (partition by session order by seg, k1, k2, k3, k4) - 1 as idx, case kind when 'click' then 'code_action' when 'purchase' then 'api_action' when 'message' then 'message_action' else 'text_observation' end as class_,
+  case when kind = 'purchase' then {S.pick(TOOLS, 'k')} end as function, case when kind = 'signup' then 'user' when kind in ('view', 'error') then coalesce(case when cid % 1 = 0 then (select case when kind = 'click' then 'Bash' else {S.pick(TOOLS, 'w.k')} end from w where w.k = x.cid) || ':t' || cid end, 'tool') end as name,
+  case when kind = 'click' then said when kind = 'purchase' then coalesce(said || chr(10) || chr(10), '') || 'd' end as description, case when kind = 'message' then said end as message, p as line from x""")
+def t3_session_tools(spark, sf_dir):
+    """Sessions whose calls wait for their results: blocked ones, results that come twice, strays, text that a call takes or nothing does."""
+    e = convert_session.events(raw_sessions(spark, sf_dir), use_parent_chain=False)
+    return e.select("traj_id", F.col("idx").cast("long").alias("idx"), "class_", "function", "name", "description", F.when(F.col("class_") == "message_action", F.col("content")).alias("message"), F.col("provenance.raw_jsonl_line").cast("long").alias("line"))
+
+
+@query(LINES + """, l as (select session, max(seg) as last from s group by 1), u as (
+  select o.session, o.seg, k1, k2, k3, 'Unpaired tool_use ' || chr(39) || 't' || o.k || chr(39) || ' emitted without tool_result before ' || case when o.seg = last then 'end of trajectory' else 'normal user message' end as said from o join l using (session) where k2 = 2
+  union all select o.session, o.seg, k1, k2, k3, 'tool_result ' || chr(39) || 't' || s.cid || chr(39) || ' had no pending tool_use ' || case when o.seg = last then 'at end of trajectory' else 'before normal user message' end from o join l using (session) join s on s.session = o.session and s.k = o.k where k2 = 3
+  union all select o.session, o.seg, k1, k2, k3, 'tool_result ' || chr(39) || coalesce('t' || s.cid, '') || chr(39) || ' at line ' || o.p || ' had no pending tool_use' from o join s on s.session = o.session and s.k = o.k where s.result and k2 = 1 and k4 = 0)
+select session, row_number() over (partition by session order by seg, k1, k2, k3) - 1 as n, said from u""")
+def t3_warnings(spark, sf_dir):
+    w = convert_session.convert(raw_sessions(spark, sf_dir), use_parent_chain=False).warnings
+    return w.select("session", F.col("n").cast("long").alias("n"), "said")
+
+
+def named_sessions(spark, sf_dir):
+    """Conversations as sessions with one id, two ids, or none; some share theirs."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    n = F.col("conv_id").cast("string")
+    own = F.when(F.col("conv_id") % 9 == 0, '"shared"').when(F.col("conv_id") % 3 == 0, F.concat(F.lit('"S'), n, F.lit('"'))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('"S'), n, F.lit("-"), (F.col("k") % 2).cast("string"), F.lit('"')))
+    c = c.withColumn("k", k)
+    value = F.concat(F.lit('{"uuid": "m'), F.col("k").cast("string"), F.lit('", "type":"user","message":{"role":"user","content": "k'), F.col("k").cast("string"), F.lit('"}'), F.coalesce(F.concat(F.lit(',"sessionId":'), own), F.lit("")), F.lit("}"))
+    return c.select(F.concat(F.lit("/logs/c"), n, F.lit(".jsonl")).alias("session"), F.col("k").cast("int").alias("lineno"), F.parse_json(value).alias("rec"), value.alias("value"))
+
+
+@query("""with c as (select conv_id, row_number() over (partition by conv_id order by turn) as k from conversations), g as (select conv_id, count(*) as n, '[' || string_agg('{"_jsonl_lineno": ' || k || ', "message": {"content": "k' || k || '", "role": "user"}, "type": "user", "uuid": "m' || k || '"}', ', ' order by k) || ']' as j from c group by 1),
+i as (select conv_id, n, case when conv_id % 9 = 0 then 'shared' when conv_id % 3 = 0 then 'S' || conv_id when conv_id % 3 = 1 and n > 1 then 'c' || conv_id || '-' || left(sha256('S' || conv_id || '-0|S' || conv_id || '-1'), 12) when conv_id % 3 = 1 then 'S' || conv_id || '-1' else 'c' || conv_id || '-' || left(sha256(j), 12) end as id from g)
+select '/logs/c' || conv_id || '.jsonl' as session, id, case when count(*) over (partition by id) > 1 then id || ' /logs/c' || conv_id || '.jsonl' else id end as traj_id, n as records, n as events from i""")
+def t4_trajectory_ids(spark, sf_dir):
+    c = convert_session.convert(named_sessions(spark, sf_dir), use_parent_chain=False)
+    n = c.events.groupBy("traj_id").agg(F.count("*").alias("events"))
+    return c.trajectories.join(n, "traj_id", "left").select("session", "id", "traj_id", F.get_json_object("details", "$.raw_record_count").cast("long").alias("records"), F.coalesce("events", F.lit(0)).alias("events"))

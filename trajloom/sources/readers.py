@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import folders
+
 
 def parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A file or folder; with a schema only its columns are read."""
@@ -14,11 +16,9 @@ def parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFr
 
 def expanded(spark: SparkSession, *patterns: str) -> list[str]:
     """Paths that the patterns match, sorted within each; a pattern that matches nothing stands for itself, so that reading it says what is missing."""
-    jvm, out = spark.sparkContext._jvm, []
+    out = []
     for p in patterns:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-        out += sorted(f.getPath().toString() for f in found or []) or [p]
+        out += [f for f, _ in folders.matching(spark, p)] or [p]
     return out
 
 
@@ -53,8 +53,8 @@ def pick_file(names: DataFrame, must: list[str], avoid: list[str]) -> DataFrame:
     return names.orderBy(F.length("path"), "path").limit(1)
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.jsonl*", whole_files: bool = True) -> DataFrame:
-    """src_file, lineno (from 1, blank lines counted), value.
+def lines(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl*", whole_files: bool = True, blank: bool = True) -> DataFrame:
+    """src_file, lineno (from 1, blank lines counted), value. blank=False: blank lines are left out before lines are counted.
 
     whole_files: each file is one row while it is split, right for logs of up to some hundred MB and
     for a lone CR as line end. Without, files are read line by line and may be of any size;
@@ -64,8 +64,12 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl*", whole_files: b
     if whole_files:
         text = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("src_file"), "value")
         split = text.select("src_file", F.posexplode(F.split(F.regexp_replace("value", r"(\r\n?|\n)\z", ""), r"\r\n?|\n")).alias("pos", "value"))
+        if not blank:
+            nth = F.row_number().over(Window.partitionBy("src_file").orderBy("pos"))
+            return split.filter(F.col("value").rlike(r"\S")).select("src_file", nth.alias("lineno"), "value")
         return split.select("src_file", (F.col("pos") + 1).alias("lineno"), "value")
     text = reader.text(path).select(F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("k"), "value")
+    text = text if blank else text.filter(F.col("value").rlike(r"\S"))
     sizes = text.groupBy("src_file", "start").agg(F.count("*").alias("n"))  # a row for each split
     before = sizes.select("src_file", "start", (F.sum("n").over(Window.partitionBy("src_file").orderBy("start")) - F.col("n")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("src_file", "start").orderBy("k"))
