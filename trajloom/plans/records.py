@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Window
@@ -54,8 +55,9 @@ ADP = f"""u as (select distinct traj_id as own, cast(substr(traj_id, 2) as bigin
 i as (select *, case when k % 17 in (0, 1) or k % 19 = 3 then 'line-' || (k + 1) else own end as id, k % 17 > 2 as good from u)"""
 
 
+@functools.lru_cache(maxsize=2)
 def memories(spark, sf_dir, cfg: memory.MemoryConfig = memory.MemoryConfig()):  # noqa: B008
-    """Trajectories and their events are written once, since every part of a memory reads them."""
+    """Trajectories and their events are written once, since every part of a memory and every query over memories reads them."""
     t = shared.stored(adp.trajectories(adp_lines(spark, sf_dir)), "trajectories")
     return memory_record.records(t, shared.stored(adp.events(t), "events"), cfg)
 
