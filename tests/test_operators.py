@@ -235,7 +235,11 @@ def test_text_of_contents(spark):
         '["a", null, {"type":"x","text":"t","content":"c"}, 5, ["n"]]': '"a"\nnull\nc\n5\n["n"]', '"plain"': "plain", "null": "", "[]": "", '{"b":1,"a":"x, y: z"}': '{"a": "x, y: z", "b": 1}',
         '[{"type":"text","text":"t"},{"content":[{"type":"text","text":"u"},{"content":null}]},{"type":"image","b":1,"a":[1,2]}]': 't\nu\n\n{"a": [1, 2], "b": 1, "type": "image"}', "true": "True", "7": "7", '[{"type":"text"}]': "",
     }
+    for depth in (1, 3, 4, 5, 6, 12, 100):
+        cases['[{"content":' * depth + '[{"type":"text","text":"deep"},{"b":1,"a":"x, y"}]' + "}]" * depth] = 'deep\n{"a": "x, y", "b": 1}'
     df = spark.createDataFrame(list(cases.items()), "j string, want string")
+    assert [r for r in df.select("j", "want", variants.content_text(F.parse_json("j")).alias("got")).collect() if r["got"] != r["want"]] == []
+    df = df.filter("length(j) < 200 and j not like '%deep%'")
     assert [r for r in df.select("j", "want", variants.flat_text(F.parse_json("j")).alias("got")).collect() if r["got"] != r["want"]] == []
     assert df.limit(1).select(variants.without_keys(F.parse_json(F.lit('{"description":"d","b":[1],"a":null}')), "description")).first()[0] == '{"a":null,"b":[1]}'
     assert df.limit(1).select(variants.detail(F.parse_json(F.lit('{"b":"é","a":1}')))).first()[0] == '{"a": 1, "b": "é"}'

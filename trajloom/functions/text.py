@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules
@@ -72,8 +74,18 @@ def _no_reminders(t: Column) -> Column:
     return F.when(t.rlike("(?i)<system-reminder>"), normalize(F.regexp_replace(t, rules.REMINDER, "\n"))).otherwise(t)
 
 
-def scrub(c: Column) -> Column:
-    """Remove diffs, system reminders and harness lines. Most texts have no trace of these and are normalised only."""
+@functools.lru_cache(maxsize=256)
+def _scrubbed(name: str, application: str) -> Column:
+    return scrub(F.col(name))
+
+
+def scrub(c: Column | str) -> Column:
+    """Remove diffs, system reminders and harness lines. Most texts have no trace of these and are normalised only.
+
+    A column's name instead of a column saves time on the driver: the expression, which takes a second to build, is kept for each name.
+    """
+    if isinstance(c, str):
+        return _scrubbed(c, SparkSession.active().sparkContext.applicationId)
 
     def whole(t: Column) -> Column:
         return let(let(_no_diffs(t), _no_reminders), lambda x: without_lines(x, rules.HARNESS_LINE))

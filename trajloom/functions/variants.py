@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Lists within lists of blocks that flat_text() opens.
+from . import json_udf
+
+#: Lists within lists of blocks that flat_text() opens by itself; json_udf.block_text() opens those that go deeper.
 DEPTH = 4
 
 
@@ -51,8 +53,7 @@ def flat_text(v: Column, write=sorted_json, depth: int = DEPTH) -> Column:
     """Text of a content value: '' for null, strings as they are, objects as JSON; of a list a line for each item.
 
     An item is a block of type text, which gives its text, or an object with a content, which gives
-    that one's text; any other item, strings among them, gives its JSON, as `write` writes it. Lists
-    more than DEPTH levels down are JSON too.
+    that one's text; any other item, strings among them, gives its JSON, as `write` writes it. For values of any depth see content_text().
     """
 
     def item(x: Column) -> Column:
@@ -66,6 +67,13 @@ def flat_text(v: Column, write=sorted_json, depth: int = DEPTH) -> Column:
     return F.when(v.isNull() | (kind(v) == "VOID"), "").when(kind(v).startswith("ARRAY"), joined).when(is_object(v), write(v)).otherwise(_scalar(v))
 
 
+def content_text(v: Column, compact: bool = False) -> Column:
+    """As flat_text(), for lists within lists of any depth: values with more than DEPTH of them go to one exact function outside the JVM. compact: JSON without blanks."""
+    json = F.to_json(v)
+    deep = F.coalesce(F.regexp_count(json, F.lit(r'"content":\[')) >= DEPTH, F.lit(False))  # in strings too, which costs time only
+    return F.when(deep, json_udf.block_text(F.when(deep, json), compact)).otherwise(flat_text(v, F.to_json if compact else sorted_json))
+
+
 def blocks(content: Column) -> Column:
     """array<variant> of a message's content: a string is one text block, null none, and what isn't an object is a block of type unknown."""
     odd = lambda x: F.parse_json(F.concat(F.lit('{"type":"unknown","value":'), F.to_json(x), F.lit("}")))

@@ -87,7 +87,7 @@ def blocks(messages: DataFrame) -> DataFrame:
     type_ = v("$.type")
     raw = F.when(type_ == "text", v("$.text", "variant")).when(type_ == "thinking", v("$.thinking", "variant")).when(type_ == "tool_result", v("$.content", "variant")).when(type_ != "tool_use", F.col("b"))
     b = b.select(
-        "session", "pos", "lineno", "role", "uuid", "parent", "block_index", type_.alias("type"), variants.flat_text(raw).alias("text"), F.coalesce(v("$.id"), v("$.tool_use_id"), F.lit("")).alias("id"),
+        "session", "pos", "lineno", "role", "uuid", "parent", "block_index", type_.alias("type"), variants.content_text(raw).alias("text"), F.coalesce(v("$.id"), v("$.tool_use_id"), F.lit("")).alias("id"),
         v("$.name").alias("tool"), F.to_json(v("$.input", "variant")).alias("input"), F.coalesce(v("$.is_error", "boolean"), F.lit(False)).alias("error"),
     )
     has = F.max((F.coalesce("type", F.lit("")) == "tool_result").cast("int")).over(Window.partitionBy("session", "pos"))

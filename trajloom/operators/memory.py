@@ -51,7 +51,7 @@ def looked_up(column: str, table: dict[str, str]):
 
 
 def short_description():
-    return F.left(text.scrub(F.col("description")), F.lit(240))
+    return F.left(text.scrub("description"), F.lit(240))
 
 
 def paths(events: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def paths(events: DataFrame) -> DataFrame:
 
 def commands(events: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:  # noqa: B008
     """One row per bash command: traj_id, action_index, command_class, bucket, command (capped), sha256 (uncapped), truncated, contains_heredoc, prior_agent_description."""
-    c = events.filter("class_ = 'code_action' and language = 'bash'").withColumn("raw", text.scrub(F.col("content")))
+    c = events.filter("class_ = 'code_action' and language = 'bash'").withColumn("raw", text.scrub("content"))
     c = c.withColumn("command_class", classify.command_class(F.col("raw"), "memory"))
     cut = text.truncate(F.col("raw"), cfg.max_command_chars)
     return c.select(
@@ -76,11 +76,11 @@ def commands(events: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame
 
 def _observations(events: DataFrame) -> DataFrame:
     """Environment observations with their preceding action, its class and path."""
-    e = events.withColumn("__cls", F.when((F.col("class_") == "code_action") & (F.col("language") == "bash"), classify.command_class(text.scrub(F.col("content")), "memory")))
+    e = events.withColumn("__cls", F.when((F.col("class_") == "code_action") & (F.col("language") == "bash"), classify.command_class(text.scrub("content"), "memory")))
     a = [argument(c) for c in ("file_path", "path", "notebook_path")]
     e = e.withColumn("__path", F.when(F.col("class_") == "api_action", classify.primary_path(F.col("function"), *a, policy="memory")).otherwise(F.lit("")))
     e = with_previous_action(e, "idx", "class_", "function", "language", "__cls", "__path")
-    return e.filter("class_ = 'text_observation' and source = 'environment'").withColumn("clean", text.scrub(F.col("content")))
+    return e.filter("class_ = 'text_observation' and source = 'environment'").withColumn("clean", text.scrub("content"))
 
 
 def evidence(events: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:  # noqa: B008
@@ -166,7 +166,7 @@ def edits(events: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
     write = F.array(F.struct(F.lit("").alias("old_string"), F.coalesce(argument("content"), F.lit("")).alias("new_string")))
     many = F.expr(f"try_variant_get(try_parse_json(kwargs_json), '$.edits', '{pair}')")
     p = p.withColumn("subs", F.when(F.col("function") == "Edit", one).when(F.col("function") == "Write", write).otherwise(many))
-    p = p.select("*", F.posexplode("subs").alias("sub", "pair")).withColumns({"old": text.scrub(F.col("pair.old_string")), "new": text.scrub(F.col("pair.new_string"))})
+    p = p.select("*", F.posexplode("subs").alias("sub", "pair")).filter("pair is not null").withColumns({"old": text.scrub("pair.old_string"), "new": text.scrub("pair.new_string")})
     excerpt = lambda c: F.lit("") if cfg.hashes_only else F.left(F.col(c), F.lit(cfg.max_edit_excerpt_chars))
     cut = lambda c: F.lit(False) if cfg.hashes_only else F.char_length(c) > cfg.max_edit_excerpt_chars
     digest = lambda c: F.when(F.col(c) != "", text.sha(F.col(c))).otherwise("")
@@ -180,7 +180,7 @@ def edits(events: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:
 
 def final_message(events: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> DataFrame:  # noqa: B008
     """traj_id, text, sha256, truncated of the last message, though it be empty once scrubbed."""
-    m = events.filter("class_ = 'message_action'").groupBy("traj_id").agg(F.max_by("content", "idx").alias("content")).withColumn("raw", text.scrub(F.col("content")))
+    m = events.filter("class_ = 'message_action'").groupBy("traj_id").agg(F.max_by("content", "idx").alias("content")).withColumn("raw", text.scrub("content"))
     cut = text.truncate(F.col("raw"), cfg.max_final_message_chars)
     return m.select("traj_id", cut["text"].alias("text"), text.sha(F.col("raw")).alias("sha256"), cut["truncated"].alias("truncated"))
 
@@ -200,7 +200,7 @@ def budgeted_commands(cmds: DataFrame, cfg: MemoryConfig = MemoryConfig()) -> Da
     if not cfg.exclude_destructive_commands:
         labels["destructive_commands"] = "destructive"
     c = cmds.filter(F.col("bucket").isin(*labels)).filter(~classify.is_git_state(F.col("command"), "memory") & ~classify.is_probe(F.col("command"), "memory"))
-    shown = text.truncate(text.scrub(F.col("command")), cfg.max_rendered_command_chars)
+    shown = text.truncate(text.scrub("command"), cfg.max_rendered_command_chars)
     c = c.withColumn("shown", shown).withColumn("line", F.concat(F.lit("- ["), looked_up("bucket", labels), F.lit("] "), F.col("shown.text")))
     w = Window.partitionBy("traj_id").orderBy("action_index")
     c = c.withColumns({"n": F.row_number().over(w), "start": F.coalesce(F.sum(F.char_length("line")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})

@@ -163,7 +163,7 @@ def records(trajs: DataFrame, events: DataFrame, cfg: M.MemoryConfig = M.MemoryC
     plans, more = part(plans.filter(F.lit(cfg.include_todowrite)), action)
     cut = text.truncate(F.col("raw"), cfg.max_planning_action_chars)
     parts.append(listed(plans, "planning_actions", ("action_index", "tool", cut["text"].alias("payload"), text.sha(F.col("raw")).alias("sha256"), cut["truncated"].alias("truncated"), "prior_agent_description", *more), "action_index"))
-    thoughts = e.filter("reasoning_content is not null").select("traj_id", F.col("idx").alias("action_index"), F.col("class_").alias("item_class"), text.scrub(F.col("reasoning_content")).alias("raw"))
+    thoughts = e.filter("reasoning_content is not null").select("traj_id", F.col("idx").alias("action_index"), F.col("class_").alias("item_class"), text.scrub("reasoning_content").alias("raw"))
     thoughts, more = part(thoughts.filter((F.col("raw") != "") & F.lit(cfg.include_reasoning)), action)
     cut = text.truncate(F.col("raw"), cfg.max_reasoning_chars)
     parts.append(listed(thoughts, "reasoning", ("action_index", "item_class", cut["text"].alias("text"), text.sha(F.col("raw")).alias("sha256"), cut["truncated"].alias("truncated"), *more), "action_index"))

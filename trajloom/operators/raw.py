@@ -38,7 +38,7 @@ def described(b: DataFrame) -> DataFrame:
     v = lambda name, kind="string": variants.field(F.col("block"), name, kind)
     use, given = F.col("btype") == "tool_use", F.col("btype") == "tool_result"
     inputs = F.when(variants.is_object(v("input", "variant")), F.to_json(v("input", "variant"))).otherwise(F.lit("{}"))
-    own = F.when(F.col("btype") == "thinking", variants.flat_text(v("thinking", "variant"), F.to_json)).when(given, variants.flat_text(v("content", "variant"), F.to_json)).otherwise(F.to_json("block"))
+    own = F.when(F.col("btype") == "thinking", variants.content_text(v("thinking", "variant"), compact=True)).when(given, variants.content_text(v("content", "variant"), compact=True)).otherwise(F.to_json("block"))
     return b.withColumns({
         "said": F.when(F.col("btype") == "text", text.scrub(v("text"))),
         "tool": F.when(use, text.normalize(v("name"))),
@@ -199,7 +199,7 @@ def by_manifest(records: DataFrame, decisions: DataFrame, cfg: StripConfig = Str
     echo = (F.col("role") == "user") & (F.col("btype") == "tool_result") & F.col("caller").isin(*rules.EDIT_TOOLS)
     b = b.filter(~F.coalesce(echo, F.lit(False))).withColumn("label", F.lit(""))
     out = joined(records.select("session").distinct(), shown(b, cfg, False, max_action, max_result), BY_MANIFEST, "pos", "block_index")
-    return out.withColumn("transcript", F.concat(F.regexp_replace(text.scrub(F.col("transcript")), rf"(?U){text.SPACE}+\z", ""), F.lit("\n")))
+    return out.withColumn("transcript", F.concat(F.regexp_replace(text.scrub("transcript"), rf"(?U){text.SPACE}+\z", ""), F.lit("\n")))
 
 
 def transcripts(records: DataFrame, decisions: DataFrame, cfg: StripConfig = StripConfig()) -> DataFrame:  # noqa: B008

@@ -75,29 +75,29 @@ def memory_text(events: DataFrame, cfg: M.MemoryConfig = M.MemoryConfig(), sourc
     few = (desc != "") & (F.char_length(desc) <= 160)
     counts = F.array_join(F.transform(F.map_entries("action_counts"), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), ", ")
     seen = M.inspected(events).filter(classify.path_class(F.col("path"), "memory") != "submission_artifact")
-    seen = lines_by(seen, "s_files", F.concat(F.lit("- "), text.scrub(F.col("path")), F.lit(" ["), counts, F.lit("]")), "first_action_index", "path")
+    seen = lines_by(seen, "s_files", F.concat(F.lit("- "), text.scrub("path"), F.lit(" ["), counts, F.lit("]")), "first_action_index", "path")
     a = M.anchors(events)
     search = F.concat(F.lit("- ["), F.col("action_index").cast("string"), F.lit("] "), F.col("tool"), *(part(F.col(c) != "", c, F.col(c)) for c in ("pattern", "path", "glob")), part(few, "prior_agent_description", desc))
     search = lines_by(a, "s_search", search, "action_index")
     cmds = M.budgeted_commands(M.commands(events, cfg), cfg)
     cmds = lines_by(cmds, "s_commands", F.concat("line", F.when(F.col("cut"), F.lit(f"\n  {CUT}")).otherwise("")), "action_index")
     bad = M.failures(events, cfg).filter("bucket in ('test_failures', 'runtime_failures')").withColumn("b", F.when(F.col("bucket") == "test_failures", 0).otherwise(1))
-    bad = lines_by(bad, "s_failures", F.concat(F.lit("- "), text.scrub(F.col("line"))), "b", "observation_index", "line_no")
+    bad = lines_by(bad, "s_failures", F.concat(F.lit("- "), text.scrub("line")), "b", "observation_index", "line_no")
     ev = M.evidence(events, cfg).filter("not excluded_from_rendered_text")
-    shown = F.concat(F.lit("- ["), F.initcap(F.replace("kind", F.lit("_"), F.lit(" "))), F.lit(" after action #"), F.col("source_action_index").cast("string"), F.lit("]\n"), text.indent(text.scrub(F.col("excerpt")), "  "), F.when(F.col("truncated"), F.lit(f"\n  {CUT}")).otherwise(""))
+    shown = F.concat(F.lit("- ["), F.initcap(F.replace("kind", F.lit("_"), F.lit(" "))), F.lit(" after action #"), F.col("source_action_index").cast("string"), F.lit("]\n"), text.indent(text.scrub("excerpt"), "  "), F.when(F.col("truncated"), F.lit(f"\n  {CUT}")).otherwise(""))
     ev = lines_by(ev, "s_evidence", shown, "observation_index")
     ed = M.edits(events, cfg).filter("bucket in ('source_edits', 'test_edits')").withColumn("b", F.when(F.col("bucket") == "source_edits", 0).otherwise(1)).withColumn("sub", F.coalesce("subedit_index", F.lit(0)))
     opt = lambda c, label: F.when(F.col(c) != "", F.concat(F.lit(f"\n  {label}: "), F.col(c))).otherwise("")
     body = lambda c: F.when(F.col(c) != "", F.concat(F.lit(f"\n  {c}:\n"), text.indent(text.scrub(F.col(c)), "    "))).otherwise("")
     shown = F.concat(
-        F.lit("- "), text.scrub(F.col("path")), F.lit("\n  Tool: "), F.col("tool"), F.lit(" action #"), F.col("action_index").cast("string"), F.when(few, F.concat(F.lit("\n  prior_agent_description: "), text.scrub(desc))).otherwise(""),
+        F.lit("- "), text.scrub("path"), F.lit("\n  Tool: "), F.col("tool"), F.lit(" action #"), F.col("action_index").cast("string"), F.when(few, F.concat(F.lit("\n  prior_agent_description: "), text.scrub(desc))).otherwise(""),
         opt("old_text_sha256", "old_text_sha256"), opt("new_text_sha256", "new_text_sha256"), body("old_text_excerpt"), body("new_text_excerpt"), F.when(F.col("truncated"), F.lit(f"\n    {CUT}")).otherwise(""),
     )
     ed = lines_by(ed, "s_edits", shown, "b", "action_index", "sub")
     cut = lambda flag: F.when(F.col(flag), F.lit(f"\n{CUT}")).otherwise("")
     last = M.final_message(events, cfg).filter("text <> ''").select("traj_id", F.concat(F.lit("The following is prior-agent generated text, not ground truth:\n"), F.col("text"), cut("truncated")).alias("s_final"))
     prob = M.problem(events, cfg).withColumn("model", F.lit("")) if source is None else source
-    stated = F.concat("problem_statement", cut("truncated")) if source is None else F.when(F.col("problem_statement") != "", F.concat(text.scrub(F.col("problem_statement")), cut("truncated")))
+    stated = F.concat("problem_statement", cut("truncated")) if source is None else F.when(F.col("problem_statement") != "", F.concat(text.scrub("problem_statement"), cut("truncated")))
     prob = prob.withColumn("s_problem", stated)
     out = (events if source is None else source).select("traj_id").distinct()
     for df in (prob, seen, search, cmds, bad, ev, ed, last):

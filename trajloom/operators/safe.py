@@ -42,7 +42,7 @@ def injection_safe(events: DataFrame, max_observation: int = MAX_OBSERVATION, ma
     Arguments of other tools whose indented JSON is over the cap are replaced by its digest alone.
     """
     cls, fn = F.col("class_"), F.coalesce("function", F.lit(""))
-    whole = text.scrub(F.col("content"))
+    whole = text.scrub("content")
     most = F.when(cls == "text_observation", max_observation).otherwise(max_action)
     said = cls.isin("text_observation", "code_action", "message_action")
     edit = (cls == "api_action") & fn.isin(*rules.EDIT_TOOLS)
@@ -81,8 +81,8 @@ def injection_text(events: DataFrame, meta: DataFrame, max_observation: int = MA
     place = F.concat(F.lit("current="), F.col("idx").cast("string"), F.coalesce(F.concat(F.lit(" original="), F.col("original_idx").cast("string")), F.lit("")))
     label = F.when(api, F.concat(F.lit("api_action "), fn)).when(cls == "code_action", F.concat(F.lit("code_action "), F.coalesce("language", F.lit("")))).otherwise("message_action")
     excerpt, truncated = F.expr("left(__body, __most)"), F.when(F.char_length("__body") > F.col("__most"), "true").otherwise("false")
-    name = F.when(F.coalesce("name", F.lit("")) != "", F.concat(F.lit("name: "), text.scrub(F.col("name"))))
-    path = F.when(F.col("__path") != "", F.concat(F.lit("path: "), text.scrub(F.col("__path"))))
+    name = F.when(F.coalesce("name", F.lit("")) != "", F.concat(F.lit("name: "), text.scrub("name")))
+    path = F.when(F.col("__path") != "", F.concat(F.lit("path: "), text.scrub("__path")))
     line = (
         F.when(obs, F.concat_ws("\n", F.lit(""), F.concat(F.lit("[ADP OBSERVATION "), place, F.lit(" source="), F.coalesce("source", F.lit("")), F.lit("]")), name, F.lit("excerpt:"), excerpt, F.concat(F.lit("sha256: "), text.sha(F.col("__said"))), F.concat(F.lit("truncated: "), truncated)))
         .when(action, F.concat_ws("\n", F.lit(""), F.concat(F.lit("[ADP ACTION "), place, F.lit(": "), label, F.lit("]")), path, F.lit("payload:"), excerpt, F.concat(F.lit("sha256: "), text.sha(item)), F.concat(F.lit("truncated: "), truncated)))
@@ -128,7 +128,7 @@ def strip_memory(memories: DataFrame, decisions: DataFrame, hashes_only: bool =
         return F.transform(items, lambda x: reduce(lambda y, c: y.withField(c[0], c[1](x[c[0]])), changed.items(), x))
 
     scrub = lambda c: F.when(c.isNotNull(), text.scrub(c))
-    stated = text.scrub(F.col("prior_problem.problem_statement"))
+    stated = text.scrub("prior_problem.problem_statement")
     sha = F.when(stated != "", text.sha(stated)).otherwise("")
     problem = F.when(F.col("prior_problem").isNotNull(), F.struct(stated.alias("problem_statement"), stated.alias("raw_user_prompt"), sha.alias("sha256"), sha.alias("raw_user_prompt_sha256"), F.lit(False).alias("raw_user_prompt_truncated")))
     body = (lambda c: F.lit("")) if hashes_only else scrub
@@ -178,7 +178,7 @@ def memory_text() -> Column:
     excerpt = lambda x, c: F.when(F.coalesce(x[c], F.lit("")) != "", F.concat(F.lit(f"\n  {c}:\n"), indented(x[c], "    "))).otherwise("")
     edits = texts(of("edits", "source_edits", "test_edits", "other_edits"), lambda x: F.concat(F.lit("- "), text.scrub(x["path"]), digest(x, "old_text_sha256"), digest(x, "new_text_sha256"), excerpt(x, "old_text_excerpt"), excerpt(x, "new_text_excerpt")))
     anchors = texts(F.col("search_anchors"), lambda x: F.concat(F.lit("- ["), number(x["action_index"]), F.lit("] "), F.coalesce(x["tool"], F.lit("")), some(x["pattern"], "pattern"), some(x["path"], "path"), some(x["glob"], "glob")))
-    stated = text.scrub(F.col("prior_problem.problem_statement"))
+    stated = text.scrub("prior_problem.problem_statement")
     whole = F.concat_ws(
         "\n", F.lit(MEMORY_HEAD), source, F.concat(F.lit("\nPRIOR PROBLEM\n-------------\n"), F.when(stated == "", "(not found)").otherwise(stated)),
         section("FILES INSPECTED", F.transform(F.col("files.inspected"), lambda r: F.concat(F.lit("- "), F.coalesce(r["path"], F.lit(""))))), section("SEARCH ANCHORS", anchors), section("TEST / DIAGNOSTIC / OTHER COMMANDS", commands),

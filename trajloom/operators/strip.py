@@ -31,7 +31,7 @@ def decide_alone(events: DataFrame, cfg: StripConfig) -> DataFrame:
     A reason starts with keep. or drop. and is the first that holds. __clean, the scrubbed content, stays for decide().
     """
     cls, fn = F.col("class_"), F.coalesce("function", F.lit(""))
-    e = events.withColumns({"path": classify.primary_path(fn, argument("file_path"), argument("path"), argument("notebook_path")), "__clean": text.scrub(F.col("content"))})
+    e = events.withColumns({"path": classify.primary_path(fn, argument("file_path"), argument("path"), argument("notebook_path")), "__clean": text.scrub("content")})
     e = e.withColumns({"path_class": classify.path_class(F.col("path")), "command_class": F.when((cls == "code_action") & (F.col("language") == "bash"), classify.command_class(F.col("content")))})
     clean, kw = F.col("__clean"), F.coalesce("kwargs_json", F.lit("{}"))
     env = (cls == "text_observation") & (F.col("source") == "environment")
@@ -102,7 +102,7 @@ def stripped(decisions: DataFrame, cfg: StripConfig = StripConfig()) -> DataFram
     kept = decisions.filter("decision = 'keep'").withColumn("original_idx", F.col("idx")).withColumn("idx", F.col("new_idx").cast("int"))
     action = F.col("class_").isin("api_action", "code_action", "message_action")
     columns = {c: F.when(F.col(c).isNotNull(), text.scrub(F.col(c))) for c in ("content", "name")}
-    columns["description"] = F.when(action & F.lit(cfg.drop_action_descriptions), F.lit(None).cast("string")).otherwise(F.when(F.col("description").isNotNull(), text.scrub(F.col("description"))))
+    columns["description"] = F.when(action & F.lit(cfg.drop_action_descriptions), F.lit(None).cast("string")).otherwise(F.when(F.col("description").isNotNull(), text.scrub("description")))
     # most arguments hold nothing to remove; the others' strings are scrubbed at every depth, keys left alone
     columns["kwargs_json"] = F.coalesce(json_udf.scrub_values(F.when(text.may_scrub(F.col("kwargs_json")), F.col("kwargs_json"))), F.col("kwargs_json"))
     if not cfg.keep_reasoning_content:
@@ -141,7 +141,7 @@ def filter_evidence(evidence: DataFrame, decisions: DataFrame, action: str = "so
 
 def first_user_prompt(events: DataFrame) -> DataFrame:
     """traj_id, prompt: the first user text that isn't blank once scrubbed."""
-    e = events.filter("class_ = 'text_observation' and source = 'user'").withColumn("clean", text.scrub(F.col("content"))).filter(text.strip(F.col("clean")) != "")
+    e = events.filter("class_ = 'text_observation' and source = 'user'").withColumn("clean", text.scrub("content")).filter(text.strip(F.col("clean")) != "")
     return e.groupBy("traj_id").agg(F.min_by("clean", "idx").alias("prompt"))
 
 
