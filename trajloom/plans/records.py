@@ -268,11 +268,11 @@ def v7_selection_problems(spark, sf_dir):
 
 
 def run_folders(spark, sf_dir):
-    """Events as runs with folders, whose prediction files are written: some missing, some no object, some without an audit, some of the same instance."""
+    """Labels as runs with folders, whose prediction files are written: some missing, some no object, some without an audit, some of the same instance."""
     root = scratch(spark, "runs")
-    i = F.col("event_id")
-    plan = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("run"), i.cast("string")).alias("run_id"), F.col("event_type").alias("condition"), F.concat(F.lit("i"), (i % 400).cast("string")).alias("target_instance_id"), i.alias("plan_index"),
+    i = F.col("doc_id")
+    plan = table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("run"), i.cast("string")).alias("run_id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("condition"), F.concat(F.lit("i"), (i % 50).cast("string")).alias("target_instance_id"), i.alias("plan_index"),
         F.concat(F.lit(root), F.lit("/r"), i.cast("string")).alias("run_dir"),
     )
     at = F.concat(F.lit("r"), F.col("plan_index").cast("string"))
@@ -284,7 +284,7 @@ def run_folders(spark, sf_dir):
     return plan, root
 
 
-PREDICTED = """with e as (select event_id as k, 'run' || event_id as run_id, event_type as condition, 'i' || (event_id % 400) as iid from events), h as (select * from e where k % 13 > 2)"""
+PREDICTED = """with e as (select doc_id as k, 'run' || doc_id as run_id, 'q' || quality as condition, 'i' || (doc_id % 50) as iid from labels), h as (select * from e where k % 13 > 2)"""
 
 
 @query(PREDICTED + """ select 'strict' as part, run_id, condition, '{"instance_id":"' || iid || '","model_patch":"p","n":' || k || '}' as json from h
