@@ -147,9 +147,15 @@ def docker_tag(c: Column) -> Column:
     return F.replace(c, F.lit("__"), F.lit("."))
 
 
-def first_filled(*names: str) -> Column:
-    """The first of several columns with more than white space in it, else ''."""
-    return F.coalesce(*(F.when(strip(F.col(n)) != "", strip(F.col(n))) for n in names), F.lit(""))
+def first_filled(*names: str, required: bool = False, default: str = "") -> Column:
+    """The first of several columns that isn't empty once normalised, else the default; required: a row without any fails the query."""
+    missing = F.raise_error(F.lit(f"none of {', '.join(names)} is filled")).cast("string") if required else F.lit(default)
+    return F.coalesce(*(F.nullif(normalize(F.col(n)), F.lit("")) for n in names), missing)
+
+
+def utc_seconds(c: Column) -> Column:
+    """A timestamp as 2024-01-31T08:00:00+00:00, whatever the session's time zone."""
+    return F.concat(F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
 def issue_metadata(c: Column) -> Column:

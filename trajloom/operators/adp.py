@@ -48,6 +48,24 @@ def trajectories(lines: DataFrame, label: str = "") -> DataFrame:
     )
 
 
+def provenance(item: Column) -> Column:
+    """Where an item comes from: its provenance, if that is an object, else what members of the same names the item itself has; null for neither."""
+    nested = variants.field(item, "provenance", "variant")
+    flat = [F.try_variant_get(item, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in PROVENANCE.fields]
+    own = F.when(F.coalesce(*(c.cast("string") for c in flat)).isNotNull(), F.struct(*flat))
+    return F.when(variants.is_object(nested), F.try_variant_get(nested, "$", PROVENANCE.simpleString())).otherwise(own)
+
+
+#: Members of details that a stripped trajectory doesn't keep (fixed values).
+DROPPED_DETAILS = ("raw_tool_inputs_by_id", "raw_tool_results_by_id", "file_history_snapshots", "cwd", "git_branches", "tool_use_id_to_function", "summary")
+
+
+def without_details(trajs: DataFrame, *names: str) -> DataFrame:
+    """trajs whose details (VARIANT) lack some members, by default those that stripped trajectories don't keep; details that are no object stay."""
+    d = F.col("details")
+    return trajs.withColumn("details", F.when(variants.is_object(d), F.parse_json(variants.without_keys(d, *(names or DROPPED_DETAILS)))).otherwise(d))
+
+
 def events(trajs: DataFrame) -> DataFrame:
     """The items of good trajectories as events, with original_idx where an item says from which place it was stripped.
 
@@ -64,7 +82,7 @@ def events(trajs: DataFrame) -> DataFrame:
         F.when(variants.is_object(x), F.coalesce(item("class_"), F.lit(""))).alias("class_"),
         *(item(n).alias(n) for n in ("source", "name", "content", "language", "function", "description", "reasoning_content")),
         F.when(variants.is_object(kwargs), F.to_json(kwargs)).alias("kwargs_json"),
-        F.try_variant_get(x, "$.provenance", PROVENANCE.simpleString()).alias("provenance"),
+        provenance(x).alias("provenance"),
         F.when(variants.kind(place).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(place, "$", "int")).alias("original_idx"),
     )
     have = as_events(e)
