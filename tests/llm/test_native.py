@@ -373,3 +373,21 @@ def test_mix_of_more_sources_than_blocks(spark):
     df = spark.range(18_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 10).alias("text"), F.concat(F.lit("s"), (F.col("id") % 9000).cast("string")).alias("source"))
     taken, target = taken_and_targets(mixing.mix(df).collect())
     assert len(target) == 9000 and all(abs(taken[s] - t) <= 6 for s, t in target.items())
+
+
+def test_rows_are_unfolded_in_parts(spark):
+    from trajloom.llm.common import each_row, parted
+
+    df = spark.createDataFrame([("a", 10, 5), ("b", 1, 0), ("c", 0, 3), ("d", 8, 0)], "k string, n long, nth long")
+    assert sorted(map(tuple, parted(df, "n", "nth", 4).collect())) == [("a", 2, 13), ("a", 4, 5), ("a", 4, 9), ("b", 1, 0), ("d", 4, 0), ("d", 4, 4)]
+    assert sorted(map(tuple, each_row(df, "n", "nth", ["k"]).collect())) == sorted([("a", i) for i in range(5, 15)] + [("b", 0)] + [("d", i) for i in range(8)])
+
+
+def test_rows_repeated_beyond_a_part(spark):
+    """More equal rows than a part holds (2**16): every one has a place, and the mix takes the right share of them."""
+    n = 150_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    one = sharding.ring_shards(df, 7).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("most")).collect()
+    assert sum(r["n"] for r in one) == n and all(r["n"] == r["d"] == r["most"] + 1 for r in one) and max(r["n"] for r in one) - min(r["n"] for r in one) <= 1
+    mixed = mixing.mix(df).agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target")).first()
+    assert mixed["n"] == n and abs(mixed["taken"] - mixed["target"]) <= 2

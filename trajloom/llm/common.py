@@ -80,6 +80,31 @@ def lean(scan: Callable) -> Callable:
     return run
 
 
+#: A row that stands for many equal ones is parted into rows for so many at most.
+CHUNK = 1 << 16
+
+
+def parted(df: DataFrame, count: str, first: str, size: int = CHUNK) -> DataFrame:
+    """df's rows, each of which stands for `count` equal ones from number `first` on, parted into rows for at most `size`.
+
+    Only the numbers of the parts are held as an array, one for every `size` rows. A count below 1 gives none.
+    """
+    numbers = F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div {size}")))
+    out = df.withColumn("__part", F.explode(numbers)).withColumn("__part", F.col("__part") * size)
+    out = out.withColumn(count, F.least(F.lit(size).cast("long"), F.col(count) - F.col("__part")))
+    return out.withColumn(first, F.col(first) + F.col("__part")).drop("__part")
+
+
+def each_row(df: DataFrame, count: str, first: str, by: list[str]) -> DataFrame:
+    """A row with its number `first` for each row that df's rows stand for, `count` from `first` on.
+
+    The parts are dealt by the columns `by` and their numbers before they are unfolded, so a common
+    row is no task's load; this shuffles df's rows once, not those they stand for.
+    """
+    dealt = parted(df, count, first).repartition(*by, first)
+    return dealt.withColumn(first, F.explode(F.sequence(first, F.col(first) + F.col(count) - 1))).drop(count)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; where that is unset, a folder of the warehouse or, on one machine, of our own."""
     sc = spark.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, each_row
 
 #: A source's documents are spread over so many cells of the seeded order; sums over cells replace one long running sum.
 CELLS = 4096
@@ -92,8 +92,8 @@ def mix(
     Other columns are ignored.
 
     Texts are read once and never shuffled: rows without them are, by all their columns, where rows
-    that repeat are counted before and after the shuffle, and then by (source, cell of the seeded
-    order). So neither a source with a third of all rows nor a row as common as that is one task's load.
+    that repeat are counted before and after the shuffle, then by (source, cell of the seeded
+    order), and in parts before they are unfolded. So neither a source with a third of all rows nor a row as common as that is one task's load.
     """
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"), n_words(F.col(text)).alias("size"))
     docs = rows.groupBy("source", "key", "text_hash", "size").agg(F.count("*").alias("rows"))
@@ -114,7 +114,7 @@ def mix(
     by = Window.partitionBy("source", "cell").orderBy("h", "key", "text_hash", "size").rowsBetween(Window.unboundedPreceding, 0)
     docs = docs.withColumn("at", F.sum(F.col("size") * F.col("rows")).over(by) - F.col("size") * F.col("rows"))
     out = docs.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.cell") == F.col("s.cell"))).drop(F.col("s.source"), F.col("s.cell"))
-    out = out.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    out = each_row(out.withColumn("nth", F.lit(0).cast("long")), "rows", "nth", ["key", "text_hash"])
     middle = F.pmod(F.col("before") + F.col("at") + F.col("nth") * F.col("size") - F.col("start") + F.col("size") / 2, F.col("source_size").cast("double"))
     laps = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda lap: F.floor((F.col("middle") + lap * F.col("source_size")) / F.col("block")))
     held = (F.col("size") > 0) & (F.col("block") > 0)

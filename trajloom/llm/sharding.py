@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import each_row
+
 #: The ring has 2**RING_BITS cells; a key's cell is the top bits of its hash.
 RING_BITS = 16
 
@@ -96,8 +98,8 @@ def ring_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "
     no rows. Other columns are ignored, so theirs can't clash.
 
     The rows are shuffled without their texts: by all their columns, where rows that repeat are
-    counted before and after, and by ring cell. So a row that a third of the table repeats is one row
-    until the end. Tables that are broadcast have at most 2**RING_BITS rows.
+    counted before and after, by ring cell, and in parts before they are unfolded. So a row that a third
+    of the table repeats is one row until the end, where its parts are dealt over the tasks. Tables that are broadcast have at most 2**RING_BITS rows.
     """
     spark = df.sparkSession
     k, whole = F.col(key), F.coalesce(F.col(text), F.lit(""))
@@ -111,5 +113,6 @@ def ring_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "
     ranked = rows.withColumn("rank", F.sum("m").over(by) - F.col("m")).join(F.broadcast(found), "cell").withColumn("rank", F.col("rank") + F.col("before"))
     place = F.broadcast(pieces(cells, n_shards, slack))
     placed = ranked.join(place, "arc").filter("rank < hi and rank + m > lo")  # equal rows take the ranks from rank to rank + m - 1
-    placed = placed.withColumn("nth", F.explode(F.sequence(F.greatest("rank", "lo"), F.least(F.col("rank") + F.col("m"), F.col("hi")) - 1)))
+    placed = placed.withColumn("nth", F.greatest("rank", "lo")).withColumn("m", F.least(F.col("rank") + F.col("m"), F.col("hi")) - F.col("nth"))
+    placed = each_row(placed.select("key", "size", "crc", "home_shard", "shard", "base", "lo", "m", "nth"), "m", "nth", ["key", "crc"])
     return placed.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), "home_shard", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("nth") - F.col("lo")).cast("long").alias("slot"))
