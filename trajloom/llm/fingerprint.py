@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajloom.functions.text import let
+
 #: A word with the white space around it, cut at 64 code points; a stretch without words is one too.
 WORD = r"\s*+\S{1,64}+\s*+|\s++"
 #: A phrase: one to four words. It ends early after a word with one of these at its end, so that borders follow the content.
@@ -42,9 +44,8 @@ def fingerprint(text: Column) -> Column:
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
 
     def node(line: Column) -> Column:
-        own = paragraph(line)
         opens = F.when(line.startswith("#") | (line == ""), F.lit("\n")).otherwise(F.lit(""))
-        return F.concat(opens, own, F.when(own.startswith(SECTION_END), F.lit("\n")).otherwise(F.lit(",")))
+        return let(paragraph(line), lambda own: F.concat(opens, own, F.when(own.startswith(SECTION_END), F.lit("\n")).otherwise(F.lit(","))))
 
     nodes = F.array_join(F.transform(lines, node), "")
     sections = F.transform(F.filter(F.split(nodes, "\n"), lambda s: s != ""), lambda s: F.split(F.rtrim(s, F.lit(",")), ","))
@@ -54,9 +55,11 @@ def fingerprint(text: Column) -> Column:
         stored = F.transform(paragraphs, lambda p: F.concat(F.left(p, F.lit(NODE_HEX)), F.substr(p, F.lit(65))))
         return F.concat(own, F.lit(","), F.array_join(stored, ","))
 
-    tops = F.transform(sections, section)
-    root = F.sha2(F.array_join(F.transform(tops, lambda s: F.left(s, F.lit(64))), ""), 256)
-    return F.concat(root, F.lit(":"), F.array_join(F.transform(tops, lambda s: F.concat(F.left(s, F.lit(NODE_HEX)), F.substr(s, F.lit(65)))), ";"))
+    def tree(tops: Column) -> Column:
+        root = F.sha2(F.array_join(F.transform(tops, lambda s: F.left(s, F.lit(64))), ""), 256)
+        return F.concat(root, F.lit(":"), F.array_join(F.transform(tops, lambda s: F.concat(F.left(s, F.lit(NODE_HEX)), F.substr(s, F.lit(65)))), ";"))
+
+    return let(F.transform(sections, section), tree)
 
 
 def root(tree: Column) -> Column:
