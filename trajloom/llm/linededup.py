@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, ascii_lower
 
-#: Rows of one line hash are dealt over so many ranges, so a line that a third of all documents hold is no task's load.
+#: Rows of one line hash are dealt over so many ranges (64 at most, the bits of a long), so a line that a third of all documents hold is no task's load.
 SALTS = 64
 
 
@@ -45,7 +45,8 @@ def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", least_c
     largest on, then by position, so the first row of a document in a run is its first occurrence,
     and counts follow from the stream. The salt comes from key and text, so neither a common line nor
     a shared key fills a range. The same ranges are read again for the bitmaps: lines are cut and
-    hashed once (and for the sample that finds the ranges' bounds), and the texts aren't shuffled.
+    hashed once (and for the sample that finds the ranges' bounds), and the texts aren't shuffled. Common
+    lines come back to them by (hash, salt), with a row for each salt that holds the line.
     """
     occ = occurrences(df, key, text, least_chars)
     parts = occ.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -56,11 +57,12 @@ def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", least_c
     run = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc("doc"), "pos", "text_hash", "n_lines")
     firsts = stream.withColumn("prev", F.lag("doc").over(run)).withColumn("n", F.row_number().over(run))
     firsts = firsts.filter((F.col("n") == 1) | ~F.col("prev").eqNullSafe(F.col("doc")))  # a row for each document of a run
-    docs = firsts.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))  # a key whose texts lie in several runs counts once
-    kept = docs.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
-    # as an expression, the key is dealt anew for the join, and Spark can then split the runs of common lines
-    kept = kept.select(F.col("h1").bitwiseXOR(F.lit(0)).alias("h1"), "h2", "keeper")
-    lost = salted.join(kept, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
+    docs = firsts.groupBy("h1", "h2", "doc").agg(F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))  # a key whose texts lie in several runs counts once
+    kept = docs.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count("*").alias("docs"), F.bit_or("salts").alias("salts")).filter(F.col("docs") >= least_docs)
+    # a row for each run of a common line, so that the join too deals its rows by salt
+    held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.getbit("salts", s) == 1)
+    kept = kept.select("h1", "h2", "keeper", F.explode(held).alias("salt"))
+    lost = salted.join(kept, ["h1", "h2", "salt"]).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     words = lost.groupBy("doc", "text_hash", "n_lines", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("gone"))
     keep = F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits"))))
     return words.groupBy("doc", "text_hash", "n_lines").agg(keep.alias("keep")).withColumnRenamed("doc", key)
