@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajloom.functions.text import let
+
+#: Code points of the pieces by which a long string is cut, and lengths that are summed up in one go.
+PIECE, STRETCH = 256, 64
 #: The template: a block is START role newline text [NEXT text]* END newline.
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>"
 
@@ -76,3 +80,36 @@ def read_back(formatted: DataFrame, column: str = "formatted") -> DataFrame:
         return F.transform(F.split(rest, r"<\|im_next\|>"), lambda x: F.struct(unescape(head, role=True).alias("role"), unescape(x).alias("text")))
 
     return formatted.withColumn("turns", F.flatten(F.transform(blocks, turns)))
+
+
+def starts_of(lengths: Column) -> Column:
+    """Where each of the lengths laid end to end starts. Sums run within stretches and over them, so no long array is copied for each element."""
+
+    def sums(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    long = lambda x: x.cast("long")
+    total = lambda xs: F.aggregate(xs, long(F.lit(0)), lambda a, x: a + x)
+    numbers = lambda xs: F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int"))
+    stretches = lambda xs: F.transform(numbers(xs), lambda i: F.slice(xs, i * STRETCH + 1, STRETCH))
+    within = lambda xs, start: F.slice(sums(xs, start), 1, F.size(xs))
+    each = lambda parts: let(sums(F.transform(parts, total), long(F.lit(0))), lambda begin: F.flatten(F.transform(parts, lambda xs, i: within(xs, F.get(begin, i)))))
+    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(let(F.transform(lengths, long), lambda xs: let(stretches(xs), each)))
+
+
+def loss_text(formatted: Column, loss_runs: Column) -> Column:
+    """What a formatted string says under its loss mask, without escapes: the runs with loss=true in order, nothing between.
+
+    Nothing but the mask decides what is cut. The string is taken apart into pieces once, and a run is
+    cut from the few pieces that it lies in, so the time doesn't grow with runs times length.
+    """
+
+    def cut(pieces: Column, at: Column, chars: Column) -> Column:
+        first, last = F.floor(at / PIECE).cast("int"), F.floor((at + chars - 1) / PIECE).cast("int")
+        return F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), (at - first.cast("long") * PIECE + 1).cast("int"), chars)
+
+    def said(pieces: Column) -> Column:
+        placed = F.zip_with(loss_runs, starts_of(F.transform(loss_runs, lambda r: r["chars"])), lambda r, at: F.struct(r["loss"].alias("loss"), r["chars"].alias("chars"), at.alias("at")))
+        return F.array_join(F.transform(F.filter(placed, lambda r: r["loss"]), lambda r: unescape(cut(pieces, r["at"], r["chars"]))), "")
+
+    return let(F.regexp_extract_all(formatted, F.lit("(?s).{1,%d}+" % PIECE), F.lit(0)), said)  # noqa: UP031
