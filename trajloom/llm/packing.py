@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices, small_batches
+from .common import lean, parted, slices, small_batches
 from .tokens import pieces_of, tokenizer_path
 
 SPECIAL = "<|endoftext|>"
 #: One document of so many is encoded twice, to hold the fast encoder to the library's ids.
 CHECKED = 64
+#: So many equal pieces go to one group together at most.
+LOT = 1 << 10
 
 
 class Encoder:
@@ -71,19 +73,17 @@ def cuts(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(df: DataFrame, path: str, key: str, text: str, most: int, end: int) -> DataFrame:
-    """key, piece, start, length, ids_crc32, deal for each piece of each row of df; null texts are empty and hold the end id alone.
-
-    deal: the piece's number in its task, which tells rows that repeat apart.
+    """key, piece, start, length, ids_crc32 for each piece of each row of df; null texts are empty and hold the end id alone.
 
     Ids are made by Encoder; of every CHECKED documents of a task one is encoded by `tokenizers` too,
     and a difference ends the job rather than let a wrong id through.
     """
     small_batches(df.sparkSession)
     name = os.path.basename(path)
-    names = [key, "piece", "start", "length", "ids_crc32", "deal"]
+    names = [key, "piece", "start", "length", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, rows, deal = Encoder(path if os.path.exists(path) else tokenizer_path(name)), 0, 0
+        encoder, rows = Encoder(path if os.path.exists(path) else tokenizer_path(name)), 0
         for batch in slices(batches, 1):
             found = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -93,13 +93,12 @@ def token_pieces(df: DataFrame, path: str, key: str, text: str, most: int, end:
                 rows += 1
                 ids = np.array([*ids, end], dtype="<u4")
                 for i, (start, n) in enumerate(cuts(len(ids), most)):
-                    found.append((k, i, start, n, zlib.crc32(ids[start : start + n].tobytes()), deal))
-                    deal += 1
-            columns = list(zip(*found, strict=True)) or [[]] * 6
+                    found.append((k, i, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+            columns = list(zip(*found, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(lean(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, deal long")
+    return df.select(key, text).mapInArrow(lean(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,20 +153,23 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most
     Null and empty texts hold the end id alone; rows that repeat or share a key are packed as
     documents of their own; null keys are kept; an empty table gives no rows; other columns are ignored.
 
-    Only the pieces' lengths and checksums are shuffled, never their ids. Groups are dealt by hash of
-    key, piece, checksum and the piece's number in its task, so no document, key or lot of equal rows
-    fills a group; their number grows with the rows.
+    Only the pieces' lengths and checksums are shuffled, never their ids. Equal pieces are counted and
+    parted into lots of at most LOT; groups are dealt by hash of a piece's values and its lot's number.
+    So no document, key or lot of equal rows fills a group, and a task that is run again, on rows in
+    whatever order, sends every piece where it was sent before. The number of groups grows with the rows.
     """
     pieces = token_pieces(df, path, key, text, most, end)
     groups = max(1, -(-df.count() // group_docs))
-    names = [c for c in pieces.columns if c != "deal"]
+    names = pieces.columns
 
     def place(t: pa.Table) -> pa.Table:
+        t = t.take(np.repeat(np.arange(len(t)), t["rows"].to_numpy()))
         t = t.sort_by([("length", "descending"), (key, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = packed(t["length"].to_numpy(), most)
         ids = (t["grp"][0].as_py() << 32) + bins
         return t.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
     kind = df.schema[key].dataType.simpleString()
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(key, "piece", "ids_crc32", "deal"), F.lit(groups))).drop("deal")
+    lots = parted(pieces.groupBy(*(F.col(f"`{c}`") for c in names)).agg(F.count("*").alias("rows")).withColumn("lot", F.lit(0).cast("long")), "rows", "lot", LOT)
+    dealt = lots.withColumn("grp", F.pmod(F.xxhash64(F.col(f"`{key}`"), "piece", "start", "length", "ids_crc32", "lot"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(place, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
