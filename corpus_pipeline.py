@@ -7,7 +7,7 @@ there is one, follows the text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajloom.llm import jaccard, linededup, mixing, packing, quality, tokens
@@ -27,7 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents one row: of the smallest doc_id (null last), then of the smallest text hash.
 
-    Of rows that repeat both, the first by the other columns stays. Rows without a word are components of their own.
+    Of rows that repeat both, the first by the other columns stays (written as text, so they may be maps too); such rows
+    become one in the tasks that read them, before the shuffle. Rows without a word are components of their own.
     """
     found, _ = jaccard.similar_documents(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("x")
@@ -35,9 +36,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keep = keep.select(F.coalesce("x.doc_id", F.lit(0)).alias("__id"), F.col("x.null").alias("__null"), F.col("x.text_hash").alias("__hash"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     keyed = docs.filter(worded).withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__null", F.col("doc_id").isNull()).withColumn("__hash", F.xxhash64("text"))
-    by = Window.partitionBy("__id", "__null", "__hash").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text")
-    one = keyed.join(keep, ["__id", "__null", "__hash"], "left_semi").withColumn("__n", F.row_number().over(by)).filter("__n = 1")
-    return one.select(*docs.columns).unionByName(docs.filter(~worded))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.min_by(F.struct(*columns), F.struct(F.struct(F.lit(0), *others).cast("string"), "text"))
+    one = keyed.groupBy("__id", "__null", "__hash").agg(first.alias("__row")).join(keep, ["__id", "__null", "__hash"], "left_semi")
+    return one.select("__row.*").unionByName(docs.filter(~worded))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
