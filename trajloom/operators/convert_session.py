@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -19,6 +20,8 @@ from .render import quoted
 
 #: The place of what comes at a segment's end.
 FAR = 1 << 60
+#: Rows of segments that a worker has as objects at a time, but for those of the segment at hand.
+WALKED = 1000
 
 
 def get(path: str, kind: str = "string") -> Column:
@@ -82,16 +85,16 @@ def blocks(messages: DataFrame) -> DataFrame:
     role = F.coalesce(get("$.message.role"), get("$.type"))
     items = variants.blocks(get("$.message.content", "variant"))
     m = messages.select("session", "pos", "lineno", role.alias("role"), get("$.uuid").alias("uuid"), get("$.parentUuid").alias("parent"), items.alias("items"))
+    given = F.exists("items", lambda x: F.coalesce(F.try_variant_get(x, "$.type", "string") == "tool_result", F.lit(False)))
+    m = m.withColumn("normal", (F.col("role") == "user") & ~F.coalesce(given, F.lit(False)))
     v = lambda path, kind="string": F.try_variant_get(F.col("b"), path, kind)
-    b = m.select("session", "pos", "lineno", "role", "uuid", "parent", F.posexplode_outer("items").alias("block_index", "b"))
+    b = m.select("session", "pos", "lineno", "role", "uuid", "parent", "normal", F.posexplode_outer("items").alias("block_index", "b"))
     type_ = v("$.type")
     raw = F.when(type_ == "text", v("$.text", "variant")).when(type_ == "thinking", v("$.thinking", "variant")).when(type_ == "tool_result", v("$.content", "variant")).when(type_ != "tool_use", F.col("b"))
     b = b.select(
-        "session", "pos", "lineno", "role", "uuid", "parent", "block_index", type_.alias("type"), variants.content_text(raw).alias("text"), F.coalesce(v("$.id"), v("$.tool_use_id"), F.lit("")).alias("id"),
+        "session", "pos", "lineno", "role", "uuid", "parent", "normal", "block_index", type_.alias("type"), variants.content_text(raw).alias("text"), F.coalesce(v("$.id"), v("$.tool_use_id"), F.lit("")).alias("id"),
         v("$.name").alias("tool"), F.to_json(v("$.input", "variant")).alias("input"), F.coalesce(v("$.is_error", "boolean"), F.lit(False)).alias("error"),
     )
-    has = F.max((F.coalesce("type", F.lit("")) == "tool_result").cast("int")).over(Window.partitionBy("session", "pos"))
-    b = b.withColumn("normal", (F.col("role") == "user") & (has == 0))
     return b.withColumn("p", F.row_number().over(Window.partitionBy("session").orderBy("pos", "block_index")).cast("long"))
 
 
@@ -102,48 +105,67 @@ def queued(calls: DataFrame) -> DataFrame:
     one counts, and the earlier is dropped. Which call that is depends on all results before, so a segment with such ids is
     walked through in order by one task, a small row for each call or result; other segments have their places in closed form.
     """
-    twice = F.count("*") > F.count_distinct("id")
-    kinds = calls.groupBy("session", "seg", "kind").agg((F.max(F.coalesce("id", F.lit("")) == "") | twice).alias("odd"))
-    odd = kinds.filter("odd").select("session", "seg").distinct()
-
-    def walk(t: pa.Table) -> pa.Table:
-        rows = t.sort_by("p").to_pylist()
-        for r in rows:
-            r |= {"id": r["id"] or "", "k1": r["p"], "k2": 1, "k3": r["p"], "k4": 0, "paired": False, "dropped": False}
-        waiting: list[dict] = []
-        held: dict[str, dict] = {}
-        for r in rows:
-            if r["kind"] == "action":
-                waiting.append(r)
-                continue
-            known = any(a["id"] == r["id"] for a in waiting)
-            if not known and (r["id"] or not waiting):
-                continue  # a stray result stays where it is
-            key = r["id"] if known else waiting[0]["id"]
-            if key in held:
-                held[key]["dropped"] = True
-            held[key] = r  # keeps the place of the first
-            while waiting and waiting[0]["id"] in held:
-                call = waiting.pop(0)
-                answer = held.pop(call["id"])
-                call |= {"k1": r["p"], "paired": True}
-                answer |= {"k1": r["p"], "k3": call["p"], "k4": 1, "paired": True}
-        for call in waiting:
-            call |= {"k1": FAR, "k2": 2}
-        for n, answer in enumerate(held.values()):
-            answer |= {"k1": FAR, "k2": 3, "k3": n, "paired": True}
-        for call in waiting:
-            call["paired"] = call["id"] in held
-        return pa.Table.from_pylist(rows, schema)
-
-    plain = emission_order(calls.join(odd, ["session", "seg"], "left_anti")).withColumn("dropped", F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("session", "seg", "kind", "id").orderBy("p"))
+    odd = F.max((F.coalesce("id", F.lit("")) == "") | (F.col("__nth") > 1)).over(Window.partitionBy("session", "seg"))
+    marked = calls.withColumn("__nth", nth).withColumn("__odd", odd).drop("__nth")
+    plain = emission_order(marked.filter("not __odd").drop("__odd")).withColumn("dropped", F.lit(False))
     names = [*calls.columns, "k1", "k2", "k3", "k4", "paired", "dropped"]
     plain = plain.select(*calls.columns, *(F.col(c).cast("long").alias(c) for c in ("k1", "k2", "k3", "k4")), "paired", "dropped")
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in plain.schema.fields])
-    fixed = calls.join(odd, ["session", "seg"], "left_semi").groupBy("session", "seg").applyInArrow(walk, plain.schema)
+
+    def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Segments stream by one after another; a worker holds one, and a few rows that are done."""
+        now, rows, done = None, [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, WALKED):
+                for r in batch.slice(at, WALKED).to_pylist():
+                    if (r["session"], r["seg"]) != now:
+                        done += walked(rows)
+                        now, rows = (r["session"], r["seg"]), []
+                    rows.append(r)
+                if len(done) >= WALKED:
+                    yield pa.RecordBatch.from_pylist(done, schema)
+                    done = []
+        yield pa.RecordBatch.from_pylist(done + walked(rows), schema)
+
+    fixed = marked.filter("__odd").drop("__odd").repartition("session", "seg").sortWithinPartitions("session", "seg", "p").mapInArrow(walks, plain.schema)
     return plain.unionByName(fixed.select(*names))
 
 
+def walked(rows: list[dict]) -> list[dict]:
+    """A segment's calls and results, in order, with their places: see queued()."""
+    for r in rows:
+        r |= {"id": r["id"] or "", "k1": r["p"], "k2": 1, "k3": r["p"], "k4": 0, "paired": False, "dropped": False}
+    waiting: deque[dict] = deque()
+    wanted: Counter[str] = Counter()  # the waiting calls' ids
+    held: dict[str, dict] = {}
+    for r in rows:
+        if r["kind"] == "action":
+            waiting.append(r)
+            wanted[r["id"]] += 1
+            continue
+        known = wanted[r["id"]] > 0
+        if not known and (r["id"] or not waiting):
+            continue  # a stray result stays where it is
+        key = r["id"] if known else waiting[0]["id"]
+        if key in held:
+            held[key]["dropped"] = True
+        held[key] = r  # keeps the place of the first
+        while waiting and waiting[0]["id"] in held:
+            call = waiting.popleft()
+            wanted[call["id"]] -= 1
+            answer = held.pop(call["id"])
+            call |= {"k1": r["p"], "paired": True}
+            answer |= {"k1": r["p"], "k3": call["p"], "k4": 1, "paired": True}
+    for call in waiting:
+        call |= {"k1": FAR, "k2": 2}
+    for n, answer in enumerate(held.values()):
+        answer |= {"k1": FAR, "k2": 3, "k3": n, "paired": True}
+    for call in waiting:
+        call["paired"] = call["id"] in held
+    return rows
+
+
 def emission_order(calls: DataFrame) -> DataFrame:
     """Where actions and results of parallel tool calls go: adds k1, k2, k3, k4 to sort by, and paired.
 
@@ -173,6 +195,7 @@ def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: boo
 
     Text and thoughts of the assistant wait for the next tool call, whose description and
     reasoning they become; what no call takes is a message before the next normal user message.
+    The blocks are stored in the shared folder, since most steps read them.
     """
     out, _ = _converted(linear(records, use_parent_chain), drop_thinking, lowercase_functions, keep_parallel_order)
     return out
@@ -181,15 +204,14 @@ def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: boo
 def _converted(chain: DataFrame, drop_thinking: bool, lowercase_functions: bool, keep_parallel_order: bool) -> tuple[DataFrame, DataFrame]:
     """(events, warnings: session, seg, k1, k2, k3, said) of messages in order."""
     everything = blocks(chain)
-    b = everything
     by = Window.partitionBy("session").orderBy("p")
     first = F.col("normal") & (F.row_number().over(Window.partitionBy("session", "pos").orderBy("block_index")) == 1)
-    b = b.withColumn("first", first).filter("type is not null or first")  # a user message without blocks ends a segment too
-    b = b.withColumn("seg", F.sum(F.col("first").cast("int")).over(by))
-    b = b.withColumn("type", F.coalesce("type", F.lit("")))
     call = (F.col("role") == "assistant") & (F.col("type") == "tool_use")
-    stop = (call | F.col("first")).cast("int")
-    b = b.withColumn("grp", F.sum(stop).over(by) - stop)
+    everything = everything.withColumn("first", first).withColumn("own", F.col("type").isNotNull() | F.col("first"))  # a user message without blocks ends a segment too
+    stop = F.when(F.col("own"), (F.coalesce(call, F.lit(False)) | F.col("first")).cast("int"))
+    everything = everything.withColumns({"seg": F.sum(F.when(F.col("own"), F.col("first").cast("int"))).over(by), "grp": F.sum(stop).over(by) - stop})
+    everything = shared.stored(everything, "blocks")
+    b = everything.filter("own").drop("own").withColumn("type", F.coalesce("type", F.lit("")))
     thought = (F.col("role") == "assistant") & (F.col("type") == "thinking")
     spoken = (F.col("role") == "assistant") & ~call & ~thought & (text.strip(F.col("text")) != "")
     pend = b.filter(spoken | (thought & F.lit(not drop_thinking) & (text.strip(F.col("text")) != ""))).withColumn("thought", F.col("type") == "thinking")
@@ -207,9 +229,10 @@ def _converted(chain: DataFrame, drop_thinking: bool, lowercase_functions: bool,
     # the tool that was called last by this id before the result
     earlier = Window.partitionBy("session", "id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     tools = tools.withColumn("caller", F.last(F.when((F.col("kind") == "action") & (F.col("id") != ""), F.coalesce("tool", F.lit(""))), ignorenulls=True).over(earlier))
-    t = tools.join(order, ["session", "p"]).join(pend.select("session", "grp", "visible", "reasoning"), ["session", "grp"], "left")
-    name = F.concat(F.coalesce("caller", F.lit("tool")), F.when(F.col("id") != "", F.concat(F.lit(":"), F.col("id"))).otherwise(""), F.when(F.col("error"), ":error").otherwise(""))
+    t = tools.join(order, ["session", "p"])
     said = _pairing_warnings(t, b)
+    t = t.join(pend.select("session", "grp", "visible", "reasoning"), ["session", "grp"], "left")
+    name = F.concat(F.coalesce("caller", F.lit("tool")), F.when(F.col("id") != "", F.concat(F.lit(":"), F.col("id"))).otherwise(""), F.when(F.col("error"), ":error").otherwise(""))
     t = t.filter("not dropped")
     act = F.col("kind") == "action"
     obj = _as_object(F.col("input"))
@@ -336,7 +359,7 @@ class Converted:
 def convert(records: DataFrame, use_parent_chain: bool = True, drop_thinking: bool = False, lowercase_functions: bool = False, keep_parallel_order: bool = False, raw_inputs: bool = True, raw_results: bool = True) -> Converted:
     """Sessions (session, lineno, rec VARIANT and optionally value, the line) with their ids, details and warnings.
 
-    The chain is stored in the shared folder, since events, details and warnings all read it. Details are a session's own: what its records
+    The chain and its blocks are stored in the shared folder, since events, details and warnings all read them. Details are a session's own: what its records
     name (ids, versions, models, folders, branches), counts, tools by call, summaries, the issue that the first user text states, warnings in the order the conversion meets them,
     and on demand the last input and result of every call.
     """
