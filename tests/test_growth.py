@@ -3,6 +3,9 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
+from trajloom.functions import json_udf
 from trajloom.operators import convert_session
 
 
@@ -13,6 +16,15 @@ def plan(df) -> str:
     return out.getvalue()
 
 
+def test_batches_of_texts_are_bounded(spark):
+    """10,000 lines of 100 kB each were one batch."""
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    json_udf.canonical_json(F.col("value"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+
+
 def calls(spark):
     rows = [("s", g, 10 * g + i, k, x) for g in range(1500) for i, (k, x) in enumerate([("action", "a"), ("action", ""), ("result", "a"), ("result", "a"), ("result", ""), ("result", "stray")])]
     return spark.createDataFrame(rows, "session string, seg long, p long, kind string, id string")
