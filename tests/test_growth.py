@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from trajloom.functions import json_udf
+from trajloom.functions import classify, json_udf, text
 from trajloom.operators import convert_session
 
 
@@ -40,3 +40,28 @@ def test_segments_stream_by(spark):
         (0, "action", 2, 1, 0, 0, True, False), (1, "action", 4, 1, 1, 0, True, False), (2, "result", 2, 1, 0, 1, True, False), (3, "result", 3, 1, 3, 0, False, False),
         (4, "result", 4, 1, 1, 1, True, False), (5, "result", 5, 1, 5, 0, False, False),
     }
+
+
+def test_a_path_is_normalised_once(spark):
+    df = spark.createDataFrame([("src/a.py",)], "path string").select(classify.path_class(F.col("path")).alias("c"))
+    assert plan(df).split("== Analyzed")[1].split("== Optimized")[0].count("testbed/(.*)$") == 1
+    assert df.first().c == "source"
+
+
+def test_strip_by_trimming_is_strip_by_expression(spark):
+    """ASCII texts are trimmed without a regular expression, others by the one that all had."""
+    ends = ["", " ", "\t\n", "\x0b\f\r", "\x1c\x1d\x1e\x1f", "\x00", "\x85", " ", "\xa0 "]
+    rows = [(a + m + b,) for a in ends for b in ends for m in ("", "x", "x \ny", "\xe9")] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+    whole = F.regexp_replace("t", rf"(?U)\A{text.SPACE}+|(?<!{text.SPACE}){text.SPACE}+\z", "")
+    assert df.filter(~text.strip(F.col("t")).eqNullSafe(whole)).count() == 0
+    assert "btrim" in plan(df.select(text.strip(F.col("t"))))
+
+
+def test_forbidden_parts_hide_nothing(spark):
+    from trajloom.functions import rules
+
+    words = ["DIFF --GIT", "```Diff", "manual.YML", "Manual.yaml", "Agent-Summary:", "agent-session-PATHS:", ".realign/Sessions/", "Model_Patch", "x_preds.JSON", "prediction.json", "<System-Reminder>", "</system-reminder>", "REASONING_content", "TodoWrite", "none", "manual.txt"]
+    df = spark.createDataFrame([(f"a {w} b",) for w in words] + [(None,)], "t string")
+    assert df.filter(text.forbidden(F.col("t")) != F.coalesce("t", F.lit("")).rlike(rules.HARD_FORBIDDEN)).count() == 0
+    assert df.filter(text.forbidden(F.col("t"))).count() == len(words) - 2

@@ -39,8 +39,12 @@ def normalize_path(c: Column) -> Column:
     """A path in the repository: slashes, no leading ./, and no folders down to a testbed of an absolute or temporary path."""
     p = text.strip(text.normalize(c))
     p = F.regexp_replace(F.regexp_replace(p, r"[\\/]+", "/"), r"\A(?:\./)+", "")
-    inside = F.regexp_extract(p, r"(?:^|/)testbed/(.*)$", 1)
-    p = F.when(p.rlike(r"(?:^|/)testbed/") & (p.startswith("/") | p.contains("/tmp/") | p.startswith("tmp/")), inside).otherwise(p)
+
+    def below(p: Column) -> Column:
+        inside = F.regexp_extract(p, r"(?:^|/)testbed/(.*)$", 1)
+        return F.when(p.contains("testbed/") & p.rlike(r"(?:^|/)testbed/") & (p.startswith("/") | p.contains("/tmp/") | p.startswith("tmp/")), inside).otherwise(p)
+
+    p = text.let(p, below)
     p = F.regexp_replace(p, r"\A(?:[^/]*swebench[^/]*/)+testbed/", "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\Atestbed/", ""), r"\A(?:\./)+", ""), "/+", "/")
 
@@ -54,8 +58,12 @@ def extension(p: Column) -> Column:
     return F.when(basename(p).contains("."), F.lower(F.substring_index(basename(p), ".", -1))).otherwise("")
 
 
+#: Names of the workspace itself, in their normal form.
+ROOTS = ("", ".", "./", "testbed", "./testbed")
+
+
 def is_root(p: Column) -> Column:
-    return F.lower(normalize_path(p)).isin("", ".", "./", "testbed", "./testbed")
+    return F.lower(normalize_path(p)).isin(*ROOTS)
 
 
 def _artifact(p: Column, policy: str) -> Column:
@@ -84,20 +92,27 @@ def path_class(path: Column, policy: str = "strip") -> Column:
 
     The memory policy looks at the path as it is, the strip policy at its normal form.
     """
-    raw = F.coalesce(path, F.lit(""))
-    p = F.lower(normalize_path(raw) if policy == "strip" else raw)
+
+    def of(raw: Column) -> Column:
+        return text.let(F.lower(normalize_path(raw) if policy == "strip" else raw), lambda p: _path_class(raw, p, policy))
+
+    return text.let(F.coalesce(path, F.lit("")), of)
+
+
+def _path_class(raw: Column, p: Column, policy: str) -> Column:
+    """The class of a path, p being what the policy looks at."""
     tail = [("scratch", _scratch(p, policy)), ("test", _test(p)), ("source", extension(raw).isin(*rules.SOURCE_EXTENSIONS))]
     if policy == "memory":
         return chain([("other", raw == ""), ("submission_artifact", _artifact(p, policy)), *tail], "other")
-    return chain([("empty_path", raw == ""), ("workspace_root", is_root(raw)), ("submission_artifact", _artifact(p, policy)), ("harness", _harness(p)), *tail], "other")
+    return chain([("empty_path", raw == ""), ("workspace_root", p.isin(*ROOTS)), ("submission_artifact", _artifact(p, policy)), ("harness", _harness(p)), *tail], "other")
 
 
 def primary_path(function: Column, file_path: Column, path: Column, notebook_path: Column, policy: str = "strip") -> Column:
     """The normal form of the first path argument that isn't blank; a Glob has its `path` or, for the memory policy, none."""
-    filled = lambda c: F.when(text.strip(c) != "", c)
+    filled = lambda c: text.let(c, lambda x: F.when(text.strip(x) != "", x))
     first = F.coalesce(filled(file_path), filled(path), filled(notebook_path))
     glob = filled(path) if policy == "strip" else F.lit(None).cast("string")
-    return F.coalesce(normalize_path(F.when(function == "Glob", glob).otherwise(first)), F.lit("")) if policy == "strip" else F.when(function == "Glob", F.lit("")).otherwise(F.when(first.isNull(), F.lit("")).otherwise(normalize_path(first)))
+    return F.coalesce(normalize_path(F.when(function == "Glob", glob).otherwise(first)), F.lit("")) if policy == "strip" else F.when(function == "Glob", F.lit("")).otherwise(text.let(first, lambda p: F.when(p.isNull(), F.lit("")).otherwise(normalize_path(p))))
 
 
 # ---- commands
@@ -131,7 +146,10 @@ def command_class(command: Column, policy: str = "strip") -> Column:
 
 def _class_of(c: Column, policy: str) -> Column:
     """The class of a normalised command."""
-    low = F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
+    return text.let(F.lower(F.replace(c, F.lit("\\"), F.lit("/"))), lambda low: _class_by(c, low, policy))
+
+
+def _class_by(c: Column, low: Column, policy: str) -> Column:
     artifact = holds_any(low, rules.ARTIFACT_TEXT) | low.rlike(rules.ARTIFACT[policy])
     clean = text.strip(text.scrub(c)) if policy == "strip" else c
     noise = text.let(clean, lambda x: F.when(x.contains("\n"), F.lit(False)).otherwise(text.let(_one_line(x), lambda y: y.rlike(rules.GIT_STATE) | y.rlike(rules.PROBE))))
@@ -143,26 +161,29 @@ def _class_of(c: Column, policy: str) -> Column:
 
 def is_patch_payload(command: Column) -> Column:
     """Whether a command holds a diff or forbidden token, or writes to a patch or diff file."""
-    c = text.normalize(command)
+    return text.let(text.normalize(command), lambda c: text.forbidden(c) | (c.contains(">") & _writes_patch(c)))
+
+
+def _writes_patch(c: Column) -> Column:
     group = lambda k: F.nullif(F.regexp_extract(c, rules.PATCH_WRITE, k), F.lit(""))
     name = F.lower(basename(F.regexp_replace(text.strip(F.coalesce(group(1), group(2), group(3), F.lit(""))), r"""\A['"]+|['"]+\z""", "")))
-    return text.forbidden(c) | name.rlike(r"\A(?:patch|diff)(?:\..*)?\z|\.(?:patch|diff)\z")
+    return text.let(name, lambda x: x.rlike(r"\A(?:patch|diff)(?:\..*)?\z|\.(?:patch|diff)\z"))
 
 
 # ---- observations
 
 
-def is_missing_path(c: Column) -> Column:
+def is_missing_path(c: Column, normal: bool = False) -> Column:
     gone = lambda low: low.isin(*rules.MISSING_ALONE) | holds_any(low, rules.MISSING_TEXT) | (low.contains("no such file or directory") & holds_any(low, rules.MISSING_PROGRAMS))
-    return text.let(F.lower(text.strip(text.normalize(c))), gone)
+    return text.let(F.lower(text.strip(c if normal else text.normalize(c))), gone)
 
 
-def is_setup_failure(c: Column) -> Column:
-    return text.let(F.lower(text.normalize(c)), lambda low: any_of([reduce(lambda a, b: a & b, [low.contains(t) for t in tokens]) for tokens in rules.SETUP_FAILURES]))
+def is_setup_failure(c: Column, normal: bool = False) -> Column:
+    return text.let(F.lower(c if normal else text.normalize(c)), lambda low: any_of([reduce(lambda a, b: a & b, [low.contains(t) for t in tokens]) for tokens in rules.SETUP_FAILURES]))
 
 
-def is_listing(c: Column) -> Column:
-    """Only a listing of the workspace's own files: few lines, and none that looks like a repository's."""
+def is_listing(c: Column, normal: bool = False) -> Column:
+    """Only a listing of the workspace's own files: few lines, and none that looks like a repository's. normal: c is normalised, as in the two above."""
 
     def listing(lines: Column) -> Column:
         def of(joined: Column) -> Column:
@@ -171,12 +192,15 @@ def is_listing(c: Column) -> Column:
 
         return (F.size(lines) == 0) | text.let(F.lower(F.array_join(lines, "\n")), of)
 
-    return text.let(F.filter(F.transform(F.split(text.normalize(c), "\n"), text.strip), lambda x: x != ""), listing)
+    return text.let(F.filter(F.transform(F.split(c if normal else text.normalize(c), "\n"), text.strip), lambda x: x != ""), listing)
 
 
 def is_noise(c: Column, policy: str = "strip") -> Column:
-    noise = is_missing_path(c) | is_setup_failure(c)
-    return is_listing(c) | noise if policy == "strip" else noise
+    def noise(t: Column) -> Column:
+        of = is_missing_path(t, True) | is_setup_failure(t, True)
+        return is_listing(t, True) | of if policy == "strip" else of
+
+    return text.let(text.normalize(c), noise)
 
 
 def failure_bucket(class_: Column, function: Column, action_class: Column) -> Column:

@@ -69,7 +69,7 @@ def flat_text(v: Column, write=sorted_json, depth: int = DEPTH) -> Column:
 
 def content_text(v: Column, compact: bool = False) -> Column:
     """As flat_text(), for lists within lists of any depth: values with more than DEPTH of them go to one exact function outside the JVM. compact: JSON without blanks."""
-    json = F.to_json(v)
+    json = F.when(~kind(v).isin("STRING", "VOID"), F.to_json(v))  # most values are plain texts
     deep = F.coalesce(F.regexp_count(json, F.lit(r'"content":\[')) >= DEPTH, F.lit(False))  # in strings too, which costs time only
     return F.when(deep, json_udf.block_text(F.when(deep, json), compact)).otherwise(flat_text(v, F.to_json if compact else sorted_json))
 

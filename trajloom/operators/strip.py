@@ -35,7 +35,7 @@ def decide_alone(events: DataFrame, cfg: StripConfig) -> DataFrame:
     e = e.withColumns({"path_class": classify.path_class(F.col("path")), "command_class": F.when((cls == "code_action") & (F.col("language") == "bash"), classify.command_class(F.col("content")))})
     clean, kw = F.col("__clean"), F.coalesce("kwargs_json", F.lit("{}"))
     env = (cls == "text_observation") & (F.col("source") == "environment")
-    seen = classify.command_class(clean)
+    seen = F.when(F.col("command_class").isNotNull() & (clean == F.col("content")), F.col("command_class")).otherwise(classify.command_class(clean))
     bash, api = (cls == "code_action") & (F.col("language") == "bash"), cls == "api_action"
     kind = F.col("path_class")
     noisy = [("submission_artifact", True), ("harness", True), ("patch_dump_or_staging", True), ("diagnostic_environment_noise", True), ("destructive", cfg.drop_destructive_commands), ("setup", cfg.drop_setup_commands), ("build_install", cfg.drop_build_install_commands)]
