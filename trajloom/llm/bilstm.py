@@ -140,106 +140,89 @@ class Tagger:
         return losses
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """emissions() as (time, tag, window), for many windows: both directions side by side, one table lookup, two products and two tanh a step."""
+        """emissions() as (time, tag, window), for many windows: both directions side by side, one product a step for all gates.
+
+        All gates are 1 / (1 + exp(z)) of rows that hold the signs and factors, as tanh(x) is 2 / (1 + exp(-2 x)) - 1: numpy's tanh takes about twice as
+        long as its exp. Cells and states are held by halves. An exp that overflows gives a gate of 0.
+        """
         n, p = self.hidden, self.p
-        steps, width = ids.shape[1], ids.shape[0]
-        codes = np.ascontiguousarray(ids.T)
+        steps, width, embed = ids.shape[1], ids.shape[0], p["E"].shape[1]
+        codes = np.ascontiguousarray(ids.T, np.intp)
         s = np.empty((steps, self.k, width), np.float32)
         s[:] = p["o"][:, None]
-        half = np.ones((4 * n, 1), np.float32)
-        half[: 3 * n] = 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
-        tables = [np.ascontiguousarray((p["E"] @ p[f"W{d}"] + p[f"B{d}"]).T * half) for d in "fb"]
-        u, out = np.stack([p[f"U{d}"].T * half for d in "fb"]), np.stack([p["O"][:n].T, p["O"][n:].T])
-        z, zu, held, tagged = (np.empty((2, x, width), np.float32) for x in (4 * n, 4 * n, n, self.k))
-        h, c = np.zeros((2, n, width), np.float32), np.zeros((2, n, width), np.float32)
-        gates, i, f, o, new = z[:, : 3 * n], z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
-        for t in range(steps):
-            np.take(tables[0], codes[t], axis=1, out=z[0], mode="clip")
-            np.take(tables[1], codes[-1 - t], axis=1, out=z[1], mode="clip")
-            z += np.matmul(u, h, out=zu)
-            np.tanh(z, out=z)
-            gates *= 0.5
-            gates += 0.5
-            c *= f
-            c += np.multiply(i, new, out=held)
-            np.multiply(np.tanh(c, out=held), o, out=h)
-            np.matmul(out, h, out=tagged)
-            s[t] += tagged[0]
-            s[-1 - t] += tagged[1]
+        scale = np.full((4 * n, 1), -1, np.float32)
+        scale[3 * n :] = -2
+        chars = np.ascontiguousarray(p["E"].T)
+        u = np.stack([np.concatenate([2 * p[f"U{d}"], p[f"W{d}"], p[f"B{d}"][None]]).T * scale for d in "fb"])
+        out, half = 2 * np.stack([p["O"][:n].T, p["O"][n:].T]), np.float32(0.5)
+        x = np.ones((2, n + embed + 1, width), np.float32)  # a step's states, characters, and one for the bias
+        z, held, tagged = (np.empty((2, k, width), np.float32) for k in (4 * n, n, self.k))
+        c, h = np.zeros((2, n, width), np.float32), x[:, :n]
+        h[:] = 0
+        i, f, o, new = z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                np.take(chars, codes[t], axis=1, out=x[0, n:-1], mode="clip")
+                np.take(chars, codes[-1 - t], axis=1, out=x[1, n:-1], mode="clip")
+                np.matmul(u, x, out=z)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                new -= half
+                c *= f
+                c += np.multiply(i, new, out=held)
+                np.multiply(c, -4, out=held)
+                np.exp(held, out=held)
+                held += 1
+                np.reciprocal(held, out=held)
+                held -= half
+                np.multiply(held, o, out=h)
+                np.matmul(out, h, out=tagged)
+                s[t] += tagged[0]
+                s[-1 - t] += tagged[1]
         return s
 
-    def may_tag(self, s: np.ndarray) -> np.ndarray:
-        """(window, time): which characters of scores can have another tag than 0 in the best path.
+    def may_hold(self, s: np.ndarray) -> np.ndarray:
+        """(window): whether any character of scores can have another tag than 0 in the best path.
 
-        Tags come in pairs, one for a span's first character and one for the others. Ways within a pair
-        have their own transitions here, ways between pairs the best there is, so no path's gain over
-        tag 0 is above what is found. A window stands between two characters of tag 0.
+        Tags come in pairs, one for a span's first character and one for the others. The best score and the best way of any kind's first
+        characters, and of any kind's others, make a path whose gain over tag 0 no path exceeds. A window stands between two characters of
+        tag 0. The slack is for rounding.
         """
         a = (self.p["A"] - self.p["A"][0, 0]).astype(np.float32)
-        first, more = np.arange(1, self.k, 2), np.arange(2, self.k, 2)
-        col = lambda x: np.ascontiguousarray(x, np.float32)[:, None]
-        gain = s[:, 1:] - s[:, :1]
-        gf, gm = np.ascontiguousarray(gain[:, ::2]), np.ascontiguousarray(gain[:, 1::2])
-        go, stay = col(a[first, more]), col(a[more, more])
-
-        def swept(times: range, into_first: np.ndarray, into_more: np.ndarray, cross_first: np.ndarray, cross_more: np.ndarray, ahead: bool) -> tuple[np.ndarray, np.ndarray]:
-            f, m = np.empty_like(gf), np.empty_like(gm)
-            before = None
-            for t in times:
-                if before is None:
-                    f[t], m[t] = gf[t] + into_first, gm[t] + into_more
-                else:
-                    any_ = np.maximum(f[before], m[before]).max(axis=0)
-                    to_f, to_m = np.maximum(into_first, any_ + cross_first), np.maximum(into_more, any_ + cross_more)
-                    np.maximum(to_m, m[before] + stay, out=to_m)
-                    other = to_m if ahead else to_f
-                    np.maximum(other, (f if ahead else m)[before] + go, out=other)
-                    np.add(gf[t], to_f, out=f[t])
-                    np.add(gm[t], to_m, out=m[t])
-                before = t
-            return f, m
-
-        apart = a[1:, 1:].copy()
-        for i in range(0, self.k - 1, 2):
-            apart[i, i + 1] = apart[i + 1, i + 1] = -np.inf  # ways within a pair
-        n = len(s)
-        f, m = swept(range(n), col(a[0, first]), col(a[0, more]), col(apart[:, ::2].max(axis=0)), col(apart[:, 1::2].max(axis=0)), True)
-        g, k = swept(range(n - 1, -1, -1), col(a[first, 0]), col(a[more, 0]), col(apart[::2].max(axis=1)), col(apart[1::2].max(axis=1)), False)
-        f += g
-        f -= gf
-        m += k
-        m -= gm
-        return (np.maximum(f, m).max(axis=1) > 0).T
-
-    def decode(self, ids: np.ndarray, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pair = (slice(1, None, 2), slice(2, None, 2))
+        gains = [s[:, k].max(axis=1) - s[:, 0] for k in pair]
+        into, out = [a[0, k].max() for k in pair], [a[k, 0].max() for k in pair]
+        ways = [[a[j, k].max() for j in pair] for k in pair]
+        f, m, top, to_f, to_m, way = np.full((6, s.shape[2]), -1e9, np.float32)
+        for gain in zip(*gains, strict=True):
+            for to, (by_f, by_m), start, g in zip((to_f, to_m), ways, into, gain, strict=True):
+                np.add(f, by_f, out=to)
+                np.maximum(to, np.add(m, by_m, out=way), out=to)
+                np.maximum(to, start, out=to)
+                to += g
+            f, m, to_f, to_m = to_f, to_m, f, m
+            np.maximum(top, np.add(f, out[0], out=way), out=top)
+            np.maximum(top, np.add(m, out[1], out=way), out=top)
+        return top > -1e-3
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows, tags, gain): of the windows whose best tags aren't all 0, their rows in ids, the tags (window, time), and how far each character's score is above that of tag 0.
 
-        Between characters whose tag must be 0 stretches are decoded by themselves, those of like length together.
+        Windows whose tags must be 0 are left out of the Viterbi pass.
         """
         s, a = self.scores(ids), self.p["A"]
-        may = self.may_tag(s)
-        edges = np.diff(may.astype(np.int8), axis=1, prepend=0, append=0)
-        row, start = np.nonzero(edges > 0)
-        size = np.nonzero(edges < 0)[1] - start
-        tags, order = np.zeros(may.shape, np.int8), np.argsort(size, kind="stable")
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
-            r, t, n = row[some], start[some], size[some]
-            steps = np.arange(n.max())
-            e = s[np.minimum(t[:, None] + steps, len(s) - 1), :, r[:, None]]
-            e[steps >= n[:, None]] = np.r_[0, np.full(self.k - 1, -1e9)]  # after its end a stretch has tag 0
-            e = np.ascontiguousarray(e.transpose(1, 2, 0))
-            best = np.empty_like(e)
-            best[0] = e[0] + a[0][:, None]
-            for k in steps[1:]:
-                np.add((best[k - 1][:, None] + a[:, :, None]).max(axis=0), e[k], out=best[k])
-            y = np.empty((len(some), len(steps)), np.int8)
-            y[:, -1] = (best[-1].T + a[:, 0]).argmax(1)
-            for k in steps[-2::-1]:
-                y[:, k] = (best[k].T + a.T[y[:, k + 1]]).argmax(1)
-            inside = steps < n[:, None]
-            tags[np.broadcast_to(r[:, None], inside.shape)[inside], (t[:, None] + steps)[inside]] = y[inside]
-        rows = np.flatnonzero(tags.any(axis=1))
-        tags = tags[rows].astype(np.int64)
-        own = s[:, :, rows].transpose(2, 0, 1)
-        return rows, tags, np.take_along_axis(own, tags[:, :, None], 2)[:, :, 0] - own[:, :, 0]
+        held = np.flatnonzero(self.may_hold(s))
+        s = s[:, :, held]
+        best = np.empty_like(s)
+        best[0] = s[0] + a[0][:, None]
+        for t in range(1, len(s)):
+            np.add((best[t - 1][:, None] + a[:, :, None]).max(axis=0), s[t], out=best[t])
+        y = np.empty(s.shape[::2], np.int8)
+        y[-1] = (best[-1] + a[:, :1]).argmax(axis=0)
+        for t in range(len(s) - 2, -1, -1):
+            y[t] = (best[t] + a[:, y[t + 1]]).argmax(axis=0)
+        rows = np.flatnonzero(y.any(axis=0))
+        tags, own = y[:, rows].astype(np.int64), s[:, :, rows]
+        gain = np.take_along_axis(own, tags[:, None], 1)[:, 0] - own[:, 0]
+        return held[rows], tags.T, gain.T

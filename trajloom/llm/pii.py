@@ -235,14 +235,21 @@ def sane(s: str, kind: str) -> str | None:
     return next((k for k in (kind, *(("card", "ip", "phone") if kind != "email" else ())) if plausible(s, k)), None)
 
 
+def batches_of(where: list[tuple[int, tuple[int, int]]]) -> Iterator[list[tuple[int, tuple[int, int]]]]:
+    """Windows, shortest first, in batches of about BATCH; those under half a window are apart, so less of what is read is padding."""
+    half = sum(2 * (b - a) <= WINDOW for _, (a, b) in where)
+    for part in (where[:half], where[half:]):
+        n = max(1, round(len(part) / BATCH))
+        yield from (x for x in (part[len(part) * k // n : len(part) * (k + 1) // n] for k in range(n)) if x)
+
+
 def tagged(texts: list[str], tagger: Tagger) -> list[list[Span]]:
     """For each text the spans that the model finds, reconciled over the text. It reads all of every text."""
     ids = [char_ids(t) for t in texts]
     where = [(i, w) for i, t in enumerate(texts) for w in windows_of(len(t))]
     decoded: list[dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]] = [{} for _ in texts]
     where.sort(key=lambda x: x[1][1] - x[1][0])  # windows of like length share a batch
-    for at in range(0, len(where), BATCH):
-        some = where[at : at + BATCH]
+    for some in batches_of(where):
         codes = np.zeros((len(some), max(b - a for _, (a, b) in some)), np.uint8)
         for row, (i, (a, b)) in enumerate(some):
             codes[row, : b - a] = ids[i][a:b]
