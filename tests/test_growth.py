@@ -65,3 +65,16 @@ def test_forbidden_parts_hide_nothing(spark):
     df = spark.createDataFrame([(f"a {w} b",) for w in words] + [(None,)], "t string")
     assert df.filter(text.forbidden(F.col("t")) != F.coalesce("t", F.lit("")).rlike(rules.HARD_FORBIDDEN)).count() == 0
     assert df.filter(text.forbidden(F.col("t"))).count() == len(words) - 2
+
+
+def test_empty_paths_are_not_normalised(spark):
+    """Most events have no path: nulls and '' were taken through all expressions of a normal form."""
+    rows = [("",), (None,), (" ",), ("./",), ("src/a.py",), ("output/x.txt",)]
+    df = spark.createDataFrame(rows, "path string")
+    found = df.select(classify.path_class(F.col("path")).alias("s"), classify.path_class(F.col("path"), "memory").alias("m"))
+    assert [tuple(r) for r in found.collect()] == [("empty_path", "other"), ("empty_path", "other"), ("workspace_root", "other"), ("workspace_root", "other"), ("source", "source"), ("submission_artifact", "other")]
+    # ahead of the first expression of a normal form it is asked whether there is a path at all
+    none = F.lit(None).cast("string")
+    for c, asked in ((classify.path_class(F.col("path")), "(namedlambdavariable() = ) THEN empty"), (classify.primary_path(F.lit("Read"), F.col("path"), none, none), "(namedlambdavariable() IS NULL) THEN")):
+        analyzed = plan(df.select(c)).split("Analyzed Logical Plan")[1].split("Optimized Logical Plan")[0]
+        assert asked in analyzed.split("regexp_replace", 1)[0] or asked in analyzed.split(r"[\\/]+", 1)[0]

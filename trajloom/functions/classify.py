@@ -94,17 +94,18 @@ def path_class(path: Column, policy: str = "strip") -> Column:
     """
 
     def of(raw: Column) -> Column:
-        return text.let(F.lower(normalize_path(raw) if policy == "strip" else raw), lambda p: _path_class(raw, p, policy))
+        looked_at = lambda: text.let(F.lower(normalize_path(raw) if policy == "strip" else raw), lambda p: _path_class(raw, p, policy))
+        return F.when(raw == "", "empty_path" if policy == "strip" else "other").otherwise(looked_at())  # most events have no path
 
     return text.let(F.coalesce(path, F.lit("")), of)
 
 
 def _path_class(raw: Column, p: Column, policy: str) -> Column:
-    """The class of a path, p being what the policy looks at."""
+    """The class of a path that isn't empty, p being what the policy looks at."""
     tail = [("scratch", _scratch(p, policy)), ("test", _test(p)), ("source", extension(raw).isin(*rules.SOURCE_EXTENSIONS))]
     if policy == "memory":
-        return chain([("other", raw == ""), ("submission_artifact", _artifact(p, policy)), *tail], "other")
-    return chain([("empty_path", raw == ""), ("workspace_root", p.isin(*ROOTS)), ("submission_artifact", _artifact(p, policy)), ("harness", _harness(p)), *tail], "other")
+        return chain([("submission_artifact", _artifact(p, policy)), *tail], "other")
+    return chain([("workspace_root", p.isin(*ROOTS)), ("submission_artifact", _artifact(p, policy)), ("harness", _harness(p)), *tail], "other")
 
 
 def primary_path(function: Column, file_path: Column, path: Column, notebook_path: Column, policy: str = "strip") -> Column:
@@ -112,7 +113,8 @@ def primary_path(function: Column, file_path: Column, path: Column, notebook_pat
     filled = lambda c: text.let(c, lambda x: F.when(text.strip(x) != "", x))
     first = F.coalesce(filled(file_path), filled(path), filled(notebook_path))
     glob = filled(path) if policy == "strip" else F.lit(None).cast("string")
-    return F.coalesce(normalize_path(F.when(function == "Glob", glob).otherwise(first)), F.lit("")) if policy == "strip" else F.when(function == "Glob", F.lit("")).otherwise(text.let(first, lambda p: F.when(p.isNull(), F.lit("")).otherwise(normalize_path(p))))
+    normal = lambda c: text.let(c, lambda p: F.when(p.isNull(), F.lit("")).otherwise(normalize_path(p)))
+    return normal(F.when(function == "Glob", glob).otherwise(first)) if policy == "strip" else F.when(function == "Glob", F.lit("")).otherwise(normal(first))
 
 
 # ---- commands
