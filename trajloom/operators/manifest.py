@@ -200,7 +200,7 @@ class Predictions:
 def predictions(plan: DataFrame, found: DataFrame, audits: DataFrame) -> Predictions:
     """What the runs of a plan (run_id, condition, target_instance_id, plan_index, run_dir) predicted.
 
-    found, audits: folder, pred (VARIANT, null where the file is no object) of prediction.json and prediction_audit.json, see readers.predictions.
+    found, audits: folder, pred (VARIANT, null where there is no file or it is no object) of prediction.json and prediction_audit.json, see readers.predictions.
     A run without a prediction is missing; one without an audit has a row that says so; of each condition the instance ids that several runs predict are listed, and all their rows kept.
     """
     at = lambda c: F.regexp_replace(c, "^[a-z][a-z0-9+.-]*:(//[^/]*)?|/+$", "")

@@ -281,7 +281,7 @@ def run_folders(spark, sf_dir):
     said = plan.filter(k % 13 != 0).select(F.concat(at, F.lit("/prediction.json")).alias("name"), body.alias("value"))
     audit = plan.filter(k % 5 != 0).select(F.concat(at, F.lit("/prediction_audit.json")).alias("name"), F.concat(F.lit('{"run_id":"'), "run_id", F.lit('","audited":true}')).alias("value"))
     sinks.files(said.unionByName(audit), root, "name", "value")
-    return plan, root
+    return plan
 
 
 PREDICTED = """with e as (select doc_id as k, 'run' || doc_id as run_id, 'q' || quality as condition, 'i' || (doc_id % 50) as iid from labels), h as (select * from e where k % 13 > 2)"""
@@ -292,8 +292,9 @@ union all select 'audit', run_id, condition, case when k % 5 <> 0 then '{"audite
 union all select 'missing', run_id, null, 'r' || k || '/prediction.json' from e where k % 13 < 3
 union all select 'duplicates', null, condition, string_agg(iid, ',' order by iid) from (select condition, iid from h group by 1, 2 having count(*) > 1) group by condition""")
 def x4_predictions(spark, sf_dir):
-    plan, root = run_folders(spark, sf_dir)
-    p = manifest.predictions(plan, readers.predictions(spark, root), readers.predictions(spark, root, "prediction_audit.json"))
+    plan = run_folders(spark, sf_dir)
+    read = [shared.stored(readers.predictions(plan, name), "predictions") for name in ("prediction.json", "prediction_audit.json")]  # four parts of the plan read them
+    p = manifest.predictions(plan, *read)
     rows = lambda df, part, run, condition, json: df.select(F.lit(part).alias("part"), run.alias("run_id"), condition.alias("condition"), json.alias("json"))
     own, none = F.col("run_id"), F.lit(None).cast("string")
     out = rows(p.strict, "strict", own, F.col("condition"), F.col("json")).unionByName(rows(p.audit, "audit", own, F.col("condition"), F.col("json")))

@@ -1,24 +1,28 @@
-"""Files whose names come from the data: tasks stage what they write, and the job's commit moves it into place."""
+"""Files whose names come from the data: tasks stage what they write, and, when all have, others move it into place."""
 
 from __future__ import annotations
 
 import gzip
 import os
+import time
 import uuid
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..functions import shared
+
 FORMAT = "named_files"
 DONE = "_SUCCESS"
-#: Files that the driver moves at a time when a job commits.
-MOVERS = 16
+#: What follows an attempt's name in that of its list of files, and the list of the attempts that won.
+LIST, WON = ".parquet", "won.parquet"
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -31,6 +35,21 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(path)
 
 
+class Opener:
+    """opened() for one file after another: a file system is made once for those of one authority."""
+
+    def __init__(self):
+        self.root, self.found = None, None
+
+    def opened(self, path: str) -> tuple[pafs.FileSystem, str]:
+        if "://" not in path or path.startswith("file:"):
+            return opened(path)
+        root = "/".join(path.split("/", 3)[:3])
+        if root != self.root:
+            self.root, self.found = root, opened(root)
+        return self.found[0], self.found[1] + path[len(root) :]
+
+
 def proper(name: str | None) -> str:
     """A relative file name; one that is empty, absolute or leaves its folder is an error."""
     if not name or name.startswith(("/", "_")) or any(p in ("", ".", "..") for p in name.split("/")) or "\x00" in name:
@@ -40,11 +59,10 @@ def proper(name: str | None) -> str:
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """What a task has written: the folder it did so in, and how much."""
+    """What a task has written: the name of its attempt, and how many files."""
 
     attempt: str
     files: int
-    size: int
 
 
 def packed(raw: pa.NativeFile, name: str):
@@ -57,93 +75,72 @@ def packed(raw: pa.NativeFile, name: str):
 
 
 class OneFile:
-    """A file that is being written."""
+    """A file that is being written, compressed as its name says."""
 
-    def __init__(self, fs: pafs.FileSystem, folder: str, name: str):
-        path = f"{folder}/{name}"
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
+    def __init__(self, fs: pafs.FileSystem, path: str, name: str):
         self.raw = fs.open_output_stream(path, compression=None)
         self.packer = packed(self.raw, name)
 
     def write(self, data: bytes) -> None:
         (self.packer or self.raw).write(data)
 
-    def close(self) -> int:
+    def close(self) -> None:
         if self.packer is not None:
             self.packer.close()
-        size = self.raw.tell()
         self.raw.close()
-        return size
 
 
 class NamedFilesWriter(DataSourceArrowWriter):
-    """Rows name, value, sorted by name in each task, all rows of a name in one task."""
+    """Rows name, value, sorted by name in each task, all rows of a name in one task.
+
+    A task writes its files as 0, 1, 2, ... into its attempt's folder below the staging folder, and then the list of their names beside it.
+    What is there already is not its matter, so either mode does the same.
+    """
 
     def __init__(self, options: dict[str, str], overwrite: bool):
-        self.path, self.lines, self.overwrite = options["path"], options.get("lines", "false").lower() == "true", overwrite
-        self.staging = f"_staging-{uuid.uuid4().hex}"
+        self.path, self.staging, self.lines = options["path"], options["staging"], options.get("lines", "false").lower() == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         fs, root = opened(self.path)
         task = TaskContext.get()
         attempt = f"{task.partitionId() if task else 0:06d}-{uuid.uuid4().hex}"  # retries and speculative tasks don't meet
         folder = f"{root}/{self.staging}/{attempt}"
-        now, last, files, size = None, None, 0, 0
+        now, names = None, []
         for batch in iterator:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if name != last:
-                    size += now.close() if now else 0
-                    now, last, files = OneFile(fs, folder, proper(name)), name, files + 1
+                if not names or name != names[-1]:
+                    if now:
+                        now.close()
+                    else:
+                        fs.create_dir(folder, recursive=False)  # where the job has failed, the staging folder stays away
+                    now = OneFile(fs, f"{folder}/{len(names)}", proper(name))
+                    names.append(name)
                 elif not self.lines:
                     raise ValueError(f"two records have the file name {name!r}")
-                text = value.as_buffer() if value.is_valid else b""
-                now.write(text)
+                now.write(value.as_buffer() if value.is_valid else b"")
                 if self.lines:
                     now.write(b"\n")
-        size += now.close() if now else 0
-        return Staged(attempt, files, size)
+        if now:
+            now.close()
+            pq.write_table(pa.table({"name": names}), f"{folder}{LIST}", filesystem=fs)
+        return Staged(attempt, len(names))
 
     def commit(self, messages: list[Staged | None]) -> None:
-        """Move each winning attempt's files to their names; what other attempts left goes with the staging folder."""
+        """Mark the attempts that won; what others left goes with the staging folder."""
         fs, root = opened(self.path)
-        fs.create_dir(root, recursive=True)
-        with suppress(FileNotFoundError):
-            fs.delete_file(f"{root}/{DONE}")
-        if self.overwrite:
-            for x in fs.get_file_info(pafs.FileSelector(root)):
-                if not x.base_name.startswith("_staging-"):
-                    (fs.delete_dir if x.type == pafs.FileType.Directory else fs.delete_file)(x.path)
-        made: set[str] = set()
-        with ThreadPoolExecutor(MOVERS) as pool:
-            for m in messages:  # one attempt's names are held at a time
-                if m is None or not m.files:
-                    continue
-                folder = f"{root}/{self.staging}/{m.attempt}"
-                found = [x.path for x in fs.get_file_info(pafs.FileSelector(folder, recursive=True)) if x.type == pafs.FileType.File]
-                moves = [(p, f"{root}/{os.path.relpath(p, folder)}") for p in found]
-                for parent in {b.rpartition("/")[0] for _, b in moves} - made:
-                    fs.create_dir(parent, recursive=True)
-                    made.add(parent)
-                list(pool.map(lambda ab: fs.move(*ab), moves))
-        self.clear(fs, root)
-        with fs.open_output_stream(f"{root}/{DONE}") as done:
-            done.write(b"")
+        won = [m.attempt for m in messages if m is not None and m.files]
+        pq.write_table(pa.table({"attempt": pa.array(won, pa.string())}), f"{root}/{self.staging}/{WON}", filesystem=fs)
 
     def abort(self, messages: list[Staged | None]) -> None:
         """Nothing has been moved yet: what was there before stays."""
-        self.clear(*opened(self.path))
-
-    def clear(self, fs: pafs.FileSystem, root: str) -> None:
-        with suppress(FileNotFoundError):
-            fs.delete_dir(f"{root}/{self.staging}")
+        clear(self.path, self.staging)
 
 
 class NamedFiles(DataSource):
-    """df.write.format("named_files"): one file for each name, below `path`. See sinks.files() and sinks.shards(), which sort rows as it needs them.
+    """The staging half of write(): rows name, value as files below <path>/<staging>, which has the winning attempts' names in WON when the job is done.
 
     lines: rows are lines of their file, else a row is a whole file and a name that comes twice fails the job. Names that end in .zst or
-    .gz are compressed. Tasks write below _staging-*; only when all have succeeded the driver moves the files, one rename each, and
-    writes _SUCCESS. A job that fails leaves what was there before. Mode overwrite empties the folder first, append replaces equal names.
+    .gz are compressed.
     """
 
     @classmethod
@@ -155,3 +152,75 @@ class NamedFiles(DataSource):
 
     def writer(self, schema, overwrite: bool) -> NamedFilesWriter:
         return NamedFilesWriter(self.options, overwrite)
+
+
+def clear(path: str, staging: str) -> None:
+    """Remove the staging folder. Tasks of a failed job that still write there may put a file into a folder that is being emptied: then again."""
+    fs, root = opened(path)
+    for left in range(50, -1, -1):
+        try:
+            fs.delete_dir(f"{root}/{staging}")
+        except FileNotFoundError:
+            if fs.get_file_info(f"{root}/{staging}").type == pafs.FileType.NotFound:
+                return
+        except OSError:
+            if not left:
+                raise
+            time.sleep(0.1)
+        else:
+            return
+
+
+def moved(path: str, staging: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of rows `attempt` that moves an attempt's files to their names, one rename each, and gives the names. A task that runs twice, or beside itself, finds what is moved in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = opened(path)
+        made = None
+        for batch in batches:
+            for attempt in batch.column(0).to_pylist():
+                folder = f"{root}/{staging}/{attempt}"
+                names = pq.read_table(f"{folder}{LIST}", filesystem=fs).column("name").combine_chunks()
+                for i, name in enumerate(names.to_pylist()):
+                    target = f"{root}/{name}"
+                    parent = target.rpartition("/")[0]
+                    if parent != made:
+                        fs.create_dir(parent, recursive=True)
+                        made = parent
+                    try:
+                        fs.move(f"{folder}/{i}", target)
+                    except FileNotFoundError:
+                        if fs.get_file_info(target).type != pafs.FileType.File:
+                            raise
+                for k in range(0, len(names), 10_000):
+                    yield pa.RecordBatch.from_arrays([names[k : k + 10_000]], names=["name"])
+
+    return run
+
+
+def write(rows: DataFrame, path: str, overwrite: bool, **options: str) -> DataFrame:
+    """One file for each name of the rows name, value, below `path`; the table of the names, from the shared folder. See sinks.files() and sinks.shards(), which sort rows as it needs them.
+
+    Tasks write below _staging-*; only when all have succeeded, other tasks move the files, and the driver writes _SUCCESS: it sees a
+    row for each task, none for a file. A job that fails while it writes leaves what was there before. overwrite empties the folder first; else equal names are replaced.
+    """
+    spark, staging = rows.sparkSession, f"_staging-{uuid.uuid4().hex}"
+    spark.dataSource.register(NamedFiles)
+    fs, root = opened(path)
+    fs.create_dir(f"{root}/{staging}", recursive=True)
+    try:
+        rows.write.format(FORMAT).mode("append").options(path=path, staging=staging, **options).save()
+        won = pq.read_table(f"{root}/{staging}/{WON}", filesystem=fs)
+        with suppress(FileNotFoundError):
+            fs.delete_file(f"{root}/{DONE}")
+        if overwrite:
+            for x in fs.get_file_info(pafs.FileSelector(root)):
+                if not x.base_name.startswith("_staging-"):
+                    (fs.delete_dir if x.type == pafs.FileType.Directory else fs.delete_file)(x.path)
+        attempts = spark.createDataFrame(won).repartition(max(1, min(len(won), 4 * spark.sparkContext.defaultParallelism)))
+        names = shared.stored(attempts.mapInArrow(moved(path, staging), "name string"), "names")
+    finally:
+        clear(path, staging)
+    with fs.open_output_stream(f"{root}/{DONE}") as done:
+        done.write(b"")
+    return names

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from . import folders
+from . import folders, named_files
 
 
 def parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -22,11 +27,40 @@ def expanded(spark: SparkSession, *patterns: str) -> list[str]:
     return out
 
 
-def predictions(spark: SparkSession, root: str, name: str = "prediction.json") -> DataFrame:
-    """folder, pred VARIANT of each file of that name below a folder; null where it isn't a JSON object."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+def texts_at(df: DataFrame, path: str, size: int = 8 << 20) -> DataFrame:
+    """df with value: the text of the file that each row's path names, null where there is none.
+
+    Tasks open the files, through Arrow (see named_files.opened()); no folder is listed, and a batch has about `size` bytes of texts, or one.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = named_files.Opener()
+        for batch in batches:
+            first, found, held = 0, [], 0
+            for i, name in enumerate(batch.column(path).to_pylist()):
+                data = None
+                with contextlib.suppress(FileNotFoundError):
+                    if name is not None:
+                        fs, inner = opener.opened(name)
+                        with fs.open_input_file(inner) as f:
+                            data = f.read()
+                found.append(data)
+                held += len(data or b"")
+                if held >= size or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(found)).columns, pa.array(found, pa.binary())], names=names)
+                    first, found, held = i + 1, [], 0
+
+    names = [*df.columns, "value"]
+    schema = StructType([*df.schema.fields, StructField("value", BinaryType())])
+    return df.mapInArrow(read, schema).withColumn("value", F.col("value").cast("string"))
+
+
+def predictions(plan: DataFrame, name: str = "prediction.json") -> DataFrame:
+    """folder, pred VARIANT of the file of that name in each run_dir of a plan; null where there is none or it isn't a JSON object."""
+    tasks = 4 * plan.sparkSession.sparkContext.defaultParallelism  # the work is in the files, however few bytes the paths have
+    at = plan.select(F.col("run_dir").alias("folder")).repartition(tasks, "folder").distinct().withColumn("path", F.concat(F.regexp_replace("folder", "/+$", ""), F.lit(f"/{name}")))
     v = F.try_parse_json("value")
-    return raw.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("pred"))
+    return texts_at(at, "path").select("folder", F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("pred"))
 
 
 def files_under(spark: SparkSession, path: str, glob: str) -> DataFrame:

@@ -45,26 +45,24 @@ def lines_report(df: DataFrame, path: str, *columns: str) -> None:
     df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def _named(df: DataFrame, path: str, mode: str, **options: str) -> None:
-    df.sparkSession.dataSource.register(named_files.NamedFiles)
-    df.write.format(named_files.FORMAT).mode(mode).options(**options).save(path)
+def files(df: DataFrame, path: str, name: Column | str, value: Column | str, mode: str = "overwrite") -> DataFrame:
+    """One file per record, its name (which may have folders) and text from the row; a null text is an empty file. Returns the names, as a table.
 
-
-def files(df: DataFrame, path: str, name: Column | str, value: Column | str, mode: str = "overwrite") -> None:
-    """One file per record, its name (which may have folders) and text from the row; a null text is an empty file.
-
-    Rows meet by name, so a name that comes twice is found and fails the job, which then leaves what was there before.
+    Rows meet by name, so a name that comes twice is found and fails the job, which then leaves what was there before. Tasks are as many as
+    the session's shuffle partitions: the work is in the files, however few bytes they have.
     """
+    spark = df.sparkSession
     name, value = (F.col(c) if isinstance(c, str) else c for c in (name, value))
     rows = df.select(name.cast("string").alias("name"), value.cast("string").alias("value"))
-    _named(rows.repartition("name").sortWithinPartitions("name"), path, mode)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return named_files.write(rows.repartition(tasks, "name").sortWithinPartitions("name"), path, mode == "overwrite")
 
 
-def numbered_texts(df: DataFrame, path: str, id: str, value: Column | str, *order: str, start: int = 1, suffix: str = ".txt", mode: str = "overwrite") -> None:
-    """Files 000001_<id>.txt, numbered in order of the given columns; ids become safe parts of a name, texts end in a line feed."""
+def numbered_texts(df: DataFrame, path: str, id: str, value: Column | str, *order: str, start: int = 1, suffix: str = ".txt", mode: str = "overwrite") -> DataFrame:
+    """Files 000001_<id>.txt, numbered in order of the given columns; ids become safe parts of a name, texts end in a line feed. Returns the names, as a table."""
     body = F.col(value) if isinstance(value, str) else value
     rows = shared.numbered(df.withColumn("__body", F.concat(F.coalesce(body, F.lit("")), F.lit("\n"))), "__n", *map(F.col, order), start=start)
-    files(rows, path, F.concat(F.format_string("%06d", "__n"), F.lit("_"), T.safe_file_name(F.col(id).cast("string")), F.lit(suffix)), "__body", mode)
+    return files(rows, path, F.concat(F.format_string("%06d", "__n"), F.lit("_"), T.safe_file_name(F.col(id).cast("string")), F.lit(suffix)), "__body", mode)
 
 
 def documents(df: DataFrame, path: str, stem: str, json_text: str, suffix: str = ".adp.json", mode: str = "overwrite") -> None:
@@ -98,7 +96,7 @@ def shards(df: DataFrame, path: str, *order: str, rows: int = 500, name: str = "
     keyed = df.select(*(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), line.alias("value"))
     numbered = shared.numbered(keyed, "__n", *(F.col(f"__o{i}") for i in range(len(order))), F.col("value"))
     named = numbered.select(F.format_string(name, F.floor(F.col("__n") / rows)).alias("name"), "value", "__n")
-    _named(named.repartition("name").sortWithinPartitions("name", "__n").select("name", "value"), path, mode, lines="true")
+    named_files.write(named.repartition("name").sortWithinPartitions("name", "__n").select("name", "value"), path, mode == "overwrite", lines="true")
 
 
 def canonical_lines(df: DataFrame, path: str, *order: str, rows: int = 1 << 20, name: str = "part-%05d.jsonl", mode: str = "overwrite") -> None:
