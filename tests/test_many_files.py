@@ -77,9 +77,9 @@ def test_predictions_of_a_plan(spark, tmp_path):
     assert sorted((r.folder[len(str(tmp_path)) :], r.j) for r in got) == [("/r1/", '{"a":1}'), ("/r2", None), ("/r3", None), ("/r4", None)]
 
 
-@pytest.mark.parametrize("query", [records.x4_predictions])
+@pytest.mark.parametrize("query", [records.k6_numbered_texts, records.x4_predictions])
 def test_no_folder_of_files_is_listed(spark, query):
-    """It listed the folders it had written, on the driver and a task for each folder, and read 32 files a task."""
+    """Both listed the folders they had written, on the driver and a task for each folder, and read 32 files a task."""
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         query(spark, "/root/testdata/sf0.001").explain(True)

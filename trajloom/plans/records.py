@@ -157,8 +157,9 @@ def k6_numbered_texts(spark, sf_dir):
     """A file for each document, named by its number and an id with signs that no name may have."""
     path = scratch(spark, "texts")
     d = table(spark, sf_dir, "documents").withColumn("id", F.concat(F.lit(" ."), "lang", F.lit(":/* "), "source", F.lit("?")))
-    sinks.numbered_texts(d, path, "id", "text", "doc_id")
-    return readers.text_folder(spark, path).select(F.substring_index("path", "/", -1).alias("file"), text.sha(F.col("value")).alias("sha"))
+    written = sinks.numbered_texts(d, path, "id", "text", "doc_id")
+    back = readers.texts_at(written.select("name", F.concat(F.lit(f"{path}/"), "name").alias("path")), "path")
+    return back.select(F.col("name").alias("file"), text.sha(F.col("value")).alias("sha"))
 
 
 def two_sides(spark, sf_dir):
