@@ -55,13 +55,25 @@ ADP = f"""u as (select distinct traj_id as own, cast(substr(traj_id, 2) as bigin
 i as (select *, case when k % 17 in (0, 1) or k % 19 = 3 then 'line-' || (k + 1) else own end as id, k % 17 > 2 as good from u)"""
 
 
+@functools.lru_cache(maxsize=2)
+def trajectories(spark, sf_dir):
+    """The lines' trajectories, good and broken ones, written once for every query over memories."""
+    return shared.stored(adp.trajectories(adp_lines(spark, sf_dir)), "trajectories")
+
+
 @functools.lru_cache(maxsize=2)
 def memories(spark, sf_dir, cfg: memory.MemoryConfig = memory.MemoryConfig()):  # noqa: B008
-    """Trajectories and their events are written once, since every part of a memory and every query over memories reads them."""
-    t = shared.stored(adp.trajectories(adp_lines(spark, sf_dir)), "trajectories")
+    """Events are written once, since every part of a memory reads them."""
+    t = trajectories(spark, sf_dir)
     return memory_record.records(t, shared.stored(adp.events(t), "events"), cfg)
 
 
+def broken_memories(spark, sf_dir):
+    """The records of memories() for trajectories with an error, without working out and joining the good ones' parts and texts."""
+    t = trajectories(spark, sf_dir).filter("error is not null")
+    return memory_record.records(t, adp.events(t))
+
+
 @query(f"""with a as ({ODD_EVENTS}), {ADP},
 p as (select traj_id as own, min_by({S.normalize('content')}, idx) as prompt from a where class_ = 'text_observation' and source = 'user' group by 1)
 select id, good, case when not good then null when k % 3 = 0 then 'R' || chr(10) when k % 3 = 1 then 'R' else '' end as repo, case when not good then null when k % 3 = 0 then 'I' || k else '' end as instance_id, case when good then '' end as base_commit,
@@ -83,7 +95,7 @@ def t11_source_metadata(spark, sf_dir):
 
 @query(f"with a as ({ODD_EVENTS}), {ADP} select id, 'CONVERTER ERROR: ' || case k % 17 when 0 then 'invalid JSON' when 1 then 'not an object' else 'content is no list' end as warnings, case when k % 17 = 2 then '1.1.0' else '' end as version, 0 as items, '' as rendered_text from i where not good")
 def t10_error_records(spark, sf_dir):
-    r = memories(spark, sf_dir).filter("source_metadata is null")
+    r = broken_memories(spark, sf_dir).filter("source_metadata is null")
     items = F.size("search_anchors") + F.size("observation_evidence") + sum(F.size(f"commands.{b}") for b in memory.COMMAND_BUCKETS.values())
     return r.select(F.col("source_trajectory_id").alias("id"), F.array_join("quality.warnings", "|").alias("warnings"), F.col("source_schema_version").alias("version"), items.alias("items"), "rendered_text")
 
