@@ -52,7 +52,7 @@ def chains(nodes: DataFrame, leaf: DataFrame, most_rounds: int = 32) -> DataFram
         further = reached.join(here.filter("up is not null"), ["session", "uuid"]).select("session", F.col("up").alias("uuid"), (F.col("depth") + step).alias("depth"))
         reached = reached.unionByName(further).groupBy("session", "uuid").agg(F.min("depth").alias("depth")).checkpoint()
         now = reached.count()
-        if now == size:
+        if now in (0, size):
             break
         size, step = now, step * 2
         jump = here.select("session", F.col("uuid").alias("up"), F.col("up").alias("upper"))
@@ -60,6 +60,21 @@ def chains(nodes: DataFrame, leaf: DataFrame, most_rounds: int = 32) -> DataFram
     return reached
 
 
+def _chained(nodes: DataFrame, leaf: DataFrame) -> DataFrame:
+    """As chains(), of nodes with lineno. In most sessions a record's parent is the one before it or missing: their chain is the unbroken run of lines that
+    ends at the leaf, found by one window; only sessions with any other link take chains()."""
+    by_line = Window.partitionBy("session").orderBy("lineno", "uuid")
+    follows = F.coalesce(F.col("parent") == F.lag("uuid").over(by_line), F.lit(False))
+    n = nodes.select("session", "uuid", "parent", F.row_number().over(by_line).cast("long").alias("at"), follows.alias("follows"))
+    n = n.withColumn("start", F.max(F.when(~F.col("follows"), F.col("at"))).over(by_line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).checkpoint()
+    far = n.filter("parent is not null and not follows").select("session", "parent")
+    odd = far.join(n.select("session", F.col("uuid").alias("parent")), ["session", "parent"], "left_semi").select("session").distinct().checkpoint()
+    plain = leaf.join(odd, "session", "left_anti").withColumnRenamed("leaf", "uuid")
+    ends = n.join(plain, ["session", "uuid"], "left_semi").select("session", F.col("at").alias("end"), "start")
+    runs = n.join(ends, ["session", "start"]).filter("at <= end").select("session", "uuid", (F.col("end") - F.col("at")).alias("depth"))
+    return runs.unionByName(chains(n.join(odd, "session", "left_semi"), leaf.join(odd, "session", "left_semi")))
+
+
 def linear(records: DataFrame, use_parent_chain: bool = True) -> DataFrame:
     """session, pos, lineno, rec: message records in conversation order.
 
@@ -72,7 +87,7 @@ def linear(records: DataFrame, use_parent_chain: bool = True) -> DataFrame:
         return messages.select("session", F.row_number().over(by_line).alias("pos"), "lineno", "rec")
     nodes = messages.select("session", "lineno", get("$.uuid").alias("uuid"), F.nullif(get("$.parentUuid"), F.lit("")).alias("parent"))
     nodes = nodes.groupBy("session", "uuid").agg(F.max_by("parent", "lineno").alias("parent"), F.max("lineno").alias("lineno"))
-    chain = chains(nodes, leaves(records))
+    chain = _chained(nodes, leaves(records))
     sizes = messages.groupBy("session").agg(F.count("*").alias("n")).join(chain.groupBy("session").agg(F.count("*").alias("k")), "session", "left")
     good = sizes.select("session", (F.coalesce("k", F.lit(0)) >= F.greatest(F.lit(1), F.expr("n div 2"))).alias("chained"))
     of = nodes.join(chain, ["session", "uuid"]).select("session", "lineno", "depth")
@@ -190,14 +205,14 @@ def emission_order(calls: DataFrame) -> DataFrame:
     return out.withColumns({"k1": F.coalesce("k1", "p"), "k2": F.coalesce("k2", F.lit(1)), "k3": F.coalesce("k3", "p"), "k4": F.coalesce("k4", F.lit(0)), "paired": F.coalesce("paired", F.lit(False))})
 
 
-def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: bool = False, lowercase_functions: bool = False, keep_parallel_order: bool = False) -> DataFrame:
-    """Events of session records (session, lineno, rec VARIANT); traj_id is the session.
+def events(records: DataFrame, use_parent_chain: bool = True, drop_thinking: bool = False, lowercase_functions: bool = False, keep_parallel_order: bool = False, chain: DataFrame | None = None) -> DataFrame:
+    """Events of session records (session, lineno, rec VARIANT); traj_id is the session. chain: linear(records), where the caller has it.
 
     Text and thoughts of the assistant wait for the next tool call, whose description and
     reasoning they become; what no call takes is a message before the next normal user message.
     The blocks are stored in the shared folder, since most steps read them.
     """
-    out, _ = _converted(linear(records, use_parent_chain), drop_thinking, lowercase_functions, keep_parallel_order)
+    out, _ = _converted(linear(records, use_parent_chain) if chain is None else chain, drop_thinking, lowercase_functions, keep_parallel_order)
     return out
 
 

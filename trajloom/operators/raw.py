@@ -20,16 +20,16 @@ MAX_ACTION, MAX_RESULT = 2000, 2000
 def blocks(records: DataFrame) -> DataFrame:
     """session, lineno, rtype, role, block_index, btype, block VARIANT: a row for each block, and one without a block for each other record.
 
-    records: session, lineno, rec VARIANT.
+    records: session, lineno, rec VARIANT; a column pos is kept.
     """
-    rec = F.col("rec")
+    rec, place = F.col("rec"), [c for c in ("pos",) if c in records.columns]
     message = F.when(variants.is_object(variants.field(rec, "message", "variant")), variants.field(rec, "message", "variant"))
     rtype = variants.field(rec, "type")
     aside = F.coalesce(rtype.isin("summary", "file-history-snapshot"), F.lit(False))
-    r = records.select("session", "lineno", rtype.alias("rtype"), F.when(~aside, message).alias("message"))
+    r = records.select("session", "lineno", *place, rtype.alias("rtype"), F.when(~aside, message).alias("message"))
     r = r.withColumn("role", F.when(F.col("message").isNotNull(), F.coalesce(F.nullif(variants.field(F.col("message"), "role"), F.lit("")), "rtype")))
     items = F.when(F.col("message").isNotNull(), variants.blocks(variants.field(F.col("message"), "content", "variant")))
-    b = r.select("session", "lineno", "rtype", "role", F.col("message").isNotNull().alias("is_message"), F.posexplode_outer(items).alias("block_index", "block"))
+    b = r.select("session", "lineno", *place, "rtype", "role", F.col("message").isNotNull().alias("is_message"), F.posexplode_outer(items).alias("block_index", "block"))
     return b.withColumn("btype", variants.field(F.col("block"), "type")).filter("not is_message or block is not null")
 
 
@@ -169,14 +169,16 @@ def by_policy(records: DataFrame, cfg: StripConfig = StripConfig(), max_action:
     return joined(records.select("session").distinct(), shown(b, cfg, True, max_action, max_result), BY_POLICY, "lineno", "block_index")
 
 
-def with_manifest(records: DataFrame, decisions: DataFrame) -> DataFrame:
+def with_manifest(records: DataFrame, decisions: DataFrame, chain: DataFrame | None = None) -> DataFrame:
     """described() blocks of the conversation's chain with pos and adp_indices: the kept decisions that name them, null for none.
 
     decisions: session, idx, decision, provenance. A decision names a line; its role, block type and
     block index, where given, must be the block's; ids of tool calls and results must be equal, other blocks may lack one.
+    chain: convert_session.linear(records), where the caller has it.
     """
-    chain = convert_session.linear(records)
-    b = described(blocks(chain.select("session", "lineno", "rec"))).join(chain.select("session", "lineno", "pos"), ["session", "lineno"])
+    chain = convert_session.linear(records) if chain is None else chain
+    plain = blocks(chain.select("session", "lineno", "pos", "rec"))
+    b = described(plain)
     kept = decisions.filter("decision = 'keep'").select("session", "idx", F.col("provenance.raw_jsonl_line").alias("lineno"), *(F.col(f"provenance.{n}").alias(f"d_{n}") for n in ("raw_role", "raw_block_type", "raw_block_index", "tool_use_id")))
     free = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     named, theirs = F.col("tool_use_id"), text.normalize(F.coalesce("d_tool_use_id", F.lit("")))
@@ -186,12 +188,13 @@ def with_manifest(records: DataFrame, decisions: DataFrame) -> DataFrame:
     fits = fits & (F.col("d_raw_block_index").isNull() | (F.col("d_raw_block_index") == F.col("block_index"))) & ids
     found = b.select("session", "lineno", "role", "btype", "block_index", "tool_use_id").join(kept, ["session", "lineno"]).filter(fits)
     found = found.groupBy("session", "lineno", "block_index").agg(F.array_sort(F.collect_list("idx")).alias("adp_indices"))
-    return b.join(found, ["session", "lineno", "block_index"], "left")
+    # described after the join, so that only blocks that a caller keeps have their texts worked out
+    return described(plain.join(found, ["session", "lineno", "block_index"], "left"))
 
 
-def by_manifest(records: DataFrame, decisions: DataFrame, cfg: StripConfig = StripConfig(), max_action: int = MAX_ACTION, max_result: int = MAX_RESULT) -> DataFrame:  # noqa: B008
+def by_manifest(records: DataFrame, decisions: DataFrame, cfg: StripConfig = StripConfig(), max_action: int = MAX_ACTION, max_result: int = MAX_RESULT, chain: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """session, transcript of the blocks that with_manifest() finds kept, in conversation order; results of kept edit calls are left out."""
-    b = with_manifest(records, decisions).filter("adp_indices is not null")
+    b = with_manifest(records, decisions, chain).filter("adp_indices is not null")
     asked = F.coalesce((F.col("role") == "user") & (F.col("btype") == "text"), F.lit(False))
     b = b.withColumn("first", asked & (F.sum(asked.cast("int")).over(Window.partitionBy("session").orderBy("pos", "block_index")) == 1))
     past = Window.partitionBy("session", "tool_use_id").orderBy("pos", "block_index").rowsBetween(Window.unboundedPreceding, -1)
@@ -202,10 +205,11 @@ def by_manifest(records: DataFrame, decisions: DataFrame, cfg: StripConfig = Str
     return out.withColumn("transcript", F.concat(F.regexp_replace(text.scrub("transcript"), rf"(?U){text.SPACE}+\z", ""), F.lit("\n")))
 
 
-def transcripts(records: DataFrame, decisions: DataFrame, cfg: StripConfig = StripConfig()) -> DataFrame:  # noqa: B008
-    """session, transcript, render_mode: exact for sessions whose decisions name lines, by policy for the others."""
+def transcripts(records: DataFrame, decisions: DataFrame, cfg: StripConfig = StripConfig(), chain: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """session, transcript, render_mode: exact for sessions whose decisions name lines, by policy for the others. chain: convert_session.linear(records), where the caller has it."""
     named = decisions.filter("provenance.raw_jsonl_line > 0").select("session").distinct()
-    exact = by_manifest(records.join(named, "session", "left_semi"), decisions, cfg).withColumn("render_mode", F.lit("manifest_exact"))
+    own = chain.join(named, "session", "left_semi") if chain is not None else None
+    exact = by_manifest(records.join(named, "session", "left_semi"), decisions, cfg, chain=own).withColumn("render_mode", F.lit("manifest_exact"))
     return exact.unionByName(by_policy(records.join(named, "session", "left_anti"), cfg).withColumn("render_mode", F.lit("policy_fallback_no_provenance")))
 
 
